@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def extend(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
+    """All columns of df and those that run makes of its batches. Columns travel by place, so any names may stand beside each other; those named like a new one are dropped."""
+    df = df.drop(*[name for name, _ in fields])
+    names, n = df.columns, len(df.columns)
+    kinds = [*[f.dataType for f in df.schema.fields], *[kind for _, kind in fields]]
+    places = [f"_{k}" for k in range(len(kinds))]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, new in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=places)
+
+    schema = T.StructType([T.StructField(p, kind) for p, kind in zip(places, kinds, strict=True)])
+    return df.toDF(*places[:n]).mapInArrow(mapped, schema).toDF(*names, *[name for name, _ in fields])
+
+
 def flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

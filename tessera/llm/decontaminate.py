@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WORD, flat, per_row, pieces, span_hashes, spans
+from .common import LOWER, WORD, extend, flat, per_row, pieces, span_hashes, spans
 
 #: Words of a window, and characters of benchmark text that are broadcast at once.
 WINDOW, BLOCK_CHARS = 10, 8_000_000
@@ -196,12 +196,10 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int, window
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """All columns of docs and: n_words, n_hit, item_ids (sorted strings), spans (byte ranges of hit runs of words)."""
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "item_ids", "spans")
-    before = docs.schema
     loaded = [spark.sparkContext.broadcast(p) for p in _blocks(benchmark, item, item_text, block_chars, window)]
-    final = T.StructType([*before.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    fields = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for batch in batches:
             for part in pieces(batch, text):
                 data, offs = flat(part.column(text))
@@ -215,13 +213,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 where = np.searchsorted(a, bounds)
                 shift = np.repeat(offs[:-1], np.diff(where))
                 runs = pa.StructArray.from_arrays([pa.array(starts[a] - shift), pa.array(ends[b - 1] - shift)], names=["start", "end"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(f.name) for f in before.fields]
-                    + [pa.array(np.diff(bounds)), pa.array(per_row(hit, bounds)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(where, pa.int32()), runs)],
-                    names=final.names,
-                )
+                yield part, [pa.array(np.diff(bounds)), pa.array(per_row(hit, bounds)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(where, pa.int32()), runs)]
 
-    return docs.mapInArrow(run, final)
+    return extend(docs, run, fields)
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
@@ -237,7 +231,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw) -> Da
     spark = docs.sparkSession
     loaded = [spark.sparkContext.broadcast(p) for p in _blocks(benchmark, kw.get("item", "item_id"), kw.get("item_text", "text"), kw.get("block_chars", BLOCK_CHARS), kw.get("window", WINDOW))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for batch in batches:
             for part in pieces(batch, text):
                 data, offs = flat(part.column(text))
@@ -257,9 +251,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw) -> Da
                             at = ends[b[k] - 1] - offs[r]
                         values[r] = b"".join([*kept, raw[at:]]).decode()
                     col = pa.array(values, col.type)
-                yield pa.RecordBatch.from_arrays([col if n == text else part.column(n) for n in names], names=names)
+                yield part, [col]
 
-    return docs.mapInArrow(run, docs.schema)
+    cleaned = extend(docs, run, [("_cleaned", docs.schema[text].dataType)])
+    return cleaned.withColumn(text, F.col("_cleaned")).select(*[F.col(f"`{n}`") for n in names])
 
 
 def digest(items: list[str]) -> str:
