@@ -1,3 +1,25 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP6 = r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+plain AS (
+  SELECT doc_id, pos, line, regexp_replace(trim(regexp_replace(line, '[ \t\r]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS t FROM lines),
+counted AS (SELECT *, length(t) - length(replace(t, ' ', '')) + 1 AS n, string_split(t, ' ') AS w FROM plain),
+leaves AS (
+  SELECT doc_id, pos, n, 0 AS k, t FROM counted WHERE n >= 3 AND t <> ''
+  UNION ALL
+  SELECT doc_id, pos, n, q + 1, array_to_string(list_concat(w[1:2 + (n - 2) * q // 4], ['<*>'], w[3 + (n - 2) * (q + 1) // 4:n]), ' ')
+  FROM counted, (SELECT unnest([0, 1, 2, 3]) AS q) WHERE n >= 10),
+recurring AS (SELECT n, k, t, min(doc_id) AS first FROM leaves GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+gone AS (SELECT DISTINCT doc_id, pos FROM leaves JOIN recurring USING (n, k, t) WHERE doc_id <> first),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped,
+         coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS rest
+  FROM lines l LEFT JOIN gone g USING (doc_id, pos) GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped, sha256(coalesce(k.rest, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_line_templates": OP6}

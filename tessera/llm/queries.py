@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, quality, simhash
+from . import decontaminate, lines, pieces, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,4 +27,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_simhash, op9_quality, op10_decontamination)}
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_simhash, op6_line_templates, op9_quality, op10_decontamination)}
