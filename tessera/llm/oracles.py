@@ -22,4 +22,8 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_line_templates": OP6}
+OP8 = """
+SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+"""
+
+ORACLES: dict[str, str] = {"op6_line_templates": OP6, "op8_sharding": OP8}

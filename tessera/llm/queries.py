@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, pieces, quality, simhash
+from . import decontaminate, language, lines, pieces, quality, shards, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,4 +31,12 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_simhash, op6_line_templates, op9_quality, op10_decontamination)}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.listing(table(spark, sf_dir, "documents"))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op3_sentencepiece, op4_simhash, op6_line_templates, op8_sharding, op9_quality, op10_decontamination)}
