@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, lines, pieces, quality, shards, simhash
+from . import decontaminate, fingerprints, language, lines, pieces, quality, shards, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,4 +39,8 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_sentencepiece, op4_simhash, op6_line_templates, op8_sharding, op9_quality, op10_decontamination)}
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op3_sentencepiece, op4_simhash, op6_line_templates, op7_fingerprints, op8_sharding, op9_quality, op10_decontamination)}
