@@ -39,6 +39,8 @@ from pyspark.sql import types as T
 from . import common
 
 MARK = "▁"
+#: Distinct chunks that are encoded as one string; bytes of text taken together; threads of the library in a worker.
+RUN, PIECE, THREADS = 20, 4_000_000, 2
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the model format: kinds of model and of pieces.
@@ -116,6 +118,7 @@ class Codec:
     """Encoder and decoder of one model."""
 
     def __init__(self, raw: bytes) -> None:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         from tokenizers import AddedToken, Tokenizer, models, normalizers
 
         self.raw = raw
@@ -134,7 +137,8 @@ class Codec:
         self.charsmap = normalizers.Precompiled(m.charsmap) if m.charsmap else None
         #: Chunks start at a run of markers unless a piece has a marker after another character.
         self.chunked = m.escape and not users and not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, UNUSED))
-        self.kinds = np.array([kind for _, _, kind in m.pieces])
+        #: Bytes of normal text that each piece stands for.
+        self.lengths = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in m.pieces], np.int64)
         self.bytes_of = {k: int(p[3:5], 16) for k, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
 
     def normal(self, text: str) -> str:
@@ -150,9 +154,10 @@ class Codec:
     def chunks(self, normal: list[str]) -> tuple[pa.Array, np.ndarray]:
         """The chunks of all texts, one after the other, and how many each text has."""
         if not self.chunked:
-            return pa.array(normal, pa.large_string()), np.ones(len(normal), np.int64)
-        split = [_CHUNK.findall(x) for x in normal]
-        return pa.array([c for x in split for c in x], pa.large_string()), np.fromiter(map(len, split), np.int64, len(split))
+            some = [x for x in normal if x]
+            return pa.array(some, pa.large_string()), np.array([bool(x) for x in normal], np.int64)
+        split = [pa.array(_CHUNK.findall(x), pa.large_string()) for x in normal]  # strings of one text at a time
+        return pa.concat_arrays(split) if split else pa.array([], pa.large_string()), np.fromiter(map(len, split), np.int64, len(split))
 
     def plain(self, text: str) -> str:
         """The text that encoding keeps: the normal form without markers and dummy prefix."""
@@ -164,26 +169,58 @@ class Codec:
         chunks, counts = self.chunks([self.normal(t or "") for t in texts])
         coded = pc.dictionary_encode(chunks)
         words = coded.dictionary
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-        begin = np.concatenate(([0], np.cumsum(size)))
+        pool, begin = self._coded(words.to_pylist())
+        size = np.diff(begin)
         which = coded.indices.to_numpy().astype(np.int64)
         n = size[which]
         ends = np.concatenate(([0], np.cumsum(n)))
         at = np.repeat(begin[:-1][which] - ends[:-1], n) + np.arange(ends[-1])
         bounds = ends[np.concatenate(([0], np.cumsum(counts)))]
-        self.last = (words, pool, begin, which, counts)
+        self.last = (words.to_pylist(), pool, begin, which, counts)
         return pool[at], bounds
 
+    def _runs(self, words: list[str]) -> list[str | None]:
+        """Runs of chunks to be encoded as one string; None where a chunk would join its neighbours."""
+        runs: list[str | None] = []
+        for k in range(0, len(words), RUN):
+            own = words[k : k + RUN]
+            runs.append("".join(own) if self.chunked and all(x[0] == MARK != x[-1] for x in own) else None)
+        return runs
+
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks and the bounds of each chunk's."""
+        runs = self._runs(words)
+        asked = [x for k, run in enumerate(runs) for x in ([run] if run is not None else words[k * RUN : (k + 1) * RUN])]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
+        pool = np.fromiter((i for x in got for i in x), np.int32, sum(map(len, got)))
+        if self.model.unk in pool and any(r is not None for r in runs):  # the length of what an unknown piece stands for isn't known
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter((i for x in got for i in x), np.int32), np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))))
+        # chunks end where the bytes of their ids do
+        covered = np.cumsum(self.lengths[pool])
+        ends = np.cumsum(np.fromiter((len(x.encode()) for x in words), np.int64, len(words)))
+        return pool, np.concatenate(([0], np.searchsorted(covered, ends, "left") + 1)) if len(words) else np.zeros(1, np.int64)
+
     def parity(self) -> np.ndarray:
         """For each text of the last call, whether the sentencepiece library gives all its chunks the same ids."""
         words, pool, begin, which, counts = self.last
-        plain = words.to_pylist()
-        asked = [x.removeprefix(MARK) if self.model.dummy_prefix else x for x in plain]
-        sp = processor(self.raw)
-        theirs = [x or [sp.piece_to_id(MARK)] for x in sp.encode(asked, num_threads=1)] if asked else []  # a lone marker can only be asked for as a piece
-        same = np.fromiter((x == pool[a:b].tolist() for x, a, b in zip(theirs, begin[:-1].tolist(), begin[1:].tolist(), strict=True)), bool, len(plain))
+        sp, at = processor(self.raw), begin.tolist()
+        strip = self.model.dummy_prefix
+
+        def theirs(asked: list[str]) -> list[list[int]]:
+            found = sp.encode([x.removeprefix(MARK) if strip else x for x in asked], num_threads=1) if asked else []
+            return [x or [sp.piece_to_id(MARK)] for x in found]  # a lone marker can only be asked for as a piece
+
+        same = np.ones(len(words), bool)
+        runs = self._runs(words)
+        whole = [k for k, run in enumerate(runs) if run is not None]
+        again = [k for k, run in enumerate(runs) if run is None]
+        for k, ids in zip(whole, theirs([runs[k] for k in whole]), strict=True):
+            if ids != pool[at[k * RUN] : at[min(len(words), (k + 1) * RUN)]].tolist():
+                again.append(k)
+        single = [j for k in again for j in range(k * RUN, min(len(words), (k + 1) * RUN))]
+        for j, ids in zip(single, theirs([words[j] for j in single]), strict=True):
+            same[j] = ids == pool[at[j] : at[j + 1]].tolist()
         return common.per_row(~same[which], np.concatenate(([0], np.cumsum(counts)))) == 0
 
     def decode(self, ids: list[int]) -> str:
@@ -249,7 +286,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", check: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         own = codec(raw.value)
         for batch in batches:
-            for part in common.pieces(batch, text):
+            for part in common.pieces(batch, text, PIECE):
                 ids, bounds = own.encode(part.column(text).to_pylist())
                 same = pa.array(own.parity()) if check else pa.nulls(part.num_rows, pa.bool_())
                 yield part, [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(bounds)), same]
@@ -288,7 +325,7 @@ def digests(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: s
         own = codec(raw.value)
         names = ["doc_id", "n_pieces", "pieces_sha256", "parity", "round_trip"]
         for batch in batches:
-            for part in common.pieces(batch, "text"):
+            for part in common.pieces(batch, "text", PIECE):
                 texts = part.column("text").to_pylist()
                 ids, bounds = own.encode(texts)
                 same, back = own.parity(), own.texts(ids, bounds)
