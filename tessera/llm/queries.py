@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language, lines, pieces, quality, shards, simhash, substrings
+from . import decontaminate, fingerprints, language, lines, pieces, quality, shards, simhash, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,4 +47,8 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_sentencepiece, op4_simhash, op6_line_templates, op7_fingerprints, op8_sharding, op9_quality, op10_decontamination)}
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_sentencepiece, op4_simhash, op5_urls, op6_line_templates, op7_fingerprints, op8_sharding, op9_quality, op10_decontamination)}
