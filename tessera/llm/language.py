@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 from .common import pieces, written
 
 ORDER, MOST_GRAMS, MOST_CALIBRATING, UND = 5, 200_000, 2_000, "und"
-PIECE = 12_000_000
+#: Bytes of text and distinct words taken at once.
+PIECE, BLOCK = 6_000_000, 20_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
@@ -82,6 +83,14 @@ def _counts(words: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(grams), np.concatenate(counts)) if grams else (np.zeros(0, "U1"), np.zeros(0, np.int64))
 
 
+def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of hashes in a sorted array: places, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    row = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return row, keys[row] == h
+
+
 @dataclass
 class Model:
     """Languages; for each order the sorted hashes, probabilities and weights; temperature and limits."""
@@ -95,28 +104,35 @@ class Model:
 
     def costs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Negative log2 probability of each word in each language, and its predicted characters."""
-        chars, word, place = _characters(words)
-        p = np.full((len(chars), len(self.languages)), self.floor)
-        before: np.ndarray | None = None
-        for (k, at, h), (keys, alpha, gamma) in zip(_grams(chars, place), self.tables, strict=True):
-            found = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            known = keys[found] == h if len(keys) else np.zeros(len(h), bool)
-            row = np.full(len(chars), -1)
-            row[at[known]] = found[known]
-            if k == 1:
-                hit = np.flatnonzero(row >= 0)
-                p *= self.unigram
-                p[hit] += alpha[row[hit]]
-            else:  # where the history is known: discounted part and weight of the lower order
-                hit = at[before[at - 1] >= 0]
-                p[hit] *= weight[before[hit - 1]]
-                own = hit[row[hit] >= 0]
-                p[own] += alpha[row[own]]
-            before, weight = row, gamma
-        cost = np.where(place[:, None] > 0, -np.log2(p), 0)
-        out = np.stack([np.bincount(word, weights=cost[:, j], minlength=len(words)) for j in range(len(self.languages))], 1) if len(self.languages) else np.zeros((len(words), 0))
+        out = np.zeros((len(words), len(self.languages)))
+        for k in range(0, len(words), BLOCK):
+            out[k : k + BLOCK] = self._block(words[k : k + BLOCK])
         return out, np.maximum(np.fromiter(map(len, words), np.int64, len(words)) - 1, 0)
 
+    def _block(self, words: list[str]) -> np.ndarray:
+        chars, word, place = _characters(words)
+        orders = [chars]
+        for _ in range(1, ORDER):
+            new = chars.copy()
+            new[1:] += orders[-1][:-1] * _M
+            orders.append(new)
+        at = np.flatnonzero(place > 0)
+        longest = np.minimum(place[at], ORDER - 1)
+        key = np.choose(longest, [o[at] for o in orders]) ^ longest.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)  # each n-gram once
+        own, reach = at[first], longest[first]
+        p = np.full((len(own), len(self.languages)), self.floor) * self.unigram
+        for k, (keys, alpha, _) in enumerate(self.tables):
+            live = np.flatnonzero(reach >= k)
+            if k:  # where the history is known: weight of the lower order
+                before, known = _find(self.tables[k - 1][0], orders[k - 1][own[live] - 1])
+                live = live[known]
+                p[live] *= self.tables[k - 1][2][before[known]]
+            row, known = _find(keys, orders[k][own[live]])
+            p[live[known]] += alpha[row[known]]
+        cost = -np.log2(p)
+        return np.stack([np.bincount(word[at], weights=cost[which, j], minlength=len(words)) for j in range(len(self.languages))], 1) if self.languages else np.zeros((len(words), 0))
+
     def entropies(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy of each text in each language, and its predicted characters."""
         words, which, bounds = _words(col)
@@ -127,7 +143,7 @@ class Model:
         return total / np.maximum(n, 1)[:, None], n
 
 
-def _levels(grams: list[str], counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _levels(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each order from 1: hashes, hashes of the histories, and counts: whole ones of the longest n-grams and those that begin a word, of different preceding characters for the rest."""
     k_of = np.fromiter(map(len, grams), np.int64, len(grams))
     wide = np.array(grams, f"U{ORDER}").view(np.uint32).reshape(-1, ORDER).astype(np.uint64) + np.uint64(1)
@@ -146,7 +162,7 @@ def _levels(grams: list[str], counts: np.ndarray) -> list[tuple[np.ndarray, np.n
     return levels[::-1]
 
 
-def build(grams: dict[str, tuple[list[str], np.ndarray]]) -> Model:
+def build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """Interpolated Kneser-Ney tables from each language's longest n-grams and their counts."""
     languages = sorted(grams)
     parts: list[list[tuple[int, np.ndarray, np.ndarray, int]]] = [[] for _ in range(ORDER)]  # language, hashes, values, column
@@ -165,7 +181,7 @@ def build(grams: dict[str, tuple[list[str], np.ndarray]]) -> Model:
     tables = []
     for level in parts:
         keys = np.unique(np.concatenate([x[1] for x in level])) if level else np.zeros(0, np.uint64)
-        alpha, gamma = np.zeros((len(keys), len(languages))), np.ones((len(keys), len(languages)))
+        alpha, gamma = np.zeros((len(keys), len(languages)), np.float32), np.ones((len(keys), len(languages)), np.float32)
         for lang, own, values, column in level:
             (gamma if column else alpha)[np.searchsorted(keys, own), lang] = values
         tables.append((keys, alpha, gamma))
@@ -206,19 +222,33 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     kept = F.lit(False)
     for name, k in least.items():
         kept = kept | ((F.col("l") == name) & (level >= k))
-    found = counted.where(kept).toPandas().sort_values(["l", "g"])
-    model = build({name: (own.g.tolist(), own.n.to_numpy()) for name, own in found.groupby("l")})
-    some = rows.where(aside).orderBy(F.xxhash64("i", "t")).limit(most_calibrating).toPandas()
-    calibrate(model, some.t.tolist(), some.l.tolist())
+    found = counted.where(kept).toArrow()
+    grams = {}
+    for name in sorted(least):
+        own = found.filter(pc.equal(found["l"], name))
+        grams[name] = own["g"].to_numpy(), own["n"].to_numpy()
+    model = build(grams)
+    del found, grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "t", PIECE):
+                ce, n = shared.value.entropies(part.column("t"))
+                yield pa.RecordBatch.from_arrays([part.column("l"), pa.array(ce.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["l", "ce", "n"])
+
+    chosen = rows.where(aside).select("i", F.xxhash64("i", "t").alias("h"), "t", "l")
+    limit = chosen.orderBy("h").select("i", "h").limit(most_calibrating)
+    some = chosen.join(F.broadcast(limit), ["i", "h"], "left_semi").select("t", "l").mapInArrow(costs, "l string, ce array<double>, n double").toPandas()
+    calibrate(model, np.array(some.ce.tolist(), float).reshape(len(some), -1), some.n.to_numpy(), some.l.tolist())
     return model
 
 
-def calibrate(model: Model, texts: list[str], labels: list[str], least: int = 20) -> None:
+def calibrate(model: Model, ce: np.ndarray, n: np.ndarray, labels: list[str], least: int = 20) -> None:
     """Temperature with the least log loss, and for each language the largest cross-entropy that is accepted: the mean of its own texts and four deviations more."""
     model.limits = np.full(len(model.languages), np.inf)
-    if len(texts) < least or not model.languages:
+    if len(labels) < least or not model.languages:
         return
-    ce, n = model.entropies(pa.array(texts))
     at = {name: k for k, name in enumerate(model.languages)}
     known = np.array([x in at for x in labels]) & (n > 0)
     ce, y = ce[known], np.array([at[x] for x, ok in zip(labels, known, strict=True) if ok], np.int64)
