@@ -8,7 +8,8 @@ that differ within one such quarter thus share a template. A template found in a
 documents recurs, and its lines are dropped from every document but the first that has it (the one
 with the smallest id), so that no passage is lost altogether.
 
-Templates are counted by (template, document) first and by template next, each with partial sums
+Templates are known by a 64-bit hash of their place in the tree and their tokens. They are counted by
+(template, document) first and by template next, each with partial sums
 before the shuffle, so a template in any share of the documents makes no large task.
 
 Edge cases: a null text stays null and has no lines; an empty text has one line without tokens;
@@ -31,42 +32,48 @@ _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
 def template(line: Column) -> Column:
-    """The line with single spaces between tokens and variable fields generalised."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[ \t\r]+", " ")), _VARIABLE, "<*>")
+    """The line with single spaces between tokens and variable fields generalised; most lines need no regular expression."""
+    uneven = line.contains("  ") | line.contains("\t") | line.contains("\r")
+    even = F.trim(F.when(uneven, F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
+    return F.when(even.rlike("[0-9]"), F.regexp_replace(even, _VARIABLE, "<*>")).otherwise(even)
+
+
+def _row(doc_id: str, text: str) -> tuple[Column, Column]:
+    """The id, and half a hash of the text for rows that share an id."""
+    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))), F.shiftright(F.xxhash64(f"`{text}`"), 32).cast("int")
 
 
 def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST, wide: int = WIDE) -> DataFrame:
-    """A row for each template of each line: doc, mark (hash of the text), pos, and the template's two hashes h and g."""
-    lines = docs.select(
-        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(f"`{text}`").alias("mark"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("pos", "line")
-    ).select("doc", "mark", "pos", template(F.col("line")).alias("t"))
-    lines = lines.withColumn("n", F.length("t") - F.length(F.replace("t", F.lit(" "))) + 1).where((F.col("n") >= shortest) & (F.col("t") != ""))
-    tokens, n = F.split("t", " "), F.col("n").cast("int")
+    """A row for each template of each line: h, the template's hash, doc, mark (of the text) and pos."""
+    doc, mark = _row(doc_id, text)
+    lines = docs.select(doc.alias("doc"), mark.alias("mark"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("pos", "line")).select("doc", "mark", "pos", template(F.col("line")).alias("t"))
+    lines = lines.select("*", (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "))) + 1).alias("n")).where((F.col("n") >= shortest) & (F.col("t") != ""))
 
     def quarter(k: int) -> Column:
-        a, b = (DEPTH + F.floor((n - DEPTH) * j / QUARTERS).cast("int") for j in (k, k + 1))
-        return F.concat_ws(" ", F.slice("w", F.lit(1), a), F.lit("<*>"), F.slice("w", b + 1, n))
+        a, b = (DEPTH + F.floor((F.col("n") - DEPTH) * j / QUARTERS).cast("int") for j in (k, k + 1))
+        return F.xxhash64("n", F.lit(k + 1), F.call_function("substring_index", "t", F.lit(" "), a), F.call_function("substring_index", "t", F.lit(" "), b - F.col("n")))
 
-    every = F.when(n >= wide, F.array(F.col("t"), *[quarter(k) for k in range(QUARTERS)])).otherwise(F.array("t"))
-    found = lines.withColumn("w", tokens).select("doc", "mark", "pos", "n", F.posexplode(every).alias("k", "t"))
-    return found.select("doc", "mark", "pos", F.xxhash64("n", "k", "t").alias("h"), F.xxhash64("t", "k").alias("g"))
+    whole = F.xxhash64("n", F.lit(0), "t")
+    every = F.when(F.col("n") >= wide, F.array(whole, *[quarter(k) for k in range(QUARTERS)])).otherwise(F.array(whole))
+    return lines.select(F.explode(every).alias("h"), "doc", "mark", "pos")
 
 
 def recurring(found: DataFrame, least: int = LEAST) -> DataFrame:
-    """Templates in at least `least` documents: h, g and the first document."""
-    return found.groupBy("h", "g", "doc").agg(F.lit(1).alias("one")).groupBy("h", "g").agg(F.count("one").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= least).select("h", "g", "first")
+    """Templates in at least `least` documents: h and the first document."""
+    return found.select("h", "doc").distinct().groupBy("h").agg(F.count("doc").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= least).select("h", "first")
 
 
 def drops(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, shortest: int = SHORTEST, wide: int = WIDE) -> DataFrame:
     """doc, mark and the positions (from 0) of the lines that go."""
     found = written(leaves(docs, doc_id, text, shortest, wide))
-    gone = found.join(recurring(found, least), ["h", "g"]).where("doc <> first")
+    gone = found.join(recurring(found, least), "h").where("doc <> first")
     return gone.groupBy("doc", "mark").agg(F.collect_set("pos").alias("gone"))
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str, **kw) -> DataFrame:
     gone = drops(docs, doc_id, text, **kw).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
-    own = docs.withColumns({"_own": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))), "_hash": F.xxhash64(f"`{text}`")})
+    doc, mark = _row(doc_id, text)
+    own = docs.withColumns({"_own": doc, "_hash": mark})
     return own.join(gone, (F.col("_own") == F.col("_doc")) & (F.col("_hash") == F.col("_mark")), "left")
 
 
