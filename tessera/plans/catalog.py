@@ -1,8 +1,8 @@
-"""Queries by name, each with its SQL where SQL can express it."""
+"""All registered queries but those of the training-data subpackage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import relational  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
