@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import partitions, pieces
 
 PRIME, BASES = (1 << 31) - 1, (911_382_323, 972_663_749)
-#: Code points of a span, bins, digits of each; code points compared at once.
-SPAN, BINS, DIGITS, CHARS = 12, 64, 3, 1_000_000
+#: Code points of a span, bins, digits of each; code points compared at once, spans hashed at once.
+SPAN, BINS, DIGITS, CHARS, BLOCK = 12, 64, 3, 400_000, 200_000
 _P = np.uint64(PRIME)
 _powers: dict[int, np.ndarray] = {}
 
@@ -95,16 +95,18 @@ def sketches(texts: list[str]) -> np.ndarray:
     ends = np.cumsum(size)
     begin = ends - size
     count = np.where(size > 0, np.maximum(size - SPAN + 1, 1), 0)
-    text = np.repeat(np.arange(len(texts)), count)
-    start = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
     low = np.full(len(texts) * BINS, np.iinfo(np.uint64).max, np.uint64)
-    if len(start):
-        h = Prefixes(codes).spans(start, np.minimum(size[text], SPAN))
+    whole = np.cumsum(count)  # spans before the end of each text
+    for first in range(0, int(whole[-1]) if len(texts) else 0, BLOCK):
+        span = np.arange(first, min(first + BLOCK, int(whole[-1])))
+        text = np.searchsorted(whole, span, "right")
+        start = begin[text] + span - (whole - count)[text]
+        at, stop = start[0], min(len(codes), start[-1] + SPAN)
+        h = Prefixes(codes[at:stop]).spans(start - at, np.minimum(size[text], SPAN))
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        bins = text * BINS + (h >> np.uint64(58)).astype(np.int64)
-        np.minimum.at(low, bins, h)
+        np.minimum.at(low, text * BINS + (h >> np.uint64(58)).astype(np.int64), h)
     low = low.reshape(-1, BINS)
     return np.where(low == np.iinfo(np.uint64).max, 0, (low ^ (low >> np.uint64(20))) % np.uint64(4095) + np.uint64(1)).astype(np.int64)
 
