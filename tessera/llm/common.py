@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once in a Python worker; bounds its memory whatever the Arrow batch holds.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 INTEGER = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 

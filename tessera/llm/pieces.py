@@ -40,7 +40,7 @@ from . import common
 
 MARK = "▁"
 #: Distinct chunks that are encoded as one string; bytes of text taken together; threads of the library in a worker.
-RUN, PIECE, THREADS = 20, 4_000_000, 2
+RUN, PIECE, THREADS = 20, 2_000_000, 2
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the model format: kinds of model and of pieces.
@@ -125,7 +125,7 @@ class Codec:
         self.model = m = parse(raw)
         if m.kind == BPE:
             vocab = {p: k for k, (p, _, _) in enumerate(m.pieces)}
-            own = models.BPE(vocab=vocab, merges=merges(m), unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+            own = models.BPE(vocab=vocab, merges=merges(m), unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
         elif m.kind == UNIGRAM:
             own = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unk, byte_fallback=m.byte_fallback)
         else:
@@ -168,15 +168,15 @@ class Codec:
         """All ids and the bounds of each text's; the last call's chunks stay for parity()."""
         chunks, counts = self.chunks([self.normal(t or "") for t in texts])
         coded = pc.dictionary_encode(chunks)
-        words = coded.dictionary
-        pool, begin = self._coded(words.to_pylist())
+        words = coded.dictionary.to_pylist()
+        pool, begin = self._coded(words)
         size = np.diff(begin)
         which = coded.indices.to_numpy().astype(np.int64)
         n = size[which]
         ends = np.concatenate(([0], np.cumsum(n)))
         at = np.repeat(begin[:-1][which] - ends[:-1], n) + np.arange(ends[-1])
         bounds = ends[np.concatenate(([0], np.cumsum(counts)))]
-        self.last = (words.to_pylist(), pool, begin, which, counts)
+        self.last = (words, pool, begin, which, counts)
         return pool[at], bounds
 
     def _runs(self, words: list[str]) -> list[str | None]:
@@ -192,7 +192,7 @@ class Codec:
         runs = self._runs(words)
         asked = [x for k, run in enumerate(runs) for x in ([run] if run is not None else words[k * RUN : (k + 1) * RUN])]
         got = [e.ids for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
-        pool = np.fromiter((i for x in got for i in x), np.int32, sum(map(len, got)))
+        pool = np.concatenate([np.array(x, np.int32) for x in got]) if got else np.zeros(0, np.int32)
         if self.model.unk in pool and any(r is not None for r in runs):  # the length of what an unknown piece stands for isn't known
             got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             return np.fromiter((i for x in got for i in x), np.int32), np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))))
@@ -204,6 +204,7 @@ class Codec:
     def parity(self) -> np.ndarray:
         """For each text of the last call, whether the sentencepiece library gives all its chunks the same ids."""
         words, pool, begin, which, counts = self.last
+        self.last = None
         sp, at = processor(self.raw), begin.tolist()
         strip = self.model.dummy_prefix
 

@@ -28,7 +28,7 @@ from .common import SPACE, extend, flat, per_row, pieces, span_hashes, spans
 
 MOST_LABELLED, PAIRS, THRESHOLD, SEED = 20_000, 200_000, 0.3, 7
 #: Classes of bytes: letters of either case, digits, sentence marks, marks of stress, other marks, line ends, beyond ASCII.
-_CLASS = np.full(256, 7, np.int64)
+_CLASS = np.full(256, 7, np.uint8)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:'\"()-", b"!?", b"#$%&*+/<=>@[\\]^_`{|}~", b"\n\r")):
     _CLASS[list(_chars)] = _k
 _CLASS[128:] = 8
@@ -39,8 +39,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """One line of features for each text."""
     rows = len(offs) - 1
     kind = _CLASS[data]
-    row = np.repeat(np.arange(rows), np.diff(offs))
-    counts = np.bincount(row * 9 + kind, minlength=rows * 9).reshape(rows, 9).astype(float)
+    counts = np.bincount(np.repeat(np.arange(rows, dtype=np.int32) * np.int32(9), np.diff(offs)) + kind, minlength=rows * 9).reshape(rows, 9).astype(float)
     starts, ends = spans(~SPACE[data], offs)
     bounds = np.searchsorted(starts, offs)
     n = np.diff(bounds)
