@@ -34,10 +34,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, partitions, pieces, spans, written
+from .common import flat, partitions, pieces, release, spans, written
 
 #: Bytes of a string and of an anchor; bytes of a piece of the corpus; text bytes for each bucket of anchors; entries that a construction keeps in memory.
-LENGTH, ANCHOR, PIECE, BUCKET, IN_MEMORY = 50, 16, 2_000_000, 8_000_000, 4_000_000
+LENGTH, ANCHOR, PIECE, BUCKET, IN_MEMORY = 50, 16, 2_000_000, 5_000_000, 4_000_000
 #: Bits of a place in a packed hash.
 _PLACE = 28
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -155,20 +155,24 @@ def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def distinct(text: np.ndarray, at: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A number for each fragment, equal for those with equal hashes and bytes."""
-    order = np.lexsort((size, h))
-    new = np.ones(len(order), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (size[order][1:] != size[order][:-1])
+def distinct(text: np.ndarray, at: np.ndarray, size: np.ndarray, block: int = 50_000) -> np.ndarray:
+    """A number for each fragment; equal numbers have equal bytes. Fragments are sorted by a hash of eight-byte words and each is compared with the one before."""
+    eight = np.ndarray(max(0, len(text) - 7), "<u8", np.ascontiguousarray(text), strides=(1,))
+    h = size.astype(np.uint64) * _C3
+    for step in range(0, int(size.min()) - 7 if len(size) else 0, 8):
+        h = (h ^ (h >> np.uint64(29))) * _C1 + eight[at + step]
+    h = (h ^ (h >> np.uint64(29))) * _C2 + eight[at + size - 8]
+    order = np.argsort(h, kind="stable")
+    same = np.zeros(len(order), bool)
+    same[1:] = (h[order][1:] == h[order][:-1]) & (size[order][1:] == size[order][:-1])
+    pairs = np.flatnonzero(same)
+    for k in range(0, len(pairs), block):
+        own = pairs[k : k + block]
+        n = size[order[own]]
+        differs = _gather(text, at[order[own]], n) != _gather(text, at[order[own - 1]], n)
+        same[own] = np.diff(np.concatenate(([0], np.cumsum(differs)))[np.concatenate(([0], np.cumsum(n)))]) == 0
     group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    many = np.flatnonzero(np.bincount(group)[group] > 1)
-    if len(many):  # only these may be equal
-        seen: dict[tuple[int, bytes], int] = {}
-        raw = text.tobytes()
-        top = int(group.max()) + 1
-        for k, g, a, n in zip(many.tolist(), group[many].tolist(), at[many].tolist(), size[many].tolist(), strict=True):
-            group[k] = seen.setdefault((g, raw[a : a + n]), top + len(seen))
+    group[order] = np.cumsum(~same) - 1
     return group
 
 
@@ -208,14 +212,18 @@ def _grouped(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[obj
     """Rows with equal values of a column that they are sorted by."""
     key, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            (row,) = batch.slice(k, 1).to_pylist()
             if rows and row[name] != key:
                 yield key, rows
                 rows = []
+                release()
             key = row[name]
             rows.append(row)
     if rows:
         yield key, rows
+    del rows
+    release()
 
 
 def _dealt(df: DataFrame, run: Callable, schema: str, by: str, then: tuple[str, ...] = ()) -> DataFrame:
@@ -244,6 +252,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 h = np.unique(fragments(data, offs, length)[0])
                 out = [(b, (h[rows] >> np.uint64(32)).astype(np.uint32)) for b, rows in _split((h % np.uint64(buckets)).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([row["piece"]] * len(out), pa.string()), pa.array([_pack(np.unique(x)) for _, x in out], pa.binary())], names=["bucket", "piece", "blob"])
+        release()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, rows in _grouped(batches, "bucket"):
@@ -271,7 +280,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             if not len(some):
                 continue
             h, first, count, own = h[some], first[some], count[some], own[some]
-            lead = _leaders(distinct(data, first, count + length - 1, h), own)
+            lead = _leaders(distinct(data, first, count + length - 1), own)
             rest = ~lead
             if rest.any():
                 yield pa.RecordBatch.from_arrays([pa.array([int(own[0]) % buckets], pa.int64()), pa.array([piece]), pa.array([1], pa.int32()), pa.array([_pack(first[rest], count[rest] + length - 1)], pa.binary())], names=names)
@@ -294,18 +303,34 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
                 size = count + length - 1
                 at = np.cumsum(size) - size
-                string = np.repeat(at - np.cumsum(count) + count, count) + np.arange(count.sum())
-                frag = np.repeat(np.arange(len(count)), count)
+                # equal fragments are one: its smallest id decides for the others, and each of its places gets its runs
+                group = distinct(data, at, size)
+                low = np.full(group.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(low, group, own)
+                lead = own == low[group]
+                by = np.argsort(group, kind="stable")
+                by = by[lead[by]]
+                begin = np.searchsorted(group[by], np.arange(len(low) + 1))
+                rep = by[begin[:-1]]
+                n = count[rep]
+                string = np.repeat(at[rep] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                frag = np.repeat(np.arange(len(rep)), n)
                 order, cls = classes(data, string, length)
                 gone = np.zeros(len(string), bool)
                 if len(order):
-                    ids = own[frag[order]]
-                    low = np.minimum.reduceat(ids, np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))))
-                    gone[order] = ids > low[cls]
-                a, b = spans(gone, np.concatenate(([0], np.cumsum(count))))
-                start = first[frag[a]] + string[a] - at[frag[a]]
-                for p, r in _split(of[frag[a]]):
-                    out.append((names[p], _pack(start[r], (b - a)[r] + length - 1)))
+                    ids = low[frag[order]]
+                    least = np.minimum.reduceat(ids, np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))))
+                    gone[order] = ids > least[cls]
+                a, b = spans(gone, np.concatenate(([0], np.cumsum(n))))
+                places = np.diff(begin)[frag[a]]
+                run = np.repeat(np.arange(len(a)), places)
+                row = by[np.repeat(begin[frag[a]] - np.cumsum(places) + places, places) + np.arange(places.sum())]
+                rest = np.flatnonzero(~lead)
+                row = np.concatenate((row, rest))
+                start = first[row] + np.concatenate(((string[a] - at[rep[frag[a]]])[run], np.zeros(len(rest), np.int64)))
+                span = np.concatenate((b - a, count[rest]))[np.concatenate((run, len(a) + np.arange(len(rest))))] + length - 1
+                for p, r in _split(of[row]):
+                    out.append((names[p], _pack(start[r], span[r])))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["piece", "blob"])
 
     dealt = corpus.select("piece", "blob").mapInArrow(hashes, "bucket long, piece string, blob binary")
