@@ -240,7 +240,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     chosen = rows.where(aside).select("i", F.xxhash64("i", "t").alias("h"), "t", "l")
     limit = chosen.orderBy("h").select("i", "h").limit(most_calibrating)
     some = chosen.join(F.broadcast(limit), ["i", "h"], "left_semi").select("t", "l").mapInArrow(costs, "l string, ce array<double>, n double").toPandas()
-    calibrate(model, np.array(some.ce.tolist(), float).reshape(len(some), -1), some.n.to_numpy(), some.l.tolist())
+    calibrate(model, np.array(some.ce.tolist(), float).reshape(len(some), len(model.languages)), some.n.to_numpy(), some.l.tolist())
     return model
 
 

@@ -38,14 +38,15 @@ from .common import flat, partitions, pieces, release, spans, written
 
 #: Bytes of a string and of an anchor; bytes of a piece of the corpus; text bytes for each bucket of anchors; entries that a construction keeps in memory.
 LENGTH, ANCHOR, PIECE, BUCKET, IN_MEMORY = 50, 16, 2_000_000, 5_000_000, 4_000_000
-#: Bits of a place in a packed hash.
+#: Level of compression of what is dealt, bits of a place in a packed hash.
+LEVEL = 6
 _PLACE = 28
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.num, len(a)))], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 _KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.int32, np.uint32, np.int64, np.uint64)}
@@ -62,6 +63,17 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest of three kinds."""
+    return next((x.astype(k) for k in (np.uint8, np.int32) if not len(x) or (x.min() >= np.iinfo(k).min and x.max() <= np.iinfo(k).max)), x)
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> bytes:
+    """Places in order, as differences, and sizes."""
+    order = np.argsort(start, kind="stable")
+    return _pack(_small(np.diff(start[order], prepend=0)), _small(size[order]))
+
+
 def fragments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings with the same anchor: hash of the anchor, place of the first string, number of strings."""
     n, width = len(data), length - anchor + 1
@@ -111,8 +123,8 @@ def _scratch(n: int, kind: type, in_memory: int) -> np.ndarray:
 
 def classes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, in_memory: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """Strings that equal another, in order, and the class of each (from 0, rising): columns are inserted from the last to the first."""
-    pair = text.astype(np.uint16)
-    pair[:-1] |= text[1:].astype(np.uint16) << 8
+    pair = text.astype(np.uint16) << 8
+    pair[:-1] |= text[1:]
     n = len(starts)
     order, of = np.arange(n, dtype=np.int64), np.zeros(n, np.int64)
     columns = [*range(length - 2, -1, -2)] + ([-1] if length % 2 else [])
@@ -283,9 +295,9 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             lead = _leaders(distinct(data, first, count + length - 1), own)
             rest = ~lead
             if rest.any():
-                yield pa.RecordBatch.from_arrays([pa.array([int(own[0]) % buckets], pa.int64()), pa.array([piece]), pa.array([1], pa.int32()), pa.array([_pack(first[rest], count[rest] + length - 1)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([int(own[0]) % buckets], pa.int64()), pa.array([piece]), pa.array([1], pa.int32()), pa.array([_runs(first[rest], count[rest] + length - 1)], pa.binary())], names=names)
             h, first, count, own = h[lead], first[lead], count[lead], own[lead]
-            out = [(b, _pack(own[r], first[r].astype(np.int32) if len(data) < 2**31 else first[r], count[r].astype(np.int32), _gather(data, first[r], count[r] + length - 1))) for b, r in _split((h % np.uint64(buckets)).astype(np.int64))]
+            out = [(b, _pack(np.diff(own[r], prepend=0), _small(np.diff(first[r], prepend=0)), _small(count[r]), _gather(data, first[r], count[r] + length - 1))) for b, r in _split((h % np.uint64(buckets)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([piece] * len(out)), pa.array([0] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=names)
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +310,8 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                     names.append(r["piece"])
                     parts.append(_unpack(r["blob"]))
             if parts:
-                own, first, count = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
+                own, first = (np.concatenate([np.cumsum(p[k], dtype=np.int64) for p in parts]) for k in range(2))
+                count = np.concatenate([p[2] for p in parts]).astype(np.int64)
                 data = np.concatenate([p[3] for p in parts])
                 of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
                 size = count + length - 1
@@ -330,7 +343,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 start = first[row] + np.concatenate(((string[a] - at[rep[frag[a]]])[run], np.zeros(len(rest), np.int64)))
                 span = np.concatenate((b - a, count[rest]))[np.concatenate((run, len(a) + np.arange(len(rest))))] + length - 1
                 for p, r in _split(of[row]):
-                    out.append((names[p], _pack(start[r], span[r])))
+                    out.append((names[p], _runs(start[r], span[r])))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["piece", "blob"])
 
     dealt = corpus.select("piece", "blob").mapInArrow(hashes, "bucket long, piece string, blob binary")
@@ -350,7 +363,8 @@ def _kept(corpus: DataFrame, gone: DataFrame, run: Callable, schema: str) -> Dat
             cover = np.zeros(len(data) + 1, np.int64)
             for r in rows:
                 if not r["whole"]:
-                    start, size = _unpack(r["blob"])
+                    start, size = (x.astype(np.int64) for x in _unpack(r["blob"]))
+                    start = np.cumsum(start)
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + size, -1)
             yield run(ids, null.astype(bool), offs, data, np.cumsum(cover[:-1]) > 0)

@@ -1,0 +1,448 @@
+"""Each operator against brute force on small tables, and its edge cases: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tessera.llm import common, decontaminate, fingerprints, language, lines, pieces, quality, shards, simhash, substrings, urls
+
+DOCS = "doc_id long, text string"
+
+
+def ascii_lower(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
+
+
+def some_docs(seed=0, n=60):
+    """Short prose with copies, near copies, shared passages, nulls, empty texts and repeated rows."""
+    rng = random.Random(seed)
+    words = ["the", "of", "andré", "straße", "ration", "Erwin", "x1", "niño", "late", "in", "over", "mill", "12", "wind"]
+    texts = []
+    shared = " ".join(rng.choice(words) for _ in range(40))
+    for _ in range(n):
+        t = " ".join(rng.choice(words) for _ in range(rng.randrange(5, 90)))
+        kind = rng.randrange(6)
+        if kind == 0 and texts:
+            t = rng.choice(texts)
+        elif kind == 1 and texts:
+            t = rng.choice(texts).replace("late", "LATE", 1) + "!"
+        elif kind == 2:
+            t = f"{t[:50]}\n{shared}\n{t[50:]}"
+        texts.append(t)
+    texts += [None, "", "   \n\t", "a" * 5000, "é" * 60]
+    rows = list(enumerate(texts))
+    return [*rows, rows[3], (None, "no id " * 20), (n + 20, shared * 30)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(some_docs(), DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def by_str(rows):
+    return sorted(map(tuple, rows), key=str)
+
+
+# ---- language
+
+
+def test_language_is_learnt_and_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = language.predicted(d).join(d.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_probabilities_sum_to_one():
+    """The model's next-character probabilities over its alphabet sum to at most 1, and to nearly 1 with the floor's share."""
+    words = [" abba ", " abc ", " baba ", " cab "]
+    grams, counts = language._counts(words, np.array([3, 1, 2, 1]))
+    m = language.build({"x": (grams, counts)})
+    alphabet = "abc "
+    for history in (" ", " a", " ab", " ba"):
+        p = []
+        for c in alphabet:
+            whole, part = m.costs([history + c])[0][0, 0], m.costs([history])[0][0, 0]
+            p.append(2 ** (part - whole))
+        assert 0.9 < sum(p) <= 1.0001
+
+
+def test_language_edges(spark, none):
+    d = spark.createDataFrame([(k, "der die das und nicht wir sind " * 3, "de") for k in range(30)] + [(k, "the and of we are not with " * 3, "en") for k in range(30, 60)] + [(60, None, "de"), (61, "123 !!", "en"), (62, "und " * 40_000, None), (63, "", "")], "doc_id long, text string, lang string")
+    r = {x.doc_id: x for x in language.predicted(d).collect()}
+    assert (r[60].lang_pred, r[61].lang_pred, r[63].lang_pred) == ("und",) * 3
+    assert r[60].score == 0
+    assert r[62].lang_pred == "de"
+    assert language.predicted(none.withColumn("lang", F.lit("x"))).count() == 0
+    model = language.fit(d)
+    model.limits = np.array([0.0] * len(model.languages))
+    assert {x.lang_pred for x in language.identify(d, model).collect()} == {"und"}
+
+
+# ---- substrings
+
+
+def brute_removed(rows):
+    low = {}
+    rows = [(-(2**63) if i is None else i, (t or "").encode(), i) for i, t in rows]
+    for i, t, _ in rows:
+        for k in range(len(t) - 49):
+            low[t[k : k + 50]] = min(low.get(t[k : k + 50], i), i)
+    out = []
+    for i, t, own in rows:
+        m = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if low[t[k : k + 50]] < i:
+                m[k : k + 50] = True
+        out.append((own, len(t), int(m.sum()), int((np.diff(np.concatenate(([0], m.astype(int)))) == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~m].tobytes()).hexdigest()))
+    return by_str(out)
+
+
+@pytest.mark.parametrize("bucket", [substrings.BUCKET, 2000])
+def test_substrings_equal_brute_force(docs, bucket):
+    assert by_str(substrings.report(docs, bucket=bucket).collect()) == brute_removed([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_substrings_empty(none):
+    assert substrings.report(none).count() == 0
+
+
+@pytest.mark.parametrize("in_memory", [10_000, 64])
+@pytest.mark.parametrize("length", [4, 7])
+def test_column_insertion_equals_sorting(in_memory, length):
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 100, 500).astype(np.uint8)
+    starts = rng.integers(0, 500 - length, 300)
+    order, cls = substrings.classes(text, starts, length, in_memory)
+    strings = [text[s : s + length].tobytes() for s in starts]
+    many = {s for s in strings if strings.count(s) > 1}
+    assert sorted(order.tolist()) == [k for k, s in enumerate(strings) if s in many]
+    names = sorted(many)
+    assert [names[c] for c in cls] == [strings[k] for k in order]
+
+
+# ---- pieces
+
+
+def test_pieces_agree_with_the_library_and_come_back(docs):
+    sp = pieces.processor(open(pieces.MODEL, "rb").read())
+    rows = pieces.decode(pieces.encode(docs)).collect()
+    for r in rows:
+        assert list(r.pieces) == sp.encode(r.text or "")
+        assert r.parity
+        assert r.decoded == sp.decode(sp.encode(r.text or ""))
+    assert all(r.round_trip for r in pieces.digests(docs).collect())
+
+
+def test_pieces_odd_texts():
+    c = pieces.Codec(open(pieces.MODEL, "rb").read())
+    sp = pieces.processor(c.raw)
+    texts = ["", " ", "  a  b ", "\0 x\0", "▁▁a ▁", "日本語 テスト 🎉", "\n\n\ta\n", "<s> hi </s> <0x41>", "a" * 3000, None, "é" * 50 + " " * 70]
+    ids, bounds = c.encode(texts)
+    for t, a, b in zip(texts, bounds, bounds[1:], strict=False):
+        assert ids[a:b].tolist() == sp.encode(t or "")
+        assert c.decode(ids[a:b].tolist()) == sp.decode(ids[a:b].tolist())
+
+
+def test_unigram_models_are_rebuilt(spark):
+    """A tiny unigram model in wire format: the best segmentation by scores."""
+    import struct
+
+    def field(n, wire, raw):
+        return bytes([n << 3 | wire]) + raw
+
+    def text(n, raw):
+        return field(n, 2, bytes([len(raw)]) + raw)
+
+    def piece(p, score, kind=1):
+        return text(1, text(1, p.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+
+    raw = piece("<unk>", 0, 2) + piece("▁a", -1.0) + piece("b", -1.5) + piece("▁", -3.0) + piece("a", -2.0) + piece("ab", -1.2) + text(2, field(3, 0, b"\x01")) + text(3, field(3, 0, b"\x01"))
+    c = pieces.Codec(raw)
+    names = [p for p, _, _ in c.model.pieces]
+    ids, _ = c.encode(["ab b"])
+    assert [names[i] for i in ids] == ["▁a", "b", "▁", "b"]
+
+
+# ---- simhash
+
+
+def brute_classes(rows):
+    marks = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t))
+        grams = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        marks.append((i, sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))))
+    root = list(range(len(marks)))
+    for a in range(len(marks)):
+        for b in range(a):
+            if (marks[a][1] ^ marks[b][1]).bit_count() <= 4:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    low = {}
+    for k, (i, _) in enumerate(marks):
+        low[root[k]] = min((v for v in (low.get(root[k]), i) if v is not None), default=None)
+    return by_str((i, f"{fp:016x}", low[root[k]]) for k, (i, fp) in enumerate(marks))
+
+
+@pytest.mark.parametrize("scan", [simhash.SCAN, 1])
+def test_simhash_equals_brute_force(docs, scan, monkeypatch):
+    monkeypatch.setattr(simhash, "SCAN", scan)
+    assert by_str(simhash.near_duplicates(docs).collect()) == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_chains_of_links_are_followed(spark):
+    """Fingerprints in a chain, each four bits from the next, are one class."""
+    fps, x = [], 0
+    for k in range(16):
+        fps.append(x - (1 << 64) if x >> 63 else x)
+        x ^= 0xF << (4 * k)
+    nodes = spark.createDataFrame([(fp, 100 - k) for k, fp in enumerate(fps)], "fp long, rep long")
+    got = {r.node: r.component for r in simhash.components(simhash.links(nodes)).collect()}
+    assert got == {100 - k: 85 for k in range(16)}
+
+
+def test_one_of_each_class_stays(docs, none):
+    wide = docs.withColumn("component_id", F.lit(1)).withColumn("fp", F.lit(2))
+    out = simhash.representatives(wide)
+    assert out.columns == wide.columns
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert {r.doc_id for r in out.collect()} == {i for i, c in classes.items() if i is None or i == c}
+    assert simhash.near_duplicates(none).count() == 0
+
+
+# ---- urls
+
+
+def brute_verdict(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else None
+    host = ascii_lower(re.match("[^/?#]*", rest)[0]) if rest is not None else ""
+    path = re.match("[^?#]*", rest[len(host) :])[0] if rest is not None else ""
+    fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, max(fits)[1], max(fits)[2]) if fits else (host, path, None, "allow")
+
+
+URLS = ["http://A.Example.ORG/es/x?y", "x://com", "x://a.b.com/fr/?q", "nope", None, "://", "http://EXAMPLE.org/en/1#", "http://notexample.org/es/", "http://" + "a." * 3000 + "org/", "s://com/de/", "s://com/de", "s://org?x/", "É://É.ORG/", "a://b://org/", ""]
+
+
+@pytest.mark.parametrize("most", [urls.MOST_BROADCAST, 0])
+def test_urls_equal_brute_force(spark, most):
+    pages = spark.createDataFrame(list(enumerate([*URLS, URLS[0]])), "page_id long, url string").withColumn("verdict", F.lit("old")).withColumn("_best", F.lit(1))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages.drop("_best"), most_broadcast=most).collect()}
+    assert got == {k: brute_verdict(u) for k, u in enumerate([*URLS, URLS[0]])}
+
+
+def test_colliding_digests_are_told_apart():
+    a = urls.DigestArray([("block", "evil.com", "/"), ("allow", "good.com", "/")])
+    a.arrays[0][:] = xxhash.xxh64_intdigest("good.com/")  # both under one digest
+    at = a.mapped().probe(["good.com/", "bad.com/"])
+    raw = a.arrays[2].tobytes()
+    assert raw[a.arrays[1][at[0]] : a.arrays[1][at[0] + 1]] == b"good.com/"
+    assert at[1] == -1
+
+
+def test_no_rules(spark):
+    assert urls.verdicts(spark.createDataFrame([(1, "a://b.org/")], "page_id long, url string"), rules=[]).first().verdict == "allow"
+
+
+# ---- lines
+
+
+def test_lines_follow_templates(spark):
+    base = "the service took 12 ms to answer the last request of the day"
+    d = spark.createDataFrame([(k, f"own text number {'abcdefghij'[k]} only\n{base.replace('12', str(k))}\nshort {k}") for k in range(7)] + [(7, None), (8, ""), (None, base), (20, "x" * 40_000 + "1\n" + base)], DOCS).withColumn("gone", F.lit("kept"))
+    got = {r.doc_id: r for r in lines.dedup(d).collect()}
+    assert got[None].text == base  # no id: first
+    assert got[0].text == "own text number a only\nshort 0"
+    assert got[7].text is None
+    assert got[8].text == ""
+    assert got[20].text == "x" * 40_000 + "1"
+    assert got[3].gone == "kept"
+
+
+def test_a_varying_quarter_is_one_field(spark):
+    words = "we met at the old mill near the river on a cold day in may again".split()
+    rows = []
+    for k in range(6):
+        w = list(words)
+        w[4] = f"{'abcdef'[k]}word"
+        rows.append((k, " ".join(w)))
+    assert [r.n_dropped for r in lines.report(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()] == [0, 1, 1, 1, 1, 1]
+
+
+def test_lines_plan_is_native(spark, docs, none):
+    plan = lines.report(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    assert lines.report(none).count() == 0
+
+
+# ---- fingerprints
+
+
+def test_fingerprints_equal_brute_force(docs, none):
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        half = len(t) // 2
+        e = t[: len(t) - half] + following[:half]
+        a, b, c = (fingerprints.sketches([x]) for x in (t, e, following))
+        common_start = next((n for n in range(min(len(t), len(e))) if t[n] != e[n]), min(len(t), len(e)))
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.printed(a)[0], fingerprints.printed(b)[0], float(fingerprints.likeness(a, b)[0]), float(fingerprints.likeness(a, c)[0]), common_start))
+    assert by_str(fingerprints.compared(docs).collect()) == by_str(want)
+    assert fingerprints.compared(none).count() == 0
+
+
+def test_span_equality_and_extensions():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 3, 400), rng.integers(0, 3, 300)
+    b[50:150] = a[200:300]
+    pa, pb = fingerprints.Prefixes(a), fingerprints.Prefixes(b)
+    for i, j in [(200, 50), (230, 80), (0, 0), (399, 299), (10, 20)]:
+        n = 0
+        while i + n < 400 and j + n < 300 and a[i + n] == b[j + n]:
+            n += 1
+        assert pa.extension(i, pb, j) == n
+        assert (pa.spans(np.array([i]), min(5, 400 - i, 300 - j)) == pb.spans(np.array([j]), min(5, 400 - i, 300 - j)))[0] == (a[i : i + min(5, 400 - i, 300 - j)] == b[j : j + min(5, 400 - i, 300 - j)]).all()
+
+
+def test_blocks_do_not_change_a_sketch(monkeypatch):
+    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(5000))
+    whole = fingerprints.sketches([text, "x", "", text])
+    monkeypatch.setattr(fingerprints, "BLOCK", 37)
+    assert (fingerprints.sketches([text, "x", "", text]) == whole).all()
+    assert (whole[0] == whole[3]).all()
+
+
+def test_one_document_follows_itself(spark):
+    r = fingerprints.compared(spark.createDataFrame([(5, "abcdef")], DOCS)).first()
+    assert r.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
+
+
+# ---- shards
+
+
+def test_shards_keep_every_row_and_versions(spark, docs, none, tmp_path):
+    store = shards.Store(spark, str(tmp_path / "s"), target=40_000)
+    for k in range(6):
+        store.append(docs.where(F.coalesce(F.col("doc_id"), F.lit(0)) % 6 == k), rows=5)
+    before = store.manifest()
+    after = store.compact()
+    assert len(after["files"]) < len(before["files"])
+    assert by_str(store.read().collect()) == by_str(docs.collect()) == by_str(store.read(before["version"]).collect())
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.commit(before, [], None)
+    assert store.vacuum() > 0
+    assert by_str(store.read().collect()) == by_str(docs.collect())
+    assert shards.listing(none).count() == 0
+
+
+def test_shards_run_no_python(spark, docs):
+    assert not re.search("Python|Pandas|Arrow", shards.listing(docs)._jdf.queryExecution().toString())
+
+
+# ---- quality
+
+
+def test_quality_ranks_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.rated(d, labels).join(labels, "doc_id").where("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
+    good, bad = [r.score for r in got if r.quality == 1], [r.score for r in got if r.quality == 0]
+    assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) >= 0.98 * len(good) * len(bad)
+    assert sum(r.predicted == r.quality for r in got) >= 0.97 * len(got)
+
+
+def test_quality_edges(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    out = quality.rated(docs, labels).collect()
+    assert len(out) == docs.count()
+    assert all(r.predicted == 1 and abs(r.score - 0.5) < 1e-9 for r in out)
+    wide = docs.withColumn("score", F.lit("mine")).withColumn("held_out", F.lit(3))
+    assert quality.accepted(wide, labels).columns == wide.columns
+    assert quality.rated(none, labels).count() == 0
+
+
+# ---- decontamination
+
+
+def brute_hits(docs, bench, window=10):
+    wanted = {}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for item, text in bench:
+        w = word.findall(ascii_lower(text))
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if n and item is not None else 0):
+            wanted.setdefault(tuple(w[k : k + n]), set()).add(str(item))
+    out = []
+    for i, text in docs:
+        w = word.findall(ascii_lower(text))
+        hit, items = set(), set()
+        for n in {len(x) for x in wanted}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in wanted:
+                    hit.update(range(k, k + n))
+                    items |= wanted[tuple(w[k : k + n])]
+        out.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+    return by_str(out)
+
+
+@pytest.fixture(scope="module")
+def bench(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text and r.doc_id is not None]
+    items = [(100 + k, " ".join(t.split()[2 : 2 + n])) for k, ((_, t), n) in enumerate(zip(rows, [3, 8, 10, 11, 25, 40, 1, 12] * 20, strict=False)) if k % 3 == 0]
+    return spark.createDataFrame([*items, items[0], (7, None), (8, "!!"), (None, "over the wind"), (9, "ZZ top")], "item_id long, text string")
+
+
+@pytest.mark.parametrize("chars", [decontaminate.BLOCK_CHARS, 200])
+def test_hits_equal_brute_force(docs, bench, chars):
+    want = brute_hits([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+    assert by_str(decontaminate.annotate(docs, bench, block_chars=chars).collect()) == want
+    assert sum(r[5] for r in want) > 5
+
+
+def test_cleaning_cuts_spans(spark, none):
+    b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "Before. One two, three four five six seven eight nine ten! after"), (2, "one two three"), (3, None), (4, "")], DOCS).withColumn("spans", F.lit("mine")).withColumn("TEXTS", F.lit(1))
+    out = decontaminate.clean(d, b)
+    assert out.columns == d.columns
+    assert [r.text for r in out.orderBy("doc_id").collect()] == ["Before. ! after", "one two three", None, ""]
+    assert decontaminate.annotate(none, b).count() == 0
+    assert decontaminate.annotate(d, b.limit(0)).where("contaminated").count() == 0
+
+
+def test_index_finds_all_occurrences():
+    rng = np.random.default_rng(3)
+    s = np.concatenate((rng.integers(1, 5, 300), [0]))
+    index = decontaminate.FMIndex(s, 4, sample=5)
+    patterns = rng.integers(1, 5, (40, 3))
+    low, high = index.search(patterns)
+    for p, a, b in zip(patterns, low, high, strict=True):
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == [k for k in range(298) if (s[k : k + 3] == p).all()]
+
+
+# ---- shared helpers
+
+
+def test_any_names_may_stand_beside_each_other(spark):
+    df = spark.createDataFrame([(1, "a", 2)], ["doc_id", "text", "a.b c"]).withColumn("score", F.lit(9))
+    out = common.extend(df, lambda batches: ((b, [b.column("doc_id")]) for b in batches), [("score", df.schema["doc_id"].dataType)])
+    assert out.columns == ["doc_id", "text", "a.b c", "score"]
+    assert tuple(out.first()) == (1, "a", 2, 1)
