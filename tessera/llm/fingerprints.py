@@ -142,9 +142,17 @@ def _dealt(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     ids = rows.select("i")
     edges = ids.where("i is not null").stat.approxQuantile("i", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
     edges = sorted({int(e) for e in edges})
-    bound = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(bound, lambda e: e < F.col("i"))), F.lit(0))  # a part holds ids up to its edge
-    firsts = ids.select(part.alias("part"), "i").groupBy("part").agg(F.min("i").alias("low"), F.count(F.when(F.col("i").isNull(), 1)).alias("nulls")).orderBy("part").collect()
+    cuts = np.array(edges, np.int64)
+
+    def part_of(i: pa.Array) -> pa.Array:
+        """A part holds ids up to its edge; rows without an id are in the first."""
+        return pa.array(np.where(i.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, i.fill_null(0).to_numpy(), "left")).astype(np.int32))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([part_of(batch.column("i")), batch.column("i")], names=["part", "i"])
+
+    firsts = ids.mapInArrow(parts, "part int, i long").groupBy("part").agg(F.min("i").alias("low"), F.count(F.when(F.col("i").isNull(), 1)).alias("nulls")).orderBy("part").collect()
     have = [r.part for r in firsts]
     before = {r.part: have[k - 1] for k, r in enumerate(firsts)}  # the first part's first row follows the last part's last
     low = {r.part: None if r.nulls else r.low for r in firsts}
@@ -154,7 +162,7 @@ def _dealt(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, "t"):
                 out: list[list] = [[], [], [], [], []]
-                for p, i, t in zip(*(piece.column(c).to_pylist() for c in ("part", "i", "t")), strict=True):
+                for p, i, t in zip(part_of(piece.column("i")).to_pylist(), *(piece.column(c).to_pylist() for c in ("i", "t")), strict=True):
                     raw = (t or "").encode()
                     tie, packed = hashlib.md5(raw).digest(), press.compress(raw)
                     for to, last in ((p, 0), *(((before[p], 1),) if i == low[p] else ())):
@@ -162,7 +170,7 @@ def _dealt(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["part", "last", "i", "tie", "packed"])
 
-    packed = rows.select(part.alias("part"), "i", "t").mapInArrow(pack, "part int, last int, i long, tie binary, packed binary")
+    packed = rows.mapInArrow(pack, "part int, last int, i long, tie binary, packed binary")
     return packed.repartition(tasks, "part").sortWithinPartitions("part", "last", F.col("i").asc_nulls_first(), "tie").select("part", "last", "i", "packed")
 
 
