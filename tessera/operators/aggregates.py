@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .materialise import cut
+
 
 def weighted_mode(df: DataFrame, by: list[str], value: str, weight: Column, tie: Column) -> DataFrame:
     """The value with the most weight in each group; the smaller tie column wins."""
@@ -43,10 +45,10 @@ def assign(df: DataFrame, left: str, right: str, support: str, rounds: int = 100
     order = [F.col(support).desc(), F.col(left), F.col(right)]
     for _ in range(rounds):
         ranked = rest.select("*", F.row_number().over(Window.partitionBy(left).orderBy(*order)).alias("_l"), F.row_number().over(Window.partitionBy(right).orderBy(*order)).alias("_r"))
-        taken = ranked.where("_l = 1 and _r = 1").drop("_l", "_r")
+        taken = cut(ranked.where("_l = 1 and _r = 1").drop("_l", "_r"))
         out = taken if out is None else out.unionByName(taken)
         left_over = rest.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti")
-        rest = left_over.persist()
+        rest = cut(left_over)
         if rest.isEmpty():
             return out
     raise RuntimeError("assignment did not end")
