@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], ties: list[str], forward: bool = False, prefix: str = "prev_") -> DataFrame:
-    """Each left row with the values of the last right row before it (or the next after it) in its group. Equal `on` values do not match.
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], ties: list[str], forward: bool = False, prefix: str = "prev_", cell: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each left row with the values of the last right row before it (or the next after it) in its group. Equal `on` values do not match; `ties` makes the order of rows unique.
 
-    One shuffle: both sides are unioned and carried along an ordered window. `ties` makes the order of rows unique.
+    Both sides are unioned and carried along an ordered window. With `cell`, a monotone function of `on` (a day, say), windows
+    span one cell of a group only, and what comes from other cells is carried over a summary with a row a cell: a group
+    of any share of the rows is spread over its cells.
     """
+    cells = [] if cell is None else ["_cell"]
     both = left.select(*left.columns, F.lit(False).alias("_r"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values]).unionByName(
         right.select(*by, on, F.lit(True).alias("_r"), *[F.col(v).alias(f"_{v}") for v in values], *[F.col(t) for t in ties if t not in (*by, on)]), allowMissingColumns=True
     )
+    if cell is not None:
+        both = both.withColumn("_cell", cell(F.col(on)))
     order = [F.col(on).desc() if forward else F.col(on)]
-    span = Window.partitionBy(*by).orderBy(*order, F.col("_r"), *ties).rowsBetween(Window.unboundedPreceding, -1)
+    span = Window.partitionBy(*by, *cells).orderBy(*order, F.col("_r"), *ties).rowsBetween(Window.unboundedPreceding, -1)
     packed = F.when(F.col("_r"), F.struct(F.col(on).alias("at"), *[F.col(f"_{v}").alias(v) for v in values]))
     found = both.withColumn("_m", F.last(packed, ignorenulls=True).over(span)).where(~F.col("_r"))
+    if cell is not None:
+        # the last right row of a cell in that order: latest, or earliest when looking forward, and of equal times the last tie
+        place = F.struct(on, *ties)
+        rows = right.withColumn("_cell", cell(F.col(on)))
+        if forward:
+            first = rows.groupBy(*by, "_cell").agg(F.min(on).alias("_t"))
+            rows = rows.join(first, [*by, "_cell"]).where(F.col(on) == F.col("_t"))
+        last = rows.groupBy(*by, "_cell").agg(F.max_by(F.struct(F.col(on).alias("at"), *values), place).alias("_best"))
+        marks = last.unionByName(left.select(*by, cell(F.col(on)).alias("_cell")).distinct(), allowMissingColumns=True).groupBy(*by, "_cell").agg(F.first("_best", ignorenulls=True).alias("_best"))
+        along = Window.partitionBy(*by).orderBy(F.col("_cell").desc() if forward else F.col("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = marks.select(*by, "_cell", F.last("_best", ignorenulls=True).over(along).alias("_carried"))
+        found = found.join(carried, [*by, "_cell"], "left").withColumn("_m", F.coalesce("_m", "_carried"))
     return found.select(*left.columns, F.col("_m.at").alias(f"{prefix}{on}"), *[F.col(f"_m.{v}").alias(f"{prefix}{v}") for v in values])
 
 

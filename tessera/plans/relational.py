@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, joins, quality, records, windows
+from ..operators import aggregates, joins, layout, quality, records, windows
 from ..sources.tables import table
 from .registry import query
 
@@ -118,6 +118,11 @@ def source_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.min("n_chars").alias("least"), F.median("n_chars").alias("middle"), F.round(F.avg("n_chars"), 6).alias("mean"))
 
 
+def _day(ts: Column) -> Column:
+    """Cells of as-of joins."""
+    return F.to_date(ts)
+
+
 @query("""
 SELECT event_id, user_id, ts, prev_ts, prev_value FROM (
   SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN ts END IGNORE NULLS) OVER w AS prev_ts, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER w AS prev_value
@@ -127,7 +132,7 @@ WHERE event_type = 'click'
 def last_purchase_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of join backward: the last purchase before each click."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    return joins.asof(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'"), ["user_id"], "ts", ["value"], ["event_id"])
+    return joins.asof(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'"), ["user_id"], "ts", ["value"], ["event_id"], cell=_day)
 
 
 @query("""
@@ -137,7 +142,7 @@ FROM events c LEFT JOIN events p ON p.user_id = c.user_id AND p.event_type = 'pu
 def next_purchase_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of join forward."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    return joins.asof(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'"), ["user_id"], "ts", ["value"], ["event_id"], forward=True, prefix="next_")
+    return joins.asof(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'"), ["user_id"], "ts", ["value"], ["event_id"], forward=True, prefix="next_", cell=_day)
 
 
 @query("""
@@ -366,6 +371,18 @@ def twin_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.shares(e, ["g"], "name", 2 / 3, 3)
 
 
+@query(r"""
+WITH l AS (SELECT lang AS font, 10.0 + 8 * (doc_id % 2) AS size, doc_id AS page, unnest(string_split(text, chr(10))) AS text FROM documents),
+w AS (SELECT font, round(exp(round(ln(size) / ln(1.04)) * ln(1.04)), 1) AS size, page, text, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM l)
+SELECT font, CAST(size AS DOUBLE) AS size, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT page) AS pages, count(*) AS lines, CAST(sum(len(ws)) AS BIGINT) AS words, CAST(sum(len(list_filter(ws, lambda x: regexp_matches(x, '^[a-h1-8]$')))) AS BIGINT) AS coordinates
+FROM w GROUP BY font, size
+""")
+def line_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Font profiles of all lines of documents, with the language as the font."""
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("font"), (10.0 + 8 * (F.col("doc_id") % 2)).alias("size"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    return layout.font_profiles(d).select("font", "size", "chars", "pages", "lines", "words", "coordinates")
+
+
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 40")
 def hot_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top forty groups: a top-k report."""
