@@ -179,3 +179,14 @@ def diagrams(lines: DataFrame, page: str, order: str, text: str) -> DataFrame:
     shaped = lines.withColumn("_board", F.col(text).rlike(r"^[pnbrqkPNBRQK.\-+*_ ·□■♔-♟]{8,15}$"))
     full = shaped.withColumns({"_rows": F.collect_list(text).over(ahead), "_ok": F.bool_and("_board").over(ahead)}).where(F.col("_ok") & (F.size("_rows") == 8))
     return full.select(page, order, board_of("_rows").alias("placement")).where("placement is not null")
+
+
+def suggestions(ends: DataFrame, printed: DataFrame, most_plies: int = 4, most_pages: int = 2) -> DataFrame:
+    """For each branch end (book, line, offset, page, ply: the next one) the next printed run of another line after it, 0 to 4 plies ahead and at most two pages on.
+
+    Runs are as-of joined by page cells: a branch end meets the runs of its own page and the next two only.
+    """
+    r = printed.select(F.col("book").alias("_b"), F.col("line").alias("_l"), F.col("offset").alias("_o"), F.col("page").alias("_p"), F.col("ply").alias("_y"), "moves")
+    reach = r.withColumn("_k", F.explode(F.sequence(F.col("_p") - most_pages, F.col("_p"))))
+    pairs = ends.join(reach, (F.col("book") == F.col("_b")) & (F.col("page") == F.col("_k"))).where((F.col("_o") > F.col("offset")) & (F.col("_l") != F.col("line")) & (F.col("_y") - F.col("ply")).between(0, most_plies))
+    return pairs.groupBy("book", "line").agg(F.min_by(F.struct(F.col("_l").alias("from_line"), F.col("_o").alias("at"), (F.col("_y") - F.col("ply")).alias("gap"), "moves"), "_o").alias("s")).select("book", "line", "s.*")
