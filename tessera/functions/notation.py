@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, field
 
 from . import notation_values as V
 
+#: Characters after which an open bracket counts as closed; the second for a square one before a space.
+EXPIRY, EXPIRY_SPACED = 600, 3000
 _DIGIT = "0-9lI|OoSsB"
 _RESULT = re.compile(r"(?:1-0|0-1|1/2-1/2|½-½|\*)(?=[ \n\r\xa0.,;)]|$)")
 _NUMBER = re.compile(rf"((?:[1-9lISsB][{_DIGIT}]{{0,2}}|[1-9lI] [{_DIGIT}](?= ?\.))) ?(\.(?: ?\. ?\.)?|…)", re.S)
@@ -119,13 +121,20 @@ def runs(tokens: list[Token], ahead: int = 1) -> list[Run]:
     """Runs of moves: a number that fits or is one ahead goes on, anything else closes; brackets give the depth."""
     out: list[Run] = []
     run: Run | None = None
-    ply, depth = 0, 0
-    for t in tokens:
+    ply, open_at = 0, []  # limits of the open brackets
+    for k, t in enumerate(tokens):
+        while open_at and t.start > open_at[-1]:  # a bracket that was never closed
+            open_at.pop()
+            run = None
+        depth = len(open_at)
         if t.kind == "other":
             if t.raw in "([{":
-                depth, run = depth + 1, None
+                spaced = t.raw == "[" and k + 1 < len(tokens) and tokens[k + 1].start > t.end
+                open_at.append(t.start + (EXPIRY_SPACED if spaced else EXPIRY))
+                run = None
             elif t.raw in ")]}":
-                depth, run = max(0, depth - 1), None
+                del open_at[-1:]
+                run = None
             else:
                 run = None
         elif t.kind == "result":

@@ -169,3 +169,26 @@ def find_diagram(rows: list[str]) -> str | None:
         out.append(re.sub(r"\.+", lambda m: str(len(m[0])), "".join(cells)))
     place = "/".join(out)
     return place if place.count("K") == 1 and place.count("k") == 1 and not re.search("[Pp]", out[0] + out[7]) else None
+
+
+def listing(line: Line) -> list[tuple[int, int, str]]:
+    """Place, depth and text of a line's moves, each variation right after the move that it replaces."""
+    children: dict[int | None, list[Node]] = {}
+    for n in line.nodes:
+        children.setdefault(n.parent, []).append(n)
+    out: list[tuple[int, int, str]] = []
+
+    def walk(parent: int | None, depth: int) -> None:
+        while kids := sorted(children.get(parent, []), key=lambda n: (not n.main, n.id)):
+            first, *rest = kids
+            show(first, depth)
+            for other in rest:
+                show(other, depth + 1)
+                walk(other.id, depth + 1)
+            parent = first.id
+
+    def show(n: Node, depth: int) -> None:
+        out.append((len(out), depth, f"{n.ply // 2 + 1}{'...' if n.ply % 2 else '.'} {n.san or '?'} {n.status}"))
+
+    walk(None, 0)
+    return out

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def smoothed_votes(groups: DataFrame, by: str, width: float, odds: float = 4.0, choices: str = "KQRBN") -> DataFrame:
@@ -70,3 +71,30 @@ def constrained_names(drawings: DataFrame, by: str) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in drawings.schema.fields}
     return drawings.groupBy(by).applyInPandas(book, f"{by} {kinds[by]}, group {kinds['group']}, name string")
+
+
+#: Gain from which a board is turned, overlap from which a rare drawing joins a group.
+TURN, OVERLAP = 12.0, 0.7
+
+
+def turned(squares: DataFrame, board: str) -> DataFrame:
+    """Boards whose squares read better turned around: squares with the log likelihoods `as_is` and `around`."""
+    return squares.groupBy(board).agg((F.sum("around") - F.sum("as_is")).alias("gain")).withColumn("turned", F.col("gain") > TURN)
+
+
+def attached(pairs: DataFrame, drawing: str, group: str, within: float) -> DataFrame:
+    """Rare drawings with the nearest group at less than twice the clustering distance and enough overlap. pairs: candidates with distance and iou."""
+    near = pairs.where((F.col("distance") < 2 * within) & (F.col("iou") > OVERLAP))
+    return near.groupBy(drawing).agg(F.min_by(group, F.struct("distance", group)).alias(group))
+
+
+def closeness(pairs: DataFrame, drawing: str) -> DataFrame:
+    """How near a drawing is to its own name against the nearest group of another: 0 equal, 1 far from it. pairs: drawing, name, own (its name), distance."""
+    agg = pairs.groupBy(drawing).agg(F.min(F.when(F.col("name") == F.col("own"), F.col("distance"))).alias("near"), F.min(F.when(F.col("name") != F.col("own"), F.col("distance"))).alias("other"))
+    return agg.withColumn("closeness", F.when(F.col("other").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("near") / F.col("other"))))
+
+
+def board_confidence(squares: DataFrame, board: str) -> DataFrame:
+    """A board is as sure as its least sure square, which is named."""
+    w = Window.partitionBy(board).orderBy("confidence", "square")
+    return squares.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(board, F.col("square").alias("weakest"), "confidence")

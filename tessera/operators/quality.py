@@ -37,3 +37,25 @@ def hot(df: DataFrame, by: str, most: int = 40) -> DataFrame:
 def first_breaks(df: DataFrame, line: str, order: Column, bad: Column) -> DataFrame:
     """The first bad row of each line."""
     return df.where(bad).groupBy(line).agg(F.min_by(F.struct(*[c for c in df.columns if c != line]), order).alias("first")).select(line, "first.*")
+
+
+def jumps(nodes: DataFrame, most: int = 1) -> DataFrame:
+    """Moves whose page is further from their parent's than it should be: a self join on the parent."""
+    up = nodes.select(F.col("id").alias("_id"), F.col("page").alias("_page"))
+    return nodes.join(up, F.col("parent") == F.col("_id")).where(F.abs(F.col("page") - F.col("_page")) > most).select(*nodes.columns, F.col("_page").alias("parent_page"))
+
+
+def scan(nodes: DataFrame, lines: DataFrame, diagrams: DataFrame, short: int = 12) -> dict[str, DataFrame]:
+    """Independent findings. nodes: id, line, parent, page, ply, main, status, san, raw; lines: id, chapter, kind, title; diagrams: id, page, status."""
+    main = nodes.where("main")
+    size = main.groupBy("line").agg(F.count("*").alias("moves"))
+    return {
+        "breaks": first_breaks(main.select("line", "id", "page", "ply", "status"), "line", F.struct("ply", "id"), F.col("status") != "ok"),
+        "silent": main.where("status = 'ok' and san is not null and lower(substring(san, -2, 2)) <> lower(substring(regexp_replace(raw, '[+#!?]+$', ''), -2, 2))").select("id", "page", "san", "raw"),
+        "jumps": jumps(nodes),
+        "diagrams": diagrams.groupBy("status").agg(F.count("*").alias("n")),
+        "unplaced": nodes.where("status in ('waiting', 'unattached', 'failed')").groupBy("status").agg(F.count("*").alias("n")),
+        "hot_pages": hot(nodes.where("status <> 'ok'"), "page"),
+        "short_games": lines.where("kind = 'game'").join(size, lines.id == size.line).where(F.col("moves") < short).select("id", "title", "moves"),
+        "chapters": lines.join(size, lines.id == size.line, "left").groupBy("chapter").agg(F.count("*").alias("lines"), F.sum(F.coalesce("moves", F.lit(0))).alias("moves")),
+    }

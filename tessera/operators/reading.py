@@ -190,3 +190,9 @@ def suggestions(ends: DataFrame, printed: DataFrame, most_plies: int = 4, most_p
     reach = r.withColumn("_k", F.explode(F.sequence(F.col("_p") - most_pages, F.col("_p"))))
     pairs = ends.join(reach, (F.col("book") == F.col("_b")) & (F.col("page") == F.col("_k"))).where((F.col("_o") > F.col("offset")) & (F.col("_l") != F.col("line")) & (F.col("_y") - F.col("ply")).between(0, most_plies))
     return pairs.groupBy("book", "line").agg(F.min_by(F.struct(F.col("_l").alias("from_line"), F.col("_o").alias("at"), (F.col("_y") - F.col("ply")).alias("gap"), "moves"), "_o").alias("s")).select("book", "line", "s.*")
+
+
+def listings(df: DataFrame, key: str, text: str, model: NoiseModel | None = None) -> DataFrame:
+    """Each text's lines as listings: line, place, depth and text, variations nested."""
+    shared = df.sparkSession.sparkContext.broadcast(model or NoiseModel())
+    return _each(df, key, text, lambda t: [(line.id, *row) for line in tree.assemble(t, Decoder(shared.value)) for row in tree.listing(line)], "line int, place int, depth int, shown string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, joins, layout, quality, records, windows
+from ..operators import aggregates, inference, joins, layout, quality, records, windows
 from ..sources.tables import table
 from .registry import query
 
@@ -443,3 +443,28 @@ def html_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     h, p = n("<h[1-6]"), n("<p[ >]")
     return table(spark, sf_dir, "pages").select("page_id", h.alias("headings"), p.alias("paragraphs"), n("<a ").alias("links"), F.when(h > 0, "heading").when(p > 0, "text").otherwise("blank").alias("role"))
+
+
+@query("""
+SELECT c.doc_id AS id, (c.doc_id - 1) // 3 AS parent, c.n_chars % 100 AS page, p.n_chars % 100 AS parent_page FROM documents c JOIN documents p ON (c.doc_id - 1) // 3 = p.doc_id AND c.doc_id > 0 WHERE abs(c.n_chars % 100 - p.n_chars % 100) > 1
+""")
+def page_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes whose page is far from their parent's."""
+    d = table(spark, sf_dir, "documents")
+    return quality.jumps(d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") > 0, F.floor((F.col("doc_id") - 1) / 3)).alias("parent"), (F.col("n_chars") % 100).alias("page")))
+
+
+@query("SELECT c_custkey AS id, c_name AS title, moves FROM customer JOIN (SELECT o_custkey, count(*) AS moves FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND moves < 12")
+def short_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of fewer than twelve moves."""
+    lines = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("x").alias("chapter"), F.when(F.col("c_mktsegment") == "BUILDING", "game").otherwise("fragment").alias("kind"), F.col("c_name").alias("title"))
+    o = table(spark, sf_dir, "orders")
+    nodes = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("line"), F.lit(None).cast("long").alias("parent"), F.lit(1).alias("page"), F.lit(1).alias("ply"), F.lit(True).alias("main"), F.lit("ok").alias("status"), F.lit("e4").alias("san"), F.lit("e4").alias("raw"))
+    return quality.scan(nodes, lines, lines.select("id", F.lit(1).alias("page"), F.col("kind").alias("status")))["short_games"]
+
+
+@query("SELECT label AS board, arg_min(vec_id, (embedding[1], vec_id)) AS weakest, CAST(min(embedding[1]) AS DOUBLE) AS confidence FROM embeddings GROUP BY label")
+def board_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least sure square of each board."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("board"), F.col("vec_id").alias("square"), F.get("embedding", 0).cast("double").alias("confidence"))
+    return inference.board_confidence(e, "board")

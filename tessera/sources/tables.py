@@ -30,7 +30,7 @@ def pasted_json(text: Column, schema: str = SELECTION) -> Column:
 
 def games(spark: SparkSession, path: str) -> DataFrame:
     """Games of PGN files: one row a game with its tags and move text. A file is cut before each event tag."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"(?m)^(?=\[Event )")).alias("game", "text"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"(?m)^(?=\[Event )")).alias("game", "text"))
     return game_parts(raw.where(F.col("text").rlike(r"\[\w+ \"")))
 
 

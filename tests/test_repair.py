@@ -6,7 +6,7 @@ import random
 
 from tessera.functions import board, repair
 from tessera.functions.decoder import Decoder
-from tessera.operators import inference, reading
+from tessera.operators import inference, quality, reading
 
 
 def test_a_missing_move_is_filled_only_if_decided():
@@ -67,3 +67,29 @@ def test_what_follows_a_branch(spark):
     ends = spark.createDataFrame([("b", 1, 100, 1, 10)], "book string, line int, offset int, page int, ply int")
     printed = spark.createDataFrame([("b", 1, 120, 1, 10, ["x"]), ("b", 2, 150, 2, 30, ["far"]), ("b", 2, 200, 3, 12, ["e4"]), ("b", 2, 250, 3, 10, ["later"]), ("b", 3, 300, 9, 10, ["no"])], "book string, line int, offset int, page int, ply int, moves array<string>")
     assert [tuple(r) for r in reading.suggestions(ends, printed).collect()] == [("b", 1, 2, 200, 2, ["e4"])]
+
+
+def test_small_inference(spark):
+    sq = spark.createDataFrame([(1, 0.0, 7.0), (1, 0.0, 6.0), (2, 0.0, 5.0)], "board int, as_is double, around double")
+    assert {r.board: r.turned for r in inference.turned(sq, "board").collect()} == {1: True, 2: False}
+    pairs = spark.createDataFrame([(1, "a", 1.0, 0.9), (1, "b", 0.5, 0.6), (2, "a", 3.0, 0.9)], "d int, g string, distance double, iou double")
+    assert [tuple(r) for r in inference.attached(pairs, "d", "g", 1.0).collect()] == [(1, "a")]
+    close = spark.createDataFrame([(1, "K", "K", 1.0), (1, "Q", "K", 4.0)], "d int, name string, own string, distance double")
+    assert inference.closeness(close, "d").first().closeness == 0.75
+
+
+def test_scan_and_listing(spark):
+    n = spark.createDataFrame(
+        [(1, 1, None, 1, 0, True, "ok", "e4", "e4"), (2, 1, 1, 4, 1, True, "guessed", "e5", "c5"), (3, 1, 2, 4, 2, True, "failed", None, "??"), (4, 2, None, 2, 0, True, "ok", "d4", "d5")],
+        "id int, line int, parent int, page int, ply int, main boolean, status string, san string, raw string",
+    )
+    lines = spark.createDataFrame([(1, "A", "game", "x"), (2, "A", "fragment", "y")], "id int, chapter string, kind string, title string")
+    got = quality.scan(n, lines, spark.createDataFrame([(1, 1, "read")], "id int, page int, status string"))
+    assert [(r.line, r.id) for r in got["breaks"].collect()] == [(1, 2)]
+    assert [r.id for r in got["silent"].collect()] == [4]
+    assert [(r.id, r.parent_page) for r in got["jumps"].collect()] == [(2, 1)]
+    assert [(r.id, r.moves) for r in got["short_games"].collect()] == [(1, 3)]
+    assert [tuple(r) for r in got["chapters"].collect()] == [("A", 2, 4)]
+    assert {k: d.count() for k, d in got.items()}["hot_pages"] == 1
+    shown = reading.listings(spark.createDataFrame([(1, "1.e4 e5 (1...c5 2.Nf3) 2.d4")], "k int, t string"), "k", "t").orderBy("place").collect()
+    assert [(r.depth, r.shown.split()[1]) for r in shown] == [(0, "e4"), (0, "e5"), (1, "c5"), (1, "Nf3"), (0, "d4")]
