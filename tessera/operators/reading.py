@@ -196,3 +196,23 @@ def listings(df: DataFrame, key: str, text: str, model: NoiseModel | None = None
     """Each text's lines as listings: line, place, depth and text, variations nested."""
     shared = df.sparkSession.sparkContext.broadcast(model or NoiseModel())
     return _each(df, key, text, lambda t: [(line.id, *row) for line in tree.assemble(t, Decoder(shared.value)) for row in tree.listing(line)], "line int, place int, depth int, shown string")
+
+
+def choose_start(candidates: DataFrame, run: str, order: str, start: str, moves: str, model: NoiseModel | None = None) -> DataFrame:
+    """The start position of each run: candidates (the default has order 0) are decoded, equal ones once, and scored by clean moves before the first failure, failures and mean cost.
+
+    A rival beats the default if it is clean where the default fails and reads further, or if it reads three moves further, fails less and costs at most 0.5 more.
+    """
+    read = decode(candidates, start, moves, model)
+    bad = F.transform("decoded", lambda d: (d["status"] == "failed").cast("int"))
+    clean = F.coalesce(F.array_position(bad, 1) - 1, F.lit(0))
+    scored = read.select(
+        run, order, start, moves, F.when(F.array_contains(bad, 1), clean).otherwise(F.size("decoded")).cast("int").alias("read"), F.aggregate(bad, F.lit(0), lambda s, x: s + x).alias("failed"),
+        F.coalesce(F.aggregate(F.filter("decoded", lambda d: d["status"] != "failed"), F.lit(0.0), lambda s, d: s + d["cost"]) / F.greatest(F.size(F.filter("decoded", lambda d: d["status"] != "failed")), F.lit(1)), F.lit(0.0)).alias("mean"),
+    )
+    first = scored.where(F.col(order) == 0).select(F.col(run).alias("_run"), F.col("read").alias("_read"), F.col("failed").alias("_failed"), F.col("mean").alias("_mean"))
+    both = scored.join(first, F.col(run) == F.col("_run"), "left")
+    beats = F.col("_run").isNull() | ((F.col("failed") == 0) & (F.col("mean") <= 1.0) & (F.col("_failed") > 0) & (F.col("read") > F.col("_read"))) | ((F.col("read") >= F.col("_read") + 3) & (F.col("failed") < F.col("_failed")) & (F.col("mean") <= F.col("_mean") + 0.5))
+    allowed = both.where((F.col(order) == 0) | beats)
+    best = F.max_by(F.struct(order, start, "read", "failed", "mean"), F.struct(beats.cast("int"), "read", -F.col("failed"), -F.col("mean"), -F.col(order)))
+    return allowed.groupBy(run).agg(best.alias("b")).select(run, "b.*")

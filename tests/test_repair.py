@@ -93,3 +93,29 @@ def test_scan_and_listing(spark):
     assert {k: d.count() for k, d in got.items()}["hot_pages"] == 1
     shown = reading.listings(spark.createDataFrame([(1, "1.e4 e5 (1...c5 2.Nf3) 2.d4")], "k int, t string"), "k", "t").orderBy("place").collect()
     assert [(r.depth, r.shown.split()[1]) for r in shown] == [(0, "e4"), (0, "e5"), (1, "c5"), (1, "Nf3"), (0, "d4")]
+
+
+def test_start_is_chosen_by_what_reads(spark):
+    other = "4k3/8/8/8/8/8/4P3/4K2R w K - 0 1"
+    rows = [(1, 0, board.START, ["e4", "e5"]), (1, 1, other, ["e4", "e5"]), (2, 0, board.START, ["Rh7", "Kd8", "Rg7", "Kc8"]), (2, 1, other, ["Rh7", "Kd8", "Rg7", "Kc8"])]
+    got = reading.choose_start(spark.createDataFrame(rows, "run int, ord int, start string, moves array<string>"), "run", "ord", "start", "moves").collect()
+    assert {r.run: (r.ord, r.failed) for r in got} == {1: (0, 0), 2: (1, 0)}
+
+
+def test_sinks_and_parts(spark, tmp_path):
+    import json
+
+    from tessera.sources import sinks
+    from tessera.sources.tables import books, stored
+
+    lines = spark.createDataFrame([(1, "a", None), (1, "b", "x"), (2, "c", None)], "chapter int, id string, title string")
+    sinks.write_book(lines, "chapter", str(tmp_path / "book"))
+    got = {r.chapter: json.loads(r.value) for r in spark.read.text(str(tmp_path / "book")).collect()}
+    assert got[1] == {"chapter": 1, "lines": [{"id": "a"}, {"id": "b", "title": "x"}]}
+    assert sinks.chapter_data(lines, "chapter", 2, ["id"]).first().value == '{"id":"c"}'
+    for version, v in ((1, "old"), (2, "new")):
+        sinks.write_part(spark.createDataFrame([(v,)], "v string"), 1, version, str(tmp_path / "parts"))
+    assert [r.v for r in stored(spark, str(tmp_path / "parts")).collect()] == ["new"]
+    (tmp_path / "one.json").write_text('{"title": "T",\n "lines": [{"id": "g1", "page": 3}]}')
+    b = books(spark, str(tmp_path / "one.json")).first()
+    assert (b.title, b.lines[0].page) == ("T", 3)

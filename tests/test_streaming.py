@@ -38,3 +38,22 @@ def test_order_of_parts_does_not_change_them(spark):
     derive = lambda d: d.agg(F.sum("id").alias("s"))
     one = {p: d.first().s for p, d in streams.by_parts(df, "part", [0, 1, 2], derive)}
     assert one == {p: d.first().s for p, d in streams.by_parts(df, "part", [2, 0, 1], derive)}
+
+
+def test_keyed_state_keeps_the_newest(spark, tmp_path):
+    """The changelog's last row of a key is its record; a late, older record changes nothing."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(spark, src, [(1, 10, 1, "a"), (2, 10, 2, "b")])
+
+    def sink(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/log/n={number}")
+
+    for more in (None, [(1, 10, 3, "c"), (2, 9, 4, "d")]):
+        if more:
+            write(spark, src, more)
+        streams.drained(streams.last_writes(streams.files(spark, src), ["k"], "at", "i"), out, "update", sink)
+    last = {}
+    for r in spark.read.parquet(f"{out}/log").orderBy("n", "i").collect():
+        last[r.k] = r.v
+    assert last == {1: "c", 2: "b"}
