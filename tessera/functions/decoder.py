@@ -23,6 +23,9 @@ class NoiseModel:
     """Counts of printed symbols by the piece they stood for."""
 
     symbols: dict[str, Counter] = field(default_factory=dict)
+    #: What printed characters in the place of a file or a rank stood for, by (place, character); moves without a mark by (symbol, capture).
+    places: dict[tuple[str, str], Counter] = field(default_factory=dict)
+    unmarked: Counter = field(default_factory=Counter)
     letters: dict[str, str] = field(default_factory=lambda: dict(V.LETTERS["English"]))
 
     def add(self, symbol: str, piece: str, n: int = 1) -> None:
@@ -52,11 +55,53 @@ class NoiseModel:
         n = sum(seen.values())
         return n >= V.STRONG_SEEN and max(seen.values()) >= V.STRONG_SHARE * n
 
+    def place_cost(self, place: str, char: str, value: str, readings: dict[str, float]) -> float:
+        """Cost of a file or rank for a printed character: the default, moved by what the character stood for in this text once it was seen often enough."""
+        default = readings.get(value)
+        seen = self.places.get((place, char))
+        n = sum(seen.values()) if seen else 0
+        if n < V.SQUARE_SEEN or (default is None and seen[value] < V.SQUARE_OTHER):
+            return math.inf if default is None else default
+        prior = math.exp(-(V.UNREAD if default is None else default))
+        after = (seen[value] + V.SQUARE_KAPPA * prior) / (n + V.SQUARE_KAPPA)
+        base = V.UNREAD if default is None else default
+        return max(base + min(max(math.log(prior / max(after, 1e-9)), -2.0), 0.5), 0.0 if char == value else 0.1)
+
+    def takes_mark(self, symbol: str) -> bool:
+        """Whether a symbol without a capture mark nearly always captures: the print has the mark in the symbol."""
+        yes, no = self.unmarked[(symbol, True)], self.unmarked[(symbol, False)]
+        return bool(symbol) and yes >= V.IMPLIED_SEEN and yes >= V.IMPLIED_SHARE * (yes + no)
+
     def learn(self, decoded: list[dict]) -> None:
-        """Symbols of moves that were read without doubt."""
+        """Symbols and squares of moves that were read without doubt; squares of those guessed too."""
         for d in decoded:
-            if d["status"] == "ok" and d["cost"] <= 2.5 and d["san"] and not d["san"].startswith("O"):
-                self.add(d["symbol"], d["san"][0] if d["san"][0] in PIECES else "P")
+            if d["san"] and d["cost"] <= 2.5 and not d["san"].startswith("O"):
+                for key in facts(d):
+                    self.count(*key)
+
+    def count(self, kind: str, char: str, value: str, n: int = 1) -> None:
+        """Add one kind of fact: symbol, file, rank or mark."""
+        if kind == "symbol":
+            self.add(char, value, n)
+        elif kind == "mark":
+            self.unmarked[(char, value == "x")] += n
+        else:
+            self.places.setdefault((kind, char), Counter())[value] += n
+
+
+def facts(d: dict) -> list[tuple[str, str, str]]:
+    """What a decoded move teaches: (kind, printed, true)."""
+    out = []
+    to = re.search(r"([a-h])([1-8])(?:=[QRBN])?[+#]?$", d["san"])
+    if to and d["printed"][0] != "-":
+        out.append(("file", d["printed"][0], to[1]))
+    if to and d["printed"][1] != "-":
+        out.append(("rank", d["printed"][1], to[2]))
+    if d["status"] == "ok":
+        out.append(("symbol", d["symbol"], d["san"][0] if d["san"][0] in PIECES else "P"))
+        if d["symbol"] and d["printed"][2] == "-":
+            out.append(("mark", d["symbol"], "x" if "x" in d["san"] else "-"))
+    return out
 
 
 @dataclass(frozen=True)
@@ -70,6 +115,7 @@ class Reading:
     ranks: tuple[tuple[str, float], ...]
     promote: str
     check: int
+    printed: str = "--"
 
 
 def _readings(raw: str) -> list[Reading]:
@@ -88,11 +134,11 @@ def _readings(raw: str) -> list[Reading]:
     for text, sign in variants:
         for rest, promote in _promotions(text):
             if len(rest) >= 2 and rest[-1] in V.RANK_READINGS and rest[-2] in V.FILE_READINGS:
-                out += _heads(rest[:-2], tuple(V.FILE_READINGS[rest[-2]].items()), tuple(V.RANK_READINGS[rest[-1]].items()), promote, sign)
+                out += _heads(rest[:-2], tuple(V.FILE_READINGS[rest[-2]].items()), tuple(V.RANK_READINGS[rest[-1]].items()), promote, sign, rest[-2:])
             if rest and rest[-1] in "12345678":
-                out += _heads(rest[:-1], (), tuple(V.RANK_READINGS[rest[-1]].items()), promote, sign)
+                out += _heads(rest[:-1], (), tuple(V.RANK_READINGS[rest[-1]].items()), promote, sign, "-" + rest[-1])
             if rest and rest[-1] in "abcdefgh":
-                out += _heads(rest[:-1], tuple(V.FILE_READINGS[rest[-1]].items()), (), promote, sign)
+                out += _heads(rest[:-1], tuple(V.FILE_READINGS[rest[-1]].items()), (), promote, sign, rest[-1] + "-")
     return list(dict.fromkeys(out))
 
 
@@ -105,17 +151,17 @@ def _promotions(text: str) -> list[tuple[str, str]]:
     return found
 
 
-def _heads(head: str, files: tuple, ranks: tuple, promote: str, sign: int) -> list[Reading]:
+def _heads(head: str, files: tuple, ranks: tuple, promote: str, sign: int, printed: str) -> list[Reading]:
     cuts = [(head, False)]
     marked = re.fullmatch(r"(.*?)(?:x:|:x|[xX×:])", head, re.S)
     if marked:
         cuts.append((marked[1], True))
     out = []
     for rest, capture in cuts:
-        out.append(Reading(rest, "", capture, files, ranks, promote, sign))
+        out.append(Reading(rest, "", capture, files, ranks, promote, sign, printed))
         for n in (1, 2):
             if len(rest) >= n and re.fullmatch("[a-h][1-8]|[a-h]|[1-8]", rest[-n:]):
-                out.append(Reading(rest[:-n], rest[-n:], capture, files, ranks, promote, sign))
+                out.append(Reading(rest[:-n], rest[-n:], capture, files, ranks, promote, sign, printed))
     return out
 
 
@@ -131,18 +177,19 @@ class Decoder:
             self._cuts[raw] = _readings(raw)
         return self._cuts[raw]
 
-    def price(self, p: B.Position, m: B.Move, raw: str) -> tuple[float, str, float]:
-        """Least cost of a printed token for a legal move, the symbol of that reading and the symbol's share of the cost."""
+    def price(self, p: B.Position, m: B.Move, raw: str) -> tuple[float, str, float, str]:
+        """Least cost of a printed token for a legal move, the symbol of that reading, the symbol's share of the cost, and the printed file, rank and mark."""
         piece, which, to, capture, promote = B.parts(p, m)
         if piece.startswith("O"):
             zeros = sum(c in "O0o" for c in raw)
             if zeros < 2 or "-" not in raw:
-                return math.inf, "", 0.0
-            return V.OTHER_CASTLING if (zeros >= 3) != (piece == "O-O-O") else 0.0, piece, 0.0
-        best = (math.inf, "", 0.0)
+                return math.inf, "", 0.0, "---"
+            return V.OTHER_CASTLING if (zeros >= 3) != (piece == "O-O-O") else 0.0, piece, 0.0, "---"
+        best = (math.inf, "", 0.0, "---")
         sign: int | None = None
         for r in self._read(raw):
-            cost = dict(r.files).get(to[0], math.inf if r.files else V.MISSING_FILE) + dict(r.ranks).get(to[1], math.inf if r.ranks else V.MISSING_RANK)
+            cost = self.model.place_cost("file", r.printed[0], to[0], dict(r.files)) if r.files else V.MISSING_FILE
+            cost += self.model.place_cost("rank", r.printed[1], to[1], dict(r.ranks)) if r.ranks else V.MISSING_RANK
             if cost > V.MAX_COST:
                 continue
             own_cost = self.model.cost(r.symbol, piece or "P")
@@ -158,7 +205,10 @@ class Decoder:
                     cost += 0.0 if r.which == which else V.DISAMBIGUATION_MISSING if not r.which else V.DISAMBIGUATION_WRONG
                 elif r.which:
                     cost += V.PAWN_DISAMBIGUATION if r.which[0] == to[0] else V.DISAMBIGUATION_WRONG
-            cost += (V.FALSE_CAPTURE if r.capture else V.MISSING_CAPTURE) if r.capture != capture else 0.0
+            if not r.capture and self.model.takes_mark(r.symbol):
+                cost += 0.0 if capture else V.IMPLIED_NONCAPTURE
+            elif r.capture != capture:
+                cost += V.FALSE_CAPTURE if r.capture else V.MISSING_CAPTURE
             if cost >= best[0] or cost > V.MAX_COST:
                 continue
             if sign is None:
@@ -173,17 +223,18 @@ class Decoder:
             elif r.promote:
                 cost += V.PROMOTION_EXTRA
             if cost < best[0]:
-                best = cost, r.symbol, own_cost
+                best = cost, r.symbol, own_cost, r.printed + ("x" if r.capture else "-")
         return best
 
-    def options(self, p: B.Position, raw: str) -> list[tuple[float, B.Move, str, float]]:
+    def options(self, p: B.Position, raw: str) -> list[tuple[float, B.Move, str, float, str]]:
         """Legal moves that a token may stand for, cheapest first."""
         readings = self._read(raw)
-        plausible = {f + r for x in readings for f in (dict(x.files) or "abcdefgh") for r in (dict(x.ranks) or "12345678")}
+        own = self.model.places
+        plausible = {f + r for x in readings for f in ({**dict(x.files), **own.get(("file", x.printed[0]), {})} if x.files else "abcdefgh") for r in ({**dict(x.ranks), **own.get(("rank", x.printed[1]), {})} if x.ranks else "12345678")}
         castles = "-" in raw
         near = (m for m in B.pseudo(p) if B.name(m.end) in plausible or (castles and p.squares[m.start] in "Kk" and abs(m.end - m.start) == 2))
         found = ((*self.price(p, m, raw), m) for m in near if B.safe(p, m))
-        return sorted(((cost, m, symbol, own) for cost, symbol, own, m in found if cost <= V.MAX_COST), key=lambda x: (x[0], x[1]))
+        return sorted(((cost, m, symbol, share, printed) for cost, symbol, share, printed, m in found if cost <= V.MAX_COST), key=lambda x: (x[0], x[1]))
 
     def _adapted(self, used: tuple, symbol: str, piece: str, own: float) -> float:
         """Cost of a symbol after what it stood for earlier in the run: (c + kappa * exp(-cost)) / (n + kappa)."""
@@ -216,17 +267,17 @@ class Decoder:
             failing: list[tuple] = []
             for cost, fails, p, path, used in beam:
                 found = self.options(p, raw)
-                for c, m, symbol, own in found:
+                for c, m, symbol, own, printed in found:
                     piece = p.squares[m.start].upper()
                     c += self._adapted(used, symbol, piece, own) - own
-                    keep(cost + c, 0, B.play(p, m), (*path, (m, c, symbol)), (*used, (symbol, piece)) if symbol and not symbol.startswith("O") else used)
+                    keep(cost + c, 0, B.play(p, m), (*path, (m, c, symbol, printed)), (*used, (symbol, piece)) if symbol and not symbol.startswith("O") else used)
                 if (not found or found[0][0] > V.FAIL_ABOVE) and fails < V.MAX_FAILS:
                     failing.append((cost, fails, p, path, used, not found))
             limit = min((g[0] for g in grown.values()), default=math.inf) + V.FAIL_WITHIN
             for cost, fails, p, path, used, blind in sorted((f for f in failing if f[0] + V.SKIP <= limit), key=lambda f: f[0])[: V.MOST_FAILING]:
-                keep(cost + V.SKIP, fails + 1, p, (*path, (None, V.SKIP, "")), used)
+                keep(cost + V.SKIP, fails + 1, p, (*path, (None, V.SKIP, "", "---")), used)
                 for m in B.legal(p) if blind else ():
-                    keep(cost + V.FAIL, fails + 1, B.play(p, m), (*path, (None, V.FAIL, m.uci())), used)
+                    keep(cost + V.FAIL, fails + 1, B.play(p, m), (*path, (None, V.FAIL, m.uci(), "---")), used)
             if not grown:
                 return self._rows(raws, beam[0], [], first)
             beam = sorted(grown.values(), key=lambda x: (x[0], x[1]))[: self.beam]
@@ -235,8 +286,8 @@ class Decoder:
     def _rows(self, raws: list[str], best: tuple, others: list[tuple], p: B.Position) -> list[dict]:
         out = []
         for k, raw in enumerate(raws):
-            step = best[3][k] if k < len(best[3]) else (None, V.FAIL, "")
-            m, cost, symbol = step
+            step = best[3][k] if k < len(best[3]) else (None, V.FAIL, "", "---")
+            m, cost, symbol, printed = step
             rivals = sorted({(round(o[0] - best[0], 6), o[3][k][0]) for o in others if k < len(o[3]) and o[3][k][0] not in (None, m) and o[0] - best[0] <= V.FIT_MARGIN}, key=lambda x: (x[0], x[1] or ()))
             if m is None:
                 status, san, uci = "failed", None, None
@@ -249,5 +300,5 @@ class Decoder:
             names = [B.san(p, r) for _, r in rivals if r in B.legal(p)] if m else []
             if m is not None:
                 p = B.play(p, m)
-            out.append({"ply": k, "raw": raw, "san": san, "uci": uci, "status": status, "cost": round(cost, 6), "alternatives": names, "symbol": symbol, "fen": B.write_fen(p)})
+            out.append({"ply": k, "raw": raw, "san": san, "uci": uci, "status": status, "cost": round(cost, 6), "alternatives": names, "symbol": symbol, "printed": printed, "fen": B.write_fen(p)})
         return out

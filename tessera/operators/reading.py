@@ -18,8 +18,8 @@ from ..functions import board, notation, tree
 from ..functions.decoder import Decoder, NoiseModel
 
 TOKEN = "kind string, raw string, start int, end int, number int, black boolean"
-#: Symbols that a broadcast model may hold; the commonest are kept.
-MOST_SYMBOLS = 50_000
+#: Facts that a broadcast model may hold; the commonest are kept.
+MOST_FACTS = 50_000
 
 
 def _each(df: DataFrame, key: str, text: str, make, schema: str) -> DataFrame:
@@ -60,7 +60,7 @@ def runs(df: DataFrame, key: str, text: str, exact: bool = False) -> DataFrame:
 def decode(df: DataFrame, start: str, moves: str, model: NoiseModel | None = None) -> DataFrame:
     """All columns and `decoded`, an array of what each printed move reads as. Equal (position, moves) pairs are decoded once: distinct pairs are read and joined back."""
     shared = df.sparkSession.sparkContext.broadcast(model or NoiseModel())
-    row = "ply int, raw string, san string, uci string, status string, cost double, alternatives array<string>, symbol string, fen string"
+    row = "ply int, raw string, san string, uci string, status string, cost double, alternatives array<string>, symbol string, printed string, fen string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Decoder(shared.value)
@@ -74,13 +74,19 @@ def decode(df: DataFrame, start: str, moves: str, model: NoiseModel | None = Non
 
 
 def learn(decoded: DataFrame) -> NoiseModel:
-    """Symbol counts of moves read without doubt: summed before they are sent, the commonest `MOST_SYMBOLS` kept."""
-    d = decoded.select(F.explode("decoded").alias("d")).select("d.*").where("status = 'ok' and cost <= 2.5 and symbol <> '' and san not like 'O%'")
+    """What symbols and printed squares stood for, in moves read without doubt: summed before it is sent, the commonest `MOST_FACTS` kept."""
+    d = decoded.select(F.explode("decoded").alias("d")).select("d.*").where("san is not null and cost <= 2.5 and san not like 'O%'")
+    to = lambda k: F.regexp_extract("san", "([a-h])([1-8])(?:=[QRBN])?[+#]?$", k)
+    fact = lambda kind, char, value, when: F.when(when, F.struct(F.lit(kind).alias("kind"), char.alias("char"), value.alias("value")))
     piece = F.when(F.substring("san", 1, 1).isin(*"KQRBN"), F.substring("san", 1, 1)).otherwise("P")
-    counts = d.groupBy("symbol", piece.alias("piece")).count().orderBy(F.col("count").desc(), "symbol", "piece").limit(MOST_SYMBOLS)
+    at, ok = lambda k: F.substring("printed", k, 1), F.col("status") == "ok"
+    every = F.array(
+        fact("file", at(1), to(1), at(1) != "-"), fact("rank", at(2), to(2), at(2) != "-"), fact("symbol", F.col("symbol"), piece, ok), fact("mark", F.col("symbol"), F.when(F.col("san").contains("x"), "x").otherwise("-"), ok & (F.col("symbol") != "") & (at(3) == "-"))
+    )
+    facts = d.select(F.explode(F.filter(every, lambda x: x.isNotNull())).alias("f")).select("f.*")
     model = NoiseModel()
-    for r in counts.collect():
-        model.add(r["symbol"], r["piece"], r["count"])
+    for r in facts.groupBy("kind", "char", "value").count().orderBy(F.col("count").desc(), "kind", "char", "value").limit(MOST_FACTS).collect():
+        model.count(r["kind"], r["char"], r["value"], r["count"])
     return model
 
 
