@@ -43,8 +43,8 @@ class Line:
     waiting: list[tuple[int, str, str]] = field(default_factory=list)
 
 
-def assemble(text: str, decoder: Decoder, start: str = B.START, exact: bool = False) -> list[Line]:
-    """Fold the runs in order. A main run that fits extends its line; one that starts at move 1 opens a line; a few plies missing leave a gap node and what
+def assemble(text: str, decoder: Decoder, start: str = B.START, exact: bool = False, diagrams: list[tuple[int, str]] | None = None) -> list[Line]:
+    """Fold the runs in order. Diagrams (offset, position) in the text may start a line: a main run that follows nothing is read from the last one before it, and kept if it reads. A main run that fits extends its line; one that starts at move 1 opens a line; a few plies missing leave a gap node and what
     follows waits; a run in brackets becomes a variation of the nearest branch that holds its ply, kept only if it reads; anything else waits with a reason."""
     tokens = N.tokenize(text, exact)
     lines: list[Line] = []
@@ -59,12 +59,35 @@ def assemble(text: str, decoder: Decoder, start: str = B.START, exact: bool = Fa
             parent, count = count, count + 1
         return made
 
+    def from_diagram(run: N.Run, ply: int) -> bool:
+        """Open a line at the last diagram before a run, with the side that the run names, if the run reads from there."""
+        nonlocal branch, count
+        near = [fen for at, fen in sorted(diagrams or []) if at < run.start]
+        if not near:
+            return False
+        p = B.read_fen(near[-1])._replace(white=not run.black_first, number=run.first_number, passing=-1)
+        if B.in_check(p, not p.white):
+            return False
+        keep = count
+        lines.append(Line(len(lines), B.write_fen(p), text[max(0, run.start - 80) : run.start].rpartition("\n\n")[2].strip()[:80], ""))
+        made = place(lines[-1], run, lines[-1].start_fen, None, ply, True)
+        if not N.clean([None if n.status == "failed" else 0.0 for n in made]):
+            lines.pop()
+            count = keep
+            return False
+        lines[-1].nodes += made
+        branch = {0: made}
+        return True
+
     for run in N.runs(tokens):
         ply = 2 * (run.first_number - 1) + run.black_first
         if run.depth == 0:
             line = lines[-1] if lines else None
             last = branch.get(0, [])
             following = last[-1].ply + 1 if last else 0
+            follows = bool(last) and ply == following and bool(last[-1].fen)
+            if ply and not follows and from_diagram(run, ply):
+                continue
             if ply == 0 or line is None:
                 if ply and line is None:
                     lines.append(Line(len(lines), "", "", "", waiting=[(run.start, text[run.start : run.end], "no position to start from")]))

@@ -81,6 +81,16 @@ def test_variations_and_gaps():
     assert tree.main_moves(text) == ["e4", "e5", "Nf3", "Nc6", "Bb5", "a6"]
 
 
+def test_a_diagram_starts_a_line():
+    text = "See the diagram. 24.Rh7 Kd8 25.Rg7 Kc8 and White is better."
+    fen = "4k3/8/8/8/8/8/4P3/4K2R w K - 0 1"
+    lines = tree.assemble(text, Decoder(), diagrams=[(10, fen)])
+    assert [n.san for n in lines[0].nodes] == ["Rh7", "Kd8", "Rg7", "Kc8"]
+    assert lines[0].start_fen.endswith(" 24")
+    assert not tree.assemble(text, Decoder())[0].nodes
+    assert "[FEN " in tree.game_text(lines[0])
+
+
 def test_diagram():
     rows = ["r n b q k b n r", "pppppppp", *["........"] * 4, "PPPPPPPP", "RNBQKBNR"]
     assert tree.find_diagram(rows) == "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR"
