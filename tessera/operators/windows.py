@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,22 @@ def islands(df: DataFrame, by: list[str], order: list[str], breaks: Column, name
     return df.withColumn("_b", F.when(breaks, 1).otherwise(0)).withColumn(name, F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
 
 
+def gap_sessions(df: DataFrame, by: list[str], at: str, ties: list[str], gap_seconds: int, cell: Callable[[Column], Column], name: str = "island") -> DataFrame:
+    """Number the stretches of each group that gaps of over `gap_seconds` divide. Windows span one cell of a group (a day, say); what passes
+    from cell to cell, the last time and the number of gaps so far, goes along a summary with a row a cell, so a group of any share of the rows is spread over its cells."""
+    rows = df.withColumn("_cell", cell(F.col(at)))
+    over = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) > gap_seconds * 1_000_000
+    along = Window.partitionBy(*by).orderBy("_cell")
+    ends = rows.groupBy(*by, "_cell").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    opens = ends.select(*by, "_cell", F.coalesce(over(F.lag("_last").over(along), F.col("_first")), F.lit(False)).alias("_opens"))
+    inside = Window.partitionBy(*by, "_cell").orderBy(at, *ties)
+    broken = rows.join(opens, [*by, "_cell"]).withColumn("_b", F.when(F.lag(at).over(inside).isNull(), F.col("_opens")).otherwise(over(F.lag(at).over(inside), F.col(at))).cast("int"))
+    local = broken.withColumn("_n", F.sum("_b").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = local.groupBy(*by, "_cell").agg(F.sum("_b").alias("_s"))
+    before = counts.select(*by, "_cell", F.coalesce(F.sum("_s").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return local.join(before, [*by, "_cell"]).select(*df.columns, (F.col("_before") + F.col("_n")).alias(name))
+
+
 def window(by: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
 

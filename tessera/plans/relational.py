@@ -10,6 +10,11 @@ from ..sources.tables import table
 from .registry import query
 
 
+def _day(ts: Column) -> Column:
+    """Cells of ordered operators: a hot group is spread over its days."""
+    return F.to_date(ts)
+
+
 @query("""
 SELECT lang, count(*) AS docs, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(n) AS BIGINT) AS numbers FROM (
   SELECT lang, len(v) AS n, len(list_filter(range(1, len(v) + 1), lambda i: i = 1 OR NOT (v[i] = v[i - 1] OR v[i] = v[i - 1] + 1))) AS runs
@@ -31,9 +36,8 @@ GROUP BY user_id, island
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a user: a gap of over an hour starts the next."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    w = windows.window(["user_id"], ["ts", "event_id"])
-    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")) > 3_600_000_000
-    return windows.islands(e, ["user_id"], ["ts", "event_id"], gap).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    found = windows.gap_sessions(e, ["user_id"], "ts", ["event_id"], 3600, _day)
+    return found.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -118,11 +122,6 @@ def source_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.min("n_chars").alias("least"), F.median("n_chars").alias("middle"), F.round(F.avg("n_chars"), 6).alias("mean"))
 
 
-def _day(ts: Column) -> Column:
-    """Cells of as-of joins."""
-    return F.to_date(ts)
-
-
 @query("""
 SELECT event_id, user_id, ts, prev_ts, prev_value FROM (
   SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN ts END IGNORE NULLS) OVER w AS prev_ts, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER w AS prev_value

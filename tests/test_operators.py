@@ -84,6 +84,32 @@ def test_asof_ignores_equal_times(spark):
     assert joins.asof(left, right, ["g"], "at", ["v"], ["id"], forward=True, prefix="next_").first().next_v == "z"
 
 
+@pytest.mark.parametrize("hours", [1, 30])
+def test_ordered_operators_do_not_depend_on_cells(spark, hours):
+    """Sessions and as-of joins over cells give what plain windows give, gaps longer than a cell included."""
+    rng = random.Random(hours)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, rng.randrange(2), base + dt.timedelta(minutes=rng.randrange(20_000)), rng.choice("ab"), k * 1.0) for k in range(120)]
+    df = spark.createDataFrame(rows, "id int, g int, at timestamp, kind string, v double")
+    last, island, want = {}, {}, []
+    for i, g, at, *_ in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        if g in last and (at - last[g]).total_seconds() > hours * 3600:
+            island[g] = island.get(g, 0) + 1
+        last[g] = at
+        want.append((i, island.get(g, 0)))
+    got = windows.gap_sessions(df.select("id", "g", "at"), ["g"], "at", ["id"], hours * 3600, F.to_date)
+    assert sorted((r.id, r.island) for r in got.collect()) == sorted(want)
+    left, right = df.where("kind = 'a'").select("id", "g", "at"), df.where("kind = 'b'")
+    for forward in (False, True):
+        a = joins.asof(left, right, ["g"], "at", ["v"], ["id"], forward=forward, prefix="p_")
+        b = joins.asof(left, right, ["g"], "at", ["v"], ["id"], forward=forward, prefix="p_", cell=F.to_date)
+        assert rows_of(a) == rows_of(b)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
 def test_tolerance_prefers_equal_text(spark):
     left = spark.createDataFrame([(1, 1, 10.0, 10.0, "Nf3")], "k int, page int, x double, y double, raw string")
     right = spark.createDataFrame([(1, 1, 10.2, 10.0, "Nf8"), (2, 1, 12.0, 11.0, "Nf3"), (3, 1, 12.6, 10.0, "Nf3"), (4, 2, 10.0, 10.0, "Nf3")], "k int, page int, x double, y double, raw string")
