@@ -62,6 +62,7 @@ def extend(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tup
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, new in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
             yield pa.RecordBatch.from_arrays([*part.columns, *new], names=places)
+        release()
 
     schema = T.StructType([T.StructField(p, kind) for p, kind in zip(places, kinds, strict=True)])
     return df.toDF(*places[:n]).mapInArrow(mapped, schema).toDF(*names, *[name for name, _ in fields])

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, written
+from .common import pieces, release, written
 
 ORDER, MOST_GRAMS, MOST_CALIBRATING, UND = 5, 200_000, 2_000, "und"
 #: Bytes of text and distinct words taken at once.
@@ -209,6 +209,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                     some = np.flatnonzero(n)
                     grams, counts = _counts([words[x] for x in some.tolist()], n[some])
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(counts)], names=["l", "g", "n"])
+        release()
 
     counted = written(rows.where(~aside).select("t", "l").mapInArrow(count, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n")))
     # the least power of two that leaves each language at most `most_grams`
@@ -284,6 +285,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 fine = (n > 0) & (low <= m.limits[best] if m.languages else False)
                 names = [m.languages[b] if ok else UND for b, ok in zip(best.tolist(), (fine if reject else n > 0).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(low), pa.array(fine)], names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])
+        release()
 
     return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("accepted", T.BooleanType())]))
 

@@ -334,5 +334,6 @@ def digests(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: s
                 sha = [hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(at, at[1:], strict=False)]
                 plain = [own.plain(t or "") for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sha), pa.array(same), pa.array([x == y for x, y in zip(plain, back, strict=True)])], names=names)
+        common.release()
 
     return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], *[T.StructField(n, t) for n, t in (("n_pieces", T.LongType()), ("pieces_sha256", T.StringType()), ("parity", T.BooleanType()), ("round_trip", T.BooleanType()))]]))

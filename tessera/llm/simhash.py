@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat, partitions, pieces
+from .common import cut, flat, partitions, pieces, release
 
 #: Words of a shingle, differing bits of a link, hash seed; members of a posting scanned pair by pair.
 SHINGLE, BITS, SEED, SCAN = 4, 4, 42, 8192
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 at = offs.tolist()
                 fps = _fingerprints([raw[a:b] for a, b in zip(at, at[1:], strict=False)], width)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        release()
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
