@@ -47,14 +47,15 @@ def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest
     """A row for each template of each line: h, the template's hash, doc, mark (of the text) and pos."""
     doc, mark = _row(doc_id, text)
     lines = docs.select(doc.alias("doc"), mark.alias("mark"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("pos", "line")).select("doc", "mark", "pos", template(F.col("line")).alias("t"))
-    lines = lines.select("*", (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "))) + 1).alias("n")).where((F.col("n") >= shortest) & (F.col("t") != ""))
+    lines = lines.select("*", (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "))) + 1).alias("n"))
 
     def quarter(k: int) -> Column:
         a, b = (DEPTH + F.floor((F.col("n") - DEPTH) * j / QUARTERS).cast("int") for j in (k, k + 1))
         return F.xxhash64("n", F.lit(k + 1), F.call_function("substring_index", "t", F.lit(" "), a), F.call_function("substring_index", "t", F.lit(" "), b - F.col("n")))
 
     whole = F.xxhash64("n", F.lit(0), "t")
-    every = F.when(F.col("n") >= wide, F.array(whole, *[quarter(k) for k in range(QUARTERS)])).otherwise(F.array(whole))
+    # no filter on what is made here: it would be pushed down and make it twice
+    every = F.when(F.col("n") >= max(wide, shortest), F.array(whole, *[quarter(k) for k in range(QUARTERS)])).when((F.col("n") >= shortest) & (F.col("t") != ""), F.array(whole))
     return lines.select(F.explode(every).alias("h"), "doc", "mark", "pos")
 
 
@@ -94,7 +95,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) ->
     rows = _joined(kept, "doc_id", "text", **kw)
     return rows.select(
         "doc_id",
-        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(F.coalesce(_rest("text"), F.lit("")), 256).alias("kept_sha256"),
     )
