@@ -30,7 +30,7 @@ def test_each_stage_against_brute_force(spark, steps):
     from pathlib import Path
 
     sys.path.insert(0, str(Path(__file__).parent))
-    from test_operators import brute_classes, brute_hits
+    from test_llm_operators import brute_classes, brute_hits
 
     first = queries.table(spark, SF, "documents")
     rated, lined, single, clean, last = steps
