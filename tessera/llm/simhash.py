@@ -247,11 +247,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The documents with one kept of each class, that with its smallest id, and one row of it; documents without an id stay; all columns stay."""
-    found = near_duplicates(docs, doc_id, text, **kw)
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The documents with one kept of each class of found (doc_id, component_id), that with its smallest id, and one row of it; documents without an id stay; all columns stay."""
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
     left = docs.join(gone, F.col(f"`{doc_id}`") == F.col("_dropped"), "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     return left.where(F.col(f"`{doc_id}`").isNotNull()).dropDuplicates([doc_id]).unionByName(left.where(F.col(f"`{doc_id}`").isNull()))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+    """The documents with one kept of each class of SimHash links."""
+    return one_of_each(docs, near_duplicates(docs, doc_id, text, **kw), doc_id)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tessera.llm import common, decontaminate, fingerprints, language, lines, pieces, quality, shards, simhash, substrings, urls
+from tessera.llm import common, decontaminate, fingerprints, jaccard, language, lines, pieces, quality, shards, simhash, substrings, urls
 
 DOCS = "doc_id long, text string"
 
@@ -227,6 +227,60 @@ def test_one_of_each_class_stays(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+# ---- jaccard
+
+
+def brute_alike(rows):
+    """doc_id to component by all pairs of five-word sets."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t))
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or (rows[a][0] is not None and rows[b][0] is not None and 9 * same >= 4 * (len(sets[a]) + len(sets[b])) > 0):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low[root[k]] = min((v for v in (low.get(root[k]), i) if v is not None), default=None)
+    return by_str((i, low[root[k]]) for k, (i, _) in enumerate(rows))
+
+
+def edited_docs():
+    """Texts and copies with one to twelve words changed; many differ in more than four bits of a fingerprint."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((3, 8, 30, 120, 400)))]
+        for changes in (0, 1, 2, 4, 12):
+            v = list(w)
+            for _ in range(changes):
+                v[rng.randrange(len(v))] = f"c{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(v)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_jaccard_classes_equal_brute_force(spark, docs, none):
+    for rows in ([(r.doc_id, r.text) for r in docs.collect()], edited_docs()):
+        d = spark.createDataFrame(rows, DOCS).repartition(3)
+        assert by_str(jaccard.near_duplicates(d).collect()) == brute_alike(rows)
+    assert jaccard.near_duplicates(none).count() == 0
+
+
+def test_the_stage_drops_what_is_alike_and_no_more(spark):
+    import corpus_pipeline
+
+    rows = edited_docs()
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert kept == {i for i, c in brute_alike(rows) if i == c}
+    simhash_kept = {i for i, _, c in brute_classes(rows) if i == c}
+    assert kept - simhash_kept or simhash_kept - kept
+
+
 # ---- urls
 
 
