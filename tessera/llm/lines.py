@@ -13,7 +13,8 @@ Templates are known by a 64-bit hash of their place in the tree and their tokens
 before the shuffle, so a template in any share of the documents makes no large task.
 
 Edge cases: a null text stays null and has no lines; an empty text has one line without tokens;
-lines of fewer than `shortest` tokens are always kept; a line repeated within one document counts
+lines of fewer than `shortest` tokens are always kept (op6's SQL has 3; the pipeline's stage takes 1), and so are lines
+of one or two tokens that are nothing but variable fields; a line repeated within one document counts
 once; repeated rows are treated alike; rows without an id count as one document that comes before
 the others; an empty table gives an empty result; other columns pass through unchanged.
 """
@@ -55,7 +56,7 @@ def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest
 
     whole = F.xxhash64("n", F.lit(0), "t")
     # no filter on what is made here: it would be pushed down and make it twice
-    every = F.when(F.col("n") >= max(wide, shortest), F.array(whole, *[quarter(k) for k in range(QUARTERS)])).when((F.col("n") >= shortest) & (F.col("t") != ""), F.array(whole))
+    every = F.when(F.col("n") >= max(wide, shortest), F.array(whole, *[quarter(k) for k in range(QUARTERS)])).when((F.col("n") >= shortest) & ~F.col("t").isin("", *[" ".join(["<*>"] * k) for k in range(1, SHORTEST)]), F.array(whole))
     return lines.select(F.explode(every).alias("h"), "doc", "mark", "pos")
 
 

@@ -340,6 +340,16 @@ def test_a_varying_quarter_is_one_field(spark):
     assert [r.n_dropped for r in lines.report(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()] == [0, 1, 1, 1, 1, 1]
 
 
+def test_the_stage_drops_short_lines_too(spark):
+    """Lines of one and two tokens recur like any other; numbers alone stay."""
+    import corpus_pipeline
+
+    d = spark.createDataFrame([(k, f"Les.\nAnd ornd.\n{'段落' * 40}\npage {k}\n{k}\n12 {k}\n\nown{'abcdef'[k]}") for k in range(6)], DOCS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, d, "").collect()}
+    assert got[0] == d.where("doc_id = 0").first().text
+    assert [got[k] for k in range(1, 6)] == [f"{k}\n12 {k}\n\nown{'abcdef'[k]}" for k in range(1, 6)]
+
+
 def test_lines_plan_is_native(spark, docs, none):
     plan = lines.report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
