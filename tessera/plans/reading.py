@@ -158,6 +158,13 @@ def scalar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT doc_id, length(s) AS size, sha256(s) AS stripped_sha256 FROM (SELECT doc_id, trim(text, chr(10) || chr(13) || chr(160) || ' ') AS s FROM documents)")
+def stripped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spaces stripped from both ends of every whole text."""
+    s = table(spark, sf_dir, "documents").select("doc_id", scalars.strip_real(F.col("text")).alias("s"))
+    return s.select("doc_id", F.length("s").alias("size"), F.sha2("s", 256).alias("stripped_sha256"))
+
+
 @query("""
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 9 WHEN 3 THEN 1994 WHEN 4 THEN 40 END AS value FROM documents
 """)

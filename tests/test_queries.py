@@ -49,3 +49,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_texts_are_stripped(spark, tmp_path):
+    """Both ends of texts longer than twenty characters."""
+    text = " " * 30 + "a word" + "x" * 40 + "\u00a0\r\n "
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["stripped_texts"](spark, str(tmp_path)).first().size == 46
