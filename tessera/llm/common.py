@@ -6,10 +6,12 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once in a Python worker; bounds its memory whatever the Arrow batch holds.
@@ -18,10 +20,12 @@ INTEGER = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (local tests)."""
+    """The shared folder of the session; a temporary one only where none is set and all runs on this machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = path or tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(path)
     return path or sc._jsc.sc().getCheckpointDir().get()
@@ -40,6 +44,31 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(held)) if int(held) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
+def hot_join(rows: DataFrame, other: DataFrame, key: str, weight: str, most: int = 2_000) -> DataFrame:
+    """rows joined with other on a key that other has once. Keys whose weight (rows in `rows`) is over the share
+    1/most of all weight, so fewer than `most`, are broadcast; the rest is joined as Spark sees fit. other is read twice."""
+    total = other.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * most > total
+    hot, cold = (other.where(c).drop(weight) for c in (heavy, ~heavy))
+    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    both = rows.join(mark, key, "left")
+    more = [c for c in hot.columns if c != key]
+    rest = both.where("_hot is null").select(*rows.columns).join(cold, key)
+    return both.where("_hot").select(*rows.columns, *more).unionByName(rest.select(*rows.columns, *more))
+
+
 def release() -> None:
     """Give freed memory back to the system: workers are used again by later stages."""
     pa.default_memory_pool().release_unused()

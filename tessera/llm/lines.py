@@ -8,15 +8,17 @@ that differ within one such quarter thus share a template. A template found in a
 documents recurs, and its lines are dropped from every document but the first that has it (the one
 with the smallest id), so that no passage is lost altogether.
 
-Templates are known by a 64-bit hash of their place in the tree and their tokens. They are counted by
-(template, document) first and by template next, each with partial sums
-before the shuffle, so a template in any share of the documents makes no large task.
+The tree is a table: a node of each depth is a column (n, the number of tokens; lead, a hash of the leading tokens), and a
+template is a row under them, known by a 64-bit hash. Templates are the same only where all three agree, so two that differ
+are taken for one with a chance of about 2**-96 a pair. They are counted by (template, document) first and by template next, each with
+partial sums before the shuffle. The few templates that hold a large share of all lines are broadcast to them, fewer than
+2,000 by their share; the others are joined. So a template in any share of the documents makes no large task.
 
 Edge cases: a null text stays null and has no lines; an empty text has one line without tokens;
-lines of fewer than `shortest` tokens are always kept (op6's SQL has 3; the pipeline's stage takes 1), and so are lines
+lines of fewer than `shortest` tokens are always kept, and so are lines without tokens or
 of one or two tokens that are nothing but variable fields; a line repeated within one document counts
 once; repeated rows are treated alike; rows without an id count as one document that comes before
-the others; an empty table gives an empty result; other columns pass through unchanged.
+the others; an empty table gives an empty result; other columns, whatever their names, pass through unchanged.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, written
 
 #: Documents that make a template recurring, least tokens of a line that may go and of one with quarters, leading tokens of the tree.
-LEAST, SHORTEST, WIDE, DEPTH, QUARTERS = 5, 3, 10, 2, 4
+LEAST, SHORTEST, WIDE, DEPTH, QUARTERS = 5, 1, 10, 2, 4
 #: A token that has a digit; it is looked for at the starts of tokens only.
 _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+#: Lines that never go, whatever their number: no tokens, or one or two variable fields alone.
+ALWAYS_KEPT = ("", "<*>", "<*> <*>")
 
 
 def template(line: Column) -> Column:
@@ -39,14 +43,14 @@ def template(line: Column) -> Column:
     return F.when(even.rlike("[0-9]"), F.regexp_replace(even, _VARIABLE, "<*>")).otherwise(even)
 
 
-def _row(doc_id: str, text: str) -> tuple[Column, Column]:
+def _row(doc_id: Column, text: Column) -> tuple[Column, Column]:
     """The id, and half a hash of the text for rows that share an id."""
-    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))), F.shiftright(F.xxhash64(f"`{text}`"), 32).cast("int")
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63))), F.shiftright(F.xxhash64(text), 32).cast("int")
 
 
 def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST, wide: int = WIDE) -> DataFrame:
-    """A row for each template of each line: h, the template's hash, doc, mark (of the text) and pos."""
-    doc, mark = _row(doc_id, text)
+    """A row for each template of each line: n, lead, h (its place in the tree and hash), doc, mark (of the text) and pos."""
+    doc, mark = _row(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
     lines = docs.select(doc.alias("doc"), mark.alias("mark"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("pos", "line")).select("doc", "mark", "pos", template(F.col("line")).alias("t"))
     lines = lines.select("*", (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "))) + 1).alias("n"))
 
@@ -56,38 +60,42 @@ def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest
 
     whole = F.xxhash64("n", F.lit(0), "t")
     # no filter on what is made here: it would be pushed down and make it twice
-    every = F.when(F.col("n") >= max(wide, shortest), F.array(whole, *[quarter(k) for k in range(QUARTERS)])).when((F.col("n") >= shortest) & ~F.col("t").isin("", *[" ".join(["<*>"] * k) for k in range(1, SHORTEST)]), F.array(whole))
-    return lines.select(F.explode(every).alias("h"), "doc", "mark", "pos")
+    every = F.when(F.col("n") >= max(wide, shortest), F.array(whole, *[quarter(k) for k in range(QUARTERS)])).when((F.col("n") >= shortest) & ~F.col("t").isin(*ALWAYS_KEPT), F.array(whole))
+    lead = F.hash(F.call_function("substring_index", "t", F.lit(" "), F.lit(DEPTH)))
+    return lines.select("n", lead.alias("lead"), F.explode(every).alias("h"), "doc", "mark", "pos")
 
 
 def recurring(found: DataFrame, least: int = LEAST) -> DataFrame:
-    """Templates in at least `least` documents: h and the first document."""
-    return found.select("h", "doc").distinct().groupBy("h").agg(F.count("doc").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= least).select("h", "first")
+    """Templates in at least `least` documents: n, lead, h, the first document and in how many it is."""
+    each = found.groupBy("n", "lead", "h", "doc").agg(F.count("*").alias("times"))
+    return each.groupBy("n", "lead", "h").agg(F.count("doc").alias("docs"), F.min("doc").alias("first"), F.sum("times").alias("times")).where(F.col("docs") >= least).select(F.struct("n", "lead", "h").alias("leaf"), "first", "times")
 
 
 def drops(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, shortest: int = SHORTEST, wide: int = WIDE) -> DataFrame:
     """doc, mark and the positions (from 0) of the lines that go."""
     found = written(leaves(docs, doc_id, text, shortest, wide))
-    gone = found.join(recurring(found, least), "h").where("doc <> first")
+    rows = found.select(F.struct("n", "lead", "h").alias("leaf"), "doc", "mark", "pos")
+    gone = hot_join(rows, written(recurring(found, least)), "leaf", "times").where("doc <> first")
     return gone.groupBy("doc", "mark").agg(F.collect_set("pos").alias("gone"))
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str, **kw) -> DataFrame:
-    gone = drops(docs, doc_id, text, **kw).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
-    doc, mark = _row(doc_id, text)
-    own = docs.withColumns({"_own": doc, "_hash": mark})
-    return own.join(gone, (F.col("_own") == F.col("_doc")) & (F.col("_hash") == F.col("_mark")), "left")
+    """The rows with columns by place (_0, _1, ...) and `gone`, so that any names may stand beside each other."""
+    gone = drops(docs, doc_id, text, **kw).select(F.col("doc").alias("gone_doc"), F.col("mark").alias("gone_mark"), "gone")
+    rows = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
+    doc, mark = _row(*(F.col(f"_{docs.columns.index(c)}") for c in (doc_id, text)))
+    return rows.join(gone, (doc == F.col("gone_doc")) & (mark == F.col("gone_mark")), "left")
 
 
 def _rest(text: str) -> Column:
-    lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    return F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    lines = F.split(F.col(text), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    return F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """The documents with recurring lines dropped; all columns stay."""
-    return _joined(docs, doc_id, text, **kw).select(*[_rest(text).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return _joined(docs, doc_id, text, **kw).select(*[(_rest(f"_{k}") if c == text else F.col(f"_{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
@@ -95,8 +103,8 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) ->
     kept = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = _joined(kept, "doc_id", "text", **kw)
     return rows.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(F.coalesce(_rest("text"), F.lit("")), 256).alias("kept_sha256"),
+        F.col("_0").alias("doc_id"),
+        F.coalesce(F.octet_length("_1") - F.octet_length(F.replace("_1", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(F.coalesce(_rest("_1"), F.lit("")), 256).alias("kept_sha256"),
     )

@@ -8,7 +8,7 @@ plain AS (
   SELECT doc_id, pos, line, regexp_replace(trim(regexp_replace(line, '[ \t\r]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS t FROM lines),
 counted AS (SELECT *, length(t) - length(replace(t, ' ', '')) + 1 AS n, string_split(t, ' ') AS w FROM plain),
 leaves AS (
-  SELECT doc_id, pos, n, 0 AS k, t FROM counted WHERE n >= 3 AND t <> ''
+  SELECT doc_id, pos, n, 0 AS k, t FROM counted WHERE t NOT IN ('', '<*>', '<*> <*>')
   UNION ALL
   SELECT doc_id, pos, n, q + 1, array_to_string(list_concat(w[1:2 + (n - 2) * q // 4], ['<*>'], w[3 + (n - 2) * (q + 1) // 4:n]), ' ')
   FROM counted, (SELECT unnest([0, 1, 2, 3]) AS q) WHERE n >= 10),
