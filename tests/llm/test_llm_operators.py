@@ -201,10 +201,50 @@ def brute_classes(rows):
     return by_str((i, f"{fp:016x}", low[root[k]]) for k, (i, fp) in enumerate(marks))
 
 
-@pytest.mark.parametrize("scan", [simhash.SCAN, 1])
-def test_simhash_equals_brute_force(docs, scan, monkeypatch):
-    monkeypatch.setattr(simhash, "SCAN", scan)
-    assert by_str(simhash.near_duplicates(docs).collect()) == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+@pytest.mark.parametrize("limit", [simhash.LIMIT, 3])
+def test_simhash_equals_brute_force(docs, limit):
+    assert by_str(simhash.near_duplicates(docs, limit=limit).collect()) == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_the_tally_rejects_pairs():
+    """Two fingerprints in one posting that share too few positional bytes are not retained, however few bits differ; those that share enough are verified."""
+    a = np.array([0x0101010101010101] * 3, np.uint64)
+    b = np.array([0x0101010100000000 ^ 0x01010101, 0x0101010103030303, 0x01010101FFFFFFFF], np.uint64)
+    assert simhash.tally(a ^ b).tolist() == [8, 4, 4]
+    few = np.array([0x0303030303010101], np.uint64)  # five bits, three bytes shared
+    assert simhash.tally(a[:1] ^ few).tolist() == [3]
+    zero = np.zeros(3, np.int64)
+    assert len(simhash.retained(a[:1], few, zero[:1], 1, 5)) == 1  # five bits may differ: three bytes are enough
+    assert len(simhash.retained(a[:1], few, zero[:1], 1, 4)) == 0
+    assert simhash.retained(a, b, zero, 1, 4).tolist() == [0, 1]
+    # each pair is retained in one posting only
+    x, y = np.array([0x1122334455667788], np.uint64), np.array([0x1122334455667789], np.uint64)
+    for depth in (1, 2, 3, 4):
+        met = [len(simhash.retained(x, y, np.array([k]), depth, 4)) for k, (p, q) in enumerate(zip(simhash.keys(x, depth, 4)[0], simhash.keys(y, depth, 4)[0], strict=True)) if p == q]
+        assert sum(met) == 1
+
+
+def test_long_postings_are_split(spark):
+    """Fingerprints that share seven bytes: every posting is over the limit down to blocks, and no pair is lost."""
+    rng = np.random.default_rng(4)
+    fps = sorted({0x0102030405060000 | int(x) for x in rng.integers(0, 1 << 16, 300)})
+    nodes = spark.createDataFrame([(x, x) for x in fps], "fp long, rep long")
+    got = {r.node: r.component for r in simhash.components(simhash.links(nodes, limit=40)).collect()}
+    root = {x: x for x in fps}
+    for a in fps:
+        for b in fps:
+            if a < b and (a ^ b).bit_count() <= 4:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert got == {k: v for k, v in root.items() if sum(w == v for w in root.values()) > 1}
+
+
+def test_rows_that_share_an_id_keep_their_own_classes(spark):
+    words = {w: " ".join(f"{w}{k}" for k in range(30)) for w in "wuv"}
+    rows = [(1, words["w"], 1), (5, words["w"], 2), (5, words["u"], 3), (5, words["u"], 3), (None, words["v"], 4), (None, words["w"], 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, gone_i long")
+    for op in (simhash, jaccard):
+        assert by_str(op.representatives(d).collect()) == by_str([(1, words["w"], 1), (5, words["u"], 3), (None, words["v"], 4)])
 
 
 def test_chains_of_links_are_followed(spark):
@@ -223,7 +263,7 @@ def test_one_of_each_class_stays(docs, none):
     out = simhash.representatives(wide)
     assert out.columns == wide.columns
     classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted((i for i, c in classes.items() if i is None or i == c), key=str)
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted((i for i, c in classes.items() if i == c), key=str)
     assert simhash.near_duplicates(none).count() == 0
 
 
@@ -240,7 +280,7 @@ def brute_alike(rows):
     for a in range(len(rows)):
         for b in range(a):
             same = len(sets[a] & sets[b])
-            if sets[a] == sets[b] or (rows[a][0] is not None and rows[b][0] is not None and 9 * same >= 4 * (len(sets[a]) + len(sets[b])) > 0):
+            if sets[a] == sets[b] or 9 * same >= 4 * (len(sets[a]) + len(sets[b])) > 0:
                 x, y = root[a], root[b]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     low = {}
@@ -265,9 +305,9 @@ def edited_docs():
 
 
 def test_jaccard_classes_equal_brute_force(spark, docs, none):
-    for rows in ([(r.doc_id, r.text) for r in docs.collect()], edited_docs()):
+    for rows, block in (([(r.doc_id, r.text) for r in docs.collect()], jaccard.BLOCK), (edited_docs(), 2)):
         d = spark.createDataFrame(rows, DOCS).repartition(3)
-        assert by_str(jaccard.near_duplicates(d).collect()) == brute_alike(rows)
+        assert by_str(jaccard.near_duplicates(d, block=block).collect()) == brute_alike(rows)
     assert jaccard.near_duplicates(none).count() == 0
 
 
