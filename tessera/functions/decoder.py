@@ -15,7 +15,8 @@ from . import board as B
 from . import notation_values as V
 
 PIECES = "KQRBN"
-_BODY = re.compile(r"^(?P<head>.*?)(?P<tail>=?[^=]*)$", re.S)
+#: The hyphen of long notation.
+_LONG = re.compile(r"(?<=[a-h][1-8])[-–](?=[a-h£][1-8lI])")
 
 
 @dataclass
@@ -27,9 +28,13 @@ class NoiseModel:
     places: dict[tuple[str, str], Counter] = field(default_factory=dict)
     unmarked: Counter = field(default_factory=Counter)
     letters: dict[str, str] = field(default_factory=lambda: dict(V.LETTERS["English"]))
+    #: How many symbols were counted, and what follows from them for symbols asked for since.
+    seen: int = 0
+    _known: dict = field(default_factory=dict, repr=False)
 
     def add(self, symbol: str, piece: str, n: int = 1) -> None:
         self.symbols.setdefault(symbol, Counter())[piece] += n
+        self.seen += n
 
     def probability(self, symbol: str, piece: str) -> float:
         """(c + kappa * base) / (n + kappa) for a symbol that was seen; the base alone for another."""
@@ -38,11 +43,38 @@ class NoiseModel:
         base = V.PAWN_PRIOR if piece == "P" else V.PIECE_PRIOR
         if symbol in self.letters:
             base = 0.97 if self.letters[symbol] == piece else math.exp(-V.WRONG_LETTER)
+        elif self.symbols and not (len(symbol) == 1 and symbol in "abcdefgh"):  # a lone file letter is a pawn's file unless seen whole
+            base = self._backed(symbol)[piece]
         seen = self.symbols.get(symbol)
         if not seen:
             return base
         return (seen[piece] + V.KAPPA * base) / (sum(seen.values()) + V.KAPPA)
 
+    def _backed(self, symbol: str) -> dict[str, float]:
+        """What a symbol stands for by its characters: pieces by how often they were seen, characters by how often symbols of the piece have them, both smoothed, and a share of the prior."""
+        key = (symbol, self.seen)
+        if key not in self._known:
+            if not self._known or next(iter(self._known))[1] != self.seen:
+                self._known.clear()
+                self._chars = {p: Counter() for p in PIECES + "P"}
+                self._totals = Counter()
+                for text, by in self.symbols.items():
+                    for p, n in by.items():
+                        self._totals[p] += n
+                        for c in text:
+                            self._chars[p][c] += n
+            kinds = len({c for by in self._chars.values() for c in by}) + V.BACK_UNSEEN
+            score = {}
+            for p, by in self._chars.items():
+                whole = sum(by.values()) + V.BACK_CHAR * kinds
+                share = math.log((self._totals[p] + V.BACK_PIECE) / (self._totals.total() + V.BACK_PIECE * len(self._chars)))
+                score[p] = share + V.BACK_WEIGHT * sum(math.log((by[c] + V.BACK_CHAR) / whole) for c in symbol) / len(symbol)
+            top = max(score.values())
+            total = sum(math.exp(v - top) for v in score.values())
+            prior = lambda p: V.PAWN_PRIOR if p == "P" else V.PIECE_PRIOR
+            self._known[key] = {p: (1 - V.BACK_PRIOR) * math.exp(v - top) / total + V.BACK_PRIOR * prior(p) for p, v in score.items()}
+        return self._known[key]
+
     def cost(self, symbol: str, piece: str) -> float:
         """How dear it is that a symbol stands for a piece, against the best it could stand for."""
         if not symbol:
@@ -120,7 +152,7 @@ class Reading:
 
 def _readings(raw: str) -> list[Reading]:
     """All cuts of a token; what stands before the square is the symbol, with or without a disambiguation and a capture mark."""
-    body = raw.strip(" \n\r\xa0").rstrip(".,;")
+    body = _LONG.sub("", raw.strip(" \n\r\xa0").rstrip(".,;"))
     check = 0
     while body and body[-1] in "+#†‡!?":
         if body[-1] in "!?" and len(body) >= 2 and body[-2] in V.FILE_READINGS and not any(c in "12345678" for c in body[-3:-1]):
@@ -158,8 +190,10 @@ def _heads(head: str, files: tuple, ranks: tuple, promote: str, sign: int, print
         cuts.append((marked[1], True))
     out = []
     for rest, capture in cuts:
-        out.append(Reading(rest, "", capture, files, ranks, promote, sign, printed))
-        for n in (1, 2):
+        whole = bool(re.fullmatch("[KQRBN][a-h][1-8]", rest))  # long notation: the square it comes from is no part of a symbol
+        if not whole:
+            out.append(Reading(rest, "", capture, files, ranks, promote, sign, printed))
+        for n in (2,) if whole else (1, 2):
             if len(rest) >= n and re.fullmatch("[a-h][1-8]|[a-h]|[1-8]", rest[-n:]):
                 out.append(Reading(rest[:-n], rest[-n:], capture, files, ranks, promote, sign, printed))
     return out

@@ -15,6 +15,10 @@ _RESULT = re.compile(r"(?:1-0|0-1|1/2-1/2|½-½|\*)(?=[ \n\r\xa0.,;)]|$)")
 _NUMBER = re.compile(rf"((?:[1-9lISsB][{_DIGIT}]{{0,2}}|[1-9lI] [{_DIGIT}](?= ?\.))) ?(\.(?: ?\. ?\.)?|…)", re.S)
 _CASTLE = r"[O0o]-[O0o](?:-[O0o])?"
 _CLEAR = re.compile(rf"(?:{_CASTLE}|[KQRBNDTLSFCA♔-♟]?[a-h]?[1-8]?[x:×]?[a-h][1-8](?:=?[QRBN♕-♘])?)[+#†‡!?]*$")
+#: A number without a dot, and pairs of numbers that follow each other around plainly printed moves, without dots and with them.
+_BARE = re.compile(r"([1-9][0-9]{0,2})(?=[ \n])")
+_PLAIN = r"(?:(?:[KQRBN]?[a-h1-8]?x?[a-h][1-8](?:=[QRBN])?|[O0]-[O0](?:-[O0])?)[+#!?]*)"
+DOTLESS_PAIR, DOTTED_PAIR = (rf"(?<![\w.,])([0-9]{{1,3}}){dot}{_PLAIN}(?: {_PLAIN})? ([0-9]{{1,3}}){dot}{_PLAIN}(?!\w)" for dot in (" ", r"\. ?"))
 #: Real spaces only: control characters are data.
 _WORD = re.compile("[^ \n\r\xa0]+")
 _SQUARE_END = re.compile(r"[a-h£otqr9€ƒkC]['`’]?[1-8lIi!|\]jBSsbGZzTA?]?[t+#!?=.,;]*$")
@@ -56,6 +60,13 @@ def number_values(raw: str) -> list[int]:
     return out
 
 
+def slipped(printed: str, want: int) -> bool:
+    """Whether a printed number is another one with a single digit misread as one that it is taken for."""
+    digits, own = re.sub(r"\D", "", printed), str(want)
+    wrong = [a + b for a, b in zip(digits, own, strict=False) if a != b]
+    return len(digits) == len(own) and len(wrong) == 1 and (wrong[0] in V.DIGIT_SLIPS or wrong[0][::-1] in V.DIGIT_SLIPS)
+
+
 def _looks(word: str, exact: bool) -> str:
     """strong, weak or an empty string: how much a word looks like a move."""
     bare = word.rstrip(".,;:")
@@ -68,8 +79,8 @@ def _looks(word: str, exact: bool) -> str:
     return ""
 
 
-def tokenize(text: str, exact: bool = False) -> list[Token]:
-    """All words as tokens. A number opens a run; within one, words that look like moves are moves, and a short unreadable word right after a number is one too."""
+def tokenize(text: str, exact: bool = False, dotless: bool = False) -> list[Token]:
+    """All words as tokens; dotless: a number needs no dot before a word that clearly is a move. A number opens a run; within one, words that look like moves are moves, and a short unreadable word right after a number is one too."""
     out: list[Token] = []
     at, expected, since = 0, None, 99
     for word in _WORD.finditer(text):
@@ -90,6 +101,12 @@ def tokenize(text: str, exact: bool = False) -> list[Token]:
                 if not black:
                     expected = value + 1
                 continue
+            bare = _BARE.match(text, at) if dotless else None
+            if bare and (following := _WORD.match(text, bare.end() + 1)) and _looks(following[0], True) and (expected is None or int(bare[1]) in (expected, expected - 1) or since > 1):
+                value, black = int(bare[1]), expected is not None and int(bare[1]) == expected - 1 and since == 1
+                out.append(Token("number", bare[0], at, bare.end(), value, black))
+                at, expected, since = bare.end(), value + 1, 0
+                continue
             glued = None if exact or expected is None else next((g for n in (3, 2, 1) for g in re.finditer(rf"(?<=[1-8lIsSBbGi!t#+])(?=([{_DIGIT}]{{{n}}})\.)", rest) if expected in number_values(g[1])), None)
             if glued:
                 rest = rest[: glued.start()]
@@ -100,7 +117,7 @@ def tokenize(text: str, exact: bool = False) -> list[Token]:
             core = rest.rstrip(")]}")
             shape = _looks(core, exact) if core else ""
             in_run = expected is not None and since < 4
-            if core and not shape and not exact and in_run and since == 1 and _SQUARE_END.search(core) and core.lower() not in _STOP:
+            if core and not shape and not exact and in_run and since == 1 and _SQUARE_END.search(core) and core.lower() not in _STOP and not (len(core) > 4 and core.isalpha() and core.islower()):
                 after = _WORD.search(text, at + len(core))  # one move is missing before the number that must follow
                 following = _NUMBER.match(text, after.start()) if after else None
                 shape = "weak" if following and expected in number_values(following[1]) else ""
@@ -117,8 +134,19 @@ def tokenize(text: str, exact: bool = False) -> list[Token]:
     return out
 
 
+def _confirmed(tokens: list[Token], k: int, number: int, most: int = 4) -> bool:
+    """Whether the next number after token k, a few moves on, is the one after `number`, or the run ends without another."""
+    for t in tokens[k + 1 : k + 2 + most]:
+        if t.kind == "number":
+            return t.number in (number, number + 1)
+        if t.kind != "move":
+            break
+    return True
+
+
 def runs(tokens: list[Token], ahead: int = 1) -> list[Run]:
-    """Runs of moves: a number that fits or is one ahead goes on, anything else closes; brackets give the depth."""
+    """Runs of moves: a number that fits or is one ahead goes on, so does one that a misread digit makes another if the numbers after it agree (it is
+    numbered anew); anything else closes; brackets give the depth."""
     out: list[Run] = []
     run: Run | None = None
     ply, open_at = 0, []  # limits of the open brackets
@@ -141,6 +169,9 @@ def runs(tokens: list[Token], ahead: int = 1) -> list[Run]:
             run = None
         elif t.kind == "number":
             printed = 2 * (t.number - 1) + bool(t.black)
+            if run is not None and not ply <= printed <= ply + ahead and slipped(t.raw, ply // 2 + 1) and _confirmed(tokens, k, ply // 2 + 1):
+                t.number = ply // 2 + 1
+                printed = 2 * (t.number - 1) + bool(t.black)
             if run is None or not ply <= printed <= ply + ahead and not (t.black and printed == ply):
                 run = Run(t.number, bool(t.black), depth, t.start, t.end)
                 out.append(run)
@@ -152,6 +183,20 @@ def runs(tokens: list[Token], ahead: int = 1) -> list[Run]:
     return [r for r in out if r.tokens]
 
 
+def bare_runs(tokens: list[Token]) -> list[Run]:
+    """Moves that stand next to each other under no number, from the first one's side unknown."""
+    inside, out = {id(t) for r in runs(tokens) for t in r.tokens}, []
+    for k, t in enumerate(tokens):
+        if t.kind != "move" or id(t) in inside:
+            continue
+        if out and k and tokens[k - 1] is out[-1].tokens[-1]:
+            out[-1].tokens.append(t)
+            out[-1].end = t.end
+        else:
+            out.append(Run(None, False, 0, t.start, t.end, [t]))
+    return out
+
+
 def clean(run_costs: list[float | None], most_failed: float = 0.2, mean: float = 1.5) -> bool:
     """A run reads cleanly: few failures, none at the start, and cheap on the whole."""
     failed = [c is None for c in run_costs]
@@ -163,51 +208,68 @@ def rows(items: list) -> list[dict]:
     return [asdict(x) for x in items]
 
 
-def printed(sans: list[str], level: str, rng: random.Random, junk: bool) -> str:
-    """A game as a badly printed book has it: move numbers, line breaks and noise at a level's rates."""
-    rate, out = V.LEVELS[level], []
-
-    def hit(name: str) -> bool:
-        return rng.random() < rate[name]
-
-    def place(sq: str) -> str:
-        f, r = sq
-        if f == "f" and hit("f_pound"):
-            f = rng.choice("££££t")
-        elif f in V.FILE_CONFUSIONS and hit("sq"):
-            f = rng.choice(V.FILE_CONFUSIONS[f])
-        if junk and r == "1" and hit("l1"):
-            r = "l"
-        elif junk and r == "8" and hit("s8"):
-            r = "s"
-        elif r in V.RANK_CONFUSIONS and hit("sq"):
-            r = rng.choice(V.RANK_CONFUSIONS[r])
-        return f + r
-
-    def move(san: str) -> str:
-        m = re.fullmatch(r"([KQRBN]?)([a-h]?[1-8]?)(x?)([a-h][1-8])(?:=([QRBN]))?([+#]?)", san)
-        if not m:
-            return san.replace("O", "0") if junk else san
-        piece, which, cross, to, promoted, sign = m.groups()
-        if piece:
-            piece = "" if hit("drop") else rng.choice(V.JUNK[piece]) if junk else piece
-        if cross:
-            cross = "" if hit("xdrop") else rng.choice(["x:", ":x"]) if junk and hit("xvar") else "x"
-        sign = "" if sign and hit("chkdrop") else sign.replace("+", "t") if junk else sign
-        return piece + which + cross + place(to) + (f"={rng.choice(V.JUNK[promoted]) if junk else promoted}" if promoted else "") + sign
+@dataclass(frozen=True)
+class Edit:
+    """A misprint: the rate at which it happens, the words it happens in (move or number), whether only junk fonts have it, what it replaces and what may stand there."""
+
+    rate: str
+    words: str
+    junk: bool
+    pattern: re.Pattern
+    options: tuple[str, ...]
+
+    def made(self, word: str, rates: dict[str, float], rng: random.Random) -> str:
+        return self.pattern.sub(lambda m: m.expand(rng.choice(self.options)) if rng.random() < rates[self.rate] else m[0], word)
 
+
+def _edits() -> list[Edit]:
+    """All misprints in the order in which they are made: number, capture mark, sign, square from its rank to its file, piece. Each is independent of the others."""
+    end, out = r"(?=(?:=[QRBN])?[+#t]?$)", []
+
+    def edit(rate: str, pattern: str, *options: str, words: str = "move", junk: bool = False) -> None:
+        out.append(Edit(rate, words, junk, re.compile(pattern), options))
+
+    edit("ocrnum", "1", "l", "I", words="number")
+    edit("ocrnum", "0", "O", "o", words="number")
+    edit("split", r"^(\w)(\w)\.$", r"\1 \2.", words="number")
+    edit("xvar", "x", "x:", ":x", junk=True)
+    edit("xdrop", ":?x:?", "")
+    edit("chkdrop", "[+#]$", "")
+    edit("always", r"\+$", "t", junk=True)
+    edit("l1", f"1{end}", "l", junk=True)
+    edit("s8", f"8{end}", "s", junk=True)
+    for rank, others in V.RANK_CONFUSIONS.items():
+        edit("sq", rank + end, *others)
+    edit("f_pound", r"f(?=\S(?:=[QRBN])?[+#t]?$)", *V.POUND)
+    for file, others in V.FILE_CONFUSIONS.items():
+        edit("sq", rf"{file}(?=\S(?:=[QRBN])?[+#t]?$)", *others)
+    edit("drop", "^[KQRBN]", "")
+    for piece, signs in V.JUNK.items():
+        edit("always", f"^{piece}|(?<==){piece}", *[x.replace("\\", r"\\") for x in signs], junk=True)
+    edit("always", "O", "0", junk=True)
+    return out
+
+
+EDITS = _edits()
+
+
+def misprinted(word: str, words: str, rates: dict[str, float], rng: random.Random, junk: bool) -> str:
+    for e in EDITS:
+        if e.words == words and (junk or not e.junk):
+            word = e.made(word, rates, rng)
+    return word
+
+
+def printed(sans: list[str], level: str, rng: random.Random, junk: bool) -> str:
+    """A game as a badly printed book has it: each word is misprinted by itself at a level's rates, then words are set in lines."""
+    rates, lines = V.LEVELS[level] | {"always": 1.0}, ""
     for k, san in enumerate(sans):
-        number = str(k // 2 + 1)
-        head = ""
+        move, number = misprinted(san, "move", rates, rng, junk), str(k // 2 + 1)
         if k % 2 == 0:
-            if hit("ocrnum"):
-                number = number.replace("1", rng.choice("lI")).replace("0", rng.choice("Oo"))
-            if len(number) == 2 and hit("split"):
-                number = f"{number[0]} {number[1]}"
-            head = number + "."
-        elif hit("black_repeat"):
-            head = number + "..."
-        body = move(san)
-        gap = "" if k and head and k % 2 == 0 and " " not in number and out[-1][-1] in "12345678" and hit("glue") else ("\n" if rng.random() < 0.12 else " ")
-        out.append((gap if k else "") + head + body)
-    return "".join(out)
+            number = misprinted(f"{number}.", "number", rates, rng, junk)
+        else:
+            number = f"{number}..." if rng.random() < rates["black_repeat"] else ""
+        stuck = k % 2 == 0 and lines[-1:].isdigit() and " " not in number and rng.random() < rates["glue"]
+        gap = "" if stuck or not lines else "\n" if rng.random() < V.LINE_BREAK else " "
+        lines += gap + number + move
+    return lines

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from . import board as B
+from . import notation_values as V
 from .decoder import Decoder
 
 #: How much dearer the runner-up must be, moves that must read, mean cost of a proof, most moves looked at.
@@ -42,6 +45,51 @@ def fill(decoder: Decoder, fen: str, following: list[str], missing: int = 1) ->
     return names
 
 
+def _sure(decoder: Decoder, fen: str, raws: list[str]) -> list[dict]:
+    """The moves of a run up to the first in doubt; none unless the first is cheap and the first four (or all) read without doubt, with squares as printed."""
+    rows = decoder.run(fen, raws) if raws else []
+    good = 0
+    for r in rows:
+        printed, to = r["printed"], re.search(r"([a-h])([1-8])(?:=[QRBN])?[+#]?$", r["san"] or "")
+        odd = [c for c, own in zip(printed, to.groups(), strict=False) if c not in (own, "-")] if to else []
+        misread = any(c in "abcdefgh12345678" for c in odd) or (odd and r["cost"] > V.ON_SQUARE)
+        if r["status"] != "ok" or misread:
+            break
+        good += 1
+    need = min(V.ON_CHECK, len(rows))
+    return rows[:good] if rows and good >= need and rows[0]["cost"] <= V.ON_COST else []
+
+
+def read_on(decoder: Decoder, fen: str, ply: int, runs: list[tuple[int, str, list[str]]], declined: frozenset[str] = frozenset(), steps: int = V.ON_STEPS) -> tuple[list[dict], str]:
+    """Go on by itself from a position before ply: runs (ply of the first move, key, printed moves) are taken in order. One that starts there is joined, one that starts one or two plies later if the missing moves
+    are decided (fill); what is joined must read surely, and is cut where it does not. Steps made (how, key, moves, san of what was filled) and the reason to stop. No proof, no step."""
+    made: list[dict] = []
+    for at, key, raws in runs[:steps]:
+        gap = at - ply
+        if key in declined:
+            return made, "the reader took this step back"
+        if gap < 0:
+            return made, "the next moves are a variation"
+        if gap > V.ON_AHEAD:
+            return made, "nothing more follows the line"
+        if gap > V.ON_FILL:
+            return made, "too many moves are missing"
+        filled = fill(decoder, fen, raws, gap) if gap else []
+        if filled is None:
+            return made, "the missing moves are not decided"
+        p = B.read_fen(fen)
+        for name in filled:
+            p = B.play(p, B.read_san(p, name))
+        rows = _sure(decoder, B.write_fen(p), raws)
+        if not rows:
+            return made, "the next moves do not read surely"
+        made.append({"how": "filled" if gap else "joined", "key": key, "filled": filled, "moves": [r["san"] for r in rows]})
+        fen, ply = rows[-1]["fen"], at + len(rows)
+        if len(rows) < len(raws):
+            return made, "a printed move is in doubt"
+    return made, "the step limit is reached" if len(runs) > steps else "the text is read to its end"
+
+
 def square(decoder: Decoder, fen: str, raws: list[str]) -> str | None:
     """The position with the one square changed that makes all moves read, if exactly one change does."""
     p = B.read_fen(fen)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .notation_values import DIGIT_SLIPS, SQUARE_FILES, SQUARE_RANKS
+
 #: What counts as space at the ends of a token; control characters are data.
 REAL_SPACES = " \n\r "
 #: Letters that stand for digits in a badly printed number.
@@ -38,6 +40,30 @@ def number_values(col: Column) -> Column:
     return F.when(fits, F.array_distinct(F.array(first, second))).otherwise(F.array().cast("array<int>"))
 
 
+def digit_slip(raw: Column, want: Column) -> Column:
+    """Whether a printed number is another one with a single digit misread as one that it is taken for."""
+    digits, own = F.regexp_replace(raw, "[^0-9]", ""), want.cast("string")
+    pairs = F.zip_with(F.split(digits, ""), F.split(own, ""), lambda a, b: F.array_join(F.array_sort(F.array(a, b)), ""))
+    wrong = F.filter(pairs, lambda x: F.substring(x, 1, 1) != F.substring(x, 2, 1))
+    return (F.length(digits) == F.length(own)) & (F.size(wrong) == 1) & F.coalesce(F.get(wrong, 0).isin(*["".join(sorted(x)) for x in DIGIT_SLIPS]), F.lit(False))
+
+
+def printed_squares(raw: Column) -> Column:
+    """Every square that a printed token may show, misread files and ranks included: place (from 0) and possible squares."""
+    at = F.sequence(F.lit(0), F.length(raw) - 2)
+    file = lambda i: F.coalesce(lookup(F.substr(raw, i + 1, F.lit(1)), SQUARE_FILES), F.substr(raw, i + 1, F.lit(1)))
+    rank = lambda i: F.substr(raw, i + 2, F.lit(1))
+    ranks = lambda i: F.when(rank(i).rlike("[1-8]"), rank(i)).otherwise(F.coalesce(lookup(rank(i), SQUARE_RANKS), F.lit("")))
+    found = F.transform(at, lambda i: F.struct(i.alias("at"), F.when(file(i).rlike("^[a-h]$") & (ranks(i) != ""), F.transform(F.split(ranks(i), ""), lambda r: F.concat(file(i), r))).alias("squares")))
+    return F.when(F.length(raw) >= 2, F.filter(found, lambda x: x["squares"].isNotNull())).otherwise(F.array().cast("array<struct<at:int,squares:array<string>>>"))
+
+
+def word_part(x0: Column, x1: Column, chars: Column, first: Column, last: Column) -> Column:
+    """The edges of characters first to last (excluded) of a word, cut in proportion to its characters."""
+    wide = (x1 - x0) / F.greatest(chars, F.lit(1))
+    return F.struct((x0 + wide * first).alias("x0"), (x0 + wide * last).alias("x1"))
+
+
 def ply(number: Column, black: Column) -> Column:
     return (number - 1) * 2 + F.when(black, 1).otherwise(0)
 

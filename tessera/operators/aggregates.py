@@ -36,14 +36,14 @@ def shares(df: DataFrame, by: list[str], value: str, least_share: float, least:
     return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*by))).where((F.col("n") >= least) & (F.col("n") >= least_share * F.col("total")))
 
 
-def assign(df: DataFrame, left: str, right: str, support: str, rounds: int = 100) -> DataFrame:
+def assign(df: DataFrame, left: str, right: str, support: str) -> DataFrame:
     """One-to-one pairs by falling support. Each round takes all pairs that are the best of both their sides; what touches them leaves.
 
-    This gives what a greedy pass in order gives, as order (support, left, right) is total.
+    This gives what a greedy pass in order gives, as order (support, left, right) is total. Each round takes the best pair that is left at least, so it ends.
     """
     rest, out = df.select(left, right, support), None
     order = [F.col(support).desc(), F.col(left), F.col(right)]
-    for _ in range(rounds):
+    while True:
         ranked = rest.select("*", F.row_number().over(Window.partitionBy(left).orderBy(*order)).alias("_l"), F.row_number().over(Window.partitionBy(right).orderBy(*order)).alias("_r"))
         taken = cut(ranked.where("_l = 1 and _r = 1").drop("_l", "_r"))
         out = taken if out is None else out.unionByName(taken)
@@ -51,7 +51,6 @@ def assign(df: DataFrame, left: str, right: str, support: str, rounds: int = 100
         rest = cut(left_over)
         if rest.isEmpty():
             return out
-    raise RuntimeError("assignment did not end")
 
 
 def posterior(counts: DataFrame, by: str, value: str, n: str, values: int, kappa: float = 2.0, base: Column | None = None) -> DataFrame:
@@ -60,6 +59,33 @@ def posterior(counts: DataFrame, by: str, value: str, n: str, values: int, kappa
     return counts.withColumn("p", (F.col(n) + kappa * base) / (F.sum(n).over(Window.partitionBy(by)) + kappa))
 
 
+def backed_off(counts: DataFrame, by: str, value: str, n: str, kappa: float = 2.0, prior: float = 1.0) -> DataFrame:
+    """Probability of each value given its key, backed off to how common the value is at all: (c + kappa * base) / (n + kappa), base = (total + prior) / (all + prior * values). The values' totals are a row each and broadcast."""
+    base = counts.groupBy(value).agg(F.sum(n).alias("_t"))
+    whole = base.agg(F.sum("_t").alias("_all"), F.count("*").alias("_values"))
+    base = base.crossJoin(F.broadcast(whole)).select(value, ((F.col("_t") + prior) / (F.col("_all") + prior * F.col("_values"))).alias("_b"))  # one row
+    return counts.join(base, value).withColumn("p", (F.col(n) + kappa * F.col("_b")) / (F.sum(n).over(Window.partitionBy(by)) + kappa)).drop("_b")
+
+
+def mean_mask(df: DataFrame, by: list[str], vector: str, above: float = 0.5) -> DataFrame:
+    """Per group and position whether the mean of the vectors is over a threshold: sums by position, so no group meets in a task."""
+    each = df.select(*by, F.posexplode(vector).alias("pos", "_x")).groupBy(*by, "pos").agg(F.avg("_x").alias("mean"))
+    return each.withColumn("mask", F.col("mean") > above)
+
+
+def group_medians(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Exact medians of columns per group, each from counts of distinct values: the mean of the two middle ones."""
+    out = None
+    for c in columns:
+        counts = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("n"))
+        w = Window.partitionBy(*by)
+        placed = counts.select("*", F.sum("n").over(w.orderBy(c)).alias("_to"), F.sum("n").over(w).alias("_all"))
+        low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+        one = placed.groupBy(*by).agg(((F.min(F.when(F.col("_to") > low, F.col(c))) + F.min(F.when(F.col("_to") > high, F.col(c)))) / 2).alias(c))
+        out = one if out is None else out.join(one, by, "full_outer")
+    return out
+
+
 def otsu(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The threshold that separates each group's values best into two classes: running sums over counts of distinct values."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))

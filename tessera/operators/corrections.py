@@ -52,12 +52,35 @@ def maintained(stored: DataFrame, old: DataFrame, new: DataFrame, by: str, deriv
     return stored.join(hit, by, "left_anti").unionByName(derive(new.join(hit, by, "left_semi")))
 
 
-def patch(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """What changed between two views: added, removed or changed rows by key."""
-    o, n = old.select(F.col(key).alias("_ok"), F.struct("*").alias("_o")), new.select(F.col(key).alias("_nk"), F.struct("*").alias("_n"))
+def patch(old: DataFrame, new: DataFrame, id: str, key: str | None = None, path: str | None = None) -> DataFrame:
+    """What changed between two views: rows by id that are added, removed or changed, and for removed ones `renamed`: the added id with the same key or, where a row has none, with the same path."""
+    o, n = old.select(F.col(id).alias("_ok"), F.struct("*").alias("_o")), new.select(F.col(id).alias("_nk"), F.struct("*").alias("_n"))
     both = o.join(n, F.col("_ok") == F.col("_nk"), "full_outer")
     kind = F.when(F.col("_ok").isNull(), "added").when(F.col("_nk").isNull(), "removed").when(~F.col("_o").eqNullSafe(F.col("_n")), "changed")
-    return both.withColumn("change", kind).where("change is not null").select(F.coalesce("_nk", "_ok").alias(key), "change")
+    out = both.withColumn("change", kind).where("change is not null").select(F.coalesce("_nk", "_ok").alias(id), "change", "_o")
+    to = F.lit(None).cast(new.schema[id].dataType)
+    for k, by in enumerate(c for c in (key, path) if c):
+        has = F.col(f"_o.{by}").isNotNull() & (F.lit(k == 0) | F.col(f"_o.{key}").isNull())
+        own = new.where(F.col(by).isNotNull() & (F.lit(k == 0) | F.col(key).isNull())).groupBy(F.col(by).alias(f"_by{k}")).agg(F.min(id).alias(f"_to{k}"))
+        out = out.join(own, has & (F.col("change") == "removed") & (F.col(f"_o.{by}") == F.col(f"_by{k}")), "left")
+        to = F.coalesce(to, F.col(f"_to{k}"))
+    return out.select(id, "change", *([to.alias("renamed")] if key or path else []))
+
+
+def recounted(counts: DataFrame, old: DataFrame, new: DataFrame, by: str, measures: dict[str, Column]) -> DataFrame:
+    """Counts by group after a change: only groups whose rows differ are counted again. A group that is gone leaves."""
+    count = lambda rows: rows.groupBy(by).agg(*[c.alias(name) for name, c in measures.items()])
+    return maintained(counts, old, new, by, count)
+
+
+def what_if(base: DataFrame, fixes: DataFrame, extra: DataFrame, key: str, columns: dict[str, str], by: str, status: Column) -> DataFrame:
+    """What further corrections would change: for each group that they touch the rows by status before and after. Nothing is stored."""
+    before = applied(base, canonical(fixes), key, columns)
+    after = applied(base, canonical(fixes.unionByName(extra)), key, columns)
+    hit = touched(before, after, by)
+    count = lambda rows, name: rows.join(hit, by, "left_semi").groupBy(by, status.alias("status")).agg(F.count("*").alias(name))
+    both = count(before, "before").join(count(after, "after"), [by, "status"], "full_outer")
+    return both.select(by, "status", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
 
 
 def selected(pages: DataFrame, page: str, ranges: DataFrame, width: int = 64) -> DataFrame:

@@ -5,7 +5,10 @@ Lines come already extracted: page, line_no, x0, y0, x1, y1, text, font, size (a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +70,16 @@ def line_roles(lines: DataFrame, roles: DataFrame, head: float, foot: float) ->
     return first.withColumn("role", F.when(inside, "text").otherwise(F.col("role")))
 
 
-def chapters(lines: DataFrame, last_page: int) -> DataFrame:
-    """Chapters from headings among the first six lines of a page: the style on most pages (larger size on ties), one a page; each ends before the next starts."""
-    w = Window.partitionBy("page").orderBy("line_no")
+def chapters(lines: DataFrame, last_page: int, book: str | None = None) -> DataFrame:
+    """Chapters from headings among the first six lines of a page: the style on most pages (larger size on ties), one a page; each ends before the next starts. With `book`, a column, each book by itself."""
+    by, lines = [book or "_one"], lines if book else lines.withColumn("_one", F.lit(0))
+    w = Window.partitionBy(*by, "page").orderBy("line_no")
     top = lines.where("role not in ('head', 'blank')").withColumn("_n", F.row_number().over(w)).where("_n <= 6 and role = 'heading'")
-    style = top.groupBy("font", "size").agg(F.count_distinct("page").alias("pages")).where("pages >= 2").agg(F.max_by(F.struct("font", "size"), F.struct("pages", "size")).alias("s"))
-    own = top.crossJoin(F.broadcast(style)).where("font = s.font and size = s.size")  # one row
-    starts = own.groupBy("page").agg(F.min_by(F.trim("text"), "line_no").alias("title"))
-    after = F.lead("page").over(Window.orderBy("page"))  # a row a chapter
-    return starts.select("title", F.col("page").alias("start"), F.coalesce(after - 1, F.lit(last_page)).alias("end"))
+    style = top.groupBy(*by, "font", "size").agg(F.count_distinct("page").alias("pages")).where("pages >= 2").groupBy(*by).agg(F.max_by(F.struct("font", "size"), F.struct("pages", "size")).alias("s"))
+    own = top.join(style, by).where("font = s.font and size = s.size")
+    starts = own.groupBy(*by, "page").agg(F.min_by(F.trim("text"), "line_no").alias("title"))
+    after = F.lead("page").over(Window.partitionBy(*by).orderBy("page"))  # a row a chapter
+    return starts.select(*([book] if book else []), "title", F.col("page").alias("start"), F.coalesce(after - 1, F.lit(last_page)).alias("end"))
 
 
 def reading_order(lines: DataFrame, gutter: DataFrame, body: float) -> DataFrame:
@@ -138,7 +142,7 @@ def unglued(text: Column, title: str) -> Column:
 
 
 #: Words that lead a move in prose, by what they say about it.
-CUES = {"threat": r"(?i)\b(threat(?:en(?:s|ing)?|s)?|intending|with the idea)\b", "alternative": r"(?i)\b(or|instead|if|better(?: was)?|after)\b[^.]{0,12}$", "follow": r"(?i)\b(followed by|and then|then)\b[^.]{0,12}$", "bare": r"(?i)\b(e\.g\.|for example|namely)\b"}
+CUES = {"threat": r"(?i)\b(threat(?:en(?:s|ing)?|s)?|intending|with the idea)\b", "alternative": r"(?i)\b(or|instead|if|better(?: was)?|after)\b[^.]{0,12}$", "follow": r"(?i)\b(followed by|and then|then)\b[^.]{0,12}$", "bare": r"(?i)\b(e\.g\.|for example|namely)(?![a-z])", "range": r"(?i)\bmoves? +[0-9]{1,3} *(?:-|–|to) *[0-9]{1,3}\b"}
 
 
 def cue(before: Column) -> Column:
@@ -168,3 +172,85 @@ def run_fit(costs: DataFrame, run: str, cost: str, failed: str) -> DataFrame:
 def reached(nodes: DataFrame, diagrams: DataFrame) -> DataFrame:
     """Nodes whose position equals a diagram's placement: an equi join on the first field."""
     return nodes.withColumn("_p", F.element_at(F.split("fen", " "), 1)).join(diagrams.select(F.col("placement").alias("_p"), F.col("id").alias("diagram")), "_p").drop("_p")
+
+
+def clean_runs(costs: DataFrame, run: str, order: str, cost: str, failed: str, most_failed: float = 0.2, mean: float = 1.5) -> DataFrame:
+    """Runs that read cleanly: few failures, none at the start, and cheap on the whole."""
+    agg = costs.groupBy(run).agg(F.avg(F.when(~F.col(failed), F.col(cost))).alias("_mean"), F.avg(F.col(failed).cast("int")).alias("_share"), F.min_by(failed, order).alias("_first"))
+    return agg.where(~F.col("_first") & (F.col("_share") <= most_failed) & (F.col("_mean") <= mean)).select(run)
+
+
+def moves_only(text: Column) -> Column:
+    """Whether a line holds moves, numbers, results and signs and nothing else."""
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    return (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(MOVE_WORD) | w.rlike(r"^(?:[0-9]{1,3}\.(?:\.\.)?|1-0|0-1|1/2-1/2|[!?+#=]{1,2})$")) & F.exists(words, lambda w: w.rlike(MOVE_WORD))
+
+
+def word_classes(words: DataFrame, roles: DataFrame) -> DataFrame:
+    """All columns and `main`: whether a word stands in the font of moves (or, in a book without one, in the heading's or body's) and not in a note's. The roles of fonts are few and broadcast."""
+    own = roles.select(F.col("font").alias("_f"), F.col("role").alias("_r"))
+    has = F.broadcast(own.agg(F.max((F.col("_r") == "moves").cast("int")).alias("_own")))
+    known = words.join(F.broadcast(own), F.col("font") == F.col("_f"), "left").crossJoin(has)  # one row
+    return known.withColumn("main", F.when(F.col("_own") == 1, F.coalesce(F.col("_r") == "moves", F.lit(False))).otherwise(F.coalesce(F.col("_r").isin("body", "heading"), F.lit(False)))).drop("_f", "_r", "_own")
+
+
+#: What stands in the notes where words of the main font are left out.
+NOTE_BREAK = "¶"
+
+
+def buffers(words: DataFrame, line: list[str]) -> DataFrame:
+    """Three texts of one length for each line: all words, those of the main font, and the notes, where each run of main words starts with a break; what is left out is blank. words: line columns, word_no, text, main."""
+    blank = F.rpad(F.lit(""), F.length("text"), F.lit(" "))
+    before = F.lag("main").over(Window.partitionBy(*line).orderBy("word_no"))
+    note = F.when(~F.col("main"), F.col("text")).when(F.coalesce(before, F.lit(False)), blank).otherwise(F.rpad(F.lit(NOTE_BREAK), F.length("text"), F.lit(" ")))
+    parts = words.select(*line, F.struct("word_no", F.col("text").alias("original"), F.when(F.col("main"), F.col("text")).otherwise(blank).alias("main_text"), note.alias("note_text")).alias("w"))
+    lists = parts.groupBy(*line).agg(F.array_sort(F.collect_list("w")).alias("w"))
+    return lists.select(*line, *[F.array_join(F.col("w")[n], " ").alias(n) for n in ("original", "main_text", "note_text")])
+
+
+def solutions(items: DataFrame, diagrams: DataFrame, book: str) -> DataFrame:
+    """The exercise diagram of each numbered solution. items: book, at, label; diagrams: book, at, id, label, main (of the main series), section.
+
+    In order of the text: the first diagram with the label after the one that the solution before took and before the solution, outside the main series first; else the only diagram of the book with the label; else, for
+    number n, the n-th diagram without a label of a section, sections in order, a new one each time that solutions start again. A solution needs those before it, so a book is walked in order: rows are sorted in their partition and streamed."""
+    d = diagrams.select(book, "at", F.lit(0).alias("_k"), F.col("id").cast("string").alias("id"), "label", "main", "section")
+    rows = d.unionByName(items.select(book, "at", F.lit(1).alias("_k"), F.lit(None).cast("string").alias("id"), "label", F.lit(None).cast("boolean").alias("main"), F.lit(None).cast(d.schema["section"].dataType).alias("section")))
+    only = diagrams.where("label is not null").groupBy(book, "label").agg(F.count("*").alias("_n"))
+    rows = rows.join(only, [book, "label"], "left")
+    kind = items.schema[book].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict = {}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r[book] != now.get("book", now):
+                    now = {"book": r[book], "seen": [], "pointer": -1, "last": None, "group": -1}
+                if r["_k"] == 0:
+                    now["seen"].append(r)
+                    continue
+                label, n = r["label"], int(r["label"]) if (r["label"] or "").isdigit() else None
+                again = n is not None and (now["last"] is None or n <= now["last"])
+                now["last"] = n if n is not None else now["last"]
+                at = next((k for main in (False, True) for k, x in enumerate(now["seen"]) if k > now["pointer"] and x["label"] == label and (main or not x["main"])), None)
+                if at is not None:
+                    now["pointer"] = at
+                elif r["_n"] == 1:
+                    at = next((k for k, x in enumerate(now["seen"]) if x["label"] == label), None)
+                if at is None and n is not None:
+                    now["group"] += again
+                    groups: list[list[int]] = []
+                    for k, x in enumerate(now["seen"]):
+                        if x["label"] is None:
+                            if not groups or now["seen"][groups[-1][-1]]["section"] != x["section"]:
+                                groups.append([])
+                            groups[-1].append(k)
+                    if 0 <= now["group"] < len(groups) and n <= len(groups[now["group"]]):
+                        at = groups[now["group"]][n - 1]
+                        now["pointer"] = max(now["pointer"], at)
+                out.append((r[book], r["at"], label, now["seen"][at]["id"] if at is not None else None))
+            cols = [list(c) for c in zip(*out, strict=True)] or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(book).type), pa.array(cols[1], batch.schema.field("at").type), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=[book, "at", "label", "diagram"])
+
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, book).sortWithinPartitions(book, "at", "_k", "id").mapInArrow(walk, f"{book} {kind}, at {items.schema['at'].dataType.simpleString()}, label string, diagram string")

@@ -10,11 +10,13 @@ import random
 from collections.abc import Iterator
 from dataclasses import asdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import board, notation, tree
+from ..functions import board, notation, repair, tree
+from ..functions import notation_values as V
 from ..functions.decoder import Decoder, NoiseModel
 
 TOKEN = "kind string, raw string, start int, end int, number int, black boolean"
@@ -115,6 +117,23 @@ def printed_games(keys: DataFrame, key: str, level: str, junk: bool, seed: int =
     return keys.select(key).mapInPandas(run, f"{key} {keys.schema[key].dataType.simpleString()}, truth array<string>, text string")
 
 
+def printed_boards(df: DataFrame, key: str, plies: int) -> DataFrame:
+    """All columns and `board`: eight lines of the position after a game of random legal moves, the same for equal keys."""
+
+    def make(k: object) -> tuple:
+        p, rng = board.read_fen(board.START), random.Random(str(k))
+        for _ in range(plies):
+            p = board.play(p, rng.choice(board.legal(p)))
+        return ("\n".join("".join(p.squares[8 * r : 8 * r + 8]) for r in range(7, -1, -1)),)
+
+    return _rows(df, [key], make, "board string")
+
+
+def position_counts(df: DataFrame, fen: str, depth: str) -> DataFrame:
+    """All columns and `nodes`: how many positions so many plies of legal moves lead to."""
+    return _rows(df, [fen, depth], lambda f, d: (board.perft(board.read_fen(f), int(d)),), "nodes long")
+
+
 def main_runs(df: DataFrame, key: str, text: str) -> DataFrame:
     """The printed moves of each text's main runs, one after the other, from the initial position."""
     found = runs(df, key, text).where("depth = 0")
@@ -198,6 +217,98 @@ def suggestions(ends: DataFrame, printed: DataFrame, most_plies: int = 4, most_p
     return pairs.groupBy("book", "line").agg(F.min_by(F.struct(F.col("_l").alias("from_line"), F.col("_o").alias("at"), (F.col("_y") - F.col("ply")).alias("gap"), "moves"), "_o").alias("s")).select("book", "line", "s.*")
 
 
+def numbering(df: DataFrame, by: list[str], text: str) -> DataFrame:
+    """How texts of a group number their moves: pairs of consecutive numbers around plain moves without dots and with them, and whether numbers without dots are to be read."""
+    flat = F.regexp_replace(F.col(text), r"\s+", " ")
+    pairs = lambda shape: F.size(F.filter(F.arrays_zip(F.regexp_extract_all(flat, F.lit(shape), 1).alias("a"), F.regexp_extract_all(flat, F.lit(shape), 2).alias("b")), lambda x: x["b"].cast("int") == x["a"].cast("int") + 1))
+    counts = df.select(*by, pairs(notation.DOTLESS_PAIR).alias("dotless"), pairs(notation.DOTTED_PAIR).alias("dotted")).groupBy(*by).agg(F.sum("dotless").alias("dotless"), F.sum("dotted").alias("dotted"))
+    return counts.withColumn("reads_dotless", (F.col("dotless") >= V.DOTLESS_LEAST) & (F.col("dotless") >= V.DOTLESS_SHARE * F.col("dotted")))
+
+
+def noise_rates(decoded: DataFrame) -> DataFrame:
+    """How often moves that were read show each kind of misprint: one row of counts and rates. Failed moves and castling tell nothing of squares."""
+    d = decoded.select(F.explode("decoded").alias("d")).select("d.*")
+    to = lambda k: F.regexp_extract("san", "([a-h])([1-8])(?:=[QRBN])?[+#]?$", k)
+    told = F.col("san").isNotNull() & ~F.col("san").startswith("O")
+    piece, takes, check = told & F.col("san").rlike("^[KQRBN]"), told & F.col("san").contains("x"), told & F.col("san").rlike("[+#]$")
+    at = lambda k: F.substring("printed", k, 1)
+    kinds = {
+        "vanished": (piece, F.col("symbol") == ""), "file": (told, at(1) != to(1)), "rank": (told, at(2) != to(2)),
+        "mark": (takes, at(3) != "x"), "sign": (check, ~F.col("raw").rlike("[+#†‡t][!?]*$")),
+    }
+    counts = d.agg(F.count("*").alias("moves"), F.count_if(F.col("status") == "failed").alias("failed"), *[x for name, (among, odd) in kinds.items() for x in (F.count_if(among).alias(f"{name}_of"), F.count_if(among & odd).alias(name))])
+    return counts.select("*", *[F.round(F.col(name) / F.greatest(F.col(f"{name}_of"), F.lit(1)), 6).alias(f"{name}_rate") for name in kinds])
+
+
+def _rows(df: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """All columns and what make() gives for those named; positions are read in Python, a row at a time in Arrow batches."""
+    names = [c.strip().split(" ")[0] for c in _columns(schema)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = [make(*(list(x) if isinstance(x, np.ndarray) else x for x in row)) for row in zip(*(pdf[c] for c in columns), strict=True)]
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(made, columns=names)], axis=1)
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{own}, {schema}")
+
+
+def filled(df: DataFrame, fen: str, following: str, missing: str) -> DataFrame:
+    """The missing moves before printed ones, where they are decided."""
+    return _rows(df, [fen, following, missing], lambda f, m, n: (repair.fill(Decoder(), f, m, int(n)),), "filled array<string>")
+
+
+def paths(df: DataFrame, start: str, placement: str, plies: str) -> DataFrame:
+    """Moves from a position to a placement in at most so many plies."""
+    return _rows(df, [start, placement, plies], lambda s, p, n: (repair.path(s, p, int(n)),), "path array<string>")
+
+
+def repaired(df: DataFrame, fen: str, moves: str) -> DataFrame:
+    """The position with the one square changed that makes all moves read."""
+    return _rows(df, [fen, moves], lambda f, m: (repair.square(Decoder(), f, m),), "repaired string")
+
+
+def regions(df: DataFrame, fen: str, moves: str) -> DataFrame:
+    """Moves of a region read with the side that the position names or the other, and whether it was changed."""
+
+    def make(f: str, m: list[str]) -> tuple:
+        rows, changed = repair.region(Decoder(), f, m)
+        return [r["san"] for r in rows], changed
+
+    return _rows(df, [fen, moves], make, "read array<string>, changed boolean")
+
+
+def read_on(df: DataFrame, fen: str, ply: str, runs: str, declined: str) -> DataFrame:
+    """Lines read on by themselves from their last position: steps made (as text), moves gained and the reason to stop. runs: array of structs ply, key, moves."""
+
+    def make(f: str, p: int, found: list, skip: list) -> tuple:
+        made, why = repair.read_on(Decoder(), f, int(p), [(int(r["ply"]), r["key"], list(r["moves"])) for r in found], frozenset(skip))
+        return [" ".join([x["how"], x["key"], *x["filled"], "|", *x["moves"]]) for x in made], sum(len(x["filled"]) + len(x["moves"]) for x in made), why
+
+    return _rows(df, [fen, ply, runs, declined], make, "steps array<string>, gained int, stop string")
+
+
+def assembled_chapters(df: DataFrame, book: str, chapter: str, text: str) -> DataFrame:
+    """Lines of each chapter, where the first run of a chapter may go on from the line before. A chapter needs the one before it, so a book's chapters are streamed in order."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (book, chapter)}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, before = None, None
+        for pdf in frames:
+            out = []
+            for b, c, t in zip(pdf[book], pdf[chapter], pdf[text], strict=True):
+                before = before if b == now else None
+                now = b
+                lines = tree.assemble(t or "", Decoder(), before=before)
+                before = next((x for x in reversed(lines) if x.nodes), None)
+                out += [(b, c, x.id, x.joins, x.title, x.result, [f"{n.ply} {n.san} {n.status}" for n in x.nodes if n.main], len(x.waiting)) for x in lines]
+            yield pd.DataFrame(out, columns=[book, chapter, "line", "joins", "title", "result", "moves", "waiting"]).astype(object)
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(book, chapter, text).repartition(n, book).sortWithinPartitions(book, chapter)
+    return rows.mapInPandas(run, f"{book} {kinds[book]}, {chapter} {kinds[chapter]}, line int, joins int, title string, result string, moves array<string>, waiting int")
+
+
 def listings(df: DataFrame, key: str, text: str, model: NoiseModel | None = None) -> DataFrame:
     """Each text's lines as listings: line, place, depth and text, variations nested."""
     shared = df.sparkSession.sparkContext.broadcast(model or NoiseModel())

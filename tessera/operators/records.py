@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,25 @@ def delete(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 def newest_first(stored: DataFrame, opened: str, added: str) -> DataFrame:
     return stored.orderBy(F.coalesce(opened, added).desc())
+
+
+def created(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The stored table, made empty if there is none yet: what is there stays. Keys are kept by what writes to it (upsert, insert_ignore)."""
+    from ..streaming.streams import _exists
+
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def owned(stored: DataFrame, owner: Column, kind: Column) -> DataFrame:
+    """An owner's records of a kind; both filters reach the scan."""
+    return stored.where(owner & kind)
+
+
+def with_marks(books: DataFrame, marks: DataFrame, keys: list[str], order: list[str], name: str = "marks") -> DataFrame:
+    """Each record with its marks in order; an empty list where it has none."""
+    values = F.struct(*order, *[c for c in marks.columns if c not in (*keys, *order)])
+    each = marks.groupBy(*keys).agg(F.array_sort(F.collect_list(values)).alias(name))
+    kind = each.schema[name].dataType
+    return books.join(each, keys, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))

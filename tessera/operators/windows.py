@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,28 +52,57 @@ def run_starts(numbers: Column) -> Column:
     return F.when(F.size(numbers) > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
-def main_series(df: DataFrame, by: str, order: str, value: str, step: int = 12) -> DataFrame:
-    """The longest chain of rising values in order, each at most `step` above the last; the earliest of equally long ones. One group a call."""
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        v = pdf[value].tolist()
-        best: dict[int, tuple[int, int]] = {}  # last value: length, row
-        length, back = [1] * len(v), [-1] * len(v)
-        for i, x in enumerate(v):
-            for low in range(x - step, x):
-                if low in best and best[low][0] + 1 > length[i]:
-                    length[i], back[i] = best[low][0] + 1, best[low][1]
-            if x not in best or length[i] > best[x][0]:
-                best[x] = length[i], i
-        keep, at = set(), max(range(len(v)), key=lambda i: (length[i], -i), default=-1)
-        while at >= 0:
-            keep.add(at)
-            at = back[at]
-        return pdf.assign(main=[i in keep for i in range(len(v))])
-
-    schema = df.schema.simpleString()[7:-1].replace(":", " ") + ", main boolean"
-    return df.groupBy(by).applyInPandas(chain, schema)
+#: How far the next label of a series may be, and where a chapter's numbers may start again.
+SERIES_STEP, CHAPTER_START = 12, 2
+
+
+def follows(before: tuple[int, ...] | None, now: tuple[int, ...], step: int = SERIES_STEP) -> bool:
+    """Whether a label (its numbers) can come next in one series: the first is 1 or 1.1; a later one is a little further on, or starts the next chapter."""
+    if before is None:
+        return now in ((1,), (1, 1))
+    if len(now) != len(before) or now <= before:
+        return False
+    if len(now) == 1:
+        return now[0] - before[0] <= step
+    return (now[0] == before[0] and now[1] - before[1] <= step) or (now[0] == before[0] + 1 and now[1] <= CHAPTER_START)
+
+
+def main_series(df: DataFrame, by: str, page: list[str], label: str, ties: list[str]) -> DataFrame:
+    """All columns and `main`: whether a label belongs to its group's main numbered series, walking by page and the numbers of labels: a label joins when it may follow the last that joined.
+
+    What joins depends on the last that did, so a group is walked in order; rows are sorted in their partition and streamed, so no group is held."""
+    numbers = F.transform(F.regexp_extract_all(F.col(label), F.lit("([0-9]+)"), 1), lambda x: x.cast("long"))
+    keyed = df.withColumn("_numbers", F.when(F.size(numbers) > 0, numbers).otherwise(F.array(F.lit(0).cast("long"))))
+    fields = [(f.name, f.dataType) for f in df.schema.fields]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for batch in batches:
+            main = []
+            for g, x in zip(batch.column(by).to_pylist(), batch.column("_numbers").to_pylist(), strict=True):
+                if g != group:
+                    group, last = g, None
+                main.append(follows(last, tuple(x)))
+                if main[-1]:
+                    last = tuple(x)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c, _ in fields), pa.array(main, pa.bool_())], names=[*(c for c, _ in fields), "main"])
+
+    schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in fields) + ", main boolean"
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, by).sortWithinPartitions(by, *page, "_numbers", label, *ties).mapInArrow(walk, schema)
+
+
+def renumbered(df: DataFrame, run: str, order: str, number: str, black: str) -> DataFrame:
+    """Tokens of runs numbered anew from the first one's number and side: a ply each."""
+    w = Window.partitionBy(run).orderBy(order)
+    first = lambda c: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ply = 2 * (first(number) - 1) + first(black).cast("int") + F.row_number().over(w) - 1
+    return df.withColumns({number: (F.floor(ply / 2) + 1).cast("int"), black: ply % 2 == 1})
+
+
+def review_rank(df: DataFrame, by: list[str], page: str, kind: str, y: str, key: str) -> DataFrame:
+    """Findings of each group in the order in which they are looked at: by page, kind of finding and height."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(page, kind, y, key)))
 
 
 def resolve_ambiguous(values: Column) -> Column:

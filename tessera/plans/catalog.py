@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reading, relational  # noqa: F401
+from . import cases, reading, relational  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import notation_values, scalars
 from ..operators import clusters, corrections, reading, windows
 from ..operators.materialise import cut, shared_folder
 from ..sources.tables import game_parts, pasted_json, table
@@ -32,22 +32,21 @@ def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens by kind and language."""
-    d = table(spark, sf_dir, "documents")
-    kinds = reading.tokens(d, "doc_id", "text").groupBy("doc_id", "kind").count()
-    return kinds.join(d.select("doc_id", "lang"), "doc_id").groupBy("lang", "kind").agg(F.sum("count").alias("n"))
+    """Tokens by kind and language: the language goes along as the texts' key, so there is one small aggregate and no join."""
+    return reading.tokens(table(spark, sf_dir, "documents"), "lang", "text").groupBy("lang", "kind").agg(F.count("*").alias("n"))
 
 
 @query()
 def noise_decode_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games printed with medium noise in two notations, read in two passes: places read rightly."""
+    """Games of 30 to 80 plies printed at three levels of noise in two notations, read in two passes: places read rightly. Each level and notation is a book with a noise model of its own."""
     keys = _games(spark, sf_dir)
     out = None
-    for junk in (False, True):
-        games = cut(reading.printed_games(keys, "game", "medium", junk, most=40).withColumn("junk", F.lit(junk)))
-        read = reading.read_passes(reading.main_runs(games, "game", "text"), "start", "moves", passes=2)
-        rate = reading.accuracy(read, games, "game", ["junk"])
-        out = rate if out is None else out.unionByName(rate)
+    for level in notation_values.LEVELS:
+        for junk in (False, True):
+            games = cut(reading.printed_games(keys, "game", level, junk).withColumns({"level": F.lit(level), "junk": F.lit(junk)}))
+            read = reading.read_passes(cut(reading.main_runs(games, "game", "text")), "start", "moves", passes=2)
+            rate = reading.accuracy(read, games, "game", ["level", "junk"])
+            out = rate if out is None else out.unionByName(rate)
     return out
 
 
@@ -55,7 +54,7 @@ def noise_decode_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pgn_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Games of clean print assembled into trees, written as game text and read back."""
     keys = _games(spark, sf_dir)
-    games = reading.printed_games(keys, "game", "low", False, most=40)
+    games = reading.printed_games(keys, "game", "low", False)
     lines = reading.validated(reading.assembled(games, "game", "text"))
     tags = game_parts(lines.withColumn("text", F.col("pgn")))
     return tags.select("game", "line", "status", "result", "valid", F.col("tags")["Event"].alias("event"), F.length("moves").alias("size"))
@@ -65,27 +64,16 @@ def pgn_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def game_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of assembled games as rows, counted by status and level."""
     keys = _games(spark, sf_dir)
-    games = reading.printed_games(keys, "game", "low", False, most=40)
+    games = reading.printed_games(keys, "game", "low", False)
     return reading.nodes(reading.assembled(games, "game", "text")).groupBy("main", "status").agg(F.count("*").alias("n"), F.max("ply").alias("last"))
 
 
 @query()
 def text_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boards printed as lines of text: each benchmark item prints the position after a random game between lines of prose."""
-    from ..functions import board
-
-    @F.udf("string")
-    def printed(key):
-        import random
-
-        p = board.read_fen(board.START)
-        rng = random.Random(key)
-        for _ in range(12):
-            p = board.play(p, rng.choice(board.legal(p)))
-        return "\n".join("".join(p.squares[8 * r : 8 * r + 8]) for r in range(7, -1, -1))
-
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page"), F.concat_ws("\n", F.lit("before"), printed("item_id"), F.col("text")).alias("t"))
-    lines = items.select("page", F.posexplode(F.split("t", "\n")).alias("line", "text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page"), "text")
+    shown = reading.printed_boards(items, "page", 12)
+    lines = shown.select("page", F.posexplode(F.split(F.concat_ws("\n", F.lit("before"), "board", "text"), "\n")).alias("line", "text"))
     return reading.diagrams(lines, "page", "line", "text")
 
 
@@ -96,11 +84,20 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.leaders(e, "label", "vec_id", "embedding", 8.0).select("vec_id", "label", "cluster")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 100 AS number, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 86400000000, CAST(floor(value) AS BIGINT) % 100, CAST(CAST(floor(value) AS BIGINT) % 100 AS VARCHAR), event_id) AS rn FROM events),
+walk AS (
+  SELECT user_id, event_id, rn, CASE WHEN number = 1 THEN number END AS last, number = 1 AS main FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.user_id, o.event_id, o.rn, CASE WHEN (w.last IS NULL AND o.number = 1) OR (o.number > w.last AND o.number - w.last <= 12) THEN o.number ELSE w.last END,
+         coalesce((w.last IS NULL AND o.number = 1) OR (o.number > w.last AND o.number - w.last <= 12), false)
+  FROM walk w JOIN o ON o.user_id = w.user_id AND o.rn = w.rn + 1)
+SELECT user_id, event_id, main FROM walk
+""")
 def main_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main numbered series of each user's events."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value") % 100).cast("int").alias("number"))
-    return windows.main_series(e, "user_id", "event_id", "number")
+    """The main numbered series of each user's events, walked by day and number."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_date(F.col("ts").cast("date")).alias("page"), (F.floor("value") % 100).cast("string").alias("label"))
+    return windows.main_series(e, "user_id", ["page"], "label", ["event_id"]).select("user_id", "event_id", "main")
 
 
 _FIXED = "SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'fixed' ELSE lang END AS lang, source, n_chars FROM documents"
@@ -147,24 +144,17 @@ def selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT doc_id, CASE WHEN doc_id % 100 BETWEEN 11 AND 13 THEN doc_id || 'th' WHEN doc_id % 10 = 1 THEN doc_id || 'st' WHEN doc_id % 10 = 2 THEN doc_id || 'nd' WHEN doc_id % 10 = 3 THEN doc_id || 'rd' ELSE doc_id || 'th' END AS ordinal,
   CASE WHEN n_chars = 1 THEN '1 char' ELSE n_chars || ' chars' END AS plural, CASE WHEN doc_id - 12 > 0 THEN doc_id - 12 END AS folio, (doc_id - 1) * 2 + CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END AS ply,
-  doc_id || ':' || CAST(round(n_chars / 7.0) AS BIGINT) || ',3:' || source AS key, trim(substr(text, 1, 20), chr(10) || chr(13) || chr(160) || ' ') AS stripped FROM documents
+  doc_id || ':' || CAST(round(n_chars / 7.0) AS BIGINT) || ',3:' || source AS key, sha256(trim(text, chr(10) || chr(13) || chr(160) || ' ')) AS stripped_sha256 FROM documents
 """)
 def scalar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalar functions of numbers, keys and spaces."""
+    """Scalar functions of numbers, keys and spaces; whole texts are stripped."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         "doc_id", scalars.ordinal(F.col("doc_id")).alias("ordinal"), scalars.plural(F.col("n_chars"), "char").alias("plural"), scalars.folio(F.col("doc_id"), F.lit(12)).alias("folio"), scalars.ply(F.col("doc_id"), F.col("n_chars") % 2 == 0).alias("ply"),
-        scalars.token_key(F.col("doc_id"), F.col("n_chars") / 7.0, F.lit(3), F.col("source")).alias("key"), scalars.strip_real(F.substring("text", 1, 20)).alias("stripped"),
+        scalars.token_key(F.col("doc_id"), F.col("n_chars") / 7.0, F.lit(3), F.col("source")).alias("key"), F.sha2(scalars.strip_real(F.col("text")), 256).alias("stripped_sha256"),
     )
 
 
-@query("SELECT doc_id, length(s) AS size, sha256(s) AS stripped_sha256 FROM (SELECT doc_id, trim(text, chr(10) || chr(13) || chr(160) || ' ') AS s FROM documents)")
-def stripped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spaces stripped from both ends of every whole text."""
-    s = table(spark, sf_dir, "documents").select("doc_id", scalars.strip_real(F.col("text")).alias("s"))
-    return s.select("doc_id", F.length("s").alias("size"), F.sha2("s", 256).alias("stripped_sha256"))
-
-
 @query("""
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 9 WHEN 3 THEN 1994 WHEN 4 THEN 40 END AS value FROM documents
 """)

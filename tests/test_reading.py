@@ -112,3 +112,72 @@ def test_written_games_are_read(spark, tmp_path):
     reading.write_games(lines, str(tmp_path / "pgn"), "chapter")
     got = games(spark, str(tmp_path / "pgn/*/*.txt")).collect()
     assert [(r.tags["Result"], tree.main_moves("\n\n" + r.moves)) for r in got] == [("1-0", ["d4", "d5", "c4", "e6"])]
+
+
+def test_misprints_happen_at_their_rates():
+    """Over many moves each kind of misprint has about the share that its level states, and nothing else changes."""
+    rng = random.Random(3)
+    moves = [m for k in range(60) for m in board.random_game(random.Random(k), 60)]
+    rates = notation.V.LEVELS["medium"] | {"always": 1.0}
+    made = [(m, notation.misprinted(m, "move", rates, rng, False)) for m in moves]
+    pieces = [(m, x) for m, x in made if m[0] in "KQRBN"]
+    takes = [(m, x) for m, x in made if "x" in m]
+    checks = [(m, x) for m, x in made if m[-1] in "+#"]
+    files = [(m, x) for m, x in made if m.rstrip("+#")[-2] == "f" and "=" not in m and "O" not in m]
+    for pairs, name, odd in ((pieces, "drop", lambda x: x[0] not in "KQRBN"), (takes, "xdrop", lambda x: "x" not in x), (checks, "chkdrop", lambda x: x[-1] not in "+#"), (files, "f_pound", lambda x: "£" in x)):
+        share = sum(odd(x) for _, x in pairs) / len(pairs)
+        want = rates[name] * (0.8 if name == "f_pound" else 1)
+        assert abs(share - want) < 4 * (want / len(pairs)) ** 0.5 + 0.005
+    clean = dict.fromkeys(rates, 0.0)
+    assert all(notation.misprinted(m, "move", clean, rng, False) == m for m in moves)
+
+
+def test_numbers_without_dots():
+    t = "1 e4 c5 2 Nf3 d6 3 d4 cxd4 and after 3 days 4 Nxd4"
+    assert [(r.first_number, [x.raw for x in r.tokens]) for r in notation.runs(notation.tokenize(t, dotless=True))] == [(1, ["e4", "c5", "Nf3", "d6", "d4", "cxd4"]), (4, ["Nxd4"])]
+    assert not notation.runs(notation.tokenize(t))
+
+
+def test_a_misread_number_is_mended():
+    """11 for 17 between 16 and 18 goes on; where the numbers after it disagree, it opens a run of its own."""
+    assert [(r.first_number, len(r.tokens)) for r in notation.runs(notation.tokenize("16.e4 e5 11.Nf3 Nc6 18.Bb5 a6"))] == [(16, 6)]
+    assert [(r.first_number, len(r.tokens)) for r in notation.runs(notation.tokenize("16.e4 e5 11.Nf3 Nc6 12.Bb5 a6"))] == [(16, 2), (11, 4)]
+    assert notation.slipped("11.", 17)
+    assert not notation.slipped("12.", 17)
+
+
+def test_unseen_symbols_back_off_to_their_characters():
+    """A symbol never seen reads as the piece whose symbols have its characters; a lone file letter does not."""
+    m = NoiseModel()
+    for symbol in ("tLl", "ti)", "lt)"):
+        m.add(symbol, "N", 5)
+    for symbol in ("YlY", "Wf"):
+        m.add(symbol, "Q", 5)
+    p = {x: m.probability("tL)", x) for x in "KQRBNP"}
+    assert max(p, key=p.get) == "N"
+    assert abs(sum(p.values()) - 1) < 1e-9
+    assert m.probability("h", "B") == NoiseModel().probability("h", "B")
+
+
+def test_held_lines_go_on_where_they_read():
+    d = Decoder()
+    text = "1.e4 e5 2.Nf3 Nc6\n\nTITLE\n\n3.Bb5 a6 *"
+    (line,) = tree.assemble(text, d, headings=[text.index("TITLE")])
+    assert [n.san for n in line.nodes] == ["e4", "e5", "Nf3", "Nc6", "Bb5", "a6"]
+    text = "1.e4 e5 2.Nf3 Nc6\n\nTITLE\n\n3.Ra5 Qxh2 *"  # does not read: it waits
+    (line,) = tree.assemble(text, d, headings=[text.index("TITLE")])
+    assert [n.san for n in line.nodes] == ["e4", "e5", "Nf3", "Nc6"]
+    assert line.waiting
+    other = "r1bqkbnr/pppp1ppp/2n5/4p3/4P3/3P1N2/PPP2PPP/RNBQKB1R b KQkq - 0 3"
+    text = "1.e4 e5 2.Nf3 Nc6 [] 3...Nf6 4.Be2 *"
+    lines = tree.assemble(text, d, diagrams=[(text.index("[]"), other)])
+    assert [n.san for n in lines[-1].nodes] == ["Nf6", "Be2"]
+    assert lines[-1].start_fen.split(" ")[0] == other.split(" ")[0]
+
+
+def test_noise_is_measured(spark):
+    moves = ["e4", "e5", "f3", "Nc6", "Bb5", "a6", "B:c6"]
+    d = reading.decode(spark.createDataFrame([(board.START, moves)], "start string, moves array<string>"), "start", "moves")
+    r = reading.noise_rates(d).first()
+    assert (r.moves, r.failed, r.vanished_of, r.mark_of, r.mark) == (7, 0, 3, 1, 0)
+    assert r.file == r.rank == 0
