@@ -1,17 +1,19 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a bounded run of documents in a task. Its words become integer symbols; a word that no
+A shard is a run of documents of about `shard` bytes in a task. Its words become integer symbols; a word that no
 benchmark item has can be in no match, so it ends a stretch, and stretches shorter than the
-shortest window are left out of the index. Over the rest stands a suffix array by prefix doubling,
-its Burrows-Wheeler transform in a wavelet matrix and suffix positions sampled by text position.
-All windows are searched backward together; the rows found are located by LF steps to a sample.
+shortest window are left out of the index: all that a window could be found in is indexed. Over that stands a suffix array
+by prefix doubling, its Burrows-Wheeler transform in a wavelet matrix and suffix positions sampled by text position.
+Windows whose words the shard holds are searched backward together; the rows found are located by LF steps to a sample.
 
-Benchmark items are broadcast in blocks of bounded size, one after the other; no shuffle occurs.
+Benchmark items are taken in blocks of `block_chars` characters. One block is collected and broadcast at a time, and let go before
+the next; a benchmark of one block is done in one pass over the documents without a shuffle. With more, the hits of each pass
+(no texts) are written, and joined to the documents by id and hash of the text in the end.
 
 Edge cases: a null or empty text has no words and no hits; an item without words is ignored, and so
 is one without an id; repeated items or rows count as they stand, with item ids as a set; an empty
-benchmark leaves every document clean. Columns are matched by name; input columns named like a
-result are replaced by it.
+benchmark leaves every document clean; a text longer than a shard is a shard of its own. Input columns named like a
+result are replaced by it; clean() adds none and keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WORD, extend, flat, per_row, pieces, span_hashes, spans
+from .common import LOWER, WORD, extend, flat, per_row, pieces, span_hashes, spans, written
 
-#: Words of a window, and characters of benchmark text that are broadcast at once.
-WINDOW, BLOCK_CHARS = 10, 8_000_000
+#: Words of a window, characters of benchmark text that are broadcast at once, bytes of a shard.
+WINDOW, BLOCK_CHARS, SHARD = 10, 8_000_000, 64_000_000
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -135,87 +138,179 @@ class Phrases:
         self.hashes = np.unique(span_hashes(data, np.concatenate(([0], ends[:-1])) if words else ends, ends))
 
 
-def hits(data: np.ndarray, offs: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, ...]:
-    """Words of a shard and what hits them: starts, ends, bounds by row, hit flag by word, (row, item) pairs."""
+def _stretches(data: np.ndarray, offs: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, ...]:
+    """Words of a piece: starts, ends, bounds by row; and the words of its stretches with 1 after each, by place (-1 for the 1) and symbol."""
     low = LOWER[data]
     starts, ends = spans(WORD[low], offs)
     bounds = np.searchsorted(starts, offs)
-    hit, pairs = np.zeros(len(starts), bool), np.zeros((0, 2), np.int64)
+    none = np.zeros(0, np.int64)
     if not len(starts) or not phrases.by_size:
-        return starts, ends, bounds, hit, pairs
+        return starts, ends, bounds, none, none
     h = span_hashes(low, starts, ends)
     known = phrases.hashes[np.minimum(np.searchsorted(phrases.hashes, h), len(phrases.hashes) - 1)] == h
     a, b = spans(known, bounds)
     long = b - a >= phrases.least
     a, b = a[long], b[long]
     if not len(a):
-        return starts, ends, bounds, hit, pairs
+        return starts, ends, bounds, none, none
     size = b - a + 1
     at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
     inner = np.ones(len(at), bool)
     inner[np.cumsum(size) - 1] = False
     raw = low.tobytes()
     seq = np.ones(len(at), np.int64)
-    seq[-1] = 0
     seq[inner] = [phrases.ids.get(raw[x:y], 1) for x, y in zip(starts[at[inner]].tolist(), ends[at[inner]].tolist(), strict=True)]
-    index = FMIndex(seq, len(phrases.ids) + 1)
-    cover, got = np.zeros(len(starts) + 1, np.int64), []
-    for length, patterns, items in phrases.by_size:
-        lo, hi = index.search(patterns)
-        which = np.flatnonzero(hi > lo)
-        if not len(which):
+    return starts, ends, bounds, np.where(inner, at, -1), seq
+
+
+def _found(seq: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Occurrences of windows in a shard's symbols: places, lengths, numbers of windows, and for each window its items."""
+    held = np.zeros(len(phrases.ids) + 2, bool)
+    held[seq] = True
+    index, place, length, number, of = None, [], [], [], []
+    for size, patterns, items in phrases.by_size:
+        own = np.flatnonzero(held[patterns].all(1))  # windows whose words the shard holds
+        if not len(own):
             continue
-        n = (hi - lo)[which]
-        rows = np.repeat(lo[which] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        word = at[index.locate(rows)]
+        if index is None:
+            index = FMIndex(np.append(seq[:-1], 0), len(phrases.ids) + 1)
+        lo, hi = index.search(patterns[own])
+        some = np.flatnonzero(hi > lo)
+        n = (hi - lo)[some]
+        rows = np.repeat(lo[some] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        place.append(index.locate(rows))
+        length.append(np.full(len(rows), size))
+        number.append(np.repeat(np.arange(len(some)) + len(of), n))
+        of += [items[k] for k in own[some].tolist()]
+    if not place:
+        return *(np.zeros(0, np.int64) for _ in range(3)), of
+    return np.concatenate(place), np.concatenate(length), np.concatenate(number), of
+
+
+def hits(parts: list[tuple[np.ndarray, np.ndarray]], phrases: Phrases) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each piece (bytes, offsets) of a shard: starts, ends, bounds by row of its words, hit flag by word, (row, item) pairs."""
+    cut = [_stretches(data, offs, phrases) for data, offs in parts]
+    ends = np.cumsum([len(x[4]) for x in cut])
+    seq = np.concatenate([x[4] for x in cut]) if cut else np.zeros(0, np.int64)
+    place, length, number, of = _found(seq, phrases) if len(seq) else (*(np.zeros(0, np.int64) for _ in range(3)), [])
+    order = np.argsort(place, kind="stable")
+    place, length, number = place[order], length[order], number[order]
+    edge = np.searchsorted(place, np.concatenate(([0], ends)))
+    for k, (starts, stops, bounds, at, own) in enumerate(cut):
+        mine = slice(edge[k], edge[k + 1])
+        cover = np.zeros(len(starts) + 1, np.int64)
+        word = at[place[mine] - (ends[k] - len(own))]
         np.add.at(cover, word, 1)
-        np.add.at(cover, word + length, -1)
+        np.add.at(cover, word + length[mine], -1)
         doc = np.searchsorted(bounds, word, "right") - 1
-        count = np.array([len(items[w]) for w in which])
-        each = np.repeat(np.arange(len(which)), n)
-        total = count[each]
-        flat_items = np.concatenate([np.array(items[w], np.int64) for w in which])
-        begin = np.concatenate(([0], np.cumsum(count)[:-1]))[each]
-        idx = np.repeat(begin - np.concatenate(([0], np.cumsum(total)[:-1])), total) + np.arange(total.sum())
-        got.append(np.unique(np.stack((np.repeat(doc, total), flat_items[idx]), 1), axis=0))
-    hit = np.cumsum(cover[:-1]) > 0
-    if got:
-        pairs = np.unique(np.concatenate(got), axis=0)
-    return starts, ends, bounds, hit, pairs
-
-
-def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int, window: int) -> Iterator[Phrases]:
-    usable = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("i is not null and t is not null")
-    total = usable.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-total // block_chars) or 1
-    for k in range(n):
-        rows = (usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else usable).collect()
-        yield Phrases([(r.i, r.t) for r in rows], window)
+        seen = np.unique(np.stack((doc, number[mine]), 1), axis=0)
+        pairs = np.array(sorted({(d, i) for d, w in seen.tolist() for i in of[w]}), np.int64).reshape(-1, 2)
+        yield starts, stops, bounds, np.cumsum(cover[:-1]) > 0, pairs
+
+
+def _usable(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    return benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("i is not null and t is not null")
+
+
+def _shards(batches: Iterator[pa.RecordBatch], text: str, shard: int) -> Iterator[list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]]:
+    """Pieces of about `shard` bytes together."""
+    kept, size = [], 0
+    for batch in batches:
+        for part in pieces(batch, text):
+            data, offs = flat(part.column(text))
+            kept.append((part, data, offs))
+            size += len(data)
+            if size >= shard:
+                yield kept
+                kept, size = [], 0
+    if kept:
+        yield kept
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """All columns of docs and: n_words, n_hit, item_ids (sorted strings), spans (byte ranges of hit runs of words)."""
-    spark = docs.sparkSession
-    loaded = [spark.sparkContext.broadcast(p) for p in _blocks(benchmark, item, item_text, block_chars, window)]
-    fields = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+_RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def _runs(a: np.ndarray, b: np.ndarray, where: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["start", "end"]))
+
+
+def _pass(docs: DataFrame, phrases: Phrases, text: str, shard: int) -> DataFrame:
+    """All columns of docs (by place) and: n_words, n_hit, item_ids, words (runs of hit words), spans (their byte ranges)."""
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        for group in _shards(batches, text, shard):
+            for (part, _, offs), (starts, ends, bounds, hit, pairs) in zip(group, hits([x[1:] for x in group], shared.value), strict=True):
+                items: list[list[str]] = [[] for _ in range(part.num_rows)]
+                for row, k in pairs.tolist():
+                    items[row].append(shared.value.items[k])
+                a, b = spans(hit, bounds)
+                where = np.searchsorted(a, bounds)
+                n = np.diff(where)
+                first, shift = np.repeat(bounds[:-1], n), np.repeat(offs[:-1], n)
+                yield part, [pa.array(np.diff(bounds)), pa.array(per_row(hit, bounds)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), _runs(a - first, b - first, where), _runs(starts[a] - shift, ends[b - 1] - shift, where)]
+
+    return extend(docs, run, [("n_words", T.LongType()), ("n_hit", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("words", _RUNS), ("spans", _RUNS)])
+
+
+def _merged(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """The same from the hits of several passes: found has th (of the text), item_ids and words."""
+    names = docs.columns
+    each = found.groupBy("th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
+    joined = docs.withColumn("th", _th(text)).join(each, "th", "left").select(*names, "item_ids", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for batch in batches:
             for part in pieces(batch, text):
                 data, offs = flat(part.column(text))
-                hit, items, starts, ends, bounds = None, [set() for _ in range(part.num_rows)], None, None, None
-                for one in loaded:  # each block of the benchmark against the shard
-                    starts, ends, bounds, h, pairs = hits(data, offs, one.value)
-                    hit = h if hit is None else hit | h
-                    for row, k in pairs.tolist():
-                        items[row].add(one.value.items[k])
+                low = LOWER[data]
+                starts, ends = spans(WORD[low], offs)
+                bounds = np.searchsorted(starts, offs)
+                cover = np.zeros(len(starts) + 1, np.int64)
+                for row, runs in enumerate(part.column("_hit_words").to_pylist()):
+                    for r in runs or ():
+                        cover[bounds[row] + r["start"]] += 1
+                        cover[bounds[row] + r["end"]] -= 1
+                hit = np.cumsum(cover[:-1]) > 0
                 a, b = spans(hit, bounds)
                 where = np.searchsorted(a, bounds)
-                shift = np.repeat(offs[:-1], np.diff(where))
-                runs = pa.StructArray.from_arrays([pa.array(starts[a] - shift), pa.array(ends[b - 1] - shift)], names=["start", "end"])
-                yield part, [pa.array(np.diff(bounds)), pa.array(per_row(hit, bounds)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(where, pa.int32()), runs)]
+                n = np.diff(where)
+                first, shift = np.repeat(bounds[:-1], n), np.repeat(offs[:-1], n)
+                items = pa.array([x or [] for x in part.column("_hit_items").to_pylist()], pa.list_(pa.string()))
+                yield part, [pa.array(np.diff(bounds)), pa.array(per_row(hit, bounds)), items, _runs(a - first, b - first, where), _runs(starts[a] - shift, ends[b - 1] - shift, where)]
 
-    return extend(docs, run, fields)
+    out = extend(joined.withColumnsRenamed({"item_ids": "_hit_items", "words": "_hit_words"}), run, [("n_words", T.LongType()), ("n_hit", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("words", _RUNS), ("spans", _RUNS)])
+    return out.select(*names, "n_words", "n_hit", "item_ids", "words", "spans")
+
+
+def _th(text: str) -> Column:
+    """128 bits of a text; equal texts have equal hits, so no id is needed."""
+    return F.struct(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, block_chars: int, shard: int) -> DataFrame:
+    """docs with columns by place, and the results."""
+    usable = _usable(benchmark, item, item_text)
+    total = usable.agg(F.sum(F.length("t"))).first()[0] or 0
+    n = max(1, -(-total // block_chars))
+    block = lambda k: Phrases([(r.i, r.t) for r in (usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else usable).collect()], window)
+    if n == 1:
+        return _pass(docs, block(0), text, shard)
+    found = None
+    rows = docs.select(F.col(text), _th(text).alias("th"))
+    for k in range(n):
+        part = written(_pass(rows, block(k), text, shard).where("n_hit > 0").select("th", "item_ids", "words"))
+        found = part if found is None else found.unionByName(part)
+    return _merged(docs, found.dropDuplicates(), text)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, shard: int = SHARD) -> DataFrame:
+    """All columns of docs and: n_words, n_hit, item_ids (sorted strings), words and spans (ranges of words and bytes of hit runs)."""
+    results = ["n_words", "n_hit", "item_ids", "words", "spans"]
+    docs = docs.drop(*results)
+    names = docs.columns
+    own = docs.toDF(*[f"_{k}" for k in range(len(names))])
+    return _scanned(own, benchmark, f"_{names.index(text)}", item, item_text, window, block_chars, shard).toDF(*names, *results)
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
@@ -225,36 +320,31 @@ def annotate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **kw
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw) -> DataFrame:
-    """The documents with the hit spans cut out of their texts; all columns stay, nulls too."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, shard: int = SHARD) -> DataFrame:
+    """The documents with the spans that scan() finds cut out of their texts; all columns stay, nulls too."""
     names = docs.columns
-    spark = docs.sparkSession
-    loaded = [spark.sparkContext.broadcast(p) for p in _blocks(benchmark, kw.get("item", "item_id"), kw.get("item_text", "text"), kw.get("block_chars", BLOCK_CHARS), kw.get("window", WINDOW))]
+    t = f"_{names.index(text)}"
+    own = docs.toDF(*[f"_{k}" for k in range(len(names))])
+    found = _scanned(own, benchmark, t, item, item_text, window, block_chars, shard).select(*own.columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for batch in batches:
-            for part in pieces(batch, text):
-                data, offs = flat(part.column(text))
-                hit = None
-                for one in loaded:
-                    starts, ends, bounds, h, _ = hits(data, offs, one.value)
-                    hit = h if hit is None else hit | h
-                col = part.column(text)
-                rows = np.flatnonzero(per_row(hit, bounds))
+            for part in pieces(batch, t):
+                col, cuts = part.column(t), part.column("spans")
+                rows = np.flatnonzero(pc.list_value_length(cuts).to_numpy(zero_copy_only=False) > 0)
                 if len(rows):
-                    values, (a, b) = col.to_pylist(), spans(hit, bounds)
-                    where = np.searchsorted(a, bounds)
+                    values = col.to_pylist()
                     for r in rows.tolist():
-                        raw, at, kept = data[offs[r] : offs[r + 1]].tobytes(), 0, []
-                        for k in range(where[r], where[r + 1]):
-                            kept.append(raw[at : starts[a[k]] - offs[r]])
-                            at = ends[b[k] - 1] - offs[r]
+                        raw, at, kept = values[r].encode(), 0, []
+                        for x in cuts[r].as_py():
+                            kept.append(raw[at : x["start"]])
+                            at = x["end"]
                         values[r] = b"".join([*kept, raw[at:]]).decode()
                     col = pa.array(values, col.type)
                 yield part, [col]
 
-    cleaned = extend(docs, run, [("_cleaned", docs.schema[text].dataType)])
-    return cleaned.withColumn(text, F.col("_cleaned")).select(*[F.col(f"`{n}`") for n in names])
+    cleaned = extend(found, run, [("cleaned", docs.schema[text].dataType)])
+    return cleaned.select(*[F.col("cleaned" if c == t else c) for c in own.columns]).toDF(*names)
 
 
 def digest(items: list[str]) -> str:
