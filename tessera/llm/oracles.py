@@ -23,7 +23,7 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
 OP8 = """
-SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, (SELECT count(*) FROM documents) AS listed_rows, true AS compacted FROM documents
 """
 
 OP5 = """
