@@ -8,35 +8,39 @@ lowest cross-entropy per character; the softmax of the negative cross-entropies,
 fitted on labelled texts that the counts leave out, is its score, and a text whose cross-entropy
 lies beyond what those texts show for the language is not accepted.
 
-Counts cover every labelled text that may train. The model's size is bounded by `most_grams` n-grams a
-language, from the most frequent down, and calibration by `most_calibrating` texts.
+Counts cover every labelled text that may train but one in 64, which calibrates (`most_calibrating` of these at most). Continuation
+counts, discounts, probabilities and weights are worked out in Spark from all n-grams, whatever their number, so what is gathered
+grows with the input. The arrays that are broadcast to score with hold all n-grams up to `most_grams` a language and order (the
+bound on their size); beyond that the most frequent stay, and their histories' weights are raised by what left, so that
+probabilities still sum to one.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; very long texts are taken
 whole, in one row; repeated rows count as often as they stand; labels that are null or empty do not
-train; without any labelled text everything is `und`; an empty table gives an empty result.
+train; without any labelled text everything is `und`; an empty table gives an empty result; letters are those of Unicode (category L), so
+digits, number signs and Roman numeral signs are none; other columns of the table are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import pieces, release, written
 
-ORDER, MOST_GRAMS, MOST_CALIBRATING, UND = 5, 200_000, 2_000, "und"
+ORDER, MOST_GRAMS, MOST_CALIBRATING, UND = 5, 2_000_000, 2_000, "und"
 #: Bytes of text and distinct words taken at once.
 PIECE, BLOCK = 6_000_000, 20_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that they carry.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _M = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
 
 
 def _words(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -143,47 +147,74 @@ class Model:
         return total / np.maximum(n, 1)[:, None], n
 
 
-def _levels(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1: hashes, hashes of the histories, and counts: whole ones of the longest n-grams and those that begin a word, of different preceding characters for the rest."""
-    k_of = np.fromiter(map(len, grams), np.int64, len(grams))
-    wide = np.array(grams, f"U{ORDER}").view(np.uint32).reshape(-1, ORDER).astype(np.uint64) + np.uint64(1)
-    levels, carried = [], np.zeros((0, ORDER), np.uint64)
+def levels(counted: DataFrame) -> list[DataFrame]:
+    """For each order from 1: l, g, n (language, n-gram, count): whole counts of the longest n-grams and of those that begin a word, of different preceding characters for the rest. counted: l, g, n."""
+    out, carried = [], None
     for k in range(ORDER, 0, -1):
-        own = k_of == k
-        rows = np.concatenate((wide[own][:, :k], carried[:, -k:]))
-        h = np.zeros(len(rows), np.uint64)
-        for c in range(k):
-            h = h * _M + rows[:, c]
-        keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        weight = np.concatenate((counts[own].astype(float), np.ones(len(carried))))
-        rows = rows[at]
-        levels.append((keys, (keys - rows[:, -1]) * _INVERSE if len(keys) else keys, np.bincount(inverse, weights=weight, minlength=len(keys))))
-        carried = rows[:, 1:]
-    return levels[::-1]
-
-
-def build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Interpolated Kneser-Ney tables from each language's longest n-grams and their counts."""
-    languages = sorted(grams)
-    parts: list[list[tuple[int, np.ndarray, np.ndarray, int]]] = [[] for _ in range(ORDER)]  # language, hashes, values, column
-    unigram = np.ones(len(languages))
-    for lang, name in enumerate(languages):
-        for k, (keys, history, c) in enumerate(_levels(*grams[name])):
-            once, twice = (c == 1).sum(), (c == 2).sum()
-            d = once / (once + 2 * twice) if once and twice else 0.5
-            contexts, at = np.unique(history, return_inverse=True)
-            total, kinds = np.bincount(at, weights=c), np.bincount(at)
-            parts[k].append((lang, keys, np.maximum(c - d, 0) / total[at], 0))
-            if k:
-                parts[k - 1].append((lang, contexts, d * kinds / total, 1))
-            elif len(keys):
-                unigram[lang] = d * kinds[0] / total[0]
-    tables = []
-    for level in parts:
-        keys = np.unique(np.concatenate([x[1] for x in level])) if level else np.zeros(0, np.uint64)
+        own = counted.where(F.length("g") == k)
+        both = own if carried is None else own.unionByName(carried)
+        level = written(both.groupBy("l", "g").agg(F.sum("n").alias("n")))
+        carried = level.select("l", F.substring("g", 2, ORDER).alias("g"), F.lit(1).cast("long").alias("n"))
+        out.append(level)
+    return out[::-1]
+
+
+def smoothed(level: DataFrame, most_grams: int = MOST_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """Of one order: l, g, alpha (discounted probability) and l, g, gamma (weight that a history g leaves to the next lower order). Discounts and totals are of all n-grams; over `most_grams` a language the most frequent stay."""
+    size = level.groupBy("l").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count("*").alias("grams"))
+    once, twice = F.col("once"), F.col("twice")
+    d = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.5)
+    facts = F.broadcast(size.select("l", d.alias("d"), "grams"))  # a row a language
+    rows = level.join(facts, "l").withColumn("c", F.expr("substring(g, 1, length(g) - 1)"))
+    total = rows.groupBy("l", "c").agg(F.sum("n").alias("total"))
+    least = level.groupBy("l", F.floor(F.log2("n")).cast("int").alias("level")).count()  # a few rows a language
+    held: dict[str, int] = {}
+    sums: dict[str, int] = {}
+    for r in sorted(least.collect(), key=lambda r: (r.l, -r.level)):
+        sums[r.l] = sums.get(r.l, 0) + r["count"]
+        if sums[r.l] <= most_grams or r.l not in held:
+            held[r.l] = r.level
+    kept = F.lit(False)
+    for name, k in held.items():
+        kept = kept | ((F.col("l") == name) & (F.col("n") >= 2.0**k))
+    alpha = written(rows.where(kept).join(total, ["l", "c"]).select("l", "g", "c", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("alpha")))
+    gamma = alpha.groupBy("l", "c").agg((1 - F.sum("alpha")).alias("gamma"))
+    return alpha.select("l", "g", "alpha"), gamma.select("l", F.col("c").alias("g"), "gamma")
+
+
+def _hashes(grams: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams of one length, as in scoring."""
+    if not len(grams):
+        return np.zeros(0, np.uint64)
+    wide = np.array(grams, str)
+    rows = wide.view(np.uint32).reshape(len(grams), -1).astype(np.uint64) + np.uint64(1)
+    h = np.zeros(len(rows), np.uint64)
+    for c in range(rows.shape[1]):
+        h = h * _M + rows[:, c]
+    return h
+
+
+def build(counted: DataFrame, most_grams: int = MOST_GRAMS) -> Model:
+    """Interpolated Kneser-Ney tables from the longest n-grams of each language and their counts (l, g, n)."""
+    found = [tuple(x.toArrow() for x in smoothed(level, most_grams)) for level in levels(counted)]
+    languages = sorted({x for alpha, _ in found for x in pc.unique(alpha["l"]).to_pylist()})
+    unigram, tables = np.ones(len(languages)), []
+
+    def columns(table: pa.Table, value: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for k, name in enumerate(languages):
+            own = table.filter(pc.equal(table["l"], name))
+            yield k, _hashes(own["g"].to_numpy()), own[value].to_numpy()
+
+    for lang, _, gamma in columns(found[0][1], "gamma"):
+        unigram[lang] = gamma[0] if len(gamma) else 1.0
+    for k in range(ORDER):
+        alphas = list(columns(found[k][0], "alpha"))
+        gammas = list(columns(found[k + 1][1], "gamma")) if k + 1 < ORDER else []
+        keys = np.unique(np.concatenate([h for _, h, _ in [*alphas, *gammas]])) if alphas else np.zeros(0, np.uint64)
         alpha, gamma = np.zeros((len(keys), len(languages)), np.float32), np.ones((len(keys), len(languages)), np.float32)
-        for lang, own, values, column in level:
-            (gamma if column else alpha)[np.searchsorted(keys, own), lang] = values
+        for to, parts in ((alpha, alphas), (gamma, gammas)):
+            for lang, h, values in parts:
+                to[np.searchsorted(keys, h), lang] = values
         tables.append((keys, alpha, gamma))
     return Model(languages, tables, unigram, 1 / (2 * len(tables[0][0]) + 100))
 
@@ -212,24 +243,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         release()
 
     counted = written(rows.where(~aside).select("t", "l").mapInArrow(count, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n")))
-    # the least power of two that leaves each language at most `most_grams`
-    level = F.floor(F.log2("n")).cast("int")
-    least: dict[str, int] = {}
-    sizes: dict[str, int] = {}
-    for r in sorted(counted.groupBy("l", level.alias("level")).count().collect(), key=lambda r: (r.l, -r.level)):
-        sizes[r.l] = sizes.get(r.l, 0) + r["count"]
-        if sizes[r.l] <= most_grams or r.l not in least:
-            least[r.l] = r.level
-    kept = F.lit(False)
-    for name, k in least.items():
-        kept = kept | ((F.col("l") == name) & (level >= k))
-    found = counted.where(kept).toArrow()
-    grams = {}
-    for name in sorted(least):
-        own = found.filter(pc.equal(found["l"], name))
-        grams[name] = own["g"].to_numpy(), own["n"].to_numpy()
-    model = build(grams)
-    del found, grams
+    model = build(counted, most_grams)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +253,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                 yield pa.RecordBatch.from_arrays([part.column("l"), pa.array(ce.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["l", "ce", "n"])
 
     chosen = rows.where(aside).select("i", F.xxhash64("i", "t").alias("h"), "t", "l")
-    limit = chosen.orderBy("h").select("i", "h").limit(most_calibrating)
-    some = chosen.join(F.broadcast(limit), ["i", "h"], "left_semi").select("t", "l").mapInArrow(costs, "l string, ce array<double>, n double").toPandas()
+    limit = chosen.select("i", "h").distinct().orderBy("h", "i").limit(most_calibrating)
+    some = chosen.join(F.broadcast(limit), ["i", "h"], "left_semi").dropDuplicates(["i", "h"]).select("t", "l").mapInArrow(costs, "l string, ce array<double>, n double").toPandas()
     calibrate(model, np.array(some.ce.tolist(), float).reshape(len(some), len(model.languages)), some.n.to_numpy(), some.l.tolist())
     return model
 
