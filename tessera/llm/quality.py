@@ -2,7 +2,8 @@
 
 Labelled documents give preference pairs (label 1 over label 0). The utility of a document is
 linear in its features and P(a before b) is the logistic function of the difference of utilities,
-so the weights minimise the logistic loss on feature differences. The cut is the quantile of the
+so the weights minimise the logistic loss on feature differences. Features are how a text looks (classes of bytes, lengths,
+repetition) and what it says: shares of its words and of its character trigrams, each hashed into `BUCKETS` buckets. The cut is the quantile of the
 labelled utilities at the share of label 0, and the score puts that cut at `threshold`.
 
 The fit takes at most `most_labelled` labelled rows, those with the smallest hashes of their ids,
@@ -24,15 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, extend, flat, per_row, pieces, span_hashes, spans
+from .common import LOWER, SPACE, extend, flat, per_row, pieces, span_hashes, spans
 
-MOST_LABELLED, PAIRS, THRESHOLD, SEED = 20_000, 200_000, 0.3, 7
+MOST_LABELLED, PAIRS, THRESHOLD, SEED = 20_000, 20_000, 0.3, 7
+#: Looks, buckets of words and of trigrams, penalty of squared weights, and how much more those of buckets are held back.
+LOOKS, BUCKETS, PENALTY, LEXICAL = 13, 128, 0.001, 30.0
 #: Classes of bytes: letters of either case, digits, sentence marks, marks of stress, other marks, line ends, beyond ASCII.
 _CLASS = np.full(256, 7, np.uint8)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:'\"()-", b"!?", b"#$%&*+/<=>@[\\]^_`{|}~", b"\n\r")):
     _CLASS[list(_chars)] = _k
 _CLASS[128:] = 8
-FEATURES = 13
+_BITS = BUCKETS.bit_length() - 1
+FEATURES = LOOKS + 2 * BUCKETS
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -52,7 +56,13 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     first[1:] = (h[order][1:] != h[order][:-1]) | (word_row[1:] != word_row[:-1])
     distinct = np.bincount(word_row, weights=first, minlength=rows)
     words, size, letters = np.maximum(n, 1), np.maximum(np.diff(offs), 1), np.maximum(counts[:, 0] + counts[:, 1] + counts[:, 8], 1)
-    return np.stack(
+    low = LOWER[data].astype(np.uint32)
+    tri = (low[:-2] << np.uint32(16) | low[1:-1] << np.uint32(8) | low[2:]) if len(low) > 2 else low[:0]
+    tri = (tri * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS)
+    inner = np.repeat(np.arange(rows, dtype=np.int32), np.maximum(np.diff(offs) - 2, 0))
+    at = np.flatnonzero(_within(offs, len(tri)))
+    hashed = [_shares(word_row, (h >> np.uint64(64 - _BITS)).astype(np.int64), rows), _shares(inner, tri[at].astype(np.int64), rows)]
+    looks = np.stack(
         [
             counts[:, 1] / letters,
             np.sqrt(counts[:, 2] / size),
@@ -70,6 +80,22 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         ],
         1,
     )
+    return np.concatenate((looks, *hashed), 1)
+
+
+def _within(offs: np.ndarray, n: int) -> np.ndarray:
+    """Places at which a trigram of one text starts."""
+    ok = np.ones(n, bool)
+    for back in (1, 2):
+        at = offs[1:-1] - back
+        ok[at[(at >= 0) & (at < n)]] = False
+    return ok
+
+
+def _shares(row: np.ndarray, bucket: np.ndarray, rows: int) -> np.ndarray:
+    """Square roots of the shares of buckets in each row."""
+    n = np.bincount(row * np.int64(BUCKETS) + bucket, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
+    return np.sqrt(n / np.maximum(n.sum(1, keepdims=True), 1))
 
 
 @dataclass
@@ -88,19 +114,30 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(u, -60, 60)))
 
 
-def learn(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, threshold: float = THRESHOLD, penalty: float = 1.0) -> Ranker:
-    """Weights by Newton steps on the logistic loss of feature differences."""
+def weight_of(n: int) -> np.ndarray:
+    """How much each weight is held back."""
+    return np.where(np.arange(n) < LOOKS, 1.0, LEXICAL)
+
+
+def learn(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, threshold: float = THRESHOLD, penalty: float = PENALTY, block: int = 10_000) -> Ranker:
+    """Weights by Newton steps on the logistic loss of feature differences, summed over blocks of pairs."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    n = x.shape[1]
     if not len(good) or not len(bad):
-        return Ranker(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log(threshold / (1 - threshold))), 1.0, threshold)
-    centre, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+        return Ranker(np.zeros(n), np.ones(n), np.zeros(n), float(np.log(threshold / (1 - threshold))), 1.0, threshold)
+    centre, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     z = (x - centre) / scale
     draw = np.random.default_rng(SEED)
-    d = z[draw.choice(good, pairs)] - z[draw.choice(bad, pairs)]
-    w = np.zeros(x.shape[1])
+    a, b = draw.choice(good, pairs), draw.choice(bad, pairs)
+    w, held = np.zeros(n), penalty * weight_of(n)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -60, 60)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / pairs + penalty / 1000 * np.eye(len(w)), d.T @ (1 - p) / pairs - penalty / 1000 * w)
+        slope, curve = -held * w, np.diag(held)
+        for k in range(0, pairs, block):
+            d = z[a[k : k + block]] - z[b[k : k + block]]
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -60, 60)))
+            slope += d.T @ (1 - p) / pairs
+            curve += (d * (p * (1 - p))[:, None]).T @ d / pairs
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -151,6 +188,8 @@ def rated(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **kw) -> DataFrame:
-    """The documents whose score reaches the threshold, with their own columns."""
+    """The documents whose score reaches the threshold, with their own columns, whatever their names."""
     model = fit(docs, labels, doc_id, text, threshold=threshold, **kw)
-    return score(docs, model, text, "_rank").where(F.col("_rank") >= threshold).drop("_rank")
+    names = docs.columns
+    rows = docs.toDF(*[f"_{k}" for k in range(len(names))])
+    return score(rows, model, f"_{names.index(text)}", "rank").where(F.col("rank") >= threshold).drop("rank").toDF(*names)
