@@ -1,24 +1,27 @@
 """Exact substring dedup: every byte covered by a 50-byte string that also starts in a document with a smaller id goes.
 
-The strings are ordered by column-wise insertion over many short documents at once: round by round,
-from the last column to the first, each document's next symbol (two bytes) is inserted; a stable
-distribution by symbol gives the new order of all suffixes, and the common-prefix array, kept as
-classes of suffixes that agree throughout, is brought up to date in one sequential pass. Suffixes
-that agree with no other are left out from then on. Orders and classes beyond `in_memory` entries
-live in unlinked scratch files that are only read and written in sequence.
-
-The documents of the construction are fragments, so rounds are bounded by the string length and not by the longest
-text. Every 50-byte string is dealt by its anchor, the leftmost of its 16-byte substrings with the
-smallest hash: equal strings have equal anchors. Strings with the same anchor place in a row form one fragment.
+Equal strings are found by column-wise construction of a suffix array over many short documents at once
+(`insertion`): each round inserts the next symbol of every document, from its last to its first. The symbol goes into the collection's
+Burrows-Wheeler transform at the place of the document's suffix; its rank there, counted in one sequential
+pass, is the place of the longer suffix, which a second sequential pass inserts; and the
+common prefixes of what was inserted, and of what stands after it, are brought up to date. Two passes read and write
+files from front to back; files of over `block` entries are external (unlinked scratch files of one task, made
+again if it runs again). In the end strings that agree stand next to each other with common prefixes of their whole length.
+
+The documents of the construction are fragments, so there are at most 84 rounds, whatever the longest text.
+Every 50-byte string is dealt by its anchor, the leftmost of its 16-byte substrings with the
+smallest hash: equal strings have equal anchors. Strings in a row with equal anchors form one fragment, of at most `MOST` strings.
 First only anchors' hashes are dealt, and those in one document alone are put aside; then
 the fragments of the others. Fragments that a piece of the corpus holds more than once are dealt
-once, with the smallest id, so a passage in any share of the documents comes to a task once a piece.
+once, with the smallest id, so a passage in any share of the documents comes to a task once a piece. Equal
+fragments are one there, and an anchor that only one fragment has needs no construction.
 
 The corpus is first packed into compressed pieces in the shared folder, whose names tie the steps together.
 
 Edge cases: a null text is empty; a text shorter than 50 bytes loses nothing; rows with equal ids
 are one document for the comparison but keep rows of their own; a row without an id comes before all others;
-very long texts form pieces of their own; an empty table gives an empty result.
+very long texts form pieces of their own; text of a short period, one byte over and over say, makes no more fragments than any other;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import flat, partitions, pieces, release, spans, written
 
-#: Bytes of a string and of an anchor; bytes of a piece of the corpus; text bytes for each bucket of anchors; entries that a construction keeps in memory.
-LENGTH, ANCHOR, PIECE, BUCKET, IN_MEMORY = 50, 16, 2_000_000, 5_000_000, 4_000_000
+#: Bytes of a string and of an anchor; strings of a fragment; bytes of a piece of the corpus; text bytes for each bucket of anchors; entries of a file that are read at once.
+LENGTH, ANCHOR, MOST, PIECE, BUCKET, BLOCK = 50, 16, 35, 2_000_000, 2_500_000, 4_000_000
+#: No symbol: no UTF-8 text has this byte.
+NONE = 255
 #: Level of compression of what is dealt, bits of a place in a packed hash.
 LEVEL = 6
 _PLACE = 28
@@ -109,7 +114,21 @@ def fragments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor:
     where = place[first].astype(np.int64)
     if m > 1 << _PLACE:  # places beyond the packed bits
         where += (first - where + (1 << _PLACE) - 1) // (1 << _PLACE) * (1 << _PLACE)
-    return g[where], first, count
+    return _evened(g[where], first, count)
+
+
+def _evened(h: np.ndarray, first: np.ndarray, count: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments in a row with one anchor (text of a short period has many) joined, and cut to `most` strings."""
+    if not len(h):
+        return h, first, count
+    begins = np.ones(len(h), bool)
+    begins[1:] = (h[1:] != h[:-1]) | (first[1:] != first[:-1] + count[:-1])
+    at = np.flatnonzero(begins)
+    h, first, count = h[at], first[at], np.add.reduceat(count, at)
+    parts = -(-count // most)
+    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    h, first, count = (np.repeat(x, parts) for x in (h, first, count))
+    return h, first + k * most, np.minimum(count - k * most, most)
 
 
 def _scratch(n: int, kind: type, in_memory: int) -> np.ndarray:
@@ -121,45 +140,81 @@ def _scratch(n: int, kind: type, in_memory: int) -> np.ndarray:
     return np.memmap(file, kind, "r+", shape=(n,))
 
 
-def classes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, in_memory: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """Strings that equal another, in order, and the class of each (from 0, rising): columns are inserted from the last to the first."""
-    pair = text.astype(np.uint16) << 8
-    pair[:-1] |= text[1:]
-    n = len(starts)
-    order, of = np.arange(n, dtype=np.int64), np.zeros(n, np.int64)
-    columns = [*range(length - 2, -1, -2)] + ([-1] if length % 2 else [])
-    for column in columns:
-        step = max(1, in_memory)
-        blocks = [(a, min(n, a + step)) for a in range(0, n, step)]
-
-        def symbols(rows: np.ndarray, column: int = column) -> np.ndarray:
-            return pair[starts[rows] + column] if column >= 0 else text[starts[rows]].astype(np.uint16)
-
-        if len(blocks) == 1:
-            s = symbols(order)
-            by = np.argsort(s, kind="stable")
-            order, of, s = order[by], of[by], s[by]
-        else:
-            count = sum(np.bincount(symbols(order[a:b]), minlength=1 << 16) for a, b in blocks)
-            base = np.cumsum(count) - count
-            to_order, to_of, to_s = (_scratch(n, kind, in_memory) for kind in (np.int64, np.int64, np.uint16))
-            for a, b in blocks:
-                s = symbols(order[a:b])
-                by = np.argsort(s, kind="stable")
-                s = s[by]
-                own = np.bincount(s, minlength=1 << 16)
-                to = base[s] + np.arange(b - a) - (np.cumsum(own) - own)[s]
-                to_order[to], to_of[to], to_s[to] = order[a:b][by], of[a:b][by], s
-                base += own
-            order, of, s = to_order, to_of, to_s
-        differs = np.ones(n + 1, bool)  # from the entry before
-        differs[1:-1] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
-        kept = ~(differs[:-1] & differs[1:])
-        new = np.cumsum(differs[:-1]) - 1
-        order, of, n = order[kept], new[kept], int(kept.sum())
-        if not n:
-            break
-    return order, np.cumsum(np.concatenate(([0], of[1:] != of[:-1]))) if n else of
+def _common(eight: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many bytes two places of a text agree in, `most` at the most: eight at a time."""
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    step = 0
+    while len(live):
+        x = eight[a[live] + step] ^ eight[b[live] + step]
+        same = (np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)  # trailing bytes that are zero
+        out[live] = step + np.where(x == 0, 8, same)
+        step += 8
+        live = live[(x == 0) & (step < most[live])]
+    return np.minimum(out, most)
+
+
+def insertion(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix order of documents that stand one after the other in a text: start of each suffix (the empty ones first), the symbol before it (NONE at a document's start) and the common prefix with the suffix before it, `length` at most.
+
+    Equal suffixes are in order of their documents."""
+    m, whole, end = len(at), len(at) + int(size.sum()), at + size
+    eight = np.ndarray(len(text), "<u8", np.concatenate((text, np.zeros(8, np.uint8))), strides=(1,))
+    old, new = ([_scratch(whole, k, block) for k in (np.int64, np.uint8, np.uint8)] for _ in range(2))
+    n = m
+    old[0][:n], old[1][:n], old[2][:n] = end, NONE, 0
+    docs, place, hist = np.arange(m), np.arange(m), np.zeros(256, np.int64)
+    for column in range(1, int(size.max()) + 1 if m else 1):
+        live = size[docs] >= column
+        docs, place = docs[live], place[live]  # places rise
+        start = end[docs] - column
+        symbol = text[start]
+        # first pass: the symbols enter the transform and are ranked
+        rank, before = np.empty(len(docs), np.int64), np.zeros(256, np.int64)
+        for low in range(0, n, block):
+            high = min(n, low + block)
+            part, own = old[1][low:high], slice(*np.searchsorted(place, (low, high)))
+            part[place[own] - low] = symbol[own]
+            order = np.argsort(part, kind="stable")
+            ranked = np.empty(high - low, np.int64)
+            ranked[order] = np.arange(high - low)
+            count = np.bincount(part, minlength=256)
+            rank[own] = (before - (np.cumsum(count) - count))[symbol[own]] + ranked[place[own] - low]
+            before += count
+        hist += np.bincount(symbol, minlength=256)
+        to = (m + np.cumsum(hist) - hist)[symbol] + rank
+        order = np.argsort(to)
+        docs, place, start = docs[order], to[order], start[order]
+        # second pass: the longer suffixes are inserted
+        after = place - np.arange(len(place))  # entries of the old file before each
+        for low in range(0, n, block):
+            high = min(n, low + block)
+            own = slice(np.searchsorted(after, low, "left" if low == 0 else "right"), np.searchsorted(after, high, "right"))
+            first = low + own.start
+            mine = place[own] - first
+            kept = np.ones(high - low + len(mine), bool)
+            kept[mine] = False
+            for source, target, value in zip(old, new, (start[own], NONE, 0), strict=True):
+                out = target[first : first + len(kept)]
+                out[kept] = source[low:high]
+                out[mine] = value
+        n += len(place)
+        old, new = new, old
+        # common prefixes of what is new and of what stands after it
+        changed = np.union1d(place, place + 1)
+        changed = changed[(changed > m) & (changed < n)]
+        a, b = old[0][changed - 1], old[0][changed]
+        left = [end[np.searchsorted(at, x, "right") - 1] - x for x in (a, b)]
+        old[2][changed] = _common(eight, a, b, np.minimum(np.minimum(*left), length))
+    return old[0][:n], old[1][:n], old[2][:n]
+
+
+def classes(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the strings of documents that equal another, in order, and the class of each (from 0, rising): neighbours in suffix order with common prefixes of the whole length."""
+    start, _, common = insertion(text, at, size, length, block)
+    same = np.append(common >= length, False)
+    some = np.flatnonzero(same[:-1] | same[1:])
+    return start[some], np.cumsum(~same[some]) - 1
 
 
 def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -246,7 +301,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     """The packed corpus, and for its pieces the places and sizes of runs of bytes to remove (piece, blob)."""
     corpus = packed(docs, doc_id, text)
     total = corpus.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions(docs.sparkSession), -(-total // bucket), 1)
+    buckets = max(4 * partitions(docs.sparkSession), -(-total // bucket), 1)
 
     def known(piece_ids: np.ndarray, offs: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the fragments' documents, and whether the piece itself has the anchor in several documents."""
@@ -297,7 +352,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             if rest.any():
                 yield pa.RecordBatch.from_arrays([pa.array([int(own[0]) % buckets], pa.int64()), pa.array([piece]), pa.array([1], pa.int32()), pa.array([_runs(first[rest], count[rest] + length - 1)], pa.binary())], names=names)
             h, first, count, own = h[lead], first[lead], count[lead], own[lead]
-            out = [(b, _pack(np.diff(own[r], prepend=0), _small(np.diff(first[r], prepend=0)), _small(count[r]), _gather(data, first[r], count[r] + length - 1))) for b, r in _split((h % np.uint64(buckets)).astype(np.int64))]
+            out = [(b, _pack(np.diff(own[r], prepend=0), _small(np.diff(first[r], prepend=0)), _small(count[r]), (h[r] >> np.uint64(32)).astype(np.uint32), _gather(data, first[r], count[r] + length - 1))) for b, r in _split((h % np.uint64(buckets)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([piece] * len(out)), pa.array([0] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=names)
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +367,8 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             if parts:
                 own, first = (np.concatenate([np.cumsum(p[k], dtype=np.int64) for p in parts]) for k in range(2))
                 count = np.concatenate([p[2] for p in parts]).astype(np.int64)
-                data = np.concatenate([p[3] for p in parts])
+                anchor = np.concatenate([p[3] for p in parts])
+                data = np.concatenate([p[4] for p in parts])
                 of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
                 size = count + length - 1
                 at = np.cumsum(size) - size
@@ -326,14 +382,22 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 begin = np.searchsorted(group[by], np.arange(len(low) + 1))
                 rep = by[begin[:-1]]
                 n = count[rep]
-                string = np.repeat(at[rep] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                ends = np.cumsum(n)
+                gone = np.zeros(int(ends[-1]), bool)  # of the strings of distinct fragments
+                # only anchors of several fragments need the construction
+                _, which, several = np.unique(anchor[rep], return_inverse=True, return_counts=True)
+                some = np.flatnonzero(several[which] > 1)
+                if len(some):
+                    sizes = size[rep[some]]
+                    begins = np.cumsum(sizes) - sizes
+                    start, cls = classes(_gather(data, at[rep[some]], sizes), begins, sizes, length)
+                    if len(start):
+                        doc = np.searchsorted(begins, start, "right") - 1
+                        ids = low[some[doc]]
+                        least = np.minimum.reduceat(ids, np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))))
+                        gone[(ends - n)[some[doc]] + start - begins[doc]] = ids > least[cls]
+                string = np.repeat(at[rep] - ends + n, n) + np.arange(len(gone))
                 frag = np.repeat(np.arange(len(rep)), n)
-                order, cls = classes(data, string, length)
-                gone = np.zeros(len(string), bool)
-                if len(order):
-                    ids = low[frag[order]]
-                    least = np.minimum.reduceat(ids, np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))))
-                    gone[order] = ids > least[cls]
                 a, b = spans(gone, np.concatenate(([0], np.cumsum(n))))
                 places = np.diff(begin)[frag[a]]
                 run = np.repeat(np.arange(len(a)), places)
