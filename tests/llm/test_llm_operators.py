@@ -68,18 +68,72 @@ def test_language_is_learnt_and_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_language_probabilities_sum_to_one():
-    """The model's next-character probabilities over its alphabet sum to at most 1, and to nearly 1 with the floor's share."""
-    words = [" abba ", " abc ", " baba ", " cab "]
-    grams, counts = language._counts(words, np.array([3, 1, 2, 1]))
-    m = language.build({"x": (grams, counts)})
-    alphabet = "abc "
-    for history in (" ", " a", " ab", " ba"):
+def brute_kneser_ney(words, alphabet):
+    """P(character | history) by the definition, with dictionaries: words of one language with a space on either side."""
+    from collections import Counter
+
+    order = language.ORDER
+    raw = {k: Counter() for k in range(1, order + 1)}
+    for w in words:
+        for e in range(1, len(w)):
+            for k in range(1, order + 1):
+                if e - k + 1 >= 0:
+                    raw[k][w[e - k + 1 : e + 1]] += 1
+    counts = {order: dict(raw[order])}
+    for k in range(order - 1, 0, -1):
+        c = Counter()
+        for g in raw[k + 1]:
+            c[g[1:]] += 1
+        starts = Counter(w[:k] for w in words if k > 1 and len(w) >= k)
+        counts[k] = dict(c + starts)
+    d = {}
+    for k, c in counts.items():
+        one, two = (sum(v == x for v in c.values()) for x in (1, 2))
+        d[k] = one / (one + 2 * two) if one and two else 0.5
+
+    def p(char, history, k, floor):
+        if k == 0:
+            return floor
+        own = {g: n for g, n in counts[k].items() if g[:-1] == history}
+        if not own:
+            return p(char, history[1:], k - 1, floor)
+        total = sum(own.values())
+        return max(own.get(history + char, 0) - d[k], 0) / total + d[k] * len(own) / total * p(char, history[1:], k - 1, floor)
+
+    return lambda char, history, floor: p(char, history[-(order - 1) :], min(order, len(history) + 1), floor)
+
+
+def test_language_equals_brute_force_kneser_ney(spark):
+    """Every probability of a small corpus, against the definition; of each history they sum to one with the floor's share."""
+    words = [" abba ", " abba ", " abba ", " abc ", " baba ", " baba ", " cab ", " abcabc ", " c "]
+    grams, counts = language._counts(sorted(set(words)), np.array([words.count(w) for w in sorted(set(words))]))
+    m = language.build(spark.createDataFrame([("x", g, int(n)) for g, n in zip(grams.tolist(), counts, strict=True)], "l string, g string, n long"))
+    want = brute_kneser_ney(words, "abc ")
+    for history in (" ", " a", " ab", " ba", " abb", " abca", " zz", " cc"):
         p = []
-        for c in alphabet:
+        for c in "abc z":
             whole, part = m.costs([history + c])[0][0, 0], m.costs([history])[0][0, 0]
             p.append(2 ** (part - whole))
-        assert 0.9 < sum(p) <= 1.0001
+            assert abs(p[-1] - want(c, history, m.floor)) < 1e-5
+        assert 0.8 < sum(p[:4]) <= 1.0001  # the floor has the rest
+
+
+def test_pruned_models_still_sum_to_one(spark):
+    """With a bound on n-grams the rare ones leave, discounts stay those of all, and histories keep their mass."""
+    words = [" abba ", " abc ", " baba ", " cab "]
+    grams, counts = language._counts(words, np.array([8, 1, 4, 1]))
+    counted = spark.createDataFrame([("x", g, int(n)) for g, n in zip(grams.tolist(), counts, strict=True)], "l string, g string, n long")
+    m = language.build(counted, most_grams=3)
+    assert len(m.tables[4][0]) < len(language.build(counted).tables[4][0])
+    for history in (" ", " a", " ab", " ba"):
+        p = [2 ** (m.costs([history])[0][0, 0] - m.costs([history + c])[0][0, 0]) for c in "abc "]
+        assert 0.8 < sum(p) <= 1.0001
+
+
+def test_signs_of_numbers_are_no_letters(spark):
+    d = spark.createDataFrame([(k, "der die das und", "de") for k in range(30)] + [(90, "½ ² 12 Ⅷ", None), (91, "ª", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("x")).withColumn("l", F.lit(1))
+    got = {r.doc_id: r.lang_pred for r in language.predicted(d).collect()}
+    assert (got[90], got[91]) == ("und", "de")
 
 
 def test_language_edges(spark, none):
@@ -122,18 +176,39 @@ def test_substrings_empty(none):
     assert substrings.report(none).count() == 0
 
 
-@pytest.mark.parametrize("in_memory", [10_000, 64])
-@pytest.mark.parametrize("length", [4, 7])
-def test_column_insertion_equals_sorting(in_memory, length):
+@pytest.mark.parametrize("block", [10_000, 97])
+@pytest.mark.parametrize("length", [4, 30])
+def test_insertion_equals_a_naive_suffix_array(block, length):
+    """Suffix order, transform and common prefixes of documents of all lengths, short periods and copies among them, in memory and in external files."""
     rng = np.random.default_rng(1)
-    text = rng.integers(97, 100, 500).astype(np.uint8)
-    starts = rng.integers(0, 500 - length, 300)
-    order, cls = substrings.classes(text, starts, length, in_memory)
-    strings = [text[s : s + length].tobytes() for s in starts]
-    many = {s for s in strings if strings.count(s) > 1}
-    assert sorted(order.tolist()) == [k for k, s in enumerate(strings) if s in many]
-    names = sorted(many)
-    assert [names[c] for c in cls] == [strings[k] for k in order]
+    docs = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in rng.integers(0, 40, 30)]
+    docs += [b"a" * 39, b"ab" * 15, docs[3], docs[4] + b"\0", b"\xfe\0\0", docs[5][1:]]
+    size = np.array([len(d) for d in docs])
+    at = np.cumsum(size) - size
+    start, before, common = substrings.insertion(np.frombuffer(b"".join(docs), np.uint8), at, size, length, block)
+    want = sorted((d[k:], i, k) for i, d in enumerate(docs) for k in range(len(d) + 1))
+    assert start.tolist() == [int(at[i]) + k for _, i, k in want]
+    assert before.tolist() == [docs[i][k - 1] if k else substrings.NONE for _, i, k in want]
+    shared = [next((n for n, (x, y) in enumerate(zip(a[0], b[0], strict=False)) if x != y), min(len(a[0]), len(b[0]))) for a, b in zip(want, want[1:], strict=False)]
+    assert common.tolist() == [0, *(min(n, length) for n in shared)]
+    found, cls = substrings.classes(np.frombuffer(b"".join(docs), np.uint8), at, size, length, block)
+    strings = [s[:length] for s, _, _ in want if len(s) >= length]
+    many = sorted({s for s in strings if strings.count(s) > 1})
+    text = b"".join(docs)
+    assert [many[c] for c in cls] == [text[s : s + length] for s in found.tolist()] == [s for s in strings if s in many]
+
+
+def test_text_of_a_short_period_makes_few_fragments(spark):
+    for period in (b"a", b"abc", b"abcdefghijklmnop"):
+        data = np.frombuffer(period * (100_000 // len(period)), np.uint8)
+        h, first, count = substrings.fragments(data, np.array([0, len(data)]))
+        assert count.sum() == len(data) - 49
+        assert (count + 49).sum() < 4.5 * len(data)
+        assert (first[1:] == first[:-1] + count[:-1]).all()
+    rows = [(3, "ab" * 400), (1, "a" * 700), (2, "x" + "a" * 300 + "y"), (4, "ba" * 30 + "q"), (5, "a" * 2_100_000), (6, "z" * 60)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.report(d).collect()}
+    assert got == {1: (0, 0), 2: (300, 1), 3: (0, 0), 4: (60, 1), 5: (2_100_000, 1), 6: (0, 0)}
 
 
 # ---- pieces
@@ -337,9 +412,31 @@ URLS = ["http://A.Example.ORG/es/x?y", "x://com", "x://a.b.com/fr/?q", "nope", N
 
 @pytest.mark.parametrize("most", [urls.MOST_BROADCAST, 0])
 def test_urls_equal_brute_force(spark, most):
-    pages = spark.createDataFrame(list(enumerate([*URLS, URLS[0]])), "page_id long, url string").withColumn("verdict", F.lit("old")).withColumn("_best", F.lit(1))
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages.drop("_best"), most_broadcast=most).collect()}
-    assert got == {k: brute_verdict(u) for k, u in enumerate([*URLS, URLS[0]])}
+    pages = spark.createDataFrame(list(enumerate([*URLS, URLS[0]])), "page_id long, url string").withColumn("verdict", F.lit("old"))
+    for clash in ("_url", "_best", "_0", "u", "place", "probe", "best", "r", "weight"):
+        pages = pages.withColumn(clash, F.lit(clash))
+    got = urls.judge(pages, most_broadcast=most).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {k: brute_verdict(u) for k, u in enumerate([*URLS, URLS[0]])}
+    assert all(r[c] == c for r in got for c in ("_url", "_best", "_0", "u", "place", "probe", "best", "r", "weight"))
+    assert urls.judge(pages.limit(0), most_broadcast=most).count() == 0
+
+
+@pytest.mark.parametrize("most", [urls.MOST_BROADCAST, 0])
+def test_ties_between_rules(spark, most):
+    """Of rules with one string block wins, in whatever order; of equally long rules that with the longer host."""
+    pages = spark.createDataFrame([(1, "x://a.com/x"), (2, "x://b.a.org/yz/w")], "page_id long, url string")
+    rules = [("block", "a.com", "/x"), ("allow", "a.com", "/x"), ("allow", "b.a.org", "/"), ("block", "a.org", "/y")]
+    for order in (rules, rules[::-1]):
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, order, most_broadcast=most).collect()}
+        assert got == {1: ("a.com/x", "block"), 2: ("b.a.org/", "allow")}
+
+
+@pytest.mark.parametrize("size", [urls.RANGE, 60])
+def test_ranges_of_digests(spark, size):
+    rules = spark.createDataFrame([("block" if k % 3 else "allow", f"h{k}.com", f"/{'p' * (k % 4)}") for k in range(200)], "verdict string, host string, path string")
+    pages = spark.createDataFrame([(k, f"x://sub.h{k % 250}.com/{'p' * (k % 5)}?q") for k in range(500)], "page_id long, url string")
+    want = by_str(urls.verdicts(pages, rules=rules).collect())
+    assert by_str(urls.dealt(pages, rules, range_bytes=size).select("page_id", "host", "path", "rule", "verdict").collect()) == want
 
 
 def test_colliding_digests_are_told_apart():
@@ -447,8 +544,11 @@ def test_shards_keep_every_row_and_versions(spark, docs, none, tmp_path):
     for k in range(6):
         store.append(docs.where(F.coalesce(F.col("doc_id"), F.lit(0)) % 6 == k), rows=5)
     before = store.manifest()
-    after = store.compact()
+    after = store.compact(last=True)
     assert len(after["files"]) < len(before["files"])
+    assert sum(f["rows"] for f in after["files"]) == docs.count()
+    assert sum(f["bytes"] * 2 < store.target for f in after["files"]) <= 1
+    assert not store.due(after["files"])
     assert by_str(store.read().collect()) == by_str(docs.collect()) == by_str(store.read(before["version"]).collect())
     with pytest.raises(RuntimeError, match="another writer"):
         store.commit(before, [], None)
@@ -457,6 +557,37 @@ def test_shards_keep_every_row_and_versions(spark, docs, none, tmp_path):
     assert shards.listing(none).count() == 0
 
 
+def test_two_writers_never_make_one_version(spark, docs, tmp_path):
+    """Of many that commit after the same version, one wins; what a dead writer left goes after the grace period only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = shards.Store(spark, str(tmp_path / "s"))
+    base = store.append(docs)
+
+    def attempt(k):
+        try:
+            return store.commit(base, [*base["files"], {"name": f"x{k}", "bytes": 1, "rows": 1}], None)["files"][-1]["name"]
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = [x for x in pool.map(attempt, range(12)) if x]
+    assert len(won) == 1
+    assert store.manifest()["files"][-1]["name"] == won[0]
+    store = shards.Store(spark, str(tmp_path / "t"))
+    store.append(docs)
+    store._write(docs, None)  # never committed
+    assert store.vacuum() == 0
+    assert store.vacuum(grace_seconds=-5) > 0
+    assert by_str(store.read().collect()) == by_str(docs.collect())
+
+
+def test_arrivals_are_one_write(spark, docs, tmp_path):
+    store = shards.sharded(docs.withColumn("part", F.lit("mine")), str(tmp_path / "s"), arrivals=5, target=40_000)
+    assert store.manifest()["version"] > 5
+    assert by_str(store.read().collect()) == by_str((*r, "mine") for r in docs.collect())
+
+
 def test_shards_run_no_python(spark, docs):
     assert not re.search("Python|Pandas|Arrow", shards.listing(docs)._jdf.queryExecution().toString())
 
@@ -474,6 +605,36 @@ def test_quality_ranks_held_out_labels(spark):
     assert sum(r.predicted == r.quality for r in got) >= 0.97 * len(got)
 
 
+def test_weights_are_where_the_pairwise_loss_is_flat():
+    """The logistic loss of feature differences over drawn pairs: its gradient, by differences of the loss itself, is nothing at the learnt weights."""
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(120, 4)), rng.integers(0, 2, 120)
+    x[:, 1] += y
+    m = quality.learn(x, y, pairs=500)
+    z = (x - m.centre) / m.scale
+    draw = np.random.default_rng(quality.SEED)
+    d = z[draw.choice(np.flatnonzero(y == 1), 500)] - z[draw.choice(np.flatnonzero(y == 0), 500)]
+
+    def loss(w):
+        return float(np.mean([np.log1p(np.exp(-v @ w)) for v in d]) + (quality.PENALTY * quality.weight_of(len(w)) / 2 * w**2).sum())
+
+    for k in range(4):
+        e = np.zeros(4)
+        e[k] = 1e-4
+        assert abs(loss(m.weights + e) - loss(m.weights - e)) / 2e-4 < 1e-5
+    assert m.weights[1] > max(abs(m.weights[[0, 2, 3]]))
+
+
+def test_words_and_characters_are_features():
+    """Texts of one look but other words differ in their hashed features only."""
+    a, b = (common.flat(__import__("pyarrow").array([t])) for t in ("aabb ccdd eeff.", "ggbb hhdd iiff."))
+    x, y = quality.features(*a)[0], quality.features(*b)[0]
+    assert np.allclose(x[: quality.LOOKS], y[: quality.LOOKS])
+    assert not np.allclose(x[quality.LOOKS :], y[quality.LOOKS :])
+    lexical = x[quality.LOOKS :].reshape(2, -1)
+    assert np.allclose((lexical**2).sum(1), 1)  # square roots of shares
+
+
 def test_quality_edges(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
     out = quality.rated(docs, labels).collect()
@@ -515,13 +676,25 @@ def bench(spark, docs):
     return spark.createDataFrame([*items, items[0], (7, None), (8, "!!"), (None, "over the wind"), (9, "ZZ top")], "item_id long, text string")
 
 
-@pytest.mark.parametrize("chars", [decontaminate.BLOCK_CHARS, 200])
-def test_hits_equal_brute_force(docs, bench, chars):
+@pytest.mark.parametrize(("chars", "shard"), [(decontaminate.BLOCK_CHARS, decontaminate.SHARD), (decontaminate.BLOCK_CHARS, 1), (2000, decontaminate.SHARD)])
+def test_hits_equal_brute_force(docs, bench, chars, shard):
     want = brute_hits([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
-    assert by_str(decontaminate.annotate(docs, bench, block_chars=chars).collect()) == want
+    assert by_str(decontaminate.annotate(docs, bench, block_chars=chars, shard=shard).collect()) == want
     assert sum(r[5] for r in want) > 5
 
 
+def test_one_block_of_the_benchmark_is_held(docs, bench, monkeypatch):
+    """Blocks are collected in turn, and none is larger than it must be."""
+    sizes, make = [], decontaminate.Phrases.__init__
+    monkeypatch.setattr(decontaminate.Phrases, "__init__", lambda self, items, window: sizes.append(sum(len(t) for _, t in items)) or make(self, items, window))
+    one = decontaminate.annotate(docs, bench).where("contaminated").count()
+    many = decontaminate.clean(docs, bench, block_chars=200)
+    assert len(sizes) > 3
+    assert max(sizes[1:]) < sizes[0] / 2
+    kept = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    assert sum(kept[r.doc_id] != r.text for r in many.collect() if r.doc_id is not None) <= one
+
+
 def test_cleaning_cuts_spans(spark, none):
     b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     d = spark.createDataFrame([(1, "Before. One two, three four five six seven eight nine ten! after"), (2, "one two three"), (3, None), (4, "")], DOCS).withColumn("spans", F.lit("mine")).withColumn("TEXTS", F.lit(1))
