@@ -14,7 +14,8 @@ smallest hash: equal strings have equal anchors. Strings in a row with equal anc
 First only anchors' hashes are dealt, and those in one document alone are put aside; then
 the fragments of the others. Fragments that a piece of the corpus holds more than once are dealt
 once, with the smallest id, so a passage in any share of the documents comes to a task once a piece. Equal
-fragments are one there, and an anchor that only one fragment has needs no construction.
+fragments are one there. An anchor that only one fragment has needs no construction, nor does a fragment none of whose strings
+has a hash that another string has; what shares strings, and with whom, the construction alone says.
 
 The corpus is first packed into compressed pieces in the shared folder, whose names tie the steps together.
 
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, partitions, pieces, release, spans, written
+from .common import flat, partitions, pieces, release, span_hashes, spans, written
 
 #: Bytes of a string and of an anchor; strings of a fragment; bytes of a piece of the corpus; text bytes for each bucket of anchors; entries of a file that are read at once.
 LENGTH, ANCHOR, MOST, PIECE, BUCKET, BLOCK = 50, 16, 35, 2_000_000, 2_500_000, 4_000_000
@@ -154,15 +155,20 @@ def _common(eight: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -
     return np.minimum(out, most)
 
 
+#: An entry of a collection's file: where the suffix starts, then a byte each for the symbol before it, its common prefix with the entry before, and its length.
+_SYMBOL, _PREFIX, _LEFT = (np.uint64(x) for x in (16, 8, 0))
+_START, _BYTE = np.uint64(24), np.uint64(255)
+
+
 def insertion(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffix order of documents that stand one after the other in a text: start of each suffix (the empty ones first), the symbol before it (NONE at a document's start) and the common prefix with the suffix before it, `length` at most.
+    """The suffix order of documents of at most 255 bytes that stand one after the other in a text: start of each suffix (the empty ones first), the symbol before it (NONE at a document's start) and the common prefix with the suffix before it, `length` at most.
 
     Equal suffixes are in order of their documents."""
     m, whole, end = len(at), len(at) + int(size.sum()), at + size
     eight = np.ndarray(len(text), "<u8", np.concatenate((text, np.zeros(8, np.uint8))), strides=(1,))
-    old, new = ([_scratch(whole, k, block) for k in (np.int64, np.uint8, np.uint8)] for _ in range(2))
-    n = m
-    old[0][:n], old[1][:n], old[2][:n] = end, NONE, 0
+    old, new = (_scratch(whole, np.uint64, block) for _ in range(2))
+    n, blank = m, np.uint64(NONE) << _SYMBOL
+    old[:n] = end.astype(np.uint64) << _START | blank
     docs, place, hist = np.arange(m), np.arange(m), np.zeros(256, np.int64)
     for column in range(1, int(size.max()) + 1 if m else 1):
         live = size[docs] >= column
@@ -171,13 +177,15 @@ def insertion(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int =
         symbol = text[start]
         # first pass: the symbols enter the transform and are ranked
         rank, before = np.empty(len(docs), np.int64), np.zeros(256, np.int64)
+        entry = (symbol.astype(np.uint64) ^ np.uint64(NONE)) << _SYMBOL  # what makes NONE the symbol
         for low in range(0, n, block):
             high = min(n, low + block)
-            part, own = old[1][low:high], slice(*np.searchsorted(place, (low, high)))
-            part[place[own] - low] = symbol[own]
+            own = slice(*np.searchsorted(place, (low, high)))
+            old[place[own]] ^= entry[own]
+            part = (old[low:high] >> _SYMBOL).astype(np.uint8)
             order = np.argsort(part, kind="stable")
-            ranked = np.empty(high - low, np.int64)
-            ranked[order] = np.arange(high - low)
+            ranked = np.empty(high - low, np.int32)
+            ranked[order] = np.arange(high - low, dtype=np.int32)
             count = np.bincount(part, minlength=256)
             rank[own] = (before - (np.cumsum(count) - count))[symbol[own]] + ranked[place[own] - low]
             before += count
@@ -187,6 +195,7 @@ def insertion(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int =
         docs, place, start = docs[order], to[order], start[order]
         # second pass: the longer suffixes are inserted
         after = place - np.arange(len(place))  # entries of the old file before each
+        entry = start.astype(np.uint64) << _START | blank | np.uint64(column)
         for low in range(0, n, block):
             high = min(n, low + block)
             own = slice(np.searchsorted(after, low, "left" if low == 0 else "right"), np.searchsorted(after, high, "right"))
@@ -194,19 +203,22 @@ def insertion(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int =
             mine = place[own] - first
             kept = np.ones(high - low + len(mine), bool)
             kept[mine] = False
-            for source, target, value in zip(old, new, (start[own], NONE, 0), strict=True):
-                out = target[first : first + len(kept)]
-                out[kept] = source[low:high]
-                out[mine] = value
+            out = new[first : first + len(kept)]
+            out[kept] = old[low:high]
+            out[mine] = entry[own]
         n += len(place)
         old, new = new, old
         # common prefixes of what is new and of what stands after it
-        changed = np.union1d(place, place + 1)
-        changed = changed[(changed > m) & (changed < n)]
-        a, b = old[0][changed - 1], old[0][changed]
-        left = [end[np.searchsorted(at, x, "right") - 1] - x for x in (a, b)]
-        old[2][changed] = _common(eight, a, b, np.minimum(np.minimum(*left), length))
-    return old[0][:n], old[1][:n], old[2][:n]
+        follow = place + 1
+        follow = follow[np.append(follow[:-1] != place[1:], follow[-1:] < n)]
+        changed = np.concatenate((place, follow))
+        changed = changed[changed > m]
+        a, b = old[changed - 1], old[changed]
+        least = np.minimum(np.minimum(a & _BYTE, b & _BYTE).astype(np.int64), length)
+        common = _common(eight, (a >> _START).astype(np.int64), (b >> _START).astype(np.int64), least)
+        old[changed] = (b & ~(_BYTE << _PREFIX)) | common.astype(np.uint64) << _PREFIX
+    old = old[:n]
+    return (old >> _START).astype(np.int64), (old >> _SYMBOL).astype(np.uint8), (old >> _PREFIX).astype(np.uint8)
 
 
 def classes(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +229,14 @@ def classes(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int = LE
     return start[some], np.cumsum(~same[some]) - 1
 
 
+def sieved(text: np.ndarray, at: np.ndarray, n: np.ndarray, some: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Of some fragments (places, numbers of strings) those with a string whose 64-bit hash another string has too: the others share nothing, and need no construction."""
+    own = n[some]
+    start = np.repeat(at[some] - np.cumsum(own) + own, own) + np.arange(own.sum())
+    _, which, count = np.unique(span_hashes(text, start, start + length), return_inverse=True, return_counts=True)
+    return some[np.unique(np.repeat(np.arange(len(some)), own)[count[which] > 1])]
+
+
 def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     ends = np.cumsum(size)
     return data[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -386,7 +406,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 gone = np.zeros(int(ends[-1]), bool)  # of the strings of distinct fragments
                 # only anchors of several fragments need the construction
                 _, which, several = np.unique(anchor[rep], return_inverse=True, return_counts=True)
-                some = np.flatnonzero(several[which] > 1)
+                some = sieved(data, at[rep], n, np.flatnonzero(several[which] > 1), length)
                 if len(some):
                     sizes = size[rep[some]]
                     begins = np.cumsum(sizes) - sizes
