@@ -10,7 +10,8 @@ of markers without changing its pieces. A batch's distinct chunks are encoded on
 the library, and each text's ids are put together from them; a model with such a piece, or with a
 character map, is encoded text by text.
 
-Parity with the sentencepiece library is verified chunk by chunk where asked, and decoding is an
+Parity with the sentencepiece library is verified where asked: the normal form of each whole text against the library's, and
+the ids of its chunks against the library's for them; decoding is an
 exact inverse of encoding for texts whose normal form is the text itself.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text (null stays null when
@@ -166,7 +167,8 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the bounds of each text's; the last call's chunks stay for parity()."""
-        chunks, counts = self.chunks([self.normal(t or "") for t in texts])
+        normal = [self.normal(t or "") for t in texts]
+        chunks, counts = self.chunks(normal)
         coded = pc.dictionary_encode(chunks)
         words = coded.dictionary.to_pylist()
         pool, begin = self._coded(words)
@@ -176,7 +178,7 @@ class Codec:
         ends = np.concatenate(([0], np.cumsum(n)))
         at = np.repeat(begin[:-1][which] - ends[:-1], n) + np.arange(ends[-1])
         bounds = ends[np.concatenate(([0], np.cumsum(counts)))]
-        self.last = (words, pool, begin, which, counts)
+        self.last = (words, pool, begin, which, counts, texts, normal)
         return pool[at], bounds
 
     def _runs(self, words: list[str]) -> list[str | None]:
@@ -202,8 +204,8 @@ class Codec:
         return pool, np.concatenate(([0], np.searchsorted(covered, ends, "left") + 1)) if len(words) else np.zeros(1, np.int64)
 
     def parity(self) -> np.ndarray:
-        """For each text of the last call, whether the sentencepiece library gives all its chunks the same ids."""
-        words, pool, begin, which, counts = self.last
+        """For each text of the last call, whether the sentencepiece library gives it the same normal form and all its chunks the same ids."""
+        words, pool, begin, which, counts, texts, normal = self.last
         self.last = None
         sp, at = processor(self.raw), begin.tolist()
         strip = self.model.dummy_prefix
@@ -222,7 +224,8 @@ class Codec:
         single = [j for k in again for j in range(k * RUN, min(len(words), (k + 1) * RUN))]
         for j, ids in zip(single, theirs([words[j] for j in single]), strict=True):
             same[j] = ids == pool[at[j] : at[j + 1]].tolist()
-        return common.per_row(~same[which], np.concatenate(([0], np.cumsum(counts)))) == 0
+        alike = np.fromiter((sp.normalize(t or "") == own for t, own in zip(texts, normal, strict=True)), bool, len(texts))
+        return alike & (common.per_row(~same[which], np.concatenate(([0], np.cumsum(counts)))) == 0)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes joined, markers as spaces, the dummy prefix taken off, controls left out."""
@@ -317,14 +320,14 @@ def ids_sha256(ids: list[int]) -> str:
     return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
 
 
-def digests(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_pieces, pieces_sha256, parity, round_trip (decoding gives the normal form's text back)."""
+def digests(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_pieces, pieces_sha256, parity, round_trip (decoding gives the normal form's text back), and with `keep` the pieces themselves."""
     raw = docs.sparkSession.sparkContext.broadcast(_raw(model))
     kept = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw.value)
-        names = ["doc_id", "n_pieces", "pieces_sha256", "parity", "round_trip"]
+        names = ["doc_id", "n_pieces", "pieces_sha256", "parity", "round_trip", *["pieces"] * keep]
         for batch in batches:
             for part in common.pieces(batch, "text", PIECE):
                 texts = part.column("text").to_pylist()
@@ -333,7 +336,7 @@ def digests(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: s
                 at = bounds.tolist()
                 sha = [hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(at, at[1:], strict=False)]
                 plain = [own.plain(t or "") for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sha), pa.array(same), pa.array([x == y for x, y in zip(plain, back, strict=True)])], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sha), pa.array(same), pa.array([x == y for x, y in zip(plain, back, strict=True)]), *[pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))] * keep], names=names)
         common.release()
 
-    return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], *[T.StructField(n, t) for n, t in (("n_pieces", T.LongType()), ("pieces_sha256", T.StringType()), ("parity", T.BooleanType()), ("round_trip", T.BooleanType()))]]))
+    return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], *[T.StructField(n, t) for n, t in (("n_pieces", T.LongType()), ("pieces_sha256", T.StringType()), ("parity", T.BooleanType()), ("round_trip", T.BooleanType()), *[("pieces", T.ArrayType(T.IntegerType()))] * keep)]]))

@@ -254,6 +254,48 @@ def test_unigram_models_are_rebuilt(spark):
     assert [names[i] for i in ids] == ["▁a", "b", "▁", "b"]
 
 
+def test_character_maps_and_byte_fallback_agree_with_the_library():
+    """A unigram model with the library's own character map, all byte pieces and a few words: ids and normal forms of odd texts are the library's."""
+    import struct
+
+    import sentencepiece
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def text(n, raw):
+        return varint(n << 3 | 2) + varint(len(raw)) + raw
+
+    def number(n, value):
+        return varint(n << 3) + varint(value)
+
+    def piece(p, score, kind=1):
+        return text(1, text(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + number(3, kind))
+
+    own = pieces.parse(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    assert own.charsmap
+    words = [("▁", -3.0), ("a", -2.0), ("b", -2.1), ("ab", -2.2), ("▁ab", -2.3), ("c", -2.4), ("▁c", -4.0), ("1", -5.0), ("abc", -3.0), ("カ", -6.0)]
+    raw = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3) + b"".join(piece(f"<0x{k:02X}>", -9.0, 6) for k in range(256)) + b"".join(piece(p, s) for p, s in words)
+    raw += text(2, number(3, 1) + number(35, 1)) + text(3, text(2, own.charsmap) + number(3, 1) + number(4, 1) + number(5, 1))
+    c, sp = pieces.Codec(raw), pieces.processor(raw)
+    texts = ["ab abc", "  ab   c ", "①ａｂ", "ｶab", "é ß 🎉", "a\u200bb\tc\n", "", " ", "ﬁ", "abcabcab" * 30]
+    ids, bounds = c.encode(texts)
+    assert c.parity().all()
+    for t, a, b in zip(texts, bounds, bounds[1:], strict=False):
+        assert ids[a:b].tolist() == sp.encode(t), t
+        assert c.decode(ids[a:b].tolist()) == sp.decode(ids[a:b].tolist()), t
+
+
+def test_parity_sees_a_wrong_normaliser(monkeypatch):
+    c = pieces.Codec(open(pieces.MODEL, "rb").read())
+    monkeypatch.setattr(pieces.Codec, "normal", lambda self, text: "▁" + text.lower().replace(" ", "▁") if text else "")
+    c.encode(["Some Text", "plain text"])
+    assert c.parity().tolist() == [False, True]
+
+
 # ---- simhash
 
 
@@ -510,6 +552,33 @@ def test_fingerprints_equal_brute_force(docs, none):
     assert fingerprints.compared(none).count() == 0
 
 
+def test_sketches_by_their_definition():
+    """Bins of span hashes with whole numbers in Python: the prefix polynomial of each span of twelve code points, for both bases, and the smallest mixed hash of each bin."""
+    p, mask = fingerprints.PRIME, (1 << 64) - 1
+
+    def sketch(text):
+        low = {}
+        spans = [text[k : k + fingerprints.SPAN] for k in range(max(1, len(text) - fingerprints.SPAN + 1))] if text else []
+        for s in spans:
+            h = 0
+            for base in fingerprints.BASES:
+                h = h << 31 | sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(s)) % p
+            h = h * 0x9E3779B97F4A7C15 & mask
+            h ^= h >> 32
+            h = h * 0xD6E8FEB86659FD93 & mask
+            low[h >> 58] = min(low.get(h >> 58, h), h)
+        return [(low[b] ^ low[b] >> 20) % 4095 + 1 if b in low else 0 for b in range(fingerprints.BINS)]
+
+    rng = random.Random(2)
+    texts = ["", "a", "short text", "ß" * 40, "".join(chr(rng.choice((97, 98, 0x20, 0x1F600, 0x10FFFF))) for _ in range(700)), "the quick brown fox jumps over the lazy dog " * 3]
+    got = fingerprints.sketches(texts)
+    assert got.tolist() == [sketch(t) for t in texts]
+    assert fingerprints.printed(got) == ["".join(f"{x:03x}" for x in row) for row in got.tolist()]
+    a, b = got[5], got[4]
+    filled = [k for k in range(fingerprints.BINS) if a[k] or b[k]]
+    assert fingerprints.likeness(got[5:6], got[4:5])[0] == sum(a[k] == b[k] != 0 for k in filled) / len(filled)
+
+
 def test_span_equality_and_extensions():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 3, 400), rng.integers(0, 3, 300)
@@ -715,6 +784,51 @@ def test_index_finds_all_occurrences():
         assert sorted(index.locate(np.arange(a, b)).tolist()) == [k for k in range(298) if (s[k : k + 3] == p).all()]
 
 
+# ---- names, lengths, and texts of all kinds, for every operator
+
+CLASHES = ["_0", "_1", "_2", "i", "t", "th", "fp", "k", "r", "rep", "doc", "mark", "pos", "gone", "gone_i", "gone_doc", "leaf", "first", "rank", "cleaned", "spans", "_own", "_hash", "_doc", "_gone", "_mark", "_rank", "_dropped", "component", "node", "piece", "blob", "bucket"]
+
+
+def test_any_column_may_stand_beside_an_operators_own(spark, bench):
+    """Every operator that returns the documents keeps columns named like its own helpers, their values too."""
+    d = spark.createDataFrame([(k, f"own words {'abcdef'[k]} of mine\nthe same long line in all of them here\nend {k}") for k in range(6)], DOCS)
+    for c in CLASHES:
+        d = d.withColumn(c, F.concat(F.lit(f"{c}:"), "doc_id"))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    outs = {
+        "lines": lines.dedup(d), "simhash": simhash.representatives(d), "jaccard": jaccard.representatives(d), "quality": quality.accepted(d, labels), "decontaminate": decontaminate.clean(d, bench),
+        "pieces": pieces.encode(d).drop("pieces", "n_pieces", "parity"), "scan": decontaminate.scan(d, bench).drop("n_words", "n_hit", "item_ids", "words", "spans"),
+    }
+    for name, out in outs.items():
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[c] == f"{c}:{r.doc_id}" for c in CLASHES if c in out.columns), name
+        assert set(d.columns) - set(out.columns) <= {"spans"}, name
+    for report in (language.predicted(d.withColumn("lang", F.lit("x"))), substrings.report(d), simhash.near_duplicates(d), lines.report(d), fingerprints.compared(d), shards.listing(d), quality.rated(d, labels), decontaminate.annotate(d, bench), pieces.digests(d)):
+        assert report.count() == 6
+
+
+def test_one_very_long_text(spark):
+    """A text of over two million characters, longer than any piece, goes whole through every operator."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(330_000)]
+    text, tail = " ".join(words), " ".join(f"t{k}" for k in range(60))
+    d = spark.createDataFrame([(1, tail, "en"), (2, f"{text} {tail}", "en"), (3, None, None), (4, "", "en")], "doc_id long, text string, lang string")
+    assert len(text) > 2 * common.CHUNK_BYTES
+    r = {x.doc_id: x for x in substrings.report(d).collect()}
+    assert (r[2].n_bytes, r[2].n_removed, r[2].n_spans) == (len(text) + 1 + len(tail), len(tail), 1)
+    assert by_str((i, f"{simhash.fingerprint((t or '').encode()):016x}") for i, t in ((1, tail), (2, f"{text} {tail}"), (3, None), (4, ""))) == by_str((x.doc_id, x.fingerprint) for x in simhash.near_duplicates(d).collect())
+    b = spark.createDataFrame([(7, " ".join(words[-12:])), (8, " ".join(words[:11]))], "item_id long, text string")
+    hit = {x.doc_id: (x.n_words, x.n_hit, x.n_items) for x in decontaminate.annotate(d, b).collect()}
+    assert hit == {1: (60, 0, 0), 2: (330_060, 23, 2), 3: (0, 0, 0), 4: (0, 0, 0)}
+    p = {x.doc_id: x for x in pieces.digests(d, keep=True).collect()}
+    assert all(x.parity and x.round_trip and len(x.pieces) == x.n_pieces for x in p.values())
+    assert p[2].n_pieces > 500_000
+    assert {x.doc_id: x.n_chars for x in fingerprints.compared(d).collect()} == {1: len(tail), 2: len(text) + 1 + len(tail), 3: 0, 4: 0}
+    assert all(0 <= x.score <= 1 for x in quality.rated(d, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")).collect())
+
+
 # ---- shared helpers
 
 

@@ -70,6 +70,25 @@ def test_each_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
+def test_stages_handle_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and clashing columns go through all stages: what each may drop is gone, all else and all other columns stay."""
+    long = " ".join(f"w{k}" for k in range(5000))
+    rows = [(1, "plain words of one document here", "x"), (1, "plain words of one document here", "x"), (2, None, None), (3, "", "e"), (None, "words without any id at all", "n"), (4, long, "l"), (5, long + " more", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string").withColumns({c: F.lit(c) for c in ("_0", "rank", "th", "cleaned", "lang")})
+    names, odd = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, odd, SF).write.parquet(f"{tmp_path}/{name}")
+        odd = spark.read.parquet(f"{tmp_path}/{name}")
+        assert odd.columns == names
+        assert all(r["_0"] == "_0" and r["rank"] == "rank" and r["th"] == "th" for r in odd.collect())
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.gone) for r in near), key=str) == sorted([(1, "x"), (2, None), (None, "n"), (4, "l")], key=str)
+    last = corpus_pipeline.piece_stage(spark, docs, SF).collect()
+    assert len(last) == len(rows)
+    assert all(r.parity and r.round_trip for r in last)
+    assert {len(r.pieces) for r in last if r.doc_id in (2, 3)} == {0}
+
+
 def test_empty_tables_pass_through(spark, tmp_path):
     """All stages on an empty documents table."""
     for t in ("documents", "labels", "benchmark"):
