@@ -55,21 +55,28 @@ def tolerance(left: DataFrame, right: DataFrame, by: list[str], point: list[str]
 
 
 def intervals(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
-    """Points with every closed range that holds them: ranges stand in each cell of the given width they touch, so hot stretches spread over cells."""
-    cells = ranges.withColumn("_c", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return points.withColumn("_k", F.floor(F.col(at) / width)).join(cells, (F.col("_k") == F.col("_c")) & F.col(at).between(F.col(start), F.col(end))).drop("_k", "_c")
+    """Points with every closed range that holds them. A range stands in the cells that it touches at the level (cells of `width`, doubled at each level) where these are three at most; a point asks
+    its cell at each level that there is, so neither a long range nor a hot stretch makes many rows."""
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((F.col(end) - F.col(start)) / width, F.lit(1.0))))).cast("int")
+    wide = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_l"))
+    cells = ranges.withColumn("_l", level).withColumn("_c", F.explode(F.sequence(F.floor(F.col(start) / wide), F.floor(F.col(end) / wide))))
+    levels = [r[0] for r in ranges.select(level).distinct().collect()]  # as many as there are doublings
+    asked = points.withColumn("_pl", F.explode(F.array(*[F.lit(x) for x in levels]))) if levels else points.withColumn("_pl", F.lit(0))
+    cell = F.floor(F.col(at) / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_pl"))))
+    return asked.withColumn("_k", cell).join(cells, (F.col("_pl") == F.col("_l")) & (F.col("_k") == F.col("_c")) & F.col(at).between(F.col(start), F.col(end))).drop("_k", "_c", "_l", "_pl")
 
 
 def nearest(rows: DataFrame, centres: list[tuple[int, list[float]]], vector: str) -> DataFrame:
-    """Each row with the id of its nearest centre and the squared distance; centres are a short list held in the plan."""
+    """Each row with the id of its nearest centre and the squared distance; centres are a short list, broadcast as one row of arrays."""
     if len(centres) > 1000:
         raise ValueError("over 1000 centres: give them as a table and rank pairs within cells")
+    one = rows.sparkSession.createDataFrame([([(k, [float(x) for x in c]) for k, c in centres],)], "_centres array<struct<centre:int,v:array<double>>>")
 
-    def squared(c: list[float]) -> Column:
-        return F.aggregate(F.zip_with(F.col(vector), F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    def squared(c: Column) -> Column:
+        return F.aggregate(F.zip_with(F.col(vector), c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
 
-    best = F.array_min(F.array(*[F.struct(squared(c).alias("distance"), F.lit(k).alias("centre")) for k, c in centres]))
-    return rows.withColumn("_n", best).select(*rows.columns, F.col("_n.centre").alias("centre"), F.col("_n.distance").alias("distance"))
+    best = F.array_min(F.transform("_centres", lambda c: F.struct(squared(c["v"]).alias("distance"), c["centre"].alias("centre"))))
+    return rows.crossJoin(F.broadcast(one)).withColumn("_n", best).select(*rows.columns, F.col("_n.centre").alias("centre"), F.col("_n.distance").alias("distance"))  # one row
 
 
 def compare(old: DataFrame, new: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:

@@ -38,12 +38,11 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def noise_decode_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games of 30 to 80 plies printed at three levels of noise in two notations, read in two passes: places read rightly. Each level and notation is a book with a noise model of its own."""
-    keys = _games(spark, sf_dir)
-    out = None
-    for level in notation_values.LEVELS:
+    """Games of 30 to 80 plies, each printed in two notations at one of three levels of noise, read in two passes: places read rightly. Each level and notation is a book with a noise model of its own."""
+    keys, out = _games(spark, sf_dir), None
+    for k, level in enumerate(notation_values.LEVELS):
         for junk in (False, True):
-            games = cut(reading.printed_games(keys, "game", level, junk).withColumns({"level": F.lit(level), "junk": F.lit(junk)}))
+            games = cut(reading.printed_games(keys.where(F.pmod("game", F.lit(len(notation_values.LEVELS))) == k), "game", level, junk).withColumns({"level": F.lit(level), "junk": F.lit(junk)}))
             read = reading.read_passes(cut(reading.main_runs(games, "game", "text")), "start", "moves", passes=2)
             rate = reading.accuracy(read, games, "game", ["level", "junk"])
             out = rate if out is None else out.unionByName(rate)
@@ -182,17 +181,48 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "latest")
     stream = streams.files(spark, f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id", "value", "ts")
     streams.drained(stream, path, "append", streams.merged_into(spark, f"{path}/table", ["user_id", "event_type"], "ts", "event_id"))
-    return streams.newest(spark, f"{path}/table").select("user_id", "event_type", "event_id", "value")
+    return streams.merged(spark, f"{path}/table").select("user_id", "event_type", "event_id", "value")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling windows over a stream; every row comes before its watermark, so all windows are there at the end."""
+    """Tumbling windows over a stream: a batch gives the windows that it changes, state older than the watermark is let go, and the last word on each window is kept."""
     path = _folder(spark, "windows")
     stream = streams.files(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    keep = streams.merged_into(spark, f"{path}/table", ["start", "event_type"], "batch", "n")
+    streams.drained(streams.windowed(stream, "ts", "event_type", "value", "1 hour", "7 days"), path, "update", lambda batch, number: keep(batch.withColumn("batch", F.lit(number)), number))
+    return streams.merged(spark, f"{path}/table").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last write wins with keyed state: a changelog of newest records, and the last row of each key."""
+    path = _folder(spark, "records")
+    stream = streams.files(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/log/n={number}")
+
+    with streams.keyed_state(spark):
+        streams.drained(streams.last_writes(stream, ["user_id"], "at", "event_id"), path, "update", sink)
+    log = spark.read.parquet(f"{path}/log")
+    return log.groupBy("user_id").agg(F.max_by(F.struct("event_id", "value"), F.struct("n", "at", "event_id")).alias("r")).select("user_id", "r.*")
+
+
+@query("""
+SELECT user_id, event_type, best FROM (
+  SELECT user_id, event_type, best, row_number() OVER (PARTITION BY user_id ORDER BY used DESC, event_type) AS rn FROM (SELECT user_id, event_type, max(value) AS best, max(event_id) AS used FROM events GROUP BY ALL)) WHERE rn <= 3
+""")
+def stream_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best value of each kind so far, for the three kinds of a user seen last, in keyed state of bounded size."""
+    path = _folder(spark, "best")
+    stream = streams.files(spark, f"{sf_dir}/events.parquet").select("user_id", "event_type", F.col("value").alias("best"), F.col("event_id").alias("used"))
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/v{number}")
+        batch.write.mode("overwrite").parquet(f"{path}/log/n={number}")
 
-    streams.drained(streams.windowed(stream, "ts", "event_type", "value", "1 hour", "3650 days"), path, "complete", sink)
-    return streams.newest(spark, path).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    with streams.keyed_state(spark):
+        streams.drained(streams.best_so_far(stream, "user_id", "event_type", "best", "used", 3), path, "update", sink)
+    log = spark.read.parquet(f"{path}/log")
+    last = log.groupBy("user_id").agg(F.max("n").alias("n"))
+    return log.join(last, ["user_id", "n"], "left_semi").select("user_id", "event_type", "best")

@@ -17,7 +17,18 @@ def test_merged_versions_resume(spark, tmp_path):
         if more:
             write(spark, src, more)
         streams.drained(streams.files(spark, src), out, "append", streams.merged_into(spark, f"{out}/table", ["k"], "at", "i"))
-    assert [(r.k, r.v) for r in streams.newest(spark, f"{out}/table").orderBy("k").collect()] == [(1, "c"), (2, "b"), (3, "e")]
+    assert [(r.k, r.v) for r in streams.merged(spark, f"{out}/table").orderBy("k").collect()] == [(1, "c"), (2, "b"), (3, "e")]
+
+
+def test_merged_tables_do_not_grow_with_batches(spark, tmp_path):
+    """Of a key written by many batches the last two versions are there at most; keys of other parts stay where they are."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(6):
+        write(spark, src, [(1, k, k, f"v{k}"), (100 + k, 1, k, "x")])
+        streams.drained(streams.files(spark, src), out, "append", streams.merged_into(spark, f"{out}/table", ["k"], "at", "i"))
+    assert {r.k: r.v for r in streams.merged(spark, f"{out}/table").collect()} == {1: "v5"} | {100 + k: "x" for k in range(6)}
+    own = spark.range(1).select(F.pmod(F.xxhash64(F.lit(1)), F.lit(streams.PARTS))).first()[0]
+    assert sum(own in parts for parts in streams._versions(spark, f"{out}/table").values()) <= 2
 
 
 def test_sessions(spark, tmp_path):
@@ -42,7 +53,6 @@ def test_order_of_parts_does_not_change_them(spark):
 
 def test_keyed_state_keeps_the_newest(spark, tmp_path):
     """The changelog's last row of a key is its record; a late, older record changes nothing."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     write(spark, src, [(1, 10, 1, "a"), (2, 10, 2, "b")])
 
@@ -52,7 +62,8 @@ def test_keyed_state_keeps_the_newest(spark, tmp_path):
     for more in (None, [(1, 10, 3, "c"), (2, 9, 4, "d")]):
         if more:
             write(spark, src, more)
-        streams.drained(streams.last_writes(streams.files(spark, src), ["k"], "at", "i"), out, "update", sink)
+        with streams.keyed_state(spark):
+            streams.drained(streams.last_writes(streams.files(spark, src), ["k"], "at", "i"), out, "update", sink)
     last = {}
     for r in spark.read.parquet(f"{out}/log").orderBy("n", "i").collect():
         last[r.k] = r.v
