@@ -14,7 +14,7 @@ overwriting (atomic on HDFS). Readers open the files of one version, so a job th
 lists. vacuum() deletes the files of superseded versions, and of those that no manifest lists what is older than a grace period.
 
 Edge cases: an empty table commits a version without rows; a null or very long text, repeated rows and
-any further columns, whatever their names, are kept as they are; rows without a key are in one arrival; a file at or beyond the target size is not rewritten.
+any further columns, whatever their names, are kept as they are; rows without a key are in one arrival; a file of half of the target size or more is not rewritten.
 """
 
 from __future__ import annotations
@@ -132,8 +132,8 @@ class Store:
         return self.spark.read.schema(schema).parquet(*names) if names else self.spark.createDataFrame([], schema)
 
     def tier(self, size: int) -> int:
-        """How often the size can be divided by the fanout; a file of the target size or more has none (-1)."""
-        if size >= self.target:
+        """How often the size can be divided by the fanout; a file of half of the target size or more has none (-1): it is full, and not written again."""
+        if size * 2 >= self.target:
             return -1
         return int(math.log(max(size, 1), self.fanout))
 
@@ -156,16 +156,11 @@ class Store:
         return self.manifest()
 
     def _replace(self, chosen: list[dict]) -> bool:
-        """Whether merging makes fewer files of them; if so it is committed."""
-        total = sum(f["bytes"] for f in chosen)
-        if len(chosen) <= -(-total // self.target):
-            return False
+        """Merge files, each below half of the target, and commit; whether there are fewer now."""
         base, names = self.manifest(), {f["name"] for f in chosen}
         merged = self._merge(chosen)
-        if len(merged) >= len(chosen):
-            return False
         self.commit(base, [f for f in base["files"] if f["name"] not in names] + merged, None)
-        return True
+        return len(merged) < len(chosen)
 
     def _merge(self, chosen: list[dict]) -> list[dict]:
         """One job over all groups: the scan packs files into tasks of the target size."""
