@@ -162,11 +162,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array(features(*flat(part.column("t"))).tolist(), pa.list_(pa.float64()))], names=["i", "y", "x"])
+                x = features(*flat(part.column("t"))).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array([row.tobytes() for row in x], pa.binary())], names=["i", "y", "x"])
 
-    got = rows.select("i", "y", "t").mapInArrow(run, "i long, y int, x array<double>").toPandas().sort_values("i")
-    x = np.array(got.x.tolist(), float).reshape(len(got), FEATURES)
-    return learn(x, got.y.to_numpy(), **kw)
+    got = rows.select("i", "y", "t").mapInArrow(run, "i long, y int, x binary").toArrow().sort_by([("i", "ascending"), ("y", "ascending"), ("x", "ascending")])
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, FEATURES).astype(float)
+    return learn(x, got.column("y").to_numpy(), **kw)
 
 
 def score(docs: DataFrame, model: Ranker, text: str = "text", name: str = "score") -> DataFrame:
