@@ -190,7 +190,7 @@ def _heads(head: str, files: tuple, ranks: tuple, promote: str, sign: int, print
         cuts.append((marked[1], True))
     out = []
     for rest, capture in cuts:
-        whole = bool(re.fullmatch("[KQRBN][a-h][1-8]", rest))  # long notation: the square it comes from is no part of a symbol
+        whole = bool(re.fullmatch("[KQRBN]?[a-h][1-8]", rest))  # long notation: the square it comes from is no part of a symbol
         if not whole:
             out.append(Reading(rest, "", capture, files, ranks, promote, sign, printed))
         for n in (2,) if whole else (1, 2):
@@ -234,7 +234,7 @@ class Decoder:
                     cost += V.DISAMBIGUATION_EXTRA if r.which in (own, own[0], own[1]) and not which else V.DISAMBIGUATION_WRONG if r.which not in (own, own[0], own[1]) else 0.0
                 elif which and not r.which:
                     cost += V.DISAMBIGUATION_MISSING
-            else:
+            elif r.which != B.name(m.start):  # not the square that the pawn comes from
                 if capture:
                     cost += 0.0 if r.which == which else V.DISAMBIGUATION_MISSING if not r.which else V.DISAMBIGUATION_WRONG
                 elif r.which:

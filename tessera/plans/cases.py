@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import board, scalars
-from ..operators import aggregates, clusters, corrections, inference, layout, reading, records, windows
+from ..operators import aggregates, clusters, corrections, inference, layout, quality, reading, records, windows
 from ..operators.materialise import shared_folder
 from ..sources import pages, sinks, tables
 from ..sources.tables import table
@@ -362,6 +362,55 @@ def move_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", "pos", layout.moves_only(F.col("line")).alias("moves"))
 
 
+_NODES = """(SELECT event_id AS id, user_id AS line, event_id - 1 AS parent, event_id % 50 AS page, event_id AS ply, event_type <> 'view' AS main,
+  CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'waiting' ELSE 'ok' END AS status, 'e' || (event_id % 8 + 1) AS san, 'Se' || (event_id % 9 + 1) || CASE WHEN event_id % 3 = 0 THEN '+' ELSE '' END AS raw FROM events)"""
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Findings over users as lines and events as moves."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "waiting").otherwise("ok")
+    nodes = e.select(
+        k.alias("id"), F.col("user_id").alias("line"), (k - 1).alias("parent"), (k % 50).alias("page"), k.alias("ply"), (F.col("event_type") != "view").alias("main"), status.alias("status"),
+        F.concat(F.lit("e"), (k % 8 + 1).cast("string")).alias("san"), F.concat(F.lit("Se"), (k % 9 + 1).cast("string"), F.when(k % 3 == 0, "+").otherwise("")).alias("raw"),
+    )
+    lines = e.select(F.col("user_id").alias("id")).distinct().select("id", (F.col("id") % 6).alias("chapter"), F.when(F.col("id") % 2 == 0, "game").otherwise("fragment").alias("kind"), F.col("id").cast("string").alias("title"))
+    pictures = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("page"), F.when(F.col("page_id") % 4 == 0, "doubtful").otherwise("read").alias("status"))
+    return quality.scan(nodes, lines, pictures)
+
+
+@query(f"SELECT line, min(id) AS id, arg_min(page, id) AS page, min(ply) AS ply, arg_min(status, id) AS status FROM {_NODES} WHERE main AND status <> 'ok' GROUP BY line")
+def scan_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir)["breaks"]
+
+
+@query(f"SELECT id, page, san, raw FROM {_NODES} WHERE main AND status = 'ok' AND right(san, 2) <> right(rtrim(raw, '+'), 2)")
+def scan_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves taken as read whose printed square is another one."""
+    return _scanned(spark, sf_dir)["silent"]
+
+
+@query("SELECT CASE WHEN page_id % 4 = 0 THEN 'doubtful' ELSE 'read' END AS status, count(*) AS n FROM pages GROUP BY ALL")
+def scan_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir)["diagrams"]
+
+
+@query(f"SELECT status, count(*) AS n FROM {_NODES} WHERE status IN ('waiting', 'failed') GROUP BY status")
+def scan_unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir)["unplaced"]
+
+
+@query(f"SELECT page, count(*) AS n FROM {_NODES} WHERE status <> 'ok' GROUP BY page ORDER BY n DESC, page LIMIT 40")
+def scan_hot_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with the most doubtful moves: a top-k report."""
+    return _scanned(spark, sf_dir)["hot_pages"]
+
+
+@query(f"SELECT l.line % 6 AS chapter, count(*) AS lines, CAST(sum(coalesce(m.moves, 0)) AS BIGINT) AS moves FROM (SELECT DISTINCT line FROM {_NODES}) l LEFT JOIN (SELECT line, count(*) AS moves FROM {_NODES} WHERE main GROUP BY line) m USING (line) GROUP BY 1")
+def scan_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir)["chapters"]
+
+
 # ---- golden cases
 
 

@@ -363,10 +363,10 @@ def vote_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.votes(e, "g", "name", 10).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT g, name, n, total FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY g) AS BIGINT) AS total FROM (SELECT label AS g, vec_id % 2 AS name, count(*) AS n FROM embeddings GROUP BY ALL)) WHERE n >= 3 AND 3 * n >= 2 * total")
+@query("SELECT g, name, n, total FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY g) AS BIGINT) AS total FROM (SELECT label AS g, least(vec_id % 5, 1) AS name, count(*) AS n FROM embeddings GROUP BY ALL)) WHERE n >= 3 AND 3 * n >= 2 * total")
 def twin_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twin values that hold two thirds of at least three votes."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("g"), (F.col("vec_id") % 2).alias("name"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("g"), F.least(F.col("vec_id") % 5, F.lit(1)).cast("long").alias("name"))
     return aggregates.shares(e, ["g"], "name", 2 / 3, 3)
 
 
@@ -462,8 +462,8 @@ def short_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scan(nodes, lines, lines.select("id", F.lit(1).alias("page"), F.col("kind").alias("status")))["short_games"]
 
 
-@query("SELECT label AS board, arg_min(vec_id, (embedding[1], vec_id)) AS weakest, CAST(min(embedding[1]) AS DOUBLE) AS confidence FROM embeddings GROUP BY label")
+@query("SELECT vec_id AS board, list_position(embedding, list_min(embedding)) - 1 AS weakest, CAST(list_min(embedding) AS DOUBLE) AS confidence FROM embeddings")
 def board_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least sure square of each board."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("board"), F.col("vec_id").alias("square"), F.get("embedding", 0).cast("double").alias("confidence"))
+    """The least sure square of each board: every element of its vector is a square."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("board"), F.posexplode("embedding").alias("square", "c")).select("board", "square", F.col("c").cast("double").alias("confidence"))
     return inference.board_confidence(e, "board")
