@@ -17,7 +17,9 @@ once, with the smallest id, so a passage in any share of the documents comes to
 fragments are one there. An anchor that only one fragment has needs no construction, nor does a fragment none of whose strings
 has a hash that another string has; what shares strings, and with whom, the construction alone says.
 
-The corpus is first packed into compressed pieces in the shared folder, whose names tie the steps together.
+The corpus is first packed into compressed pieces in the shared folder, `LOT` of them a lot, whose names tie the steps together. Anchors are dealt
+to shelves of up to `SHELF` buckets: a lot and a shelf exchange one row, as a split and a partition of Spark's do one block, and what a shelf holds
+is settled bucket by bucket. So rows between the steps are few however many pieces and buckets there are.
 
 Edge cases: a null text is empty; a text shorter than 50 bytes loses nothing; rows with equal ids
 are one document for the comparison but keep rows of their own; a row without an id comes before all others;
@@ -42,6 +44,8 @@ from .common import flat, partitions, pieces, release, span_hashes, spans, writt
 
 #: Bytes of a string and of an anchor; strings of a fragment; bytes of a piece of the corpus; text bytes for each bucket of anchors; entries of a file that are read at once.
 LENGTH, ANCHOR, MOST, PIECE, BUCKET, BLOCK = 50, 16, 35, 2_000_000, 2_500_000, 4_000_000
+#: Pieces of a lot (255 at most), buckets of a shelf.
+LOT, SHELF = 8, 8
 #: No symbol: no UTF-8 text has this byte.
 NONE = 255
 #: Level of compression of what is dealt, bits of a place in a packed hash.
@@ -50,16 +54,19 @@ _PLACE = 28
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+_PRESS, _EXPAND = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.num, len(a)))], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return _PRESS.compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 _KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.int32, np.uint32, np.int64, np.uint64)}
 
 
 def _unpack(raw: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
+    raw = _EXPAND.decompress(raw)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8), 8 + 16 * n, []
     for k in range(n):
@@ -74,10 +81,16 @@ def _small(x: np.ndarray) -> np.ndarray:
     return next((x.astype(k) for k in (np.uint8, np.int32) if not len(x) or (x.min() >= np.iinfo(k).min and x.max() <= np.iinfo(k).max)), x)
 
 
-def _runs(start: np.ndarray, size: np.ndarray) -> bytes:
-    """Places in order, as differences, and sizes."""
-    order = np.argsort(start, kind="stable")
-    return _pack(_small(np.diff(start[order], prepend=0)), _small(size[order]))
+def _runs(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> bytes:
+    """Pieces, places in order, as differences, and sizes."""
+    no, start, size = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.lexsort((start, no))
+    return _pack(no[order].astype(np.uint8), _small(np.diff(start[order], prepend=0)), _small(size[order]))
+
+
+def _unruns(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    no, start, size = _unpack(raw)
+    return no, np.cumsum(start, dtype=np.int64), size.astype(np.int64)
 
 
 def fragments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,18 +285,22 @@ def _leaders(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def packed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The corpus in pieces: name and blob (ids, whether an id is null, offsets, bytes), written to the shared folder."""
+    """The corpus in pieces: name of the lot, number in it and blob (ids, whether an id is null, offsets, bytes), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, no = uuid.uuid4().hex, 0
         for batch in batches:
             for part in pieces(batch, "t", PIECE):
+                if no == LOT:
+                    lot, no = uuid.uuid4().hex, 0
                 data, offs = flat(part.column("t"))
                 ids = part.column("i")
                 blob = _pack(ids.fill_null(-(2**63)).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), offs, data)
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([blob], pa.binary()), pa.array([len(data)], pa.int64())], names=["piece", "blob", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lot]), pa.array([no], pa.int32()), pa.array([blob], pa.binary()), pa.array([len(data)], pa.int64())], names=["lot", "no", "blob", "n"])
+                no += 1
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
-    return written(rows.mapInArrow(run, "piece string, blob binary, n long"))
+    return written(rows.mapInArrow(run, "lot string, no int, blob binary, n long"))
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -317,11 +334,52 @@ def _dealt(df: DataFrame, run: Callable, schema: str, by: str, then: tuple[str,
     return df.repartition(partitions(df.sparkSession), by).sortWithinPartitions(by, *then).mapInArrow(run, schema)
 
 
+def _settled(own: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's fragments, whose bytes stand one after the other: the runs of bytes to remove, as the fragment's row, the place in its piece and the size."""
+    size = count + length - 1
+    at = np.cumsum(size) - size
+    # equal fragments are one: its smallest id decides for the others, and each of its places gets its runs
+    group = distinct(data, at, size)
+    low = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, group, own)
+    lead = own == low[group]
+    by = np.argsort(group, kind="stable")
+    by = by[lead[by]]
+    begin = np.searchsorted(group[by], np.arange(len(low) + 1))
+    rep = by[begin[:-1]]
+    n = count[rep]
+    ends = np.cumsum(n)
+    gone = np.zeros(int(ends[-1]), bool)  # of the strings of distinct fragments
+    # only anchors of several fragments need the construction
+    _, which, several = np.unique(anchor[rep], return_inverse=True, return_counts=True)
+    some = sieved(data, at[rep], n, np.flatnonzero(several[which] > 1), length)
+    if len(some):
+        sizes = size[rep[some]]
+        begins = np.cumsum(sizes) - sizes
+        start, cls = classes(_gather(data, at[rep[some]], sizes), begins, sizes, length)
+        if len(start):
+            doc = np.searchsorted(begins, start, "right") - 1
+            ids = low[some[doc]]
+            least = np.minimum.reduceat(ids, np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))))
+            gone[(ends - n)[some[doc]] + start - begins[doc]] = ids > least[cls]
+    string = np.repeat(at[rep] - ends + n, n) + np.arange(len(gone))
+    frag = np.repeat(np.arange(len(rep)), n)
+    a, b = spans(gone, np.concatenate(([0], np.cumsum(n))))
+    places = np.diff(begin)[frag[a]]
+    run = np.repeat(np.arange(len(a)), places)
+    row = by[np.repeat(begin[frag[a]] - np.cumsum(places) + places, places) + np.arange(places.sum())]
+    rest = np.flatnonzero(~lead)
+    row = np.concatenate((row, rest))
+    start = first[row] + np.concatenate(((string[a] - at[rep[frag[a]]])[run], np.zeros(len(rest), np.int64)))
+    return row, start, np.concatenate((b - a, count[rest]))[np.concatenate((run, len(a) + np.arange(len(rest))))] + length - 1
+
+
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """The packed corpus, and for its pieces the places and sizes of runs of bytes to remove (piece, blob)."""
+    """The packed corpus, and for its lots the pieces, places and sizes of runs of bytes to remove (lot, blob)."""
     corpus = packed(docs, doc_id, text)
     total = corpus.agg(F.sum("n")).first()[0] or 0
-    buckets = max(4 * partitions(docs.sparkSession), -(-total // bucket), 1)
+    shelves = max(2 * partitions(docs.sparkSession), -(-total // (SHELF * bucket)), 1)
+    subs = max(1, min(SHELF, -(-total // (shelves * bucket))))
 
     def known(piece_ids: np.ndarray, offs: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the fragments' documents, and whether the piece itself has the anchor in several documents."""
@@ -333,128 +391,123 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         return own, (low < high)[at]
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The anchors of each lot by shelf, one for each piece that has it."""
+        lot, held = None, []
+
+        def out() -> pa.RecordBatch:
+            h = np.concatenate(held)
+            dealt = [(b, _pack(np.sort((h[rows] >> np.uint64(32)).astype(np.uint32)))) for b, rows in _split((h % np.uint64(shelves)).astype(np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in dealt], pa.int64()), pa.array([lot] * len(dealt), pa.string()), pa.array([x for _, x in dealt], pa.binary())], names=["shelf", "lot", "blob"])
+
         for batch in batches:
             for row in batch.to_pylist():
+                if held and row["lot"] != lot:
+                    yield out()
+                    held = []
+                lot = row["lot"]
                 _, _, offs, data = _unpack(row["blob"])
-                h = np.unique(fragments(data, offs, length)[0])
-                out = [(b, (h[rows] >> np.uint64(32)).astype(np.uint32)) for b, rows in _split((h % np.uint64(buckets)).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([row["piece"]] * len(out), pa.string()), pa.array([_pack(np.unique(x)) for _, x in out], pa.binary())], names=["bucket", "piece", "blob"])
+                held.append(np.unique(fragments(data, offs, length)[0]))
+        if held:
+            yield out()
         release()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, rows in _grouped(batches, "bucket"):
+        for b, rows in _grouped(batches, "shelf"):
             each = [_unpack(r["blob"])[0] for r in rows]
-            h = np.concatenate(each)
-            values, count = np.unique(h, return_counts=True)
+            values, count = np.unique(np.concatenate(each), return_counts=True)
             twice = values[count > 1]
-            out = [(r["piece"], x[np.isin(x, twice, assume_unique=True)]) for r, x in zip(rows, each, strict=True)]
+            out = [(r["lot"], (u := np.unique(x))[np.isin(u, twice, assume_unique=True)]) for r, x in zip(rows, each, strict=True)]
             out = [(p, x) for p, x in out if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([b] * len(out), pa.int64()), pa.array([_pack(x) for _, x in out], pa.binary())], names=["piece", "bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([b] * len(out), pa.int64()), pa.array([_pack(x) for _, x in out], pa.binary())], names=["lot", "shelf", "blob"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Fragments of shared anchors, by bucket; what the piece itself settles goes along under a bucket of its own."""
-        names = ["bucket", "piece", "local", "blob"]
-        for piece, rows in _grouped(batches, "piece"):
-            blob = next((r["blob"] for r in rows if r["bucket"] == -1), None)
-            ids, _, offs, data = _unpack(blob)
-            h, first, count = fragments(data, offs, length)
-            if not len(h):
-                continue
-            wanted = np.concatenate([_unpack(r["blob"])[0].astype(np.uint64) * np.uint64(buckets) + np.uint64(r["bucket"]) for r in rows if r["bucket"] >= 0] or [np.zeros(0, np.uint64)])
-            key = (h >> np.uint64(32)) * np.uint64(buckets) + h % np.uint64(buckets)
-            own, twice = known(ids, offs, h, first)
-            some = np.flatnonzero(np.isin(key, wanted) | twice)
-            if not len(some):
+        """Fragments of shared anchors, by shelf and bucket; what a piece itself settles goes along in a row of its own."""
+        names = ["shelf", "lot", "local", "blob"]
+        for lot, rows in _grouped(batches, "lot"):
+            wanted = np.concatenate([_unpack(r["blob"])[0].astype(np.uint64) * np.uint64(shelves) + np.uint64(r["shelf"]) for r in rows if r["shelf"] >= 0] or [np.zeros(0, np.uint64)])
+            texts, found, alone, base = [], [], [], 0
+            for r in rows:
+                if r["shelf"] >= 0:
+                    continue
+                ids, _, offs, data = _unpack(r["blob"])
+                h, first, count = fragments(data, offs, length)
+                if not len(h):
+                    continue
+                key = (h >> np.uint64(32)) * np.uint64(shelves) + h % np.uint64(shelves)
+                own, twice = known(ids, offs, h, first)
+                some = np.flatnonzero(np.isin(key, wanted) | twice)
+                if not len(some):
+                    continue
+                h, first, count, own = h[some], first[some], count[some], own[some]
+                lead = _leaders(distinct(data, first, count + length - 1), own)
+                rest = ~lead
+                if rest.any():
+                    alone.append((np.full(rest.sum(), r["no"]), first[rest], count[rest] + length - 1))
+                found.append((np.full(lead.sum(), r["no"], np.uint8), base + first[lead], first[lead], count[lead], own[lead], h[lead]))
+                texts.append(data)
+                base += len(data)
+            if alone:
+                yield pa.RecordBatch.from_arrays([pa.array([int(found[0][5][0] % np.uint64(shelves))], pa.int64()), pa.array([lot]), pa.array([1], pa.int32()), pa.array([_runs(alone)], pa.binary())], names=names)
+            if not found:
                 continue
-            h, first, count, own = h[some], first[some], count[some], own[some]
-            lead = _leaders(distinct(data, first, count + length - 1), own)
-            rest = ~lead
-            if rest.any():
-                yield pa.RecordBatch.from_arrays([pa.array([int(own[0]) % buckets], pa.int64()), pa.array([piece]), pa.array([1], pa.int32()), pa.array([_runs(first[rest], count[rest] + length - 1)], pa.binary())], names=names)
-            h, first, count, own = h[lead], first[lead], count[lead], own[lead]
-            out = [(b, _pack(np.diff(own[r], prepend=0), _small(np.diff(first[r], prepend=0)), _small(count[r]), (h[r] >> np.uint64(32)).astype(np.uint32), _gather(data, first[r], count[r] + length - 1))) for b, r in _split((h % np.uint64(buckets)).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([piece] * len(out)), pa.array([0] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=names)
+            no, at, first, count, own, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            text, anchor = np.concatenate(texts), (h >> np.uint64(32)).astype(np.uint32)
+            del texts, found
+            out = []
+            for b, r in _split((h % np.uint64(shelves)).astype(np.int64)):
+                r = r[np.argsort(anchor[r] % subs, kind="stable")]
+                out.append((b, _pack(no[r], np.diff(own[r], prepend=0), _small(np.diff(first[r], prepend=0)), _small(count[r]), anchor[r], _gather(text, at[r], count[r] + length - 1))))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([lot] * len(out)), pa.array([0] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=names)
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, "bucket"):
-            names, parts, out = [], [], []
+        for _, rows in _grouped(batches, "shelf"):
+            out: dict[str, list[tuple]] = {}
+            names, parts, edges, ends = [], [], [], []
             for r in rows:
                 if r["local"]:
-                    out.append((r["piece"], r["blob"]))
-                else:
-                    names.append(r["piece"])
-                    parts.append(_unpack(r["blob"]))
-            if parts:
-                own, first = (np.concatenate([np.cumsum(p[k], dtype=np.int64) for p in parts]) for k in range(2))
-                count = np.concatenate([p[2] for p in parts]).astype(np.int64)
-                anchor = np.concatenate([p[3] for p in parts])
-                data = np.concatenate([p[4] for p in parts])
-                of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-                size = count + length - 1
-                at = np.cumsum(size) - size
-                # equal fragments are one: its smallest id decides for the others, and each of its places gets its runs
-                group = distinct(data, at, size)
-                low = np.full(group.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(low, group, own)
-                lead = own == low[group]
-                by = np.argsort(group, kind="stable")
-                by = by[lead[by]]
-                begin = np.searchsorted(group[by], np.arange(len(low) + 1))
-                rep = by[begin[:-1]]
-                n = count[rep]
-                ends = np.cumsum(n)
-                gone = np.zeros(int(ends[-1]), bool)  # of the strings of distinct fragments
-                # only anchors of several fragments need the construction
-                _, which, several = np.unique(anchor[rep], return_inverse=True, return_counts=True)
-                some = sieved(data, at[rep], n, np.flatnonzero(several[which] > 1), length)
-                if len(some):
-                    sizes = size[rep[some]]
-                    begins = np.cumsum(sizes) - sizes
-                    start, cls = classes(_gather(data, at[rep[some]], sizes), begins, sizes, length)
-                    if len(start):
-                        doc = np.searchsorted(begins, start, "right") - 1
-                        ids = low[some[doc]]
-                        least = np.minimum.reduceat(ids, np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))))
-                        gone[(ends - n)[some[doc]] + start - begins[doc]] = ids > least[cls]
-                string = np.repeat(at[rep] - ends + n, n) + np.arange(len(gone))
-                frag = np.repeat(np.arange(len(rep)), n)
-                a, b = spans(gone, np.concatenate(([0], np.cumsum(n))))
-                places = np.diff(begin)[frag[a]]
-                run = np.repeat(np.arange(len(a)), places)
-                row = by[np.repeat(begin[frag[a]] - np.cumsum(places) + places, places) + np.arange(places.sum())]
-                rest = np.flatnonzero(~lead)
-                row = np.concatenate((row, rest))
-                start = first[row] + np.concatenate(((string[a] - at[rep[frag[a]]])[run], np.zeros(len(rest), np.int64)))
-                span = np.concatenate((b - a, count[rest]))[np.concatenate((run, len(a) + np.arange(len(rest))))] + length - 1
+                    out.setdefault(r["lot"], []).append(_unruns(r["blob"]))
+                    continue
+                no, own, first, count, anchor, data = _unpack(r["blob"])
+                count = count.astype(np.int64)
+                names.append(r["lot"])
+                parts.append((no, np.cumsum(own, dtype=np.int64), np.cumsum(first, dtype=np.int64), count, anchor, data))
+                edges.append(np.searchsorted(anchor % subs, np.arange(subs + 1)))
+                ends.append(np.concatenate(([0], np.cumsum(count + length - 1)))[edges[-1]])
+            for k in range(subs):
+                own = [[x[e[k] : e[k + 1]] for x in p[:5]] + [p[5][z[k] : z[k + 1]]] for p, e, z in zip(parts, edges, ends, strict=True)]
+                if not any(len(x[0]) for x in own):
+                    continue
+                no, ids, first, count, anchor, data = (np.concatenate(x) for x in zip(*own, strict=True))
+                of = np.repeat(np.arange(len(own)), [len(x[0]) for x in own])
+                row, start, size = _settled(ids, first, count, anchor, data, length)
                 for p, r in _split(of[row]):
-                    out.append((names[p], _runs(start[r], span[r])))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["piece", "blob"])
+                    out.setdefault(names[p], []).append((no[row[r]], start[r], size[r]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([_runs(x) for x in out.values()], pa.binary())], names=["lot", "blob"])
 
-    dealt = corpus.select("piece", "blob").mapInArrow(hashes, "bucket long, piece string, blob binary")
-    wanted = _dealt(dealt, shared, "piece string, bucket long, blob binary", "bucket")
-    both = wanted.unionByName(corpus.select("piece", F.lit(-1).cast("long").alias("bucket"), "blob"))
-    cuts = _dealt(both, cut, "bucket long, piece string, local int, blob binary", "piece")
-    return corpus, _dealt(cuts, settled, "piece string, blob binary", "bucket")
+    dealt = corpus.select("lot", "blob").mapInArrow(hashes, "shelf long, lot string, blob binary")
+    wanted = _dealt(dealt, shared, "lot string, shelf long, blob binary", "shelf")
+    both = wanted.select("lot", "shelf", F.lit(0).alias("no"), "blob").unionByName(corpus.select("lot", F.lit(-1).cast("long").alias("shelf"), "no", "blob"))
+    cuts = _dealt(both, cut, "shelf long, lot string, local int, blob binary", "lot")
+    return corpus, _dealt(cuts, settled, "lot string, blob binary", "shelf")
 
 
 def _kept(corpus: DataFrame, gone: DataFrame, run: Callable, schema: str) -> DataFrame:
     """run(ids, null ids, offsets, bytes, mask of removed bytes) for each piece."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, "piece"):
-            blob = next(r["blob"] for r in rows if r["whole"])
-            ids, null, offs, data = _unpack(blob)
-            cover = np.zeros(len(data) + 1, np.int64)
+        for _, rows in _grouped(batches, "lot"):
+            runs = [_unruns(r["blob"]) for r in rows if r["no"] < 0]
+            no, start, size = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 3
             for r in rows:
-                if not r["whole"]:
-                    start, size = (x.astype(np.int64) for x in _unpack(r["blob"]))
-                    start = np.cumsum(start)
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, start + size, -1)
-            yield run(ids, null.astype(bool), offs, data, np.cumsum(cover[:-1]) > 0)
-
-    both = gone.select("piece", F.lit(False).alias("whole"), "blob").unionByName(corpus.select("piece", F.lit(True).alias("whole"), "blob"))
-    return _dealt(both, each, schema, "piece")
+                if r["no"] >= 0:
+                    ids, null, offs, data = _unpack(r["blob"])
+                    cover, own = np.zeros(len(data) + 1, np.int64), no == r["no"]
+                    np.add.at(cover, start[own], 1)
+                    np.add.at(cover, start[own] + size[own], -1)
+                    yield run(ids, null.astype(bool), offs, data, np.cumsum(cover[:-1]) > 0)
+
+    both = gone.select("lot", F.lit(-1).alias("no"), "blob").unionByName(corpus.select("lot", "no", "blob"))
+    return _dealt(both, each, schema, "lot")
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:

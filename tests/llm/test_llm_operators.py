@@ -176,6 +176,17 @@ def test_substrings_empty(none):
     assert substrings.report(none).count() == 0
 
 
+def test_pieces_and_buckets_exchange_few_rows(spark):
+    """Rows between the steps are a lot's and a shelf's, not one for each piece and bucket, which grow with the square of the input."""
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(270_000))
+    d = spark.createDataFrame([(k, text) for k in range(5)], DOCS).coalesce(1)
+    corpus, gone = substrings.removed(d, bucket=50_000)
+    assert corpus.count() == 5
+    assert gone.count() <= 27  # 10.8 MB, shelves of 400,000 bytes, one lot
+    assert [r.n_removed for r in substrings.report(d).orderBy("doc_id").collect()] == [0, *[len(text)] * 4]
+
+
 @pytest.mark.parametrize("block", [10_000, 97])
 @pytest.mark.parametrize("length", [4, 30])
 def test_insertion_equals_a_naive_suffix_array(block, length):
