@@ -32,7 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates (five-word Jaccard of 0.8 or more, exact) stays, that with the smallest id; texts without words are one class."""
+    """One row of each class of near-duplicates stays, that with the smallest id: SimHash over five-word shingles, each link checked by a Jaccard of 0.8 or more, and an exact complement; texts without words are one class."""
     return jaccard.representatives(docs)
 
 

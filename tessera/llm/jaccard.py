@@ -1,14 +1,18 @@
-"""Exact near-duplicates by the Jaccard similarity of sets of word shingles, by prefix filtering.
+"""Near-duplicates by SimHash, each link checked by the Jaccard similarity of whole texts, and an exact complement for what SimHash can't see.
+
+SimHash goes first: fingerprints of the same shingles, the byte-position index with count filtering and `simhash.BITS`
+differing bits propose pairs, which are verified on whole texts; alike ones are joined. Texts of a likeness of LIKE may
+differ in more bits than the index guarantees, though, so prefix filtering looks for links between what SimHash left apart:
 
 Put all shingles in any one order: of two sets that share at least LIKE of their union, the first
 n - ceil(LIKE n) + 1 shingles of each (n: its size) share one. These prefixes are posted, and of the
 postings only those of two different sets or more go on, which is a small part. All else works on that part:
 
-1. Each member of a posting is paired with the posting's leader of its class of sizes, so a posting
+1. Each member of a posting is paired with the posting's leader of its class of sizes, unless SimHash has joined them, so a posting
    of any length gives as many pairs as it has members. The pairs are verified on whole texts and
    joined into components; a large group of near copies is mostly one component after this.
 2. Members of a posting in different components are paired where their sizes, and their places in the two
-   prefixes, leave room for likeness; what step 1 has verified is left out. These pairs are verified too.
+   prefixes, leave room for likeness; what step 1 has verified or SimHash has proposed is left out. These pairs are verified too.
 
 Every alike pair shares a prefix shingle, so it lies in one component after step 1 or is verified in
 step 2: no link is lost, nothing is estimated, and no group meets in one task. A sample of
@@ -30,6 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import LOWER, SPACE, cut, flat, partitions, pieces, release, small_batches, span_hashes, spans, written
 from .simhash import classed, components, named, one_of_each
 
@@ -109,15 +114,25 @@ def _ranked(h: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def marks(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """i, th and k, the key of the row's set of shingles."""
+    """i, th, k, the key of the row's set of shingles, and fp, the SimHash fingerprint of the row's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("th"), _binary(*_keys(*_sets(part, width)))], names=["i", "th", "k"])
+                fps = simhash.fingerprinted(part.column("t"), width)
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("th"), _binary(*_keys(*_sets(part, width))), pa.array(fps.view(np.int64))], names=["i", "th", "k", "fp"])
         release()
 
-    return rows.mapInArrow(run, "i long, th long, k binary")
+    return rows.mapInArrow(run, "i long, th long, k binary, fp long")
+
+
+def proposed(marked: DataFrame, most: int = simhash.BITS) -> DataFrame:
+    """Pairs (a, b) of sets that the SimHash index joins: a forest of those with equal fingerprints or within `most` bits."""
+    sets = marked.select("fp", "k").distinct()
+    nodes = written(sets.groupBy("fp").agg(F.min("k").alias("rep")))
+    equal = sets.join(nodes, "fp").select(F.col("rep").alias("x"), F.col("k").alias("y"))
+    pairs = equal.union(simhash.links(nodes, most)).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,11 +215,16 @@ def _room(n: Column, p: Column, m: Column, q: Column) -> Column:
     return sum(LIKE) * (1 + F.least(n - 1 - p, m - 1 - q)) >= LIKE[0] * (n + m)
 
 
-def led(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each member of a posting with the leader of its class of sizes."""
-    sized = entries.withColumn("c", F.floor(F.log(LIKE[1] / LIKE[0], F.col("n"))))
-    leaders = sized.groupBy("s", "c").agg(F.min(F.struct("k", "n", "p")).alias("l"), F.count("*").alias("m")).where("m > 1").drop("m")
-    pairs = sized.join(leaders, ["s", "c"]).where((F.col("k") != F.col("l.k")) & _room(F.col("n"), F.col("p"), F.col("l.n"), F.col("l.p")))
+def _joined(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """s, n, p, k and o, the component of k (itself where it has none). joined: node and component."""
+    return entries.join(joined, entries.k == joined.node, "left").select("s", "n", "p", "k", F.coalesce("component", "k").alias("o"))
+
+
+def led(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member of a posting with the leader of its class of sizes, where joined (node, component) leaves them apart."""
+    sized = _joined(entries, joined).withColumn("c", F.floor(F.log(LIKE[1] / LIKE[0], F.col("n"))))
+    leaders = sized.groupBy("s", "c").agg(F.min(F.struct("k", "n", "p", "o")).alias("l"), F.count("*").alias("m")).where("m > 1").drop("m")
+    pairs = sized.join(leaders, ["s", "c"]).where((F.col("o") != F.col("l.o")) & _room(F.col("n"), F.col("p"), F.col("l.n"), F.col("l.p")))
     return pairs.select(F.col("l.k").alias("a"), F.col("k").alias("b")).distinct()
 
 
@@ -232,7 +252,7 @@ def _meeting(s: np.ndarray, block: np.ndarray, n: np.ndarray, p: np.ndarray, c:
 
 def apart(entries: DataFrame, joined: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of members of a posting that joined (node, component) leaves apart."""
-    own = entries.join(joined, entries.k == joined.node, "left").select("s", "n", "p", "k", F.coalesce("component", "k").alias("c"))
+    own = _joined(entries, joined).withColumnRenamed("o", "c")
     mixed = own.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low <> high").select("s", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     rows = own.join(mixed, "s").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     # block i meets itself and each other block once
@@ -328,10 +348,12 @@ def verified(pairs: DataFrame, rows: DataFrame, marked: DataFrame, width: int =
 
 def links(rows: DataFrame, marked: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) between sets that join all alike sets."""
+    tried = cut(proposed(marked))
+    linked = verified(tried, rows, marked, width)
     entries = written(postings(rows, width))
-    first = cut(led(entries))
-    linked = verified(first, rows, marked, width)
-    rest = apart(entries, components(linked), block).join(first, ["a", "b"], "left_anti")
+    first = cut(led(entries, components(linked)).join(tried, ["a", "b"], "left_anti"))
+    linked, tried = linked.unionByName(verified(first, rows, marked, width)), tried.unionByName(first)
+    rest = apart(entries, components(linked), block).join(tried, ["a", "b"], "left_anti")
     return linked.unionByName(verified(cut(rest), rows, marked, width))
 
 

@@ -75,6 +75,14 @@ def _fingerprints(texts: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def fingerprinted(col: pa.Array, width: int) -> np.ndarray:
+    """The fingerprints of a string column."""
+    data, offs = flat(col)
+    raw = data.tobytes()
+    at = offs.tolist()
+    return _fingerprints([raw[a:b] for a, b in zip(at, at[1:], strict=False)], width)
+
+
 def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """i, t and th: id, text and a hash of the text; the last tells rows with one id apart."""
     t = F.col(f"`{text}`").cast("string")
@@ -87,10 +95,7 @@ def fingerprints(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
-                data, offs = flat(part.column("t"))
-                raw = data.tobytes()
-                at = offs.tolist()
-                fps = _fingerprints([raw[a:b] for a, b in zip(at, at[1:], strict=False)], width)
+                fps = fingerprinted(part.column("t"), width)
                 yield pa.RecordBatch.from_arrays([part.column("i"), part.column("th"), pa.array(fps.view(np.int64))], names=["i", "th", "fp"])
         release()
 

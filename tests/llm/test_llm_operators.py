@@ -439,6 +439,22 @@ def test_jaccard_classes_equal_brute_force(spark, docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_the_stage_goes_through_simhash_first(spark, monkeypatch):
+    """SimHash joins what lies within four bits; only what it leaves apart goes to the complement, and no link is lost."""
+    rng = random.Random(8)
+    long, short = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (2000, 60))
+    texts = [long, [*long[:-1], "end"], short, ["start", *short[1:-1], "end"]]  # near copies within four bits, and beyond
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    bits = [(simhash.fingerprint(rows[k][1].encode(), 5) ^ simhash.fingerprint(rows[k + 1][1].encode(), 5)).bit_count() for k in (0, 2)]
+    assert bits[0] <= 4 < bits[1]
+    seen = {}
+    for name in ("proposed", "led"):
+        monkeypatch.setattr(jaccard, name, lambda *a, f=getattr(jaccard, name), name=name: seen.setdefault(name, f(*a)))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert (seen["proposed"].count(), seen["led"].count()) == (1, 1)
+
+
 def test_the_stage_drops_what_is_alike_and_no_more(spark):
     import corpus_pipeline
 
