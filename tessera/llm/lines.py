@@ -12,7 +12,8 @@ The tree is a table: a node of each depth is a column (n, the number of tokens;
 template is a row under them, known by a 64-bit hash. Templates are the same only where all three agree, so two that differ
 are taken for one with a chance of about 2**-96 a pair. They are counted by (template, document) first and by template next, each with
 partial sums before the shuffle. The few templates that hold a large share of all lines are broadcast to them, fewer than
-2,000 by their share; the others are joined. So a template in any share of the documents makes no large task.
+2,000 by their share; the others are joined, with those lines only that fall on a residue of a recurring template's hash:
+the residues, `RESIDUES` at most, are broadcast, so that most lines are not shuffled for the join. So a template in any share of the documents makes no large task.
 
 Edge cases: a null text stays null and has no lines; an empty text has one line without tokens;
 lines of fewer than `shortest` tokens are always kept, and so are lines without tokens or
@@ -30,6 +31,8 @@ from .common import hot_join, written
 
 #: Documents that make a template recurring, least tokens of a line that may go and of one with quarters, leading tokens of the tree.
 LEAST, SHORTEST, WIDE, DEPTH, QUARTERS = 5, 1, 10, 2, 4
+#: Residues of hashes that sieve lines before the join; they change no result.
+RESIDUES = 1 << 22
 #: A token that has a digit; it is looked for at the starts of tokens only.
 _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 #: Lines that never go, whatever their number: no tokens, or one or two variable fields alone.
@@ -71,11 +74,18 @@ def recurring(found: DataFrame, least: int = LEAST) -> DataFrame:
     return each.groupBy("n", "lead", "h").agg(F.count("doc").alias("docs"), F.min("doc").alias("first"), F.sum("times").alias("times")).where(F.col("docs") >= least).select(F.struct("n", "lead", "h").alias("leaf"), "first", "times")
 
 
+def sieved(found: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows whose hash has a residue that a recurring template's has: all lines of these, and few others."""
+    some = again.select(F.pmod("leaf.h", F.lit(RESIDUES)).alias("residue")).distinct()
+    return found.withColumn("residue", F.pmod("h", F.lit(RESIDUES))).join(F.broadcast(some), "residue", "left_semi").drop("residue")
+
+
 def drops(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, shortest: int = SHORTEST, wide: int = WIDE) -> DataFrame:
     """doc, mark and the positions (from 0) of the lines that go."""
     found = written(leaves(docs, doc_id, text, shortest, wide))
-    rows = found.select(F.struct("n", "lead", "h").alias("leaf"), "doc", "mark", "pos")
-    gone = hot_join(rows, written(recurring(found, least)), "leaf", "times").where("doc <> first")
+    again = written(recurring(found, least))
+    rows = sieved(found, again).select(F.struct("n", "lead", "h").alias("leaf"), "doc", "mark", "pos")
+    gone = hot_join(rows, again, "leaf", "times").where("doc <> first")
     return gone.groupBy("doc", "mark").agg(F.collect_set("pos").alias("gone"))
 
 

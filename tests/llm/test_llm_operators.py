@@ -556,6 +556,13 @@ def test_the_stage_drops_short_lines_too(spark):
     assert [got[k] for k in range(1, 6)] == [f"{k}\n12 {k}\n\nown{'abcdef'[k]}" for k in range(1, 6)]
 
 
+def test_few_lines_go_to_the_join(spark):
+    """Lines of templates that do not recur stay out of the join; all lines of those that do are in it."""
+    rows = [(k, f"{(k + 1) * 'a'} own line\nshared by all of them") for k in range(40)]
+    found = lines.leaves(spark.createDataFrame(rows, DOCS))
+    assert (found.count(), lines.sieved(found, lines.recurring(found)).count()) == (80, 40)
+
+
 def test_lines_plan_is_native(spark, docs, none):
     plan = lines.report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
