@@ -27,11 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, pieces
+from .common import partitions, pieces, release
 
 PRIME, BASES = (1 << 31) - 1, (911_382_323, 972_663_749)
 #: Code points of a span, bins, digits of each; code points compared at once, spans hashed at once.
 SPAN, BINS, DIGITS, CHARS, BLOCK = 12, 64, 3, 400_000, 200_000
+#: What a text counts besides its code points: its sketches take memory however short it is.
+ROW = 500
 _P = np.uint64(PRIME)
 _powers: dict[int, np.ndarray] = {}
 
@@ -169,52 +171,57 @@ def _dealt(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                         for column, value in zip(out, (to, last, i, tie, packed), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["part", "last", "i", "tie", "packed"])
+        release()
 
     packed = rows.mapInArrow(pack, "part int, last int, i long, tie binary, packed binary")
     return packed.repartition(tasks, "part").sortWithinPartitions("part", "last", F.col("i").asc_nulls_first(), "tie").select("part", "last", "i", "packed")
 
 
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_edited"]
+
+
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of compared() from the rows of _dealt(); so many texts at once as have CHARS code points, each with ROW more."""
+    expand = zstandard.ZstdDecompressor()
+
+    def out(pairs: list[tuple]) -> pa.RecordBatch:
+        texts, nexts = [p[1] for p in pairs], [p[2] for p in pairs]
+        changed = [edited(a, b) for a, b in zip(texts, nexts, strict=True)]
+        a, b = sketches(texts), sketches(changed)
+        c = np.concatenate((a[1:], sketches(nexts[-1:])))
+        for k in range(len(pairs) - 1):
+            if nexts[k] is not texts[k + 1]:
+                c[k] = sketches([nexts[k]])[0]
+        same = common_starts(texts, changed)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[0] for p in pairs], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]), pa.array(printed(a)), pa.array(printed(b)), pa.array(likeness(a, b)), pa.array(likeness(a, c)), pa.array(same, pa.int64())],
+            names=_NAMES,
+        )
+
+    pairs: list[tuple] = []  # id, text, next text
+    chars, current = 0, None
+    for batch in batches:
+        for part, last, i, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "last", "i", "packed")), strict=True):
+            if current and current[0] != part:
+                current = None
+            if last and current is None:  # a further row with the same id
+                continue
+            text_of = expand.decompress(packed).decode() if packed else ""
+            if current:
+                pairs.append((current[1], current[2], text_of))
+                chars += len(current[2]) + ROW
+                if chars > CHARS:
+                    yield out(pairs)
+                    pairs, chars = [], 0
+            current = None if last else (part, i, text_of)
+    if pairs:
+        yield out(pairs)
+    release()
+
+
 def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_edited (longest common extension with the edited text from the start)."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_edited"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-
-        def out(pairs: list[tuple]) -> pa.RecordBatch:
-            texts, nexts = [p[1] for p in pairs], [p[2] for p in pairs]
-            changed = [edited(a, b) for a, b in zip(texts, nexts, strict=True)]
-            a, b = sketches(texts), sketches(changed)
-            c = np.concatenate((a[1:], sketches(nexts[-1:])))
-            for k in range(len(pairs) - 1):
-                if nexts[k] is not texts[k + 1]:
-                    c[k] = sketches([nexts[k]])[0]
-            same = common_starts(texts, changed)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]), pa.array(printed(a)), pa.array(printed(b)), pa.array(likeness(a, b)), pa.array(likeness(a, c)), pa.array(same, pa.int64())],
-                names=names,
-            )
-
-        pairs: list[tuple] = []  # id, text, next text
-        chars, current = 0, None
-        for batch in batches:
-            for part, last, i, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "last", "i", "packed")), strict=True):
-                if current and current[0] != part:
-                    current = None
-                if last and current is None:  # a further row with the same id
-                    continue
-                text_of = expand.decompress(packed).decode() if packed else ""
-                if current:
-                    pairs.append((current[1], current[2], text_of))
-                    chars += len(current[2])
-                    if chars > CHARS:
-                        yield out(pairs)
-                        pairs, chars = [], 0
-                current = None if last else (part, i, text_of)
-        if pairs:
-            yield out(pairs)
-
-    return _dealt(docs, doc_id, text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long")
+    return _dealt(docs, doc_id, text).mapInArrow(_run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long")
 
 
 def common_starts(a: list[str], b: list[str]) -> list[int]:

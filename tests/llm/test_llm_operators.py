@@ -634,6 +634,17 @@ def test_blocks_do_not_change_a_sketch(monkeypatch):
     assert (whole[0] == whole[3]).all()
 
 
+def test_texts_without_characters_fill_no_batch_without_bound():
+    """Empty texts take memory for their sketches too, so they are not held until the task ends."""
+    import pyarrow as pa
+
+    n = 5000
+    rows = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array([b""] * n)], names=["part", "last", "i", "packed"])
+    sizes = [b.num_rows for b in fingerprints._run(iter([rows]))]
+    assert sum(sizes) == n - 1
+    assert max(sizes) <= fingerprints.CHARS // fingerprints.ROW + 1
+
+
 def test_one_document_follows_itself(spark):
     r = fingerprints.compared(spark.createDataFrame([(5, "abcdef")], DOCS)).first()
     assert r.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
