@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -234,8 +234,38 @@ def _runs(a: np.ndarray, b: np.ndarray, where: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["start", "end"]))
 
 
-def _pass(docs: DataFrame, phrases: Phrases, text: str, shard: int) -> DataFrame:
-    """All columns of docs (by place) and: n_words, n_hit, item_ids, words (runs of hit words), spans (their byte ranges)."""
+_FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("words", _RUNS), ("spans", _RUNS)]
+
+
+def _without(col: pa.Array, cuts: pa.Array) -> pa.Array:
+    """The texts without the byte ranges of each row."""
+    rows = np.flatnonzero(pc.list_value_length(cuts).to_numpy(zero_copy_only=False) > 0)
+    if not len(rows):
+        return col
+    values = col.to_pylist()
+    for r in rows.tolist():
+        raw, at, kept = values[r].encode(), 0, []
+        for x in cuts[r].as_py():
+            kept.append(raw[at : x["start"]])
+            at = x["end"]
+        values[r] = b"".join([*kept, raw[at:]]).decode()
+    return pa.array(values, col.type)
+
+
+def _extended(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]], text: str, cleaned: bool) -> DataFrame:
+    """All columns of docs and the results of run, or with `cleaned` the texts without their spans. One function does both: two in a stage take two workers a task, which stay for all later stages."""
+    if not cleaned:
+        return extend(docs, run, _FIELDS)
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        for part, found in run(batches):
+            yield part, [_without(part.column(text), found[-1])]
+
+    return extend(docs, clear, [("cleaned", docs.schema[text].dataType)])
+
+
+def _pass(docs: DataFrame, phrases: Phrases, text: str, shard: int, cleaned: bool = False) -> DataFrame:
+    """All columns of docs (by place) and: n_words, n_hit, item_ids, words (runs of hit words), spans (their byte ranges); or cleaned."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -250,10 +280,10 @@ def _pass(docs: DataFrame, phrases: Phrases, text: str, shard: int) -> DataFrame
                 first, shift = np.repeat(bounds[:-1], n), np.repeat(offs[:-1], n)
                 yield part, [pa.array(np.diff(bounds)), pa.array(per_row(hit, bounds)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), _runs(a - first, b - first, where), _runs(starts[a] - shift, ends[b - 1] - shift, where)]
 
-    return extend(docs, run, [("n_words", T.LongType()), ("n_hit", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("words", _RUNS), ("spans", _RUNS)])
+    return _extended(docs, run, text, cleaned)
 
 
-def _merged(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+def _merged(docs: DataFrame, found: DataFrame, text: str, cleaned: bool = False) -> DataFrame:
     """The same from the hits of several passes: found has th (of the text), item_ids and words."""
     names = docs.columns
     each = found.groupBy("th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
@@ -279,8 +309,8 @@ def _merged(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
                 items = pa.array([x or [] for x in part.column("_hit_items").to_pylist()], pa.list_(pa.string()))
                 yield part, [pa.array(np.diff(bounds)), pa.array(per_row(hit, bounds)), items, _runs(a - first, b - first, where), _runs(starts[a] - shift, ends[b - 1] - shift, where)]
 
-    out = extend(joined.withColumnsRenamed({"item_ids": "_hit_items", "words": "_hit_words"}), run, [("n_words", T.LongType()), ("n_hit", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("words", _RUNS), ("spans", _RUNS)])
-    return out.select(*names, "n_words", "n_hit", "item_ids", "words", "spans")
+    out = _extended(joined.withColumnsRenamed({"item_ids": "_hit_items", "words": "_hit_words"}), run, text, cleaned)
+    return out.drop("_hit_items", "_hit_words")
 
 
 def _th(text: str) -> Column:
@@ -288,20 +318,20 @@ def _th(text: str) -> Column:
     return F.struct(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, block_chars: int, shard: int) -> DataFrame:
-    """docs with columns by place, and the results."""
+def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, block_chars: int, shard: int, cleaned: bool = False) -> DataFrame:
+    """docs with columns by place, and the results or cleaned."""
     usable = _usable(benchmark, item, item_text)
     total = usable.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     block = lambda k: Phrases([(r.i, r.t) for r in (usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else usable).collect()], window)
     if n == 1:
-        return _pass(docs, block(0), text, shard)
+        return _pass(docs, block(0), text, shard, cleaned)
     found = None
     rows = docs.select(F.col(text), _th(text).alias("th"))
     for k in range(n):
         part = written(_pass(rows, block(k), text, shard).where("n_hit > 0").select("th", "item_ids", "words"))
         found = part if found is None else found.unionByName(part)
-    return _merged(docs, found.dropDuplicates(), text)
+    return _merged(docs, found.dropDuplicates(), text, cleaned)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, shard: int = SHARD) -> DataFrame:
@@ -325,25 +355,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     names = docs.columns
     t = f"_{names.index(text)}"
     own = docs.toDF(*[f"_{k}" for k in range(len(names))])
-    found = _scanned(own, benchmark, t, item, item_text, window, block_chars, shard).select(*own.columns, "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-        for batch in batches:
-            for part in pieces(batch, t):
-                col, cuts = part.column(t), part.column("spans")
-                rows = np.flatnonzero(pc.list_value_length(cuts).to_numpy(zero_copy_only=False) > 0)
-                if len(rows):
-                    values = col.to_pylist()
-                    for r in rows.tolist():
-                        raw, at, kept = values[r].encode(), 0, []
-                        for x in cuts[r].as_py():
-                            kept.append(raw[at : x["start"]])
-                            at = x["end"]
-                        values[r] = b"".join([*kept, raw[at:]]).decode()
-                    col = pa.array(values, col.type)
-                yield part, [col]
-
-    cleaned = extend(found, run, [("cleaned", docs.schema[text].dataType)])
+    cleaned = _scanned(own, benchmark, t, item, item_text, window, block_chars, shard, cleaned=True)
     return cleaned.select(*[F.col("cleaned" if c == t else c) for c in own.columns]).toDF(*names)
 
 

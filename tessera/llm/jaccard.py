@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import LOWER, SPACE, cut, flat, partitions, pieces, release, small_batches, span_hashes, spans, written
+from .common import LOWER, SPACE, cut, flat, partitions, pieces, release, small_batches, span_hashes, spans, swept, written
 from .simhash import classed, components, named, one_of_each
 
 #: Words of a shingle; likeness as a fraction.
@@ -346,22 +346,30 @@ def verified(pairs: DataFrame, rows: DataFrame, marked: DataFrame, width: int =
         return cut(both.mapInArrow(check, "a binary, b binary"))
 
 
-def links(rows: DataFrame, marked: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b) between sets that join all alike sets."""
+def united(rows: DataFrame, marked: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """node and component of all sets with a link. Each further step starts from the components of those before it, which are stars already."""
     tried = cut(proposed(marked))
-    linked = verified(tried, rows, marked, width)
+    found = components(verified(tried, rows, marked, width))
+    swept(rows.sparkSession)
     entries = written(postings(rows, width))
-    first = cut(led(entries, components(linked)).join(tried, ["a", "b"], "left_anti"))
-    linked, tried = linked.unionByName(verified(first, rows, marked, width)), tried.unionByName(first)
-    rest = apart(entries, components(linked), block).join(tried, ["a", "b"], "left_anti")
-    return linked.unionByName(verified(cut(rest), rows, marked, width))
+    swept(rows.sparkSession)
+    first = cut(led(entries, found).join(tried, ["a", "b"], "left_anti"))
+    found = _extended(found, verified(first, rows, marked, width))
+    swept(rows.sparkSession)
+    rest = apart(entries, found, block).join(tried.unionByName(first), ["a", "b"], "left_anti")
+    return _extended(found, verified(cut(rest), rows, marked, width))
+
+
+def _extended(found: DataFrame, linked: DataFrame) -> DataFrame:
+    """The components (node, component) with further links (a, b)."""
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: i, th and r, the row that stands for its class (struct of null id, id, th)."""
     rows = named(docs, doc_id, text)
     marked = written(marks(rows, width))
-    return classed(marked, "k", components(links(rows, marked, width, block)))
+    return classed(marked, "k", united(rows, marked, width, block))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:

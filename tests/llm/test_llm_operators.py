@@ -386,6 +386,20 @@ def test_chains_of_links_are_followed(spark):
     assert got == {100 - k: 85 for k in range(16)}
 
 
+def test_rounds_end_at_stars(spark, monkeypatch):
+    """Links that are stars need no round, a chain none after it is one; so further links start from what is joined."""
+    cuts, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: cuts.append(1) or cut(df))
+    star = simhash.components(spark.createDataFrame([(1, 2), (3, 1), (7, 8), (8, 7), (9, 9)], "a long, b long"))
+    assert {r.node: r.component for r in star.collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    assert len(cuts) == 1
+    more = jaccard._extended(star, spark.createDataFrame([], "a long, b long"))
+    assert sorted(map(tuple, more.collect())) == sorted(map(tuple, star.collect()))
+    assert len(cuts) == 2
+    more = jaccard._extended(star, spark.createDataFrame([(3, 8), (9, 10)], "a long, b long"))
+    assert {r.node: r.component for r in more.collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 9, 10: 9}
+
+
 def test_one_of_each_class_stays(docs, none):
     wide = docs.withColumn("component_id", F.lit(1)).withColumn("fp", F.lit(2))
     out = simhash.representatives(wide)
@@ -809,6 +823,13 @@ def test_one_block_of_the_benchmark_is_held(docs, bench, monkeypatch):
     assert sum(kept[r.doc_id] != r.text for r in many.collect() if r.doc_id is not None) <= one
 
 
+def test_cleaning_takes_one_worker_a_task(docs, bench):
+    """Searching and cutting are one Python function: two in a stage would take two workers a task, which stay for later stages."""
+    for chars in (decontaminate.BLOCK_CHARS, 2000):
+        plan = decontaminate.clean(docs, bench, block_chars=chars)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("MapInArrow") == 1
+
+
 def test_cleaning_cuts_spans(spark, none):
     b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     d = spark.createDataFrame([(1, "Before. One two, three four five six seven eight nine ten! after"), (2, "one two three"), (3, None), (4, "")], DOCS).withColumn("spans", F.lit("mine")).withColumn("TEXTS", F.lit(1))
