@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language, lines, pieces, quality, shards, simhash, substrings, urls
+from . import codes, decontaminate, fingerprints, language, lines, pieces, quality, shards, simhash, substrings, urls, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,4 +51,16 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_sentencepiece, op4_simhash, op5_urls, op6_line_templates, op7_fingerprints, op8_sharding, op9_quality, op10_decontamination)}
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).drop("deviation_digits")
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_sentencepiece, op4_simhash, op5_urls, op6_line_templates, op7_fingerprints, op8_sharding, op9_quality, op10_decontamination, op11_codes, op12_warc, op13_whitening)}
