@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,17 +37,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each execution started inside go as soon as it ends: what it made is written, so nothing reads them again. Else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: smaller than a checkpoint of rows."""
+    """Cut the lineage by a Parquet table in the shared folder: smaller than a checkpoint of rows, and its shuffle files go at once."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with released(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Written tables that are deleted when the scope ends; `drop` deletes those so far, when what they served is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
 
+    def written(self, df: DataFrame) -> DataFrame:
+        table, path = _written(df)
+        self.paths.append(path)
+        return table
 
-def swept(spark: SparkSession) -> None:
-    """Let shuffle files go that nothing needs any more; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def drop(self) -> None:
+        sc, paths, self.paths = self.spark.sparkContext, self.paths, []
+        for path in paths:
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @contextmanager

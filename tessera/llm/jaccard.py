@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import LOWER, SPACE, cut, flat, partitions, pieces, release, small_batches, span_hashes, spans, swept, written
+from .common import LOWER, SPACE, Scratch, flat, partitions, pieces, release, released, small_batches, span_hashes, spans, written
 from .simhash import classed, components, named, one_of_each
 
 #: Words of a shingle; likeness as a fraction.
@@ -126,10 +126,10 @@ def marks(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.mapInArrow(run, "i long, th long, k binary, fp long")
 
 
-def proposed(marked: DataFrame, most: int = simhash.BITS) -> DataFrame:
+def proposed(marked: DataFrame, scratch: Scratch, most: int = simhash.BITS) -> DataFrame:
     """Pairs (a, b) of sets that the SimHash index joins: a forest of those with equal fingerprints or within `most` bits."""
     sets = marked.select("fp", "k").distinct()
-    nodes = written(sets.groupBy("fp").agg(F.min("k").alias("rep")))
+    nodes = scratch.written(sets.groupBy("fp").agg(F.min("k").alias("rep")))
     equal = sets.join(nodes, "fp").select(F.col("rep").alias("x"), F.col("k").alias("y"))
     pairs = equal.union(simhash.links(nodes, most)).where("x <> y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -144,8 +144,9 @@ def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(_sets(part, width)[0].view(np.int64))], names=["s"])
         release()
 
-    drawn = rows.where(F.pmod(F.xxhash64("i", "th"), F.lit(SAMPLE)) == 0).mapInArrow(run, "s long")
-    found = drawn.groupBy("s").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "s").limit(ORDERED).toArrow()
+    with released(rows.sparkSession):
+        drawn = rows.where(F.pmod(F.xxhash64("i", "th"), F.lit(SAMPLE)) == 0).mapInArrow(run, "s long")
+        found = drawn.groupBy("s").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "s").limit(ORDERED).toArrow()
     known = found.column("s").to_numpy().view(np.uint64)
     order = np.argsort(known)
     return known[order], found.column("count").to_numpy()[order]
@@ -290,8 +291,8 @@ def apart(entries: DataFrame, joined: DataFrame, block: int = BLOCK) -> DataFram
     return dealt.mapInArrow(meet, "x binary, y binary").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, rows: DataFrame, marked: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) of sets that are alike, by one whole text of each."""
+def verified(pairs: DataFrame, rows: DataFrame, marked: DataFrame, out: Scratch, width: int = WIDTH) -> DataFrame:
+    """The pairs (a, b) of sets that are alike, by one whole text of each; a table of out."""
     ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     one = marked.join(ids, "k", "left_semi").groupBy("k").agg(F.min(F.struct("i", "th")).alias("r"))
     one = one.select("k", F.col("r.i").alias("_i"), F.col("r.th").alias("_th"))
@@ -310,7 +311,8 @@ def verified(pairs: DataFrame, rows: DataFrame, marked: DataFrame, width: int =
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(z, pa.binary())], names=["k", "z"])
         release()
 
-    packed = written(texts.mapInArrow(pack, "k binary, z binary").groupBy("k").agg(F.first("z").alias("z")))
+    scratch = Scratch(rows.sparkSession)
+    packed = scratch.written(texts.mapInArrow(pack, "k binary, z binary").groupBy("k").agg(F.first("z").alias("z")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -342,27 +344,29 @@ def verified(pairs: DataFrame, rows: DataFrame, marked: DataFrame, width: int =
 
     second = pairs.join(packed.select(F.col("k").alias("b"), F.col("z").alias("zb")), "b")
     both = second.join(packed.select(F.col("k").alias("a"), F.col("z").alias("za")), "a").select("a", "b", "za", "zb")
-    with small_batches(rows.sparkSession, 500):
-        return cut(both.mapInArrow(check, "a binary, b binary"))
+    with scratch, small_batches(rows.sparkSession, 500):
+        return out.written(both.mapInArrow(check, "a binary, b binary"))
 
 
 def united(rows: DataFrame, marked: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """node and component of all sets with a link. Each further step starts from the components of those before it, which are stars already."""
-    tried = cut(proposed(marked))
-    found = components(verified(tried, rows, marked, width))
-    swept(rows.sparkSession)
-    entries = written(postings(rows, width))
-    swept(rows.sparkSession)
-    first = cut(led(entries, found).join(tried, ["a", "b"], "left_anti"))
-    found = _extended(found, verified(first, rows, marked, width))
-    swept(rows.sparkSession)
-    rest = apart(entries, found, block).join(tried.unionByName(first), ["a", "b"], "left_anti")
-    return _extended(found, verified(cut(rest), rows, marked, width))
-
-
-def _extended(found: DataFrame, linked: DataFrame) -> DataFrame:
+    """node and component of all sets with a link. Each further step starts from the components of those before it, which are stars already.
+
+    Tables between steps are deleted as soon as what they serve is written, and so are shuffle files; the last components stay."""
+    with Scratch(rows.sparkSession) as steps, Scratch(rows.sparkSession) as links:
+        tried = steps.written(proposed(marked, steps))
+        found = components(verified(tried, rows, marked, links, width), steps)
+        links.drop()
+        entries = steps.written(postings(rows, width))
+        first = steps.written(led(entries, found).join(tried, ["a", "b"], "left_anti"))
+        found = _extended(found, verified(first, rows, marked, links, width), steps)
+        links.drop()
+        rest = links.written(apart(entries, found, block).join(tried.unionByName(first), ["a", "b"], "left_anti"))
+        return _extended(found, verified(rest, rows, marked, links, width))
+
+
+def _extended(found: DataFrame, linked: DataFrame, out: Scratch | None = None) -> DataFrame:
     """The components (node, component) with further links (a, b)."""
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked))
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked), out)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat, partitions, pieces, release, written
+from .common import Scratch, flat, partitions, pieces, release, written
 
 #: Words of a shingle, differing bits of a link, hash seed; members of a posting that meet at once.
 SHINGLE, BITS, SEED, LIMIT = 4, 4, 42, 4096
@@ -243,7 +243,7 @@ def links(nodes: DataFrame, most: int = BITS, limit: int = LIMIT) -> DataFrame:
     for depth in range(1, least + 1):
         posted = _posted(rows, depth, least)
         counts = posted.groupBy("key").count().where(F.col("count") > limit)
-        hot = cut(counts)
+        hot = written(counts)
         long = not hot.isEmpty()
         short = posted.join(hot, "key", "left_anti") if long else posted
         part = _met(short.select("key", *alone, "fp", "rep"), depth, most)
@@ -264,20 +264,23 @@ def starred(edges: DataFrame) -> bool:
     return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").count() == 0
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest member) for every node of a link, by large-star and small-star rounds until all are stars."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    while not starred(edges):
-        # large star: every larger neighbour to the smallest of the neighbourhood
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        # small star: every smaller neighbour, and the node, to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
+def components(edges: DataFrame, out: Scratch | None = None) -> DataFrame:
+    """node and component (its smallest member) for every node of a link, by large-star and small-star rounds until all are stars. Each round's table goes when the next is written; the result is a table of out, or stays."""
+    with Scratch(edges.sparkSession) as now, Scratch(edges.sparkSession) as then:
+        edges = now.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+        while not starred(edges):
+            # large star: every larger neighbour to the smallest of the neighbourhood
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            large = large.distinct()
+            # small star: every smaller neighbour, and the node, to the smallest
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+            edges = then.written(small.distinct())
+            now.drop()
+            now, then = then, now
+        return (out.written if out else written)(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct()))
 
 
 def classed(marked: DataFrame, key: str, found: DataFrame) -> DataFrame:
