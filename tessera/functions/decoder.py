@@ -11,6 +11,8 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from . import board as B
 from . import notation_values as V
 
@@ -28,7 +30,7 @@ class NoiseModel:
     places: dict[tuple[str, str], Counter] = field(default_factory=dict)
     unmarked: Counter = field(default_factory=Counter)
     letters: dict[str, str] = field(default_factory=lambda: dict(V.LETTERS["English"]))
-    #: How many symbols were counted, and what follows from them for symbols asked for since.
+    #: How many symbols were counted, and the tables made from them.
     seen: int = 0
     _known: dict = field(default_factory=dict, repr=False)
 
@@ -51,29 +53,32 @@ class NoiseModel:
         return (seen[piece] + V.KAPPA * base) / (sum(seen.values()) + V.KAPPA)
 
     def _backed(self, symbol: str) -> dict[str, float]:
-        """What a symbol stands for by its characters: pieces by how often they were seen, characters by how often symbols of the piece have them, both smoothed, and a share of the prior."""
-        key = (symbol, self.seen)
-        if key not in self._known:
-            if not self._known or next(iter(self._known))[1] != self.seen:
-                self._known.clear()
-                self._chars = {p: Counter() for p in PIECES + "P"}
-                self._totals = Counter()
-                for text, by in self.symbols.items():
-                    for p, n in by.items():
-                        self._totals[p] += n
-                        for c in text:
-                            self._chars[p][c] += n
-            kinds = len({c for by in self._chars.values() for c in by}) + V.BACK_UNSEEN
-            score = {}
-            for p, by in self._chars.items():
-                whole = sum(by.values()) + V.BACK_CHAR * kinds
-                share = math.log((self._totals[p] + V.BACK_PIECE) / (self._totals.total() + V.BACK_PIECE * len(self._chars)))
-                score[p] = share + V.BACK_WEIGHT * sum(math.log((by[c] + V.BACK_CHAR) / whole) for c in symbol) / len(symbol)
-            top = max(score.values())
-            total = sum(math.exp(v - top) for v in score.values())
-            prior = lambda p: V.PAWN_PRIOR if p == "P" else V.PIECE_PRIOR
-            self._known[key] = {p: (1 - V.BACK_PRIOR) * math.exp(v - top) / total + V.BACK_PRIOR * prior(p) for p, v in score.items()}
-        return self._known[key]
+        """What a symbol stands for by its characters: a row of log likelihoods a piece, averaged over the symbol's characters, beside how common the piece is; mixed with the prior."""
+        if self._known.get("seen") != self.seen:
+            self._known = {"seen": self.seen, **self._table()}
+        known = self._known
+        if symbol not in known["found"]:
+            places = [known["place"].get(c, -1) for c in symbol]  # the last column is for characters not seen
+            weight = known["common"] + V.BACK_WEIGHT * known["likely"][:, places].mean(1)
+            share = np.exp(weight - np.logaddexp.reduce(weight))
+            prior = np.array([V.PAWN_PRIOR if p == "P" else V.PIECE_PRIOR for p in PIECES + "P"])
+            known["found"][symbol] = dict(zip(PIECES + "P", ((1 - V.BACK_PRIOR) * share + V.BACK_PRIOR * prior).tolist(), strict=True))
+        return known["found"][symbol]
+
+    def _table(self) -> dict:
+        """Log shares of pieces, and of characters (columns) for each piece (rows), from all counts."""
+        pieces = PIECES + "P"
+        place = {c: k for k, c in enumerate(sorted(set("".join(self.symbols))))}
+        counts, pieces_seen = np.zeros((len(pieces), len(place) + 1)), np.zeros(len(pieces))
+        for text, by in self.symbols.items():
+            n = np.array([by[p] for p in pieces], float)
+            pieces_seen += n
+            for c in text:
+                counts[:, place[c]] += n
+        smooth = counts + V.BACK_CHAR
+        whole = counts.sum(1, keepdims=True) + V.BACK_CHAR * (len(place) + V.BACK_UNSEEN)
+        common = np.log((pieces_seen + V.BACK_PIECE) / (pieces_seen.sum() + V.BACK_PIECE * len(pieces)))
+        return {"place": place, "likely": np.log(smooth / whole), "common": common, "found": {}}
 
     def cost(self, symbol: str, piece: str) -> float:
         """How dear it is that a symbol stands for a piece, against the best it could stand for."""

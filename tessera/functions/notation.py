@@ -60,11 +60,21 @@ def number_values(raw: str) -> list[int]:
     return out
 
 
+def misreadings(number: int) -> set[int]:
+    """The numbers that a number is taken for when one of its digits is misread."""
+    out = set()
+    for place in (10**k for k in range(len(str(number)))):
+        digit = number // place % 10
+        for pair in V.DIGIT_SLIPS:
+            if digit in pair:
+                out.add(number + (sum(pair) - 2 * digit) * place)
+    return out
+
+
 def slipped(printed: str, want: int) -> bool:
     """Whether a printed number is another one with a single digit misread as one that it is taken for."""
-    digits, own = re.sub(r"\D", "", printed), str(want)
-    wrong = [a + b for a, b in zip(digits, own, strict=False) if a != b]
-    return len(digits) == len(own) and len(wrong) == 1 and (wrong[0] in V.DIGIT_SLIPS or wrong[0][::-1] in V.DIGIT_SLIPS)
+    shown = "".join(c for c in printed if "0" <= c <= "9")
+    return len(shown) == len(str(want)) and int(shown) in misreadings(want)
 
 
 def _looks(word: str, exact: bool) -> str:
@@ -217,17 +227,19 @@ class Edit:
     junk: bool
     pattern: re.Pattern
     options: tuple[str, ...]
+    #: How often each option is taken; equally often if not said.
+    shares: tuple[float, ...] | None = None
 
     def made(self, word: str, rates: dict[str, float], rng: random.Random) -> str:
-        return self.pattern.sub(lambda m: m.expand(rng.choice(self.options)) if rng.random() < rates[self.rate] else m[0], word)
+        return self.pattern.sub(lambda m: m.expand(rng.choices(self.options, self.shares)[0]) if rng.random() < rates[self.rate] else m[0], word)
 
 
 def _edits() -> list[Edit]:
     """All misprints in the order in which they are made: number, capture mark, sign, square from its rank to its file, piece. Each is independent of the others."""
     end, out = r"(?=(?:=[QRBN])?[+#t]?$)", []
 
-    def edit(rate: str, pattern: str, *options: str, words: str = "move", junk: bool = False) -> None:
-        out.append(Edit(rate, words, junk, re.compile(pattern), options))
+    def edit(rate: str, pattern: str, *options: str, words: str = "move", junk: bool = False, shares: tuple[float, ...] | None = None) -> None:
+        out.append(Edit(rate, words, junk, re.compile(pattern), options, shares))
 
     edit("ocrnum", "1", "l", "I", words="number")
     edit("ocrnum", "0", "O", "o", words="number")
@@ -240,7 +252,7 @@ def _edits() -> list[Edit]:
     edit("s8", f"8{end}", "s", junk=True)
     for rank, others in V.RANK_CONFUSIONS.items():
         edit("sq", rank + end, *others)
-    edit("f_pound", r"f(?=\S(?:=[QRBN])?[+#t]?$)", *V.POUND)
+    edit("f_pound", r"f(?=\S(?:=[QRBN])?[+#t]?$)", *V.DAMAGED_F, shares=(V.DAMAGED_F_SHARE, 1 - V.DAMAGED_F_SHARE))
     for file, others in V.FILE_CONFUSIONS.items():
         edit("sq", rf"{file}(?=\S(?:=[QRBN])?[+#t]?$)", *others)
     edit("drop", "^[KQRBN]", "")

@@ -45,7 +45,7 @@ def digit_slip(raw: Column, want: Column) -> Column:
     digits, own = F.regexp_replace(raw, "[^0-9]", ""), want.cast("string")
     pairs = F.zip_with(F.split(digits, ""), F.split(own, ""), lambda a, b: F.array_join(F.array_sort(F.array(a, b)), ""))
     wrong = F.filter(pairs, lambda x: F.substring(x, 1, 1) != F.substring(x, 2, 1))
-    return (F.length(digits) == F.length(own)) & (F.size(wrong) == 1) & F.coalesce(F.get(wrong, 0).isin(*["".join(sorted(x)) for x in DIGIT_SLIPS]), F.lit(False))
+    return (F.length(digits) == F.length(own)) & (F.size(wrong) == 1) & F.coalesce(F.get(wrong, 0).isin(*[f"{min(pair)}{max(pair)}" for pair in DIGIT_SLIPS]), F.lit(False))
 
 
 def printed_squares(raw: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .materialise import cut
+
 #: The parts of a correction set.
 PARTS = ("diagrams", "moves", "unattached", "glyphs", "connect", "disconnect", "gaps", "added", "declined")
 KEY = r"^[0-9]+:-?[0-9]+,-?[0-9]+:.+$"
@@ -94,14 +96,15 @@ def diagram_selected(kind: Column, included: Column, excluded: Column) -> Column
     return F.when(included, True).when(excluded, False).otherwise(~kind.isin("decoration", "cover"))
 
 
-def settled(fixes: DataFrame, holds: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
-    """Drop automatic corrections that no longer hold, until none does or the rounds are over. holds returns those entries that do."""
-    now = fixes
+def settled(fixes: DataFrame, holds: Callable[..., DataFrame], rounds: int = 3, beside: bool = False) -> DataFrame:
+    """Drop automatic corrections that no longer hold, until none does or the rounds are over. holds(automatic entries) returns those that do; with `beside` it is given all entries of the round too. The lineage is cut each round."""
+    now = cut(fixes)
+    left = now.count()
     for _ in range(rounds):
-        keep = now.where("not auto").unionByName(holds(now.where("auto")))
-        if keep.count() == now.count():
+        now = cut(now.where("not auto").unionByName(holds(now.where("auto"), *([now] if beside else []))))
+        left, before = now.count(), left
+        if left == before:
             break
-        now = keep
     return now
 
 

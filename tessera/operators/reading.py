@@ -20,8 +20,6 @@ from ..functions import notation_values as V
 from ..functions.decoder import Decoder, NoiseModel
 
 TOKEN = "kind string, raw string, start int, end int, number int, black boolean"
-#: Facts that a broadcast model may hold; the commonest are kept.
-MOST_FACTS = 50_000
 
 
 def _each(df: DataFrame, key: str, text: str, make, schema: str) -> DataFrame:
@@ -76,7 +74,7 @@ def decode(df: DataFrame, start: str, moves: str, model: NoiseModel | None = Non
 
 
 def learn(decoded: DataFrame) -> NoiseModel:
-    """What symbols and printed squares stood for, in moves read without doubt: summed before it is sent, the commonest `MOST_FACTS` kept."""
+    """What symbols and printed squares stood for, in moves read without doubt: all of it, summed first, so that the driver gets a row for each distinct symbol (a few characters) and what it stood for, however many moves show it."""
     d = decoded.select(F.explode("decoded").alias("d")).select("d.*").where("san is not null and cost <= 2.5 and san not like 'O%'")
     to = lambda k: F.regexp_extract("san", "([a-h])([1-8])(?:=[QRBN])?[+#]?$", k)
     fact = lambda kind, char, value, when: F.when(when, F.struct(F.lit(kind).alias("kind"), char.alias("char"), value.alias("value")))
@@ -87,7 +85,7 @@ def learn(decoded: DataFrame) -> NoiseModel:
     )
     facts = d.select(F.explode(F.filter(every, lambda x: x.isNotNull())).alias("f")).select("f.*")
     model = NoiseModel()
-    for r in facts.groupBy("kind", "char", "value").count().orderBy(F.col("count").desc(), "kind", "char", "value").limit(MOST_FACTS).collect():
+    for r in facts.groupBy("kind", "char", "value").count().collect():
         model.count(r["kind"], r["char"], r["value"], r["count"])
     return model
 

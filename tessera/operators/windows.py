@@ -1,11 +1,9 @@
-"""Order-dependent operators: islands, merged ranges, runs within an array, greedy chains, conditions along paths."""
+"""Order-dependent operators: islands, merged ranges, runs within an array, conditions along paths."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +34,11 @@ def window(by: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """All columns and each row's number (from 1) within its group."""
+    return df.withColumn(name, F.row_number().over(window(by, order)))
+
+
 def merged_ranges(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """Closed integer ranges of each group, merged where they touch or overlap."""
     df = df.select(*by, start, end).distinct()  # equal ranges would have no order
@@ -52,46 +55,6 @@ def run_starts(numbers: Column) -> Column:
     return F.when(F.size(numbers) > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
-#: How far the next label of a series may be, and where a chapter's numbers may start again.
-SERIES_STEP, CHAPTER_START = 12, 2
-
-
-def follows(before: tuple[int, ...] | None, now: tuple[int, ...], step: int = SERIES_STEP) -> bool:
-    """Whether a label (its numbers) can come next in one series: the first is 1 or 1.1; a later one is a little further on, or starts the next chapter."""
-    if before is None:
-        return now in ((1,), (1, 1))
-    if len(now) != len(before) or now <= before:
-        return False
-    if len(now) == 1:
-        return now[0] - before[0] <= step
-    return (now[0] == before[0] and now[1] - before[1] <= step) or (now[0] == before[0] + 1 and now[1] <= CHAPTER_START)
-
-
-def main_series(df: DataFrame, by: str, page: list[str], label: str, ties: list[str]) -> DataFrame:
-    """All columns and `main`: whether a label belongs to its group's main numbered series, walking by page and the numbers of labels: a label joins when it may follow the last that joined.
-
-    What joins depends on the last that did, so a group is walked in order; rows are sorted in their partition and streamed, so no group is held."""
-    numbers = F.transform(F.regexp_extract_all(F.col(label), F.lit("([0-9]+)"), 1), lambda x: x.cast("long"))
-    keyed = df.withColumn("_numbers", F.when(F.size(numbers) > 0, numbers).otherwise(F.array(F.lit(0).cast("long"))))
-    fields = [(f.name, f.dataType) for f in df.schema.fields]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, last = None, None
-        for batch in batches:
-            main = []
-            for g, x in zip(batch.column(by).to_pylist(), batch.column("_numbers").to_pylist(), strict=True):
-                if g != group:
-                    group, last = g, None
-                main.append(follows(last, tuple(x)))
-                if main[-1]:
-                    last = tuple(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c, _ in fields), pa.array(main, pa.bool_())], names=[*(c for c, _ in fields), "main"])
-
-    schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in fields) + ", main boolean"
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, by).sortWithinPartitions(by, *page, "_numbers", label, *ties).mapInArrow(walk, schema)
-
-
 def renumbered(df: DataFrame, run: str, order: str, number: str, black: str) -> DataFrame:
     """Tokens of runs numbered anew from the first one's number and side: a ply each."""
     w = Window.partitionBy(run).orderBy(order)
@@ -131,21 +94,6 @@ def path_all(nodes: DataFrame, node: str, parent: str, ok: str, rounds: int = 40
     raise RuntimeError("a path is longer than the rounds allow, or has a cycle")
 
 
-def row_groups(df: DataFrame, by: str, y: str, gap: float) -> DataFrame:
-    """Bands of rows: each row whose distance to the band's first row is at most `gap` joins it. Sequential within a group."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([y, *[c for c in pdf.columns if c != y]], kind="stable")
-        band, first, out = -1, None, []
-        for v in pdf[y].tolist():
-            if first is None or v - first > gap:
-                band, first = band + 1, v
-            out.append(band)
-        return pdf.assign(band=out)
-
-    return df.groupBy(by).applyInPandas(one, df.schema.simpleString()[7:-1].replace(":", " ") + ", band int")
-
-
 def kept_recent(df: DataFrame, by: list[str], at: list[Column], most: int) -> DataFrame:
     """The most recent rows of each group: eviction of the least recently used."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*at))).where(F.col("_rn") <= most).drop("_rn")

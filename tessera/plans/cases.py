@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import board, scalars
-from ..operators import aggregates, clusters, corrections, inference, layout, quality, reading, records, windows
+from ..operators import aggregates, chains, clusters, corrections, inference, layout, quality, reading, records, windows
 from ..operators.materialise import shared_folder
 from ..sources import pages, sinks, tables
 from ..sources.tables import table
 from ..streaming import streams
-from .registry import query
+from .registry import case, query
 
 
 def values(columns: str, rows: list[tuple]) -> str:
@@ -421,7 +421,7 @@ def _cases(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
 _CUES = [("with 12.Qh5 threatening", "threat"), ("Better was", "alternative"), ("Black intended this, and then", "follow"), ("as so often, e.g.", "bare"), ("in moves 12-15", "range"), ("a calm move", None), ("instead", "alternative")]
 
 
-@query(values("before, cue", _CUES))
+@case(values("before, cue", _CUES))
 def cue_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "before string", [(x,) for x, _ in _CUES]).select("before", layout.cue(F.col("before")).alias("cue"))
 
@@ -437,14 +437,14 @@ _FENS = [
 ]
 
 
-@query(values("fen, legal, castling, empty", [(f, a, b, c if k else 32) for k, (f, a, b, c) in enumerate(_FENS)]))
+@case(values("fen, legal, castling, empty", [(f, a, b, c if k else 32) for k, (f, a, b, c) in enumerate(_FENS)]))
 def positions_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legal shape, castling rights from first squares, and empty squares."""
     f = F.col("fen")
     return _cases(spark, "fen string", [(x[0],) for x in _FENS]).select("fen", scalars.legal_shape(f).alias("legal"), scalars.castling(f).alias("castling"), F.size(F.filter(scalars.squares(f), lambda c: c == ".")).alias("empty"))
 
 
-@query(values("name, diff", [("one move", "e2 P>.|e4 .>P"), ("same", ""), ("corner", "h1 R>r")]))
+@case(values("name, diff", [("one move", "e2 P>.|e4 .>P"), ("same", ""), ("corner", "h1 R>r")]))
 def square_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squares where two positions differ."""
     rows = [("one move", board.START, "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 0 1"), ("same", board.START, board.START), ("corner", board.START, "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNr w - - 0 1")]
@@ -452,7 +452,7 @@ def square_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("name", F.array_join(F.array_sort(F.transform(scalars.square_diff(F.col("a"), F.col("b")), lambda x: F.concat(x["square"], F.lit(" "), x["first"], F.lit(">"), x["second"]))), "|").alias("diff"))
 
 
-@query(values("raw, numbers, result, nag", [("12", "12", None, None), ("l2", "12", None, None), ("S", "8,5", None, None), ("012", "", None, None), ("1234", "", None, None), ("½-½", "", "1/2-1/2", None), (" 1-0 ", "", "1-0", None), ("!?", "", None, 5), ("??", "", None, 4)]))
+@case(values("raw, numbers, result, nag", [("12", "12", None, None), ("l2", "12", None, None), ("S", "8,5", None, None), ("012", "", None, None), ("1234", "", None, None), ("½-½", "", "1/2-1/2", None), (" 1-0 ", "", "1-0", None), ("!?", "", None, 5), ("??", "", None, 4)]))
 def printed_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of badly printed numbers, results and annotation signs."""
     raw = F.col("raw")
@@ -460,31 +460,31 @@ def printed_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("raw", F.array_join(scalars.number_values(raw).cast("array<string>"), ",").alias("numbers"), scalars.result(raw).alias("result"), scalars.nag(raw).alias("nag"))
 
 
-@query(values("raw, want, slip", [("11.", 17, True), ("17", 17, False), ("12", 17, False), ("3", 8, True), ("36", 85, False), ("108", 188, True), ("1", 17, False)]))
+@case(values("raw, want, slip", [("11.", 17, True), ("17", 17, False), ("12", 17, False), ("3", 8, True), ("36", 85, False), ("108", 188, True), ("1", 17, False)]))
 def digit_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _cases(spark, "raw string, want int", [("11.", 17), ("17", 17), ("12", 17), ("3", 8), ("36", 85), ("108", 188), ("1", 17)])
     return d.select("raw", "want", scalars.digit_slip(F.col("raw"), F.col("want")).alias("slip"))
 
 
-@query(values("raw, squares", [("Nf3", "1:f3"), ("£l", "0:f1"), ("BxCs", "2:c5/c8"), ("e4d5", "0:e4;2:d5"), ("O-O", ""), ("x", "")]))
+@case(values("raw, squares", [("Nf3", "1:f3"), ("£l", "0:f1"), ("BxCs", "2:c5/c8"), ("e4d5", "0:e4;2:d5"), ("O-O", ""), ("x", "")]))
 def squares_in_print(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every square that a printed token may show."""
     d = _cases(spark, "raw string", [(x,) for x in ("Nf3", "£l", "BxCs", "e4d5", "O-O", "x")])
     return d.select("raw", F.array_join(F.transform(scalars.printed_squares(F.col("raw")), lambda x: F.concat(x["at"].cast("string"), F.lit(":"), F.array_join(x["squares"], "/"))), ";").alias("squares"))
 
 
-@query(values("text, kind, number, title", [("Chapter 3: The Open File", "chapter", 3, "The Open File"), ("PART iv", "part", 4, ""), ("Section 12 - Ends", "section", 12, "Ends"), ("A chapter of accidents", None, None, None)]))
+@case(values("text, kind, number, title", [("Chapter 3: The Open File", "chapter", 3, "The Open File"), ("PART iv", "part", 4, ""), ("Section 12 - Ends", "section", 12, "Ends"), ("A chapter of accidents", None, None, None)]))
 def chapter_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _cases(spark, "text string", [(x,) for x in ("Chapter 3: The Open File", "PART iv", "Section 12 - Ends", "A chapter of accidents")])
     return d.select("text", scalars.chapter_heading(F.col("text")).alias("h")).select("text", "h.kind", "h.number", "h.title")
 
 
-@query(values("text, side", [("White to move and win", "w"), ("Black plays and draws", "b"), ("a quiet position", None), ("W", "w")]))
+@case(values("text, side", [("White to move and win", "w"), ("Black plays and draws", "b"), ("a quiet position", None), ("W", "w")]))
 def sides_to_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "text string", [(x,) for x in ("White to move and win", "Black plays and draws", "a quiet position", "W")]).select("text", layout.side_to_move(F.col("text")).alias("side"))
 
 
-@query(values("picture, label", [(1, 11), (2, 12)]))
+@case(values("picture, label", [(1, 11), (2, 12)]))
 def picture_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two pictures and three labels: one label lies between both pictures and goes to the nearer, the other picture takes one below it; a label far to the side has none."""
     pictures = _cases(spark, "page int, id int, x0 double, y0 double, x1 double, y1 double", [(1, 1, 100.0, 100.0, 200.0, 200.0), (1, 2, 100.0, 300.0, 200.0, 400.0)])
@@ -492,21 +492,21 @@ def picture_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.labelled(pictures, labels).select("picture", "label")
 
 
-@query(values('"group", name', [("a", "N"), ("b", "N"), ("c", "Q")]))
+@case(values('"group", name', [("a", "N"), ("b", "N"), ("c", "Q")]))
 def smoothed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two groups alike share their votes, a third is far from them."""
     rows = [(1, "a", [0.0, 0.0], {"N": 5}), (1, "b", [0.1, 0.0], {"B": 1}), (1, "c", [9.0, 9.0], {"Q": 2, "N": 1})]
     return inference.smoothed_votes(_cases(spark, "book int, `group` string, centre array<double>, votes map<string,int>", rows), "book", 1.0).select("group", "name")
 
 
-@query(values('"group", name', [("g1", "K"), ("g2", "Q"), ("g3", "k")]))
+@case(values('"group", name', [("g1", "K"), ("g2", "Q"), ("g3", "k")]))
 def names_under_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs alone name two groups of a board kings; a board with two kings of a side is dearer than the second's other name."""
     costs = {"g1": {"K": 0.0, "Q": 5.0}, "g2": {"K": 0.5, "Q": 1.0}, "g3": {"k": 0.0, "q": 3.0}}
     return inference.constrained_names(_cases(spark, "book int, board int, `group` string, costs map<string,double>", [(1, 1, g, c) for g, c in costs.items()]), "book").select("group", "name")
 
 
-@query(values("id, cluster", [(1, 0), (2, 0), (3, 1), (4, 1), (5, 0)]))
+@case(values("id, cluster", [(1, 0), (2, 0), (3, 1), (4, 1), (5, 0)]))
 def leader_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaders in order: the second vector is within the distance of the first, the third of none before it."""
     rows = [(1, 1, [0.0, 0.0]), (1, 2, [1.0, 0.0]), (1, 3, [10.0, 0.0]), (1, 4, [10.5, 0.0]), (1, 5, [0.0, 1.0])]
@@ -515,7 +515,7 @@ def leader_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(first, "cluster").select("id", F.when(F.col("low") == 1, 0).otherwise(1).alias("cluster"))
 
 
-@query(values('start, "end"', [(1, 3), (5, 6)]))
+@case(values('start, "end"', [(1, 3), (5, 6)]))
 def settled_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Automatic corrections that no longer hold go, and those that held by them after them; a reader's stay. Entries: key holds while the key it stands on (value) is there."""
     rows = [("1:1,1:a", None, False, 1), ("1:1,2:b", "1:1,1:a", True, 2), ("1:1,3:c", "1:1,2:b", True, 3), ("1:1,4:d", "1:9,9:z", True, 4), ("1:1,5:e", None, False, 5), ("1:1,6:f", "1:1,5:e", True, 6)]
@@ -525,7 +525,7 @@ def settled_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.merged_ranges(kept, ["g"], "start", "end").select("start", "end")
 
 
-@query(values('"values", resolved', [("5/8,7", "5,7"), ("204,205/208,206", "204,205,206"), ("1,2/3,2/9", "1,2,9")]))
+@case(values('"values", resolved', [("5/8,7", "5,7"), ("204,205/208,206", "204,205,206"), ("1,2/3,2/9", "1,2,9")]))
 def resolved_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number with two readings takes the one that follows the number before most closely."""
     rows = [("5/8,7", [[5, 8], [7]]), ("204,205/208,206", [[204], [205, 208], [206]]), ("1,2/3,2/9", [[1], [2, 3], [2, 9]])]
@@ -533,23 +533,23 @@ def resolved_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("values", F.array_join(windows.resolve_ambiguous(F.col("options")).cast("array<string>"), ",").alias("resolved"))
 
 
-@query(values("line_no, place", [(1, 0), (2, 1), (3, 3), (4, 2), (5, 4), (6, 5)]))
+@case(values("line_no, place", [(1, 0), (2, 1), (3, 3), (4, 2), (5, 4), (6, 5)]))
 def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full line, then two columns read left before right, then a full line."""
     rows = [(1, 1, 0.0, 0.0, 100.0, 10.0), (1, 2, 0.0, 12.0, 45.0, 22.0), (1, 3, 55.0, 12.0, 100.0, 22.0), (1, 4, 0.0, 24.0, 45.0, 34.0), (1, 5, 55.0, 24.0, 100.0, 34.0), (1, 6, 0.0, 36.0, 100.0, 46.0)]
     return layout.reading_order(_cases(spark, "page int, line_no int, x0 double, y0 double, x1 double, y1 double", rows), _cases(spark, "page int, x double", [(1, 50.0)]), 10.0).select("line_no", "place")
 
 
-@query(values("id, band", [(1, 0), (2, 0), (3, 1), (4, 1), (5, 2)]))
+@case(values("id, band", [(1, 0), (2, 0), (3, 1), (4, 1), (5, 2)]))
 def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of rows by the distance from their first."""
-    return windows.row_groups(_cases(spark, "page int, id int, y double", [(1, 1, 0.0), (1, 2, 3.0), (1, 3, 5.0), (1, 4, 8.5), (1, 5, 9.5)]), "page", "y", 4.0).select("id", "band")
+    return chains.row_groups(_cases(spark, "page int, id int, y double", [(1, 1, 0.0), (1, 2, 3.0), (1, 3, 5.0), (1, 4, 8.5), (1, 5, 9.5)]), "page", "y", 4.0).select("id", "band")
 
 
 _ROLES = [(1, "head"), (2, "heading"), (3, "text"), (4, "moves"), (5, "coord"), (6, "game_header"), (7, "blank"), (8, "text")]
 
 
-@query(values("line_no, role", _ROLES))
+@case(values("line_no, role", _ROLES))
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of lines by role."""
     texts = ["Running title", "Openings", "White has a good game here", "1.e4 e5 2.Nf3 Nc6", "a b c d", "Smith - Jones, London", " ", "and Black is well"]
@@ -558,7 +558,7 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.line_roles(_cases(spark, "page int, line_no int, y0 double, y1 double, text string, font string, size double", rows), roles, 8.0, 500.0).select("line_no", "role")
 
 
-@query(values("line_no, original, main_text, note_text", [(1, "1.e4 wins a pawn", "1.e4            ", "¶    wins a pawn"), (2, "e5 2.Nf3", "e5 2.Nf3", "¶       ")]))
+@case(values("line_no, original, main_text, note_text", [(1, "1.e4 wins a pawn", "1.e4            ", "¶    wins a pawn"), (2, "e5 2.Nf3", "e5 2.Nf3", "¶       ")]))
 def aligned_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three texts of one length: words, those in the font of moves, and notes with a break in their place."""
     words = _cases(spark, "line_no int, word_no int, text string, font string", [(1, 0, "1.e4", "M"), (1, 1, "wins", "B"), (1, 2, "a", "B"), (1, 3, "pawn", "B"), (2, 0, "e5", "M"), (2, 1, "2.Nf3", "M")])
@@ -566,7 +566,7 @@ def aligned_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.buffers(layout.word_classes(words, roles), ["line_no"])
 
 
-@query(values('"at", label, diagram', [(100, "1", "11"), (110, "2", "12"), (120, "9", "15"), (130, "1", "21"), (140, "2", "12"), (150, "7", None)]))
+@case(values('"at", label, diagram', [(100, "1", "11"), (110, "2", "12"), (120, "9", "15"), (130, "1", "21"), (140, "2", "12"), (150, "7", None)]))
 def solution_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solutions by label after the last one taken; by a label that is the book's only one; by place among a section's unlabelled diagrams where numbers start again."""
     shown = [(1, 1, 10, "1", True, 1), (1, 2, 11, "1", False, 1), (1, 3, 12, "2", False, 1), (1, 4, 15, "9", False, 1), (1, 50, 21, None, False, 2), (1, 51, 22, None, False, 2)]
@@ -583,7 +583,7 @@ _TOKENS = [
 ]
 
 
-@query(values("text, tokens", _TOKENS))
+@case(values("text, tokens", _TOKENS))
 def token_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _cases(spark, "text string", [(x,) for x, _ in _TOKENS])
     return reading.tokens(d.withColumn("name", F.col("text")), "name", "text").withColumnRenamed("name", "text").groupBy("text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "kind", "raw"))), lambda t: F.concat(t["kind"], F.lit(" "), t["raw"])), "|").alias("tokens"))
@@ -596,7 +596,7 @@ _RUNS = [
 ]
 
 
-@query(values("text, runs", _RUNS))
+@case(values("text, runs", _RUNS))
 def run_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs under consecutive numbers, in brackets, over a misread number (11 for 17), and apart."""
     found = reading.runs(_cases(spark, "name string, text string", [(x, x) for x, _ in _RUNS]), "name", "text").withColumnRenamed("name", "text")
@@ -604,7 +604,7 @@ def run_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("text", "run", shown.alias("shown")).groupBy("text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "shown"))), lambda x: x["shown"]), "|").alias("runs"))
 
 
-@query(values("name, dotless, dotted, reads_dotless", [("plain", 3, 0, True), ("dotted", 0, 2, False), ("prose", 0, 0, False)]))
+@case(values("name, dotless, dotted, reads_dotless", [("plain", 3, 0, True), ("dotted", 0, 2, False), ("prose", 0, 0, False)]))
 def numbering_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("plain", "1 e4 c5 2 Nf3 d6 and 3 d4 cxd4 4 Nxd4 or 5 Nc3 a6\n6 Be2"), ("dotted", "1.e4 c5 2.Nf3 d6, then 3.d4 cxd4 4.Nxd4"), ("prose", "in 3 days 4 men came")]
     return reading.numbering(_cases(spark, "name string, text string", rows), ["name"], "text")
@@ -620,14 +620,14 @@ _DECODE = [
 ]
 
 
-@query(values("name, san, status", [(n, s, t) for n, _, s, t in _DECODE]))
+@case(values("name, san, status", [(n, s, t) for n, _, s, t in _DECODE]))
 def decode_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _cases(spark, "name string, start string, moves array<string>", [(n, board.START, m.split()) for n, m, _, _ in _DECODE])
     out = reading.decode(d, "start", "moves")
     return out.select("name", F.array_join(F.transform("decoded", lambda x: F.coalesce(x["san"], F.lit("-"))), " ").alias("san"), F.array_join(F.transform("decoded", lambda x: x["status"]), " ").alias("status"))
 
 
-@query(values("fen, depth, nodes", [(board.START, 1, 20), (board.START, 2, 400), (board.START, 3, 8902), ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", 2, 2039), ("8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", 3, 2812), ("rnbq1k1r/pp1Pbppp/2p5/8/2B5/8/PPP1NnPP/RNBQK2R w KQ - 1 8", 2, 1486)]))
+@case(values("fen, depth, nodes", [(board.START, 1, 20), (board.START, 2, 400), (board.START, 3, 8902), ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", 2, 2039), ("8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", 3, 2812), ("rnbq1k1r/pp1Pbppp/2p5/8/2B5/8/PPP1NnPP/RNBQK2R w KQ - 1 8", 2, 1486)]))
 def legal_move_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known numbers of positions after so many plies."""
     rows = [(board.START, 1), (board.START, 2), (board.START, 3), ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", 2), ("8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", 3), ("rnbq1k1r/pp1Pbppp/2p5/8/2B5/8/PPP1NnPP/RNBQK2R w KQ - 1 8", 2)]
@@ -645,7 +645,7 @@ _TREES = [
 ]
 
 
-@query(values("name, main, variations, waiting", [(n, m, v, w) for n, _, m, v, w in _TREES]))
+@case(values("name, main, variations, waiting", [(n, m, v, w) for n, _, m, v, w in _TREES]))
 def assembly_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts assembled into lines: main moves, gaps, variations in brackets, threats after a passed move, moves without numbers, a game that goes on after another, and what waits."""
     out = reading.assembled(_cases(spark, "name string, text string", [(n, t) for n, t, *_ in _TREES]), "name", "text")
@@ -657,14 +657,14 @@ def assembly_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("name").agg(texts("m").alias("main"), texts("v").alias("variations"), F.sum("w").alias("waiting"))
 
 
-@query(values("chapter, line, joins, moves", [(1, 0, None, "0 e4 ok,1 e5 ok,2 Nf3 ok,3 Nc6 ok"), (2, 0, 0, "4 Bb5 ok,5 a6 ok"), (3, 0, None, "0 d4 ok,1 d5 ok")]))
+@case(values("chapter, line, joins, moves", [(1, 0, None, "0 e4 ok,1 e5 ok,2 Nf3 ok,3 Nc6 ok"), (2, 0, 0, "4 Bb5 ok,5 a6 ok"), (3, 0, None, "0 d4 ok,1 d5 ok")]))
 def chapters_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line that goes on at the top of the next chapter."""
     rows = [(1, 1, "1.e4 e5 2.Nf3 Nc6"), (1, 2, "3.Bb5 a6 *"), (1, 3, "1.d4 d5 *")]
     return reading.assembled_chapters(_cases(spark, "book int, chapter int, text string", rows), "book", "chapter", "text").select("chapter", "line", "joins", F.array_join("moves", ",").alias("moves"))
 
 
-@query(values("name, filled", [("decided", "e4"), ("open", None)]))
+@case(values("name, filled", [("decided", "e4"), ("open", None)]))
 def filled_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A missing move that only one choice makes the printed ones after it read by, and one that many do."""
     italian = "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2"
@@ -672,14 +672,14 @@ def filled_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.filled(_cases(spark, "name string, fen string, after array<string>, missing int", rows), "fen", "after", "missing").select("name", F.array_join("filled", " ").alias("filled"))
 
 
-@query(values("plies, path", [(1, None), (2, "e4 e5"), (3, "e4")]))
+@case(values("plies, path", [(1, None), (2, "e4 e5"), (3, "e4")]))
 def paths_to_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR", board.START), (2, "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR", board.START), (3, "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR", board.START)]
     d = _cases(spark, "plies int, placement string, start string", rows)
     return reading.paths(d.withColumn("goal", F.concat("placement", F.lit(" w - - 0 1"))), "start", "goal", "plies").select("plies", F.array_join("path", " ").alias("path"))
 
 
-@query(values("name, read, changed", [("as named", "Nf3 Nc6", False), ("other side", "Nc6 Bb5", True)]))
+@case(values("name, read, changed", [("as named", "Nf3 Nc6", False), ("other side", "Nc6 Bb5", True)]))
 def regions_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region's moves read with the side that the position names, or with the other where that reads better."""
     fen = "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2"
@@ -687,7 +687,7 @@ def regions_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.regions(_cases(spark, "name string, fen string, moves array<string>", rows), "fen", "moves").select("name", F.array_join("read", " ").alias("read"), "changed")
 
 
-@query(
+@case(
     values(
         "name, steps, gained, stop",
         [
@@ -715,7 +715,7 @@ def read_on_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.read_on(d, "fen", "ply", "found", "declined").select("name", F.array_join("steps", ";").alias("steps"), "gained", "stop")
 
 
-@query(values("run, chosen, read, failed", [(1, 1, 3, 0), (2, 0, 2, 0)]))
+@case(values("run, chosen, read, failed", [(1, 1, 3, 0), (2, 0, 2, 0)]))
 def chosen_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that fails from the initial position reads from the second candidate; one that reads stays with the default."""
     open_game = "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2"
@@ -724,7 +724,7 @@ def chosen_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run", F.col("place").alias("chosen"), "read", "failed")
 
 
-@query(values("line, from_line, \"at\", gap", [(1, 3, 60, 0), (2, 4, 90, 2)]))
+@case(values("line, from_line, \"at\", gap", [(1, 3, 60, 0), (2, 4, 90, 2)]))
 def next_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What follows a branch's end: the next printed run of another line, no more than four plies and two pages on."""
     ends = _cases(spark, "book int, line int, offset int, page int, ply int", [(1, 1, 50, 3, 10), (1, 2, 70, 4, 20)])
@@ -732,13 +732,13 @@ def next_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.suggestions(ends, printed).select("line", "from_line", "at", "gap")
 
 
-@query(values("place, depth, shown", [(0, 0, "1. e4 ok"), (1, 0, "1... e5 ok"), (2, 1, "1... c5 ok"), (3, 1, "2. Nf3 ok"), (4, 0, "2. Nc3 ok")]))
+@case(values("place, depth, shown", [(0, 0, "1. e4 ok"), (1, 0, "1... e5 ok"), (2, 1, "1... c5 ok"), (3, 1, "2. Nf3 ok"), (4, 0, "2. Nc3 ok")]))
 def line_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line's moves with a variation after the move it replaces."""
     return reading.listings(_cases(spark, "id int, text string", [(1, "1.e4 e5 (1...c5 2.Nf3) 2.Nc3 *")]), "id", "text").select("place", "depth", "shown")
 
 
-@query(values("event, white, moves", [("A", "x", "1.e4 e5 1-0"), ("B", "y", "1.d4 *")]))
+@case(values("event, white, moves", [("A", "x", "1.e4 e5 1-0"), ("B", "y", "1.d4 *")]))
 def game_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Games of a file: tags and moves."""
     path = _folder(spark, "games")
@@ -747,7 +747,7 @@ def game_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.games(spark, path).select(F.col("tags")["Event"].alias("event"), F.col("tags")["White"].alias("white"), F.trim(F.regexp_replace("moves", r"\s+", " ")).alias("moves"))
 
 
-@query(values("title, chapter, line, san", [("T", "One", "l1", "e4"), ("T", "One", "l1", "e5")]))
+@case(values("title, chapter, line, san", [("T", "One", "l1", "e4"), ("T", "One", "l1", "e5")]))
 def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored book read with a fixed schema."""
     path = _folder(spark, "books")
@@ -757,7 +757,7 @@ def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("title", F.explode("nodes").alias("n"), F.col("lines")[0]["chapter"].alias("chapter")).select("title", "chapter", F.col("n.line").alias("line"), F.col("n.san").alias("san"))
 
 
-@query(values("chapter, event, result", [("c1", "?", "1-0"), ("c2", "?", "*")]))
+@case(values("chapter, event, result", [("c1", "?", "1-0"), ("c2", "?", "*")]))
 def games_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assembled games written as files by chapter and read back; a line that only waits is left out."""
     path = _folder(spark, "pgn")
@@ -767,7 +767,7 @@ def games_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.regexp_extract("file", "chapter=(c[0-9])", 1).alias("chapter"), F.col("tags")["Event"].alias("event"), F.col("tags")["Result"].alias("result"))
 
 
-@query(values("page, kind, labels, refs", [(1, "plate", "12,13", ""), (2, "text", "", "12,3.4"), (3, "empty", "", "")]))
+@case(values("page, kind, labels, refs", [(1, "plate", "12,13", ""), (2, "text", "", "12,3.4"), (3, "empty", "", "")]))
 def page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pages hold: labels that stand alone and references of the text."""
     path = _folder(spark, "lines")

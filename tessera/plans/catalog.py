@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cases, reading, relational  # noqa: F401
-from .registry import ORACLES, QUERIES
+from . import cases, native, reading, relational  # noqa: F401
+from .registry import CASES, ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["CASES", "ORACLES", "QUERIES"]

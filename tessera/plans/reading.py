@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import notation_values, scalars
-from ..operators import clusters, corrections, reading, windows
+from ..operators import chains, clusters, corrections, reading, windows
 from ..operators.materialise import cut, shared_folder
 from ..sources.tables import game_parts, pasted_json, table
 from ..streaming import streams
@@ -96,7 +96,7 @@ SELECT user_id, event_id, main FROM walk
 def main_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main numbered series of each user's events, walked by day and number."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_date(F.col("ts").cast("date")).alias("page"), (F.floor("value") % 100).cast("string").alias("label"))
-    return windows.main_series(e, "user_id", ["page"], "label", ["event_id"]).select("user_id", "event_id", "main")
+    return chains.main_series(e, "user_id", ["page"], "label", ["event_id"]).select("user_id", "event_id", "main")
 
 
 _FIXED = "SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'fixed' ELSE lang END AS lang, source, n_chars FROM documents"

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Stated cases of operators: results written by hand, for the tests alone.
+CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
 
 def query(sql: str | None = None) -> Callable:
@@ -20,3 +22,13 @@ def query(sql: str | None = None) -> Callable:
         return f
 
     return add
+
+
+def case(sql: str) -> Callable:
+    """Keep a function on stated rows for the tests, with the SQL of its stated result; it reads no table, so it is not registered."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return add

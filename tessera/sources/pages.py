@@ -21,7 +21,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def inspected(rows: DataFrame) -> DataFrame:
     """For each page: kind (empty, plate, text), lines, characters, labels that stand alone and diagrams that the text refers to, both in order. One aggregate, so pages are independent of each other."""
     label = F.when(F.trim("text").rlike(LABEL), F.struct("line_no", F.trim("text").alias("label")))
-    refs = F.transform(F.regexp_extract_all("text", F.lit(REFERENCE), 1), lambda x: F.struct(F.col("line_no"), x.alias("ref")))
+    refs = F.transform(F.regexp_extract_all("text", F.lit(REFERENCE), 1), lambda x, k: F.struct(F.col("line_no"), k.alias("k"), x.alias("ref")))
     each = rows.select("page", F.length(F.trim("text")).alias("chars"), label.alias("label"), refs.alias("refs"))
     agg = each.groupBy("page").agg(
         F.count("*").alias("lines"), F.sum("chars").alias("chars"),

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tessera.functions import scalars
-from tessera.operators import aggregates, clusters, corrections, joins, quality, records, windows
+from tessera.operators import aggregates, chains, clusters, corrections, joins, quality, records, windows
 
 
 def rows(df):
@@ -57,7 +57,7 @@ def test_main_series_is_walked_by_page_and_number(spark):
     """A series starts at 1, goes on by at most twelve, and chapter-numbered labels start the next chapter near 1."""
     labels = [(1, 1, "5"), (1, 1, "1"), (1, 2, "2"), (1, 2, "40"), (1, 3, "14a"), (1, 3, "15"), (1, 3, "3"), (2, 1, "1.1"), (2, 1, "1.9"), (2, 2, "2.3"), (2, 2, "2.1"), (2, 3, "2.4"), (2, 3, "7"), (3, 1, "2"), (3, 1, "x")]
     df = spark.createDataFrame([(g, p, x, k) for k, (g, p, x) in enumerate(labels)], "book int, page int, label string, k int")
-    main = {(r.book, r.label) for r in windows.main_series(df, "book", ["page"], "label", ["k"]).collect() if r.main}
+    main = {(r.book, r.label) for r in chains.main_series(df, "book", ["page"], "label", ["k"]).collect() if r.main}
     assert main == {(1, "1"), (1, "5"), (1, "14a"), (1, "15"), (2, "1.1"), (2, "1.9"), (2, "2.1"), (2, "2.3"), (2, "2.4")}
 
 

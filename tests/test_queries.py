@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from tessera.plans.catalog import ORACLES, QUERIES
+from tessera.plans.catalog import CASES, ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,8 +25,16 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF)
-    rel = duck.execute(ORACLES[name])
+    compare(QUERIES[name](spark, SF), duck.execute(ORACLES[name]))
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_stated_cases(spark, duck, name):
+    make, sql = CASES[name]
+    compare(make(spark, SF), duck.execute(sql))
+
+
+def compare(df, rel):
     columns = [c[0] for c in rel.description]
     assert sorted(df.columns) == sorted(columns)
     order = sorted(columns)
