@@ -53,6 +53,11 @@ def assign(df: DataFrame, left: str, right: str, support: str) -> DataFrame:
             return out
 
 
+def learnt_code(seen: DataFrame, symbol: str, value: str, least_share: float, least: int) -> DataFrame:
+    """symbol, value, n: what each symbol stands for, from rows of a symbol and what it was read as. Values with too few uses or too small a share of their symbol's go; of the rest each symbol and each value is used once, the best supported pairs first."""
+    return assign(shares(seen, [symbol], value, least_share, least).select(symbol, value, "n"), symbol, value, "n")
+
+
 def posterior(counts: DataFrame, by: str, value: str, n: str, values: int, kappa: float = 2.0, base: Column | None = None) -> DataFrame:
     """Probability of each value given its key: (c + kappa * base) / (n + kappa), with a uniform base unless given."""
     base = F.lit(1.0 / values) if base is None else base

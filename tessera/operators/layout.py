@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,33 +82,48 @@ def chapters(lines: DataFrame, last_page: int, book: str | None = None) -> DataF
 
 
 def reading_order(lines: DataFrame, gutter: DataFrame, body: float) -> DataFrame:
-    """Places of lines in reading order: lines that cross a page's gutter cut it into bands, each band goes left then right, rows are within 0.4 of the body size.
-
-    gutter: page, x. Rows compare with their first line, so a page is read as one group.
-    """
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, near = pdf["_x"].iloc[0], 0.3 * body
-        pdf = pdf.sort_values(["y0", "x0", "line_no"], kind="stable").reset_index(drop=True)
-        split = pd.notna(x)
-        full = [bool(split) and a < x - near and b > x + near for a, b in zip(pdf.x0, pdf.x1, strict=True)]
-        band = (pd.Series(full).astype(int).cumsum() * 2 - pd.Series(full).astype(int)).tolist()
-        side = [0 if not split or f else int((a + b) / 2 > x) for a, b, f in zip(pdf.x0, pdf.x1, full, strict=True)]
-        row, first, rows = {}, {}, []
-        for b, s, y in zip(band, side, pdf.y1, strict=True):
-            k = (b, s)
-            if k not in first or y - first[k] > 0.4 * body:
-                row[k], first[k] = row.get(k, -1) + 1, y
-            rows.append(row[k])
-        keys = sorted(range(len(pdf)), key=lambda i: (band[i], side[i], rows[i], pdf.x0[i]))
-        place = [0] * len(pdf)
-        for n, i in enumerate(keys):
-            place[i] = n
-        return pdf.drop(columns="_x").assign(column=[0 if f or not split else s + 1 for f, s in zip(full, side, strict=True)], place=place)
+    """All columns, column (0 across, 1 left, 2 right) and place (from 0) of lines in reading order: lines that cross a page's gutter cut it into bands, each band goes left then right, and lines of a side whose
+    lower edges lie within 0.4 of the body size of the first one's are one row, read from the left.
 
+    gutter: page, x; a page without one has one column. Bands are running counts over a page, rows are greedy bands by successor pointers, so nothing is walked. Null edges come first in their band; an empty table gives an empty result."""
+    from .chains import row_groups
+
+    x, near = F.col("_x"), 0.3 * body
     joined = lines.join(gutter.select(F.col("page").alias("_p"), F.col("x").alias("_x")), F.col("page") == F.col("_p"), "left").drop("_p")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema.fields)
-    return joined.groupBy("page").applyInPandas(page, f"{schema}, column int, place int")
+    full = F.coalesce((F.col("x0") < x - near) & (F.col("x1") > x + near), F.lit(False))
+    down = Window.partitionBy("page").orderBy("y0", "x0", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    side = F.when(full | x.isNull(), 0).otherwise(((F.col("x0") + F.col("x1")) / 2 > x).cast("int"))
+    own = joined.withColumns({"_full": full, "_band": 2 * F.sum(full.cast("int")).over(down) - full.cast("int"), "_side": side})
+    own = own.withColumn("_key", F.struct("page", "_band", "_side"))
+    banded = row_groups(own, "_key", "y1", 0.4 * body).withColumnRenamed("band", "_row")
+    order = Window.partitionBy("page").orderBy("_band", "_side", "_row", "x0", "y0", "line_no")
+    column = F.when(F.col("_full") | x.isNull(), 0).otherwise(F.col("_side") + 1).cast("int")
+    return banded.select(*lines.columns, column.alias("column"), (F.row_number().over(order) - 1).alias("place"))
+
+
+def cut_order(boxes: DataFrame, page: str, id: str, across: float = 0.0, down: float = 0.0, rounds: int = 40) -> DataFrame:
+    """All columns, region (array of cuts) and place (from 1) of boxes in reading order by recursive cuts along white space: a page is cut where no box covers a height (by more than `down`), each part where none covers a
+    breadth (by more than `across`), and so on in turn, until neither cuts any part. boxes: page, id, x0, y0, x1, y1.
+
+    A cut is an island of intervals: boxes sorted by their near edge, where an edge lies beyond all far edges before it. All parts of all pages are cut at once, so the number of rounds is twice the depth of the deepest page and not its
+    number of parts. Boxes that no white space parts are read by height, then from the left. Boxes with a null edge are dropped; edges in the wrong order are taken as they are; equal boxes go by id."""
+    from .materialise import cut
+
+    now = cut(boxes.where("x0 is not null and x1 is not null and y0 is not null and y1 is not null").withColumn("region", F.array().cast("array<long>")))
+    parts, still = now.select(page).distinct().count(), 0
+    for r in range(rounds):
+        low, high, gap = ("y0", "y1", down) if r % 2 == 0 else ("x0", "x1", across)
+        inside = Window.partitionBy(page, "region").orderBy(low, id)
+        top = F.max(high).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        told = now.withColumn("_new", F.coalesce((F.col(low) > top + gap).cast("long"), F.lit(0)))
+        now = cut(told.withColumn("region", F.concat("region", F.array(F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))))).drop("_new"))
+        have = now.select(page, "region").distinct().count()
+        still, parts = (still + 1 if have == parts else 0), have
+        if still == 2:
+            break
+    else:
+        raise RuntimeError("a page is cut deeper than the rounds allow")
+    return now.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy("region", "y0", "x0", id)))
 
 
 def labelled(pictures: DataFrame, labels: DataFrame, gap: float = 90.0, side: float = 25.0, lap: float = 2.0) -> DataFrame:

@@ -69,6 +69,16 @@ def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     return parts.withColumn("_l", local).join(offsets, F.col("_part") == F.col("_q")).select(*df.columns, (F.col("_b") + F.col("_l")).alias(name))
 
 
+def placed_within(df: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """All columns and each row's place (from 1) in its group: the place in the whole table by group and order, less that of the group's first row. No group is one task."""
+    found = placed(df, [*by, *order], "_place")
+    firsts = found.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min("_place").alias("_first"))
+    match = F.lit(True)
+    for c in by:
+        match = match & found[c].eqNullSafe(firsts[f"_by_{c}"])
+    return found.join(firsts, match).select(*df.columns, (F.col("_place") - F.col("_first") + 1).alias(name))
+
+
 def shortest(edges: DataFrame, pairs: DataFrame, most: int) -> tuple[DataFrame, int]:
     """source, target, steps and way (an array of nodes) for each pair (source, target), and the rows of the largest frontier. edges: a, b, walked both ways.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import board, scalars
-from ..operators import aggregates, chains, clusters, corrections, inference, layout, quality, reading, records, windows
+from ..operators import aggregates, chains, clusters, corrections, inference, layout, paths, quality, reading, records, windows
 from ..operators.materialise import shared_folder
 from ..sources import pages, sinks, tables
 from ..sources.tables import table
@@ -234,10 +234,8 @@ def optional_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, n_chars, doc_id) AS place FROM documents")
 def sorted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in order of (chapter, offset), by place."""
-    from pyspark.sql import Window
-
-    return table(spark, sf_dir, "documents").select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("source", "n_chars", "doc_id")).alias("place"))
+    """Rows in order of (chapter, offset), by place: one sort of the whole table."""
+    return paths.placed_within(table(spark, sf_dir, "documents").select("lang", "source", "n_chars", "doc_id"), ["lang"], ["source", "n_chars", "doc_id"]).select("lang", "doc_id", "place")
 
 
 @query("""

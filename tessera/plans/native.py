@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import notation, scalars
-from ..operators import chains, corrections, lattice, layout, paths, reading, runs, windows
+from ..operators import aggregates, chains, corrections, lattice, layout, paths, reading, runs, scripts, windows
 from ..operators.materialise import shared_folder
-from ..sources import pages, tables
+from ..sources import gamefiles, pages, tables
 from ..sources.tables import table
+from ..streaming import steps, streams
 from .registry import query
 
 # ---- frontiers, pointers and cells
@@ -348,6 +349,102 @@ def settled_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.settled(fixes, holds, beside=True).select("key", "auto")
 
 
+# boxes of a page: one across, then one to three columns of rows, the columns a little lower each, and one across below
+_BOXES = """SELECT page_id AS page, j AS id, CASE WHEN j IN (0, n) THEN 0 ELSE 100 * ((j - 1) % c) END AS x0, CASE WHEN j IN (0, n) THEN 100 * c - 10 ELSE 100 * ((j - 1) % c) + 90 END AS x1,
+  CASE j WHEN 0 THEN 0 WHEN n THEN 500 ELSE 20 + 12 * ((j - 1) // c) + 4 * ((j - 1) % c) END AS y0, CASE j WHEN 0 THEN 10 WHEN n THEN 510 ELSE 30 + 12 * ((j - 1) // c) + 4 * ((j - 1) % c) END AS y1
+  FROM (SELECT page_id, 1 + page_id % 3 AS c, unnest(range(0, 12 + page_id % 9)) AS j, 11 + page_id % 9 AS n FROM pages)"""
+
+
+def _cuts(rounds: int) -> str:
+    out = f"r0 AS (SELECT *, []::BIGINT[] AS region FROM ({_BOXES}))"
+    for r in range(rounds):
+        low, high, gap = ("y0", "y1", 1) if r % 2 == 0 else ("x0", "x1", 5)
+        out += f""",
+t{r} AS (SELECT *, CASE WHEN {low} > max({high}) OVER (PARTITION BY page, region ORDER BY {low}, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 1 ELSE 0 END AS opens FROM r{r}),
+r{r + 1} AS (SELECT * EXCLUDE (region, opens), list_append(region, CAST(sum(opens) OVER (PARTITION BY page, region ORDER BY {low}, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)) AS region FROM t{r})"""
+    return out
+
+
+@query(f"WITH {_cuts(6)} SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY region, y0, x0, id) AS place FROM r6")
+def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading order of boxes made for each page, in one to three columns between two that go across, by recursive cuts."""
+    page, j = F.col("page_id"), F.col("id")
+    c, n = 1 + page % 3, 11 + page % 9
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("id"))
+    wide, col, row = (j == 0) | (j == n), (j - 1) % c, F.floor((j - 1) / c)
+    y0 = F.when(j == 0, 0).when(j == n, 500).otherwise(20 + 12 * row + 4 * col)
+    boxes = rows.select(page.alias("page"), "id", F.when(wide, 0).otherwise(100 * col).alias("x0"), F.when(wide, 100 * c - 10).otherwise(100 * col + 90).alias("x1"), y0.alias("y0"), (y0 + 10).alias("y1"))
+    return layout.cut_order(boxes, "page", "id", across=5, down=1).select("page", "id", F.col("place").cast("long").alias("place"))
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT o_orderpriority AS a, c_mktsegment AS b, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+p AS (SELECT a, b, n FROM (SELECT *, sum(n) OVER (PARTITION BY a) AS total FROM c) WHERE n >= 5 AND n >= 0.19 * total), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, a, b) AS k FROM p),
+g AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS used_a, []::VARCHAR[] AS used_b, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::BIGINT AS n
+  UNION ALL SELECT o.k, CASE WHEN list_contains(used_a, o.a) OR list_contains(used_b, o.b) THEN used_a ELSE list_append(used_a, o.a) END, CASE WHEN list_contains(used_a, o.a) OR list_contains(used_b, o.b) THEN used_b ELSE list_append(used_b, o.b) END,
+    CASE WHEN list_contains(used_a, o.a) OR list_contains(used_b, o.b) THEN NULL ELSE o.a END, o.b, o.n FROM g JOIN o ON o.k = g.k + 1)
+SELECT a, b, n FROM g WHERE a IS NOT NULL
+""")
+def learnt_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each symbol stands for: values with enough uses and a large enough share of their symbol, then one to one by falling support."""
+    o, c = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority"), table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    seen = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderpriority").alias("a"), F.col("c_mktsegment").alias("b"))
+    return aggregates.learnt_code(seen, "a", "b", 0.19, 5)
+
+
+# ---- edit scripts and steps
+
+_LINES = "(SELECT source AS book, CAST(doc_id AS VARCHAR) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))"
+
+
+@query(f"""
+WITH b AS (SELECT *, CAST(line AS BIGINT) % 6 AS c, max(pos) OVER (PARTITION BY line) AS n FROM {_LINES}),
+out AS (
+  SELECT book, line, line AS of, pos, NULL AS "row", pos AS o FROM b WHERE book NOT IN ('src1', 'src3') OR c = 5 OR (c = 0 AND pos < 3) OR (c = 1 AND NOT pos BETWEEN 2 AND 3) OR c IN (2, 3)
+  UNION ALL SELECT book, line || 'n', line, pos, NULL, pos FROM b WHERE book IN ('src1', 'src3') AND c = 0 AND pos >= 3
+  UNION ALL SELECT book, line, line, pos, NULL, CASE WHEN pos = 1 THEN n + 1 ELSE pos END FROM b WHERE book IN ('src1', 'src3') AND c = 4
+  UNION ALL SELECT DISTINCT book, line, NULL, NULL::BIGINT, 'new ' || line, 1.5 FROM b WHERE book IN ('src1', 'src3') AND c = 3 AND n >= 2)
+SELECT book, line, row_number() OVER (PARTITION BY book, line ORDER BY o) AS place, of, pos, "row" FROM out
+""")
+def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of two sources' documents under a script: some are split, some lose rows, some are split and joined again, some have a row added, some have their first row moved twice; the last entry counts. Other sources are as they were."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").cast("string").alias("line"), F.size(F.split("text", "\n")).alias("n"), "doc_id")
+    base = d.select("book", "line", F.explode(F.sequence(F.lit(1), "n")).alias("pos"))
+    none, c, own = F.lit(None), F.col("doc_id") % 6, F.col("line")
+
+    def entry(k: int, op: str, **given) -> F.Column:
+        kinds = {"at": "long", "until": "long", "before": "long"}
+        return F.struct((F.col("doc_id") * 4 + k).alias("seq"), F.lit(op).alias("op"), *[given.get(n, none).cast(kinds.get(n, "string")).alias(n) for n in scripts.ENTRY[1:]])
+
+    new = F.concat("line", F.lit("n"))
+    told = {
+        0: [entry(0, "split", line=own, of=own, at=F.lit(3), to=new)],
+        1: [entry(0, "remove", of=own, at=F.lit(2), until=F.lit(4))],
+        2: [entry(0, "split", line=own, of=own, at=F.lit(2), to=new), entry(1, "join", line=new, to=own)],
+        3: [entry(0, "add", line=own, before_of=own, before=F.lit(2), row=F.concat(F.lit("new "), own))],
+        4: [entry(0, "move", of=own, at=F.lit(1), until=F.lit(2), line=own, before_of=own, before=F.lit(3)), entry(1, "move", of=own, at=F.lit(1), until=F.lit(2), line=own)],
+    }
+    script = None
+    for k, entries in told.items():
+        part = d.where(F.col("book").isin("src1", "src3") & (c == k) & ((F.lit(k) != 3) | (F.col("n") >= 2)) & ((F.lit(k) != 0) | (F.col("n") >= 3)) & ((F.lit(k) != 2) | (F.col("n") >= 2)))
+        part = part.select("book", F.explode(F.array(*entries)).alias("e")).select("book", "e.*")
+        script = part if script is None else script.unionByName(part)
+    return scripts.derived(base, script)
+
+
+@query("SELECT event_id % 4 AS step, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users, max(event_id) AS last FROM events GROUP BY 1")
+def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch of a stream over four files of events told while it ran."""
+    path = f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    for k in range(4):
+        events.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    measures = {"n": F.count("*"), "users": F.sum("user_id"), "last": F.max("event_id")}
+    start = lambda s: s.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/progress").format("parquet").option("path", f"{path}/out").start()
+    told = [(e["step"], e["n"], e["users"], e["last"]) for e in steps.stepped(streams.files(spark, f"{path}/in"), "step", measures, start)]
+    return spark.createDataFrame(told, "step long, n long, users long, last long")
+
+
 # ---- files
 
 @query("SELECT user_id, event_id % 3 AS game, 'e' || (event_id % 8 + 1) AS moves FROM events")
@@ -357,7 +454,7 @@ def game_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     text = F.concat(F.lit('[Event "'), (k % 3).cast("string"), F.lit('"]\n[White "'), F.col("user_id").cast("string"), F.lit('"]\n\n'), F.concat(F.lit("e"), (k % 8 + 1).cast("string")), F.lit("\n"))
     table(spark, sf_dir, "events").select(text.alias("value")).coalesce(2).write.text(path)
-    g = tables.games(spark, path)
+    g = gamefiles.read(spark, path, "tags map<string,string>, moves string", split=64 << 10)
     return g.select(F.col("tags")["White"].cast("long").alias("user_id"), F.col("tags")["Event"].cast("long").alias("game"), F.trim(F.regexp_replace("moves", r"\s+", " ")).alias("moves"))
 
 
