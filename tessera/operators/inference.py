@@ -1,76 +1,177 @@
-"""Names of groups of drawings: votes smoothed over like groups, and labels that boards constrain."""
+"""Names of groups of drawings: votes smoothed over like groups, labels that boards constrain, outlines as packed bits."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def smoothed_votes(groups: DataFrame, by: str, width: float, odds: float = 4.0, choices: str = "KQRBN") -> DataFrame:
-    """groups: by, group, centre (vector), votes (map name to count). Each group takes part in the votes of like groups by a kernel of the distance of centres; the name with the best odds wins.
-
-    All groups of one book meet in a task: their number is that of its symbols, not of its drawings.
-    """
-
-    def book(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("group").reset_index(drop=True)
-        x = np.array(pdf["centre"].tolist(), float)
-        counts = np.array([[dict(v).get(c, 0) for c in choices] for v in pdf["votes"]], float)
-        near = np.exp(-((x[:, None, :] - x[None, :, :]) ** 2).sum(2) / (2 * width**2))
-        smooth = near @ counts
-        best = smooth.argmax(1)
-        share = 1 / (odds ** (smooth - smooth.max(1, keepdims=True))).sum(1)
-        return pd.DataFrame({by: pdf[by], "group": pdf["group"], "name": [choices[b] if s.sum() else None for b, s in zip(best, smooth, strict=True)], "confidence": share})
-
-    kinds = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
-    return groups.groupBy(by).applyInPandas(book, f"{by} {kinds[by]}, group {kinds['group']}, name string, confidence double")
+from .materialise import cut
+
+
+#: Targets that meet a stream of sources at once; coordinates that make a cell; weight of a neighbour from which it counts.
+TARGETS, CELL_COORDINATES, FAINT = 2048, 3, 1e-9
+
+
+def smoothed(groups: DataFrame, by: str, width: float, choices: str, faint: float = FAINT, targets: int = TARGETS) -> DataFrame:
+    """by, group and smooth (an array by choices): each group's votes and those of its book's groups near it, weighted by exp(-d^2 / (2 width^2)) of the distance d of centres. groups: by, group, centre (array), votes (map name to count).
+
+    Neighbours with a weight of less than `faint` are left out, so that a sum falls short by less than faint times all votes of the book. What counts lies within R = width sqrt(-2 ln faint), so in each of the first coordinates
+    within R: centres are hashed to cells of that size, and sources are sent to the cells around theirs. In a cell blocks of targets meet the stream of its sources; a task holds a block of targets and a batch of sources, however many a book
+    has. Null centres or votes are dropped; centres of a book have one length; an empty table gives an empty result."""
+    reach = width * float(np.sqrt(-2 * np.log(faint)))
+    spark, kinds = groups.sparkSession, {f.name: f.dataType.simpleString() for f in groups.schema.fields}
+    count = lambda c: F.coalesce(F.try_element_at("votes", F.lit(c)).cast("double"), F.lit(0.0))
+    x = F.col("centre").cast("array<double>")
+    own = F.transform(F.slice(x, 1, CELL_COORDINATES), lambda c: F.floor(c / F.lit(reach)))
+    rows = groups.where("centre is not null and votes is not null").select(F.col(by).alias("g"), F.col("group").alias("id"), x.alias("x"), F.array(*[count(c) for c in choices]).alias("n"), own.alias("cell"))
+    sizes = rows.groupBy("g", "cell").agg(F.ceil(F.count("*") / targets).cast("int").alias("blocks"))
+    part = lambda r, of: r.join(sizes.select(F.col("g").alias("_g"), F.col("cell").alias("_cell"), "blocks"), r["g"].eqNullSafe(F.col("_g")) & (r[of] == F.col("_cell")))
+    want = part(rows, "cell").select("g", "cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "id", "x", "n")
+    around = F.array(F.array().cast("array<bigint>"))
+    for k in range(CELL_COORDINATES):
+        here = F.get("cell", F.lit(k))
+        step = lambda near, here=here: F.flatten(F.transform(near, lambda c: F.transform(F.array(here - 1, here, here + 1), lambda v: F.concat(c, F.array(v)))))
+        around = F.when(F.size("cell") > k, step(around)).otherwise(around)
+    near = rows.select("g", F.explode(around).alias("cell"), "id", "x", "n")
+    seen = part(near, "cell").select("g", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "x", "n")
+    dealt = want.unionByName(seen).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g", "cell", "block").sortWithinPartitions("g", "cell", "block", "kind", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, sums, at, matrix = None, [], None, None, lambda col: np.array(col.to_pylist(), float)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column("g") for b in held]), pa.concat_arrays([b.column("id") for b in held]), pa.array(list(sums), pa.list_(pa.float64()))], names=["g", "id", "smooth"])
+
+        for batch in batches:
+            keys = list(zip(batch.column("g").to_pylist(), map(tuple, batch.column("cell").to_pylist()), batch.column("block").to_pylist(), batch.column("kind").to_pylist(), strict=True))
+            edges = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                if keys[a][:3] != key:
+                    if held:
+                        yield out()
+                    key, held, at = keys[a][:3], [], None
+                if keys[a][3] == 0:
+                    held.append(piece)
+                    continue
+                if at is None:
+                    at = np.concatenate([matrix(p.column("x")) for p in held])
+                    sums = np.zeros((len(at), len(choices)))
+                for k in range(0, piece.num_rows, 256):
+                    sx, sn = matrix(piece.column("x")[k : k + 256]), matrix(piece.column("n")[k : k + 256])
+                    far = np.stack([((at - v) ** 2).sum(1) for v in sx], 1)
+                    sums += np.where(far <= reach**2, np.exp(-far / (2 * width**2)), 0.0) @ sn
+        if held:
+            yield out()
+
+    found = dealt.mapInArrow(run, f"g {kinds[by]}, id {kinds['group']}, smooth array<double>")
+    return found.select(F.col("g").alias(by), F.col("id").alias("group"), "smooth")
+
+
+def smoothed_votes(groups: DataFrame, by: str, width: float, odds: float = 4.0, choices: str = "KQRBN", faint: float = FAINT) -> DataFrame:
+    """by, group, name, confidence: the name with the best odds after smoothing (the first of equals; null without any vote near), and its share of the odds, which are multiplied by `odds` with each vote."""
+    best = F.array_max("smooth")
+    weight = F.aggregate("smooth", F.lit(0.0), lambda s, v: s + F.pow(F.lit(float(odds)), v - best))
+    name = F.when(best > 0, F.substr(F.lit(choices), F.array_position("smooth", best).cast("int"), F.lit(1)))
+    return smoothed(groups, by, width, choices, faint).select(by, "group", name.alias("name"), (1 / weight).alias("confidence"))
 
 
 #: Penalties of a board with other than one king a side, with more pieces of a kind than at first, with more than eight pawns.
-KING, EXTRA, PAWNS, SWEEPS = 6.0, 2.0, 6.0, 8
+KING, EXTRA, PAWNS = 6.0, 2.0, 6.0
 _AT_FIRST = {"K": 1, "Q": 1, "R": 2, "B": 2, "N": 2, "P": 8}
 
 
-def constrained_names(drawings: DataFrame, by: str) -> DataFrame:
-    """drawings: by, board, group, costs (map name to cost). One name for each group, so that costs and what boards forbid are least: each group, the least sure first, is tried with every name, at most eight sweeps."""
-
-    def book(pdf: pd.DataFrame) -> pd.DataFrame:
-        unary = {g: dict(rows["costs"].iloc[0]) for g, rows in pdf.groupby("group")}
-        doubt = {g: np.diff(sorted([*u.values(), np.inf])[:2])[0] for g, u in unary.items()}
-        groups = sorted(unary, key=lambda g: (doubt[g], g))  # the least sure first
-        boards = [sorted(rows["group"].tolist()) for _, rows in pdf.groupby("board")]
-        of = {g: [b for b in boards if g in b] for g in groups}
-        name = {g: min(sorted(unary[g]), key=unary[g].__getitem__) for g in groups}
-
-        def penalty(board: list) -> float:
-            total, counts = 0.0, {}
-            for g in board:
-                counts[name[g]] = counts.get(name[g], 0) + 1
-            for kind, most in _AT_FIRST.items():
-                for side in (kind, kind.lower()):
-                    n = counts.get(side, 0)
-                    total += KING * abs(n - 1) if kind == "K" else (PAWNS if kind == "P" else EXTRA) * max(0, n - most)
-            return total
-
-        for _ in range(SWEEPS):
-            moved = False
-            for g in groups:
-                best, was = None, name[g]
-                for c in sorted(unary[g]):
-                    name[g] = c
-                    cost = unary[g][c] + sum(penalty(b) for b in of[g])
-                    if best is None or cost < best[0] - 1e-9:
-                        best = cost, c
-                name[g] = best[1]
-                moved |= name[g] != was
-            if not moved:
-                break
-        return pd.DataFrame({by: pdf[by].iloc[0], "group": groups, "name": [name[g] for g in groups]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in drawings.schema.fields}
-    return drawings.groupBy(by).applyInPandas(book, f"{by} {kinds[by]}, group {kinds['group']}, name string")
+def _penalty(kind: Column, n: Column) -> Column:
+    """What a board pays for n pieces of a kind (upper case: one side's)."""
+    upper, out = F.upper(kind), F.lit(0.0)
+    for name, most in _AT_FIRST.items():
+        cost = KING * F.abs(n - most) if name == "K" else (PAWNS if name == "P" else EXTRA) * F.greatest(n - most, F.lit(0))
+        out = F.when(upper == name, cost).otherwise(out)
+    return out
+
+
+def constrained_names(drawings: DataFrame, by: str, rounds: int = 200) -> DataFrame:
+    """by, group, name: one name for each group, such that no change of a single group makes the sum of costs and of what boards forbid less. drawings: by, board, group, costs (map name to cost).
+
+    Groups start with their cheapest names. A round works out, for every group and name at once, what the change would save: the difference of costs, and on each board of the group that of the penalties of the two kinds, from a table of
+    counts by board and kind. Of the groups with a saving those change that save most on each of their boards, so changes of a round don't meet and each makes the sum less; the rounds end when none saves anything. All is joins
+    and sums by board, so a book is spread over its boards. Equal savings go to the smaller group, equal costs to the smaller name; null boards, groups and costs are dropped; a group's costs are those of any of its rows."""
+    rows = drawings.where("board is not null and group is not null and costs is not null").withColumn("_b", F.col(by))
+    rows = rows.where("_b is not null")
+    on = cut(rows.groupBy("_b", "board", "group").agg(F.count("*").alias("m")))
+    costs = cut(rows.groupBy("_b", "group").agg(F.first("costs").alias("costs")).select("_b", "group", F.explode("costs").alias("name", "cost")).select("_b", "group", "name", F.col("cost").cast("double").alias("cost")))
+    names = cut(costs.groupBy("_b", "group").agg(F.min_by(F.struct("name", "cost"), F.struct("cost", "name")).alias("c")).select("_b", "group", F.col("c.name").alias("now"), F.col("c.cost").alias("paid")))
+    for _ in range(rounds):
+        standing = on.join(names, ["_b", "group"])
+        counts = cut(standing.groupBy("_b", "board", "now").agg(F.sum("m").alias("n")))
+        tried = costs.join(names, ["_b", "group"]).where("name <> now")
+        there = tried.join(on, ["_b", "group"])
+        there = there.join(counts.select("_b", "board", "now", F.col("n").alias("n_now")), ["_b", "board", "now"])
+        there = there.join(counts.select("_b", "board", F.col("now").alias("name"), F.col("n").alias("n_new")), ["_b", "board", "name"], "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
+        now, name, m = F.col("now"), F.col("name"), F.col("m")
+        change = _penalty(now, F.col("n_now") - m) - _penalty(now, F.col("n_now")) + _penalty(name, F.col("n_new") + m) - _penalty(name, F.col("n_new"))
+        deltas = there.groupBy("_b", "group", "name").agg((F.sum(change) + F.first("cost") - F.first("paid")).alias("delta"), F.first("cost").alias("cost"))
+        best = deltas.groupBy("_b", "group").agg(F.min(F.struct("delta", "name", "cost")).alias("d")).where(F.col("d.delta") < -1e-9)
+        best = cut(best.select("_b", "group", F.col("d.delta").alias("delta"), F.col("d.name").alias("to"), F.col("d.cost").alias("cost")))
+        if best.isEmpty():
+            return names.select(F.col("_b").alias(by), "group", F.col("now").alias("name"))
+        first = on.join(best, ["_b", "group"]).groupBy("_b", "board").agg(F.min(F.struct("delta", "group")).alias("f")).select("_b", "board", F.col("f.group").alias("first"))
+        blocked = on.join(best.select("_b", "group"), ["_b", "group"], "left_semi").join(first, ["_b", "board"]).where("first <> group").select("_b", "group").distinct()
+        taken = best.join(blocked, ["_b", "group"], "left_anti").select("_b", "group", "to", F.col("cost").alias("_cost"))
+        names = cut(names.join(taken, ["_b", "group"], "left").select("_b", "group", F.coalesce("to", "now").alias("now"), F.coalesce("_cost", "paid").alias("paid")))
+    raise RuntimeError("the names have not settled within the rounds")
+
+
+# ---- outlines as packed bits
+
+
+def packed(bits: Column) -> Column:
+    """An array of booleans as an array of longs, 64 a word, the first bit lowest; null bits are not set."""
+    words = F.sequence(F.lit(0), F.floor((F.size(bits) - 1) / 64).cast("int"))
+    word = lambda w: F.aggregate(F.transform(F.slice(bits, w * 64 + 1, F.lit(64)), lambda b, k: F.when(b, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(v))
+    return F.when(F.size(bits) > 0, F.transform(words, word)).otherwise(F.array().cast("array<long>"))
+
+
+def set_bits(mask: Column) -> Column:
+    return F.aggregate(mask, F.lit(0), lambda s, w: s + F.bit_count(w))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Intersection over union of two packed masks of one length; 0 if neither has a bit."""
+    both = set_bits(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
+    either = set_bits(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
+    return F.when(either > 0, both / either).otherwise(F.lit(0.0))
+
+
+def overlapping_masks(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """id, other, iou: pairs of masks of left and right (id, mask) that overlap by `least` or more; not one is missed.
+
+    Bits in any one order, the rarest first: of two masks that overlap so much, the first n - ceil(least n) + 1 set bits of each share one. These are posted, with the place of each, and a pair is made once, under the first posted bit that
+    it shares and if the numbers of bits leave room; then the packed masks are compared. Equal masks of a side are one until the end. Null masks are dropped; masks without a bit overlap nothing; masks have one length."""
+    sides = {}
+    for name, rows in (("l", left), ("r", right)):
+        sides[name] = rows.where("mask is not null").select("id", "mask")
+    each = {name: rows.select("mask").distinct() for name, rows in sides.items()}
+    bit_at = lambda rows: rows.select("mask", F.posexplode("mask").alias("w", "word")).where("word <> 0").select("mask", "w", "word", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")).where(F.expr("shiftright(word, k) & 1") == 1).select("mask", (F.col("w") * 64 + F.col("k")).alias("bit"))
+    bits = {name: cut(bit_at(rows)) for name, rows in each.items()}
+    common = cut(bits["l"].unionByName(bits["r"]).groupBy("bit").agg(F.count("*").alias("c")))  # a row a bit
+    posted = {}
+    for name, rows in bits.items():
+        lists = rows.join(common, "bit").groupBy("mask").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "bit"))), lambda x: x["bit"]).alias("bits"))
+        n = F.size("bits")
+        prefix = lists.withColumn("n", n).withColumn("prefix", F.slice("bits", F.lit(1), (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int")))
+        posted[name] = prefix.select(F.col("mask").alias(f"{name}_mask"), F.col("n").alias(f"{name}_n"), F.col("prefix").alias(f"{name}_prefix"), F.explode("prefix").alias("bit"))
+    pairs = posted["l"].join(posted["r"], "bit").where((F.col("l_n") >= least * F.col("r_n") - 1e-9) & (F.col("r_n") >= least * F.col("l_n") - 1e-9))
+    first = F.get(F.filter("l_prefix", lambda b: F.array_contains(F.col("r_prefix"), b)), F.lit(0))
+    alike = pairs.where(first == F.col("bit")).select("l_mask", "r_mask", overlap(F.col("l_mask"), F.col("r_mask")).alias("iou")).where(F.col("iou") >= least)
+    named = sides["l"].join(alike, F.col("mask") == F.col("l_mask")).select("id", "r_mask", "iou")
+    return named.join(sides["r"].select(F.col("id").alias("other"), "mask"), F.col("r_mask") == F.col("mask")).select("id", "other", "iou")
 
 
 #: Gain from which a board is turned, overlap from which a rare drawing joins a group.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import notation, scalars
-from ..operators import aggregates, chains, corrections, lattice, layout, paths, reading, runs, scripts, windows
+from ..operators import aggregates, chains, corrections, inference, lattice, layout, paths, reading, runs, scripts, windows
 from ..operators.materialise import shared_folder
 from ..sources import gamefiles, pages, tables
 from ..sources.tables import table
@@ -392,6 +392,55 @@ def learnt_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.learnt_code(seen, "a", "b", 0.19, 5)
 
 
+# ---- names of drawings
+
+_LETTERS = "KQRBN"
+
+
+@query(f"""
+WITH g AS (SELECT vec_id, label, [c::DOUBLE FOR c IN embedding[1:4]] AS x, 1 + vec_id % 5 AS c1, 1 + vec_id * 7 % 5 AS c2, vec_id % 3 + 1 AS n FROM embeddings),
+w AS (SELECT a.vec_id, a.label, exp(-((a.x[1] - b.x[1]) ** 2 + (a.x[2] - b.x[2]) ** 2 + (a.x[3] - b.x[3]) ** 2 + (a.x[4] - b.x[4]) ** 2) / (2 * 0.04 ** 2)) AS k, b.c1, b.c2, b.n FROM g a JOIN g b ON a.label = b.label),
+s AS (SELECT vec_id, label, c, sum(CASE WHEN c2 = c THEN k WHEN c1 = c THEN k * n ELSE 0 END) AS s FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS c) GROUP BY ALL),
+t AS (SELECT *, max(s) OVER (PARTITION BY vec_id) AS top FROM s)
+SELECT vec_id, '{_LETTERS}'[arg_min(c, CASE WHEN s = top THEN c ELSE 9 END)] AS name, round(1 / sum(pow(4, s - top)), 6) AS confidence FROM t GROUP BY vec_id
+""")
+def smoothed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a group of its label, with votes for two letters, named by the votes of all near ones."""
+    k = F.col("vec_id")
+    letter = lambda n: F.substr(F.lit(_LETTERS), (1 + n % 5).cast("int"), F.lit(1))
+    votes = F.map_concat(F.map_from_arrays(F.array(letter(k * 7)), F.array(F.lit(1).cast("long"))), F.when(k % 5 == k * 7 % 5, F.create_map().cast("map<string,bigint>")).otherwise(F.map_from_arrays(F.array(letter(k)), F.array(k % 3 + 1))))
+    groups = table(spark, sf_dir, "embeddings").select("label", k.alias("group"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("centre"), votes.alias("votes"))
+    return inference.smoothed_votes(groups, "label", 0.04, faint=1e-12).select(F.col("group").alias("vec_id"), "name", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def names_under_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the groups of drawings on boards made of vectors: each label is a book, eight vectors a board, vectors of one remainder a group; no single change is better."""
+    e = table(spark, sf_dir, "embeddings")
+    cost = lambda k: F.abs(F.get("embedding", F.lit(k)).cast("double")) * 10
+    names = "KQRBNPkqrbnp"
+    rows = e.select("label", "vec_id", F.floor(F.col("vec_id") / 40).alias("board"), (F.col("vec_id") % 37).alias("group"), F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[cost(k) for k in range(len(names))])).alias("costs"))
+    one = rows.groupBy("label", "group").agg(F.min_by("costs", "vec_id").alias("costs"))
+    return inference.constrained_names(rows.drop("costs").join(one, ["label", "group"]), "label")
+
+
+_MASK = "SELECT vec_id, [CASE WHEN c > 0 THEN 1 ELSE 0 END FOR c IN embedding] || [CASE WHEN abs(c::DOUBLE) > 0.1 THEN 1 ELSE 0 END FOR c IN embedding] AS m FROM embeddings"
+
+
+@query(f"""
+WITH m AS ({_MASK}),
+q AS (SELECT a.vec_id, b.vec_id AS other, list_sum([CASE WHEN a.m[i] + b.m[i] = 2 THEN 1 ELSE 0 END FOR i IN range(1, 129)]) AS inter, list_sum([CASE WHEN a.m[i] + b.m[i] > 0 THEN 1 ELSE 0 END FOR i IN range(1, 129)]) AS either FROM m a JOIN m b ON a.vec_id % 10 = 0 AND b.vec_id % 10 > 0)
+SELECT vec_id, other, round(inter / either, 9) AS iou FROM q WHERE inter >= 0.5 * either
+""")
+def overlapping_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of every tenth vector with those of the others that overlap them by a half or more: signs and sizes of components as 128 packed bits."""
+    e = table(spark, sf_dir, "embeddings")
+    bits = F.concat(F.transform("embedding", lambda c: c > 0), F.transform("embedding", lambda c: F.abs(c.cast("double")) > 0.1))
+    masks = e.select(F.col("vec_id").alias("id"), inference.packed(bits).alias("mask"))
+    found = inference.overlapping_masks(masks.where("id % 10 = 0"), masks.where("id % 10 > 0"), 0.5)
+    return found.select(F.col("id").alias("vec_id"), "other", F.round("iou", 9).alias("iou"))
+
+
 # ---- edit scripts and steps
 
 _LINES = "(SELECT source AS book, CAST(doc_id AS VARCHAR) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))"
