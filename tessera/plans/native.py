@@ -430,14 +430,14 @@ _MASK = "SELECT vec_id, [CASE WHEN c > 0 THEN 1 ELSE 0 END FOR c IN embedding] |
 @query(f"""
 WITH m AS ({_MASK}),
 q AS (SELECT a.vec_id, b.vec_id AS other, list_sum([CASE WHEN a.m[i] + b.m[i] = 2 THEN 1 ELSE 0 END FOR i IN range(1, 129)]) AS inter, list_sum([CASE WHEN a.m[i] + b.m[i] > 0 THEN 1 ELSE 0 END FOR i IN range(1, 129)]) AS either FROM m a JOIN m b ON a.vec_id % 10 = 0 AND b.vec_id % 10 > 0)
-SELECT vec_id, other, round(inter / either, 9) AS iou FROM q WHERE inter >= 0.5 * either
+SELECT vec_id, other, round(inter / either, 9) AS iou FROM q WHERE inter >= 0.4 * either
 """)
 def overlapping_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlines of every tenth vector with those of the others that overlap them by a half or more: signs and sizes of components as 128 packed bits."""
+    """Outlines of every tenth vector with those of the others that overlap them by two fifths or more: signs and sizes of components as 128 packed bits."""
     e = table(spark, sf_dir, "embeddings")
     bits = F.concat(F.transform("embedding", lambda c: c > 0), F.transform("embedding", lambda c: F.abs(c.cast("double")) > 0.1))
     masks = e.select(F.col("vec_id").alias("id"), inference.packed(bits).alias("mask"))
-    found = inference.overlapping_masks(masks.where("id % 10 = 0"), masks.where("id % 10 > 0"), 0.5)
+    found = inference.overlapping_masks(masks.where("id % 10 = 0"), masks.where("id % 10 > 0"), 0.4)
     return found.select(F.col("id").alias("vec_id"), "other", F.round("iou", 9).alias("iou"))
 
 
