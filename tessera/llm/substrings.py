@@ -12,10 +12,10 @@ The documents of the construction are fragments, so there are at most 84 rounds,
 Every 50-byte string is dealt by its anchor, the leftmost of its 16-byte substrings with the
 smallest hash: equal strings have equal anchors. Strings in a row with equal anchors form one fragment, of at most `MOST` strings.
 First only anchors' hashes are dealt, and those in one document alone are put aside; then
-the fragments of the others. Fragments that a piece of the corpus holds more than once are dealt
-once, with the smallest id, so a passage in any share of the documents comes to a task once a piece. Equal
-fragments are one there. An anchor that only one fragment has needs no construction, nor does a fragment none of whose strings
-has a hash that another string has; what shares strings, and with whom, the construction alone says.
+the fragments of the others. The bytes of fragments that a piece of the corpus holds more than once are dealt
+once, and the others as references, so a passage in any share of the documents comes to a task once a piece. Equal
+fragments are one document of the construction, with the ids of all its copies; it is marked as repeated, and its strings are classes even where no other fragment has them. A fragment that is not
+repeated needs no construction if no other has its anchor, or none of its strings has a hash that another string has. What goes is what the construction finds: without it nothing is removed.
 
 The corpus is first packed into compressed pieces in the shared folder, `LOT` of them a lot, whose names tie the steps together. Anchors are dealt
 to shelves of up to `SHELF` buckets: a lot and a shelf exchange one row, as a split and a partition of Spark's do one block, and what a shelf holds
@@ -44,8 +44,8 @@ from .common import flat, partitions, pieces, release, span_hashes, spans, writt
 
 #: Bytes of a string and of an anchor; strings of a fragment; bytes of a piece of the corpus; text bytes for each bucket of anchors; entries of a file that are read at once.
 LENGTH, ANCHOR, MOST, PIECE, BUCKET, BLOCK = 50, 16, 35, 2_000_000, 2_500_000, 4_000_000
-#: Pieces of a lot (255 at most), buckets of a shelf.
-LOT, SHELF = 8, 8
+#: Pieces of a lot (255 at most), buckets of a shelf, lots or shelves that a task takes in turn: tasks grow with the input.
+LOT, SHELF, TURN = 8, 8, 8
 #: No symbol: no UTF-8 text has this byte.
 NONE = 255
 #: Level of compression of what is dealt, bits of a place in a packed hash.
@@ -234,11 +234,15 @@ def insertion(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int =
     return (old >> _START).astype(np.int64), (old >> _SYMBOL).astype(np.uint8), (old >> _PREFIX).astype(np.uint8)
 
 
-def classes(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the strings of documents that equal another, in order, and the class of each (from 0, rising): neighbours in suffix order with common prefixes of the whole length."""
+def classes(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int = LENGTH, block: int = BLOCK, repeated: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the strings of documents that equal another, or that stand in a repeated document (one of several copies), in order, and the class of each (from 0, rising): neighbours in suffix order with common prefixes of the whole length."""
     start, _, common = insertion(text, at, size, length, block)
     same = np.append(common >= length, False)
-    some = np.flatnonzero(same[:-1] | same[1:])
+    told = same[:-1] | same[1:]
+    if repeated is not None and len(start):
+        doc = np.minimum(np.searchsorted(at, start, "right") - 1, len(at) - 1)
+        told |= repeated[doc] & (at[doc] + size[doc] - start >= length)
+    some = np.flatnonzero(told)
     return start[some], np.cumsum(~same[some]) - 1
 
 
@@ -276,14 +280,6 @@ def distinct(text: np.ndarray, at: np.ndarray, size: np.ndarray, block: int = 50
     return group
 
 
-def _leaders(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each fragment's document has the smallest id of its group."""
-    _, at = np.unique(group, return_inverse=True)
-    low = np.full(at.max() + 1 if len(at) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(low, at, ids)
-    return ids == low[at]
-
-
 def packed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The corpus in pieces: name of the lot, number in it and blob (ids, whether an id is null, offsets, bytes), written to the shared folder."""
 
@@ -330,48 +326,55 @@ def _grouped(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[obj
     release()
 
 
-def _dealt(df: DataFrame, run: Callable, schema: str, by: str, then: tuple[str, ...] = ()) -> DataFrame:
-    return df.repartition(partitions(df.sparkSession), by).sortWithinPartitions(by, *then).mapInArrow(run, schema)
+def _dealt(df: DataFrame, run: Callable, schema: str, by: str, tasks: int) -> DataFrame:
+    return df.repartition(max(partitions(df.sparkSession), tasks), by).sortWithinPartitions(by).mapInArrow(run, schema)
+
 
+def _settled(own: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, data: np.ndarray, copy_of: np.ndarray, copy_own: np.ndarray, copy_first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's fragments, whose bytes stand one after the other, and of copies of them (row, document, place): the runs of bytes to remove, as the row (copies behind fragments), the place in its piece and the size.
 
-def _settled(own: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's fragments, whose bytes stand one after the other: the runs of bytes to remove, as the fragment's row, the place in its piece and the size."""
+    Equal fragments are one document of the construction, which knows if it is repeated; a string goes from those of its documents that are not the smallest of its class."""
     size = count + length - 1
     at = np.cumsum(size) - size
-    # equal fragments are one: its smallest id decides for the others, and each of its places gets its runs
     group = distinct(data, at, size)
-    low = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    rep = np.unique(group, return_index=True)[1]
+    group = np.concatenate((group, group[copy_of]))
+    own, first = np.concatenate((own, copy_own)), np.concatenate((first, copy_first))
+    low = np.full(len(rep), np.iinfo(np.int64).max)
     np.minimum.at(low, group, own)
     lead = own == low[group]
-    by = np.argsort(group, kind="stable")
-    by = by[lead[by]]
-    begin = np.searchsorted(group[by], np.arange(len(low) + 1))
-    rep = by[begin[:-1]]
+    repeated = np.zeros(len(rep), bool)
+    repeated[group[~lead]] = True
     n = count[rep]
     ends = np.cumsum(n)
-    gone = np.zeros(int(ends[-1]), bool)  # of the strings of distinct fragments
-    # only anchors of several fragments need the construction
+    begins = ends - n
+    gone, seen = np.zeros(int(ends[-1]), bool), np.zeros(int(ends[-1]), bool)  # strings of distinct fragments: of the smallest documents, of the others
+    # the construction is for fragments that are repeated, and for anchors of several fragments
     _, which, several = np.unique(anchor[rep], return_inverse=True, return_counts=True)
-    some = sieved(data, at[rep], n, np.flatnonzero(several[which] > 1), length)
+    some = np.union1d(sieved(data, at[rep], n, np.flatnonzero(several[which] > 1), length), np.flatnonzero(repeated))
     if len(some):
         sizes = size[rep[some]]
-        begins = np.cumsum(sizes) - sizes
-        start, cls = classes(_gather(data, at[rep[some]], sizes), begins, sizes, length)
+        places = np.cumsum(sizes) - sizes
+        start, cls = classes(_gather(data, at[rep[some]], sizes), places, sizes, length, repeated=repeated[some])
         if len(start):
-            doc = np.searchsorted(begins, start, "right") - 1
+            doc = np.searchsorted(places, start, "right") - 1
             ids = low[some[doc]]
             least = np.minimum.reduceat(ids, np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))))
-            gone[(ends - n)[some[doc]] + start - begins[doc]] = ids > least[cls]
-    string = np.repeat(at[rep] - ends + n, n) + np.arange(len(gone))
-    frag = np.repeat(np.arange(len(rep)), n)
-    a, b = spans(gone, np.concatenate(([0], np.cumsum(n))))
-    places = np.diff(begin)[frag[a]]
-    run = np.repeat(np.arange(len(a)), places)
-    row = by[np.repeat(begin[frag[a]] - np.cumsum(places) + places, places) + np.arange(places.sum())]
-    rest = np.flatnonzero(~lead)
-    row = np.concatenate((row, rest))
-    start = first[row] + np.concatenate(((string[a] - at[rep[frag[a]]])[run], np.zeros(len(rest), np.int64)))
-    return row, start, np.concatenate((b - a, count[rest]))[np.concatenate((run, len(a) + np.arange(len(rest))))] + length - 1
+            string = begins[some[doc]] + start - places[doc]
+            gone[string] = ids > least[cls]
+            seen[string] = True
+    by = np.argsort(group, kind="stable")
+    by = by[lead[by]]
+    edge = np.searchsorted(group[by], np.arange(len(rep) + 1))
+    a, b = spans(gone, np.concatenate(([0], ends)))
+    frag = np.searchsorted(ends, a, "right")
+    each = np.diff(edge)[frag]
+    run = np.repeat(np.arange(len(a)), each)
+    row = by[np.repeat(edge[frag] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+    # a document that is not the smallest with its fragment loses what the construction has found of it: all of it
+    rest = np.flatnonzero(~lead & np.logical_and.reduceat(seen, begins)[group])
+    start = np.concatenate((first[row] + (a - begins[frag])[run], first[rest]))
+    return np.concatenate((row, rest)), start, np.concatenate(((b - a)[run], n[group[rest]])) + length - 1
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -421,11 +424,11 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([b] * len(out), pa.int64()), pa.array([_pack(x) for _, x in out], pa.binary())], names=["lot", "shelf", "blob"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Fragments of shared anchors, by shelf and bucket; what a piece itself settles goes along in a row of its own."""
-        names = ["shelf", "lot", "local", "blob"]
+        """Fragments of shared anchors, by shelf and bucket."""
+        names = ["shelf", "lot", "blob"]
         for lot, rows in _grouped(batches, "lot"):
             wanted = np.concatenate([_unpack(r["blob"])[0].astype(np.uint64) * np.uint64(shelves) + np.uint64(r["shelf"]) for r in rows if r["shelf"] >= 0] or [np.zeros(0, np.uint64)])
-            texts, found, alone, base = [], [], [], 0
+            texts, found, copies, base, rank = [], [], [], 0, 0
             for r in rows:
                 if r["shelf"] >= 0:
                     continue
@@ -439,56 +442,70 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 if not len(some):
                     continue
                 h, first, count, own = h[some], first[some], count[some], own[some]
-                lead = _leaders(distinct(data, first, count + length - 1), own)
+                # equal fragments of the piece: one with its bytes, the others as copies of it
+                group = distinct(data, first, count + length - 1)
+                lead = np.zeros(len(group), bool)
+                lead[np.unique(group, return_index=True)[1]] = True
+                place = np.empty(group.max() + 1, np.int64)
+                place[group[lead]] = rank + np.arange(lead.sum())
                 rest = ~lead
-                if rest.any():
-                    alone.append((np.full(rest.sum(), r["no"]), first[rest], count[rest] + length - 1))
+                copies.append((np.full(rest.sum(), r["no"], np.uint8), place[group[rest]], own[rest], first[rest]))
                 found.append((np.full(lead.sum(), r["no"], np.uint8), base + first[lead], first[lead], count[lead], own[lead], h[lead]))
                 texts.append(data)
-                base += len(data)
-            if alone:
-                yield pa.RecordBatch.from_arrays([pa.array([int(found[0][5][0] % np.uint64(shelves))], pa.int64()), pa.array([lot]), pa.array([1], pa.int32()), pa.array([_runs(alone)], pa.binary())], names=names)
+                base, rank = base + len(data), rank + int(lead.sum())
             if not found:
                 continue
             no, at, first, count, own, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            copy_no, copy_of, copy_own, copy_first = (np.concatenate(x) for x in zip(*copies, strict=True))
             text, anchor = np.concatenate(texts), (h >> np.uint64(32)).astype(np.uint32)
-            del texts, found
-            out = []
-            for b, r in _split((h % np.uint64(shelves)).astype(np.int64)):
+            shelf = (h % np.uint64(shelves)).astype(np.int64)
+            of_shelf = dict(_split(shelf[copy_of]))
+            del texts, found, copies
+            out, where = [], np.empty(len(h), np.int64)
+            for b, r in _split(shelf):
                 r = r[np.argsort(anchor[r] % subs, kind="stable")]
-                out.append((b, _pack(no[r], np.diff(own[r], prepend=0), _small(np.diff(first[r], prepend=0)), _small(count[r]), anchor[r], _gather(text, at[r], count[r] + length - 1))))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([lot] * len(out)), pa.array([0] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=names)
+                where[r] = np.arange(len(r))
+                c = of_shelf.get(b, np.zeros(0, np.int64))
+                c = c[np.argsort(where[copy_of[c]], kind="stable")]
+                out.append((b, _pack(no[r], np.diff(own[r], prepend=0), _small(np.diff(first[r], prepend=0)), _small(count[r]), anchor[r], _gather(text, at[r], count[r] + length - 1), copy_no[c], _small(np.diff(where[copy_of[c]], prepend=0)), _small(np.diff(copy_own[c], prepend=0)), _small(np.diff(copy_first[c], prepend=0)))))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([lot] * len(out)), pa.array([x for _, x in out], pa.binary())], names=names)
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "shelf"):
             out: dict[str, list[tuple]] = {}
-            names, parts, edges, ends = [], [], [], []
+            names, parts, copies, edges, ends, turns = [], [], [], [], [], []
             for r in rows:
-                if r["local"]:
-                    out.setdefault(r["lot"], []).append(_unruns(r["blob"]))
-                    continue
-                no, own, first, count, anchor, data = _unpack(r["blob"])
+                no, own, first, count, anchor, data, copy_no, copy_of, copy_own, copy_first = _unpack(r["blob"])
                 count = count.astype(np.int64)
                 names.append(r["lot"])
                 parts.append((no, np.cumsum(own, dtype=np.int64), np.cumsum(first, dtype=np.int64), count, anchor, data))
+                copies.append((copy_no, *(np.cumsum(x, dtype=np.int64) for x in (copy_of, copy_own, copy_first))))
                 edges.append(np.searchsorted(anchor % subs, np.arange(subs + 1)))
                 ends.append(np.concatenate(([0], np.cumsum(count + length - 1)))[edges[-1]])
+                turns.append(np.searchsorted(copies[-1][1], edges[-1]))
             for k in range(subs):
                 own = [[x[e[k] : e[k + 1]] for x in p[:5]] + [p[5][z[k] : z[k + 1]]] for p, e, z in zip(parts, edges, ends, strict=True)]
                 if not any(len(x[0]) for x in own):
                     continue
+                more = [[x[t[k] : t[k + 1]] for x in c] for c, t in zip(copies, turns, strict=True)]
                 no, ids, first, count, anchor, data = (np.concatenate(x) for x in zip(*own, strict=True))
-                of = np.repeat(np.arange(len(own)), [len(x[0]) for x in own])
-                row, start, size = _settled(ids, first, count, anchor, data, length)
+                sizes = np.array([len(x[0]) for x in own])
+                copy_no, copy_of, copy_own, copy_first = (np.concatenate(x) for x in zip(*more, strict=True))
+                copy_of = copy_of + np.repeat(np.cumsum(sizes) - sizes - [e[k] for e in edges], [len(x[0]) for x in more])
+                of = np.concatenate((np.repeat(np.arange(len(own)), sizes), np.repeat(np.arange(len(own)), [len(x[0]) for x in more])))
+                no = np.concatenate((no, copy_no))
+                row, start, size = _settled(ids, first, count, anchor, data, copy_of, copy_own, copy_first, length)
                 for p, r in _split(of[row]):
                     out.setdefault(names[p], []).append((no[row[r]], start[r], size[r]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([_runs(x) for x in out.values()], pa.binary())], names=["lot", "blob"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([_runs(x) for x in out.values()], pa.binary())], names=["lot", "blob"])
 
     dealt = corpus.select("lot", "blob").mapInArrow(hashes, "shelf long, lot string, blob binary")
-    wanted = _dealt(dealt, shared, "lot string, shelf long, blob binary", "shelf")
+    lots = -(-total // (LOT * PIECE))
+    wanted = _dealt(dealt, shared, "lot string, shelf long, blob binary", "shelf", shelves // TURN)
     both = wanted.select("lot", "shelf", F.lit(0).alias("no"), "blob").unionByName(corpus.select("lot", F.lit(-1).cast("long").alias("shelf"), "no", "blob"))
-    cuts = _dealt(both, cut, "shelf long, lot string, local int, blob binary", "lot")
-    return corpus, _dealt(cuts, settled, "lot string, blob binary", "shelf")
+    cuts = _dealt(both, cut, "shelf long, lot string, blob binary", "lot", lots // TURN)
+    return corpus, _dealt(cuts, settled, "lot string, blob binary", "shelf", shelves // TURN)
 
 
 def _kept(corpus: DataFrame, gone: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -507,7 +524,8 @@ def _kept(corpus: DataFrame, gone: DataFrame, run: Callable, schema: str) -> Dat
                     yield run(ids, null.astype(bool), offs, data, np.cumsum(cover[:-1]) > 0)
 
     both = gone.select("lot", F.lit(-1).alias("no"), "blob").unionByName(corpus.select("lot", "no", "blob"))
-    return _dealt(both, each, schema, "lot")
+    total = corpus.agg(F.sum("n")).first()[0] or 0
+    return _dealt(both, each, schema, "lot", total // (LOT * PIECE) // TURN)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:

@@ -310,6 +310,21 @@ def test_parity_sees_a_wrong_normaliser(monkeypatch):
 # ---- simhash
 
 
+def test_what_goes_is_what_the_construction_finds(monkeypatch):
+    """Copies, parts that fragments share, and a copy by reference: all of it comes through the construction, and without it nothing goes."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, 70).astype(np.uint8)
+    other = np.concatenate((text[5:], rng.integers(97, 123, 5).astype(np.uint8)))
+    data = np.concatenate((text, text, other))
+    ids, first, count, anchor = np.array([4, 2, 9]), np.array([0, 100, 200]), np.array([21, 21, 21]), np.zeros(3, np.uint32)
+    copy = np.array([1]), np.array([7]), np.array([300])
+    row, start, size = substrings._settled(ids, first, count, anchor, data, *copy, 50)
+    assert sorted(zip(row.tolist(), start.tolist(), size.tolist(), strict=True)) == [(0, 0, 70), (2, 200, 65), (3, 300, 70)]
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(substrings, "insertion", lambda *a, **k: (none, none, none))
+    assert not len(substrings._settled(ids, first, count, anchor, data, *copy, 50)[0])
+
+
 def brute_classes(rows):
     marks = []
     for i, t in rows:
