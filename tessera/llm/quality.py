@@ -10,7 +10,7 @@ The fit takes at most `most_labelled` labelled rows, those with the smallest has
 and `pairs` pairs drawn from them with a fixed seed; scoring takes every whole text.
 
 Edge cases: a null or empty text has its own feature vector (all counts 0) and is scored by it;
-rows without a label or id do not train; repeated labels each count; without both labels every
+rows without a label or id do not train; repeated labels each count; of documents that share an id one text trains; without both labels every
 score is 0.5 and every document is accepted; an empty table gives an empty result.
 """
 
@@ -157,7 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Learn from the labelled rows that are not held out."""
     chosen = labels.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where("i is not null and y in (0, 1)")
     chosen = chosen.where(~held_out("i")).orderBy(F.xxhash64("i"), "i", "y").limit(most_labelled)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(chosen), "i")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(chosen.select("i").distinct()), "i", "left_semi")
+    # of rows that share an id one learns, so that no more than most_labelled come to the driver
+    rows = texts.groupBy("i").agg(F.min_by("t", F.xxhash64("t")).alias("t")).join(F.broadcast(chosen), "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, partitions, pieces, release, written
+from .common import Scratch, flat, hot_join, partitions, pieces, release, written
 
 #: Words of a shingle, differing bits of a link, hash seed; members of a posting that meet at once.
 SHINGLE, BITS, SEED, LIMIT = 4, 4, 42, 4096
@@ -284,13 +284,16 @@ def components(edges: DataFrame, out: Scratch | None = None) -> DataFrame:
 
 
 def classed(marked: DataFrame, key: str, found: DataFrame) -> DataFrame:
-    """marked (i, th, key) and r, the row that stands for its class: the smallest id, then the smallest th; a null id comes last. found: node and component of keys."""
+    """marked (i, th, key) and r, the row that stands for its class: the smallest id, then the smallest th; a null id comes last. found: node and component of keys.
+
+    A key may stand for any share of the rows, and a component have any share of the keys: the hot ones of either join are broadcast, the rest is joined by key."""
     row = F.struct(F.col("i").isNull().alias("n"), "i", "th")
-    nodes = marked.groupBy(key).agg(F.min(row).alias("own"))
-    nodes = nodes.join(found, F.col(key) == F.col("node"), "left").select(key, "own", F.coalesce("component", key).alias("c"))
-    low = nodes.groupBy("c").agg(F.min("own").alias("r"))
-    of = nodes.join(low, "c").select(F.col(key).alias("_k"), "r")
-    return marked.join(of, F.col(key) == F.col("_k")).drop("_k")
+    nodes = marked.groupBy(key).agg(F.min(row).alias("own"), F.count("*").alias("rows"))
+    with Scratch(marked.sparkSession) as scratch:
+        nodes = scratch.written(nodes.join(found, F.col(key) == F.col("node"), "left").select(key, "own", "rows", F.coalesce("component", key).alias("c")))
+        low = scratch.written(nodes.groupBy("c").agg(F.min("own").alias("r"), F.count("*").alias("nodes")))
+        of = written(hot_join(nodes, low, "c", "nodes").select(F.col(key).alias("_k"), "rows", "r"))
+    return hot_join(marked.withColumn("_k", F.col(key)), of, "_k", "rows").drop("_k")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, most: int = BITS, limit: int = LIMIT) -> DataFrame:
