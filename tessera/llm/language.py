@@ -10,9 +10,9 @@ lies beyond what those texts show for the language is not accepted.
 
 Counts cover every labelled text that may train but one in 64, which calibrates (`most_calibrating` of these at most). Continuation
 counts, discounts, probabilities and weights are worked out in Spark from all n-grams, whatever their number, so what is gathered
-grows with the input. The arrays that are broadcast to score with hold all n-grams up to `most_grams` a language and order (the
-bound on their size); beyond that the most frequent stay, and their histories' weights are raised by what left, so that
-probabilities still sum to one.
+grows with the input. The arrays are broadcast to score with while all languages' n-grams of all orders are `most_grams` at most, which is counted
+first. Beyond that nothing is dropped: the tables stay in Spark, every distinct n-gram of the texts is priced by joins with them, order by order, and a text's n-grams are
+joined with their prices, the hot ones by a broadcast. Both ways give the same costs.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; very long texts are taken
 whole, in one row; repeated rows count as often as they stand; labels that are null or empty do not
@@ -33,9 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, release, written
+from .common import hot_join, pieces, release, written
 
-ORDER, MOST_GRAMS, MOST_CALIBRATING, UND = 5, 2_000_000, 2_000, "und"
+ORDER, MOST_GRAMS, MOST_CALIBRATING, UND = 5, 6_000_000, 2_000, "und"
 #: Bytes of text and distinct words taken at once.
 PIECE, BLOCK = 6_000_000, 20_000
 #: Letters with the marks that they carry.
@@ -159,29 +159,69 @@ def levels(counted: DataFrame) -> list[DataFrame]:
     return out[::-1]
 
 
-def smoothed(level: DataFrame, most_grams: int = MOST_GRAMS) -> tuple[DataFrame, DataFrame]:
-    """Of one order: l, g, alpha (discounted probability) and l, g, gamma (weight that a history g leaves to the next lower order). Discounts and totals are of all n-grams; over `most_grams` a language the most frequent stay."""
-    size = level.groupBy("l").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count("*").alias("grams"))
+def smoothed(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of one order: l, g, alpha (discounted probability) and l, g, gamma (weight that a history g leaves to the next lower order), of all n-grams."""
+    size = level.groupBy("l").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
     once, twice = F.col("once"), F.col("twice")
     d = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.5)
-    facts = F.broadcast(size.select("l", d.alias("d"), "grams"))  # a row a language
+    facts = F.broadcast(size.select("l", d.alias("d")))  # a row a language
     rows = level.join(facts, "l").withColumn("c", F.expr("substring(g, 1, length(g) - 1)"))
     total = rows.groupBy("l", "c").agg(F.sum("n").alias("total"))
-    least = level.groupBy("l", F.floor(F.log2("n")).cast("int").alias("level")).count()  # a few rows a language
-    held: dict[str, int] = {}
-    sums: dict[str, int] = {}
-    for r in sorted(least.collect(), key=lambda r: (r.l, -r.level)):
-        sums[r.l] = sums.get(r.l, 0) + r["count"]
-        if sums[r.l] <= most_grams or r.l not in held:
-            held[r.l] = r.level
-    kept = F.lit(False)
-    for name, k in held.items():
-        kept = kept | ((F.col("l") == name) & (F.col("n") >= 2.0**k))
-    alpha = written(rows.where(kept).join(total, ["l", "c"]).select("l", "g", "c", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("alpha")))
+    alpha = written(rows.join(total, ["l", "c"]).select("l", "g", "c", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("alpha")))
     gamma = alpha.groupBy("l", "c").agg((1 - F.sum("alpha")).alias("gamma"))
     return alpha.select("l", "g", "alpha"), gamma.select("l", F.col("c").alias("g"), "gamma")
 
 
+@dataclass
+class Joined:
+    """A model whose tables stay in Spark: alpha and gamma of each order, weights of the empty history, and what the arrays' model has."""
+
+    languages: list[str]
+    tables: list[tuple[DataFrame, DataFrame]]
+    unigram: np.ndarray
+    floor: float
+    temperature: float = 25.0
+    limits: np.ndarray | None = None
+
+    def prices(self, grams: DataFrame) -> DataFrame:
+        """g and cost (an array by language) of distinct n-grams (g): orders from the lowest, each weighted by what the history leaves and added to by what the n-gram has."""
+        start = F.array(*[F.struct(F.lit(name).alias("l"), F.lit(float(self.floor * u)).alias("p")) for name, u in zip(self.languages, self.unigram, strict=True)])
+        now = grams.select("g", F.explode(start).alias("s")).select("g", "s.l", "s.p")
+        for k in range(1, ORDER + 1):
+            fits = F.length("g") >= k
+            end = F.when(fits, F.expr(f"right(g, {k})"))
+            if k > 1:
+                before = self.tables[k - 1][1].select(F.col("l").alias("_l"), F.col("g").alias("_h"), F.col("gamma").cast("float").cast("double").alias("_gamma"))
+                now = now.join(before, (F.col("l") == F.col("_l")) & (F.expr(f"substring(right(g, {k}), 1, {k - 1})") == F.col("_h")) & fits, "left")
+                now = now.select("g", "l", (F.col("p") * F.coalesce("_gamma", F.lit(1.0))).alias("p"))
+            own = self.tables[k - 1][0].select(F.col("l").alias("_l"), F.col("g").alias("_g"), F.col("alpha").cast("float").cast("double").alias("_alpha"))
+            now = now.join(own, (F.col("l") == F.col("_l")) & (end == F.col("_g")), "left").select("g", "l", (F.col("p") + F.coalesce("_alpha", F.lit(0.0))).alias("p"))
+        row = F.array_sort(F.collect_list(F.struct("l", (-F.log2("p")).alias("cost"))))
+        return now.groupBy("g").agg(F.transform(row, lambda x: x["cost"]).alias("cost"))
+
+    def entropies(self, texts: DataFrame) -> DataFrame:
+        """key, n (predicted characters) and ce (cross-entropy by language) of texts (key, t); those without a letter have no row."""
+        kind = texts.schema["key"].dataType
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    words, which, _ = _words(batch.column("t").slice(k, 1))
+                    n = np.bincount(which, minlength=len(words))
+                    grams, counts = _counts(words, n)
+                    if len(grams):
+                        yield pa.RecordBatch.from_arrays([pa.array([batch.column("key")[k].as_py()] * len(grams), batch.column("key").type), pa.array(grams.tolist(), pa.string()), pa.array(counts)], names=["key", "g", "n"])
+            release()
+
+        found = written(texts.mapInArrow(count, T.StructType([T.StructField("key", kind), T.StructField("g", T.StringType()), T.StructField("n", T.LongType())])))
+        each = written(found.groupBy("g").agg(F.count("*").alias("w")))
+        priced = written(self.prices(each.select("g")).join(each, "g"))
+        rows = hot_join(found, priced, "g", "w")
+        sums = [F.sum(F.col("n") * F.get("cost", F.lit(k))).alias(f"s{k}") for k in range(len(self.languages))]
+        total = rows.groupBy("key").agg(F.sum("n").alias("n"), *sums)
+        return total.select("key", F.col("n").cast("double").alias("n"), F.array(*[F.col(f"s{k}") / F.col("n") for k in range(len(self.languages))]).alias("ce"))
+
+
 def _hashes(grams: np.ndarray) -> np.ndarray:
     """Hashes of n-grams of one length, as in scoring."""
     if not len(grams):
@@ -194,22 +234,26 @@ def _hashes(grams: np.ndarray) -> np.ndarray:
     return h
 
 
-def build(counted: DataFrame, most_grams: int = MOST_GRAMS) -> Model:
-    """Interpolated Kneser-Ney tables from the longest n-grams of each language and their counts (l, g, n)."""
-    found = [tuple(x.toArrow() for x in smoothed(level, most_grams)) for level in levels(counted)]
-    languages = sorted({x for alpha, _ in found for x in pc.unique(alpha["l"]).to_pylist()})
-    unigram, tables = np.ones(len(languages)), []
+def build(counted: DataFrame, most_grams: int = MOST_GRAMS) -> Model | Joined:
+    """Interpolated Kneser-Ney tables from the longest n-grams of each language and their counts (l, g, n): as arrays, or as tables in Spark if there are more than most_grams."""
+    made = [smoothed(level) for level in levels(counted)]
+    sizes = [alpha.groupBy("l").count().collect() for alpha, _ in made]
+    languages = sorted({r.l for rows in sizes for r in rows})
+    first = {r.l: r.gamma for r in made[0][1].collect()}  # a row a language
+    unigram = np.array([first.get(name, 1.0) for name in languages])
+    if sum(r["count"] for rows in sizes for r in rows) > most_grams:
+        letters = made[0][0].select("g").union(made[1][1].select("g")).distinct().count()
+        return Joined(languages, made, unigram, 1 / (2 * letters + 100))
+    tables = []
 
     def columns(table: pa.Table, value: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for k, name in enumerate(languages):
             own = table.filter(pc.equal(table["l"], name))
             yield k, _hashes(own["g"].to_numpy()), own[value].to_numpy()
 
-    for lang, _, gamma in columns(found[0][1], "gamma"):
-        unigram[lang] = gamma[0] if len(gamma) else 1.0
     for k in range(ORDER):
-        alphas = list(columns(found[k][0], "alpha"))
-        gammas = list(columns(found[k + 1][1], "gamma")) if k + 1 < ORDER else []
+        alphas = list(columns(made[k][0].toArrow(), "alpha"))
+        gammas = list(columns(made[k + 1][1].toArrow(), "gamma")) if k + 1 < ORDER else []
         keys = np.unique(np.concatenate([h for _, h, _ in [*alphas, *gammas]])) if alphas else np.zeros(0, np.uint64)
         alpha, gamma = np.zeros((len(keys), len(languages)), np.float32), np.ones((len(keys), len(languages)), np.float32)
         for to, parts in ((alpha, alphas), (gamma, gammas)):
@@ -224,7 +268,7 @@ def may_train(doc_id: str = "doc_id", folds: int = 3, out: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string")) % folds != out, F.lit(False))
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_grams: int = MOST_GRAMS, most_calibrating: int = MOST_CALIBRATING) -> Model:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_grams: int = MOST_GRAMS, most_calibrating: int = MOST_CALIBRATING) -> Model | Joined:
     """Learn from labelled documents that may train; one in 64 calibrates and is not counted."""
     rows = docs.where(may_train(doc_id)).select(F.col(f"`{doc_id}`").cast("string").alias("i"), F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("l")).where("l <> '' and t is not null")
     aside = F.pmod(F.xxhash64("i"), F.lit(64)) == 0
@@ -244,17 +288,23 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     counted = written(rows.where(~aside).select("t", "l").mapInArrow(count, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n")))
     model = build(counted, most_grams)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "t", PIECE):
-                ce, n = shared.value.entropies(part.column("t"))
-                yield pa.RecordBatch.from_arrays([part.column("l"), pa.array(ce.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["l", "ce", "n"])
-
     chosen = rows.where(aside).select("i", F.xxhash64("i", "t").alias("h"), "t", "l")
     limit = chosen.select("i", "h").distinct().orderBy("h", "i").limit(most_calibrating)
-    some = chosen.join(F.broadcast(limit), ["i", "h"], "left_semi").dropDuplicates(["i", "h"]).select("t", "l").mapInArrow(costs, "l string, ce array<double>, n double").toPandas()
+    some = chosen.join(F.broadcast(limit), ["i", "h"], "left_semi").dropDuplicates(["i", "h"])
+    if isinstance(model, Joined):
+        # a key of its own for each text, whatever ids say
+        keyed = written(some.select(F.concat_ws("/", "i", "h").alias("key"), "t", "l"))
+        some = model.entropies(keyed.select("key", "t")).join(keyed.select("key", "l"), "key").select("l", "ce", "n").toPandas()
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch, "t", PIECE):
+                    ce, n = shared.value.entropies(part.column("t"))
+                    yield pa.RecordBatch.from_arrays([part.column("l"), pa.array(ce.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["l", "ce", "n"])
+
+        some = some.select("t", "l").mapInArrow(costs, "l string, ce array<double>, n double").toPandas()
     calibrate(model, np.array(some.ce.tolist(), float).reshape(len(some), len(model.languages)), some.n.to_numpy(), some.l.tolist())
     return model
 
@@ -281,27 +331,53 @@ def calibrate(model: Model, ce: np.ndarray, n: np.ndarray, labels: list[str], le
             model.limits[k] = own.mean() + 4 * max(own.std(), 0.05)
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", reject: bool = True) -> DataFrame:
+def _told(model: Model | Joined, ce: np.ndarray, n: np.ndarray, reject: bool) -> list[pa.Array]:
+    """lang_pred, score, cross_entropy and accepted of texts by their cross-entropies and predicted characters."""
+    if not model.languages:
+        ce, n = np.zeros((len(n), 1)), np.zeros(len(n))
+    best = ce.argmin(1)
+    low = ce[np.arange(len(ce)), best]
+    score = np.where(n > 0, 1 / np.exp(-model.temperature * (ce - low[:, None])).sum(1), 0.0)
+    fine = (n > 0) & (low <= model.limits[best] if model.languages else False)
+    names = [model.languages[b] if ok else UND for b, ok in zip(best.tolist(), (fine if reject else n > 0).tolist(), strict=True)]
+    return [pa.array(names, pa.string()), pa.array(score), pa.array(low), pa.array(fine)]
+
+
+TOLD = ["lang_pred", "score", "cross_entropy", "accepted"]
+
+
+def identify(docs: DataFrame, model: Model | Joined, doc_id: str = "doc_id", text: str = "text", reject: bool = True) -> DataFrame:
     """One row a document: doc_id, lang_pred, score, cross_entropy, accepted; with reject, a text that is not accepted is `und`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([kept.schema["doc_id"], *[T.StructField(c, t) for c, t in zip(TOLD, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True)]])
+    if isinstance(model, Joined):
+        return _identified(kept, model, reject, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
-                ce, n = m.entropies(part.column("text"))
-                if not m.languages:
-                    ce, n = np.zeros((part.num_rows, 1)), np.zeros(part.num_rows)
-                best = ce.argmin(1)
-                low = ce[np.arange(len(ce)), best]
-                score = np.where(n > 0, 1 / np.exp(-m.temperature * (ce - low[:, None])).sum(1), 0.0)
-                fine = (n > 0) & (low <= m.limits[best] if m.languages else False)
-                names = [m.languages[b] if ok else UND for b, ok in zip(best.tolist(), (fine if reject else n > 0).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(low), pa.array(fine)], names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_told(shared.value, *shared.value.entropies(part.column("text")), reject)], names=["doc_id", *TOLD])
         release()
 
-    return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("accepted", T.BooleanType())]))
+    return kept.mapInArrow(run, schema)
+
+
+def _identified(kept: DataFrame, model: Joined, reject: bool, schema: T.StructType) -> DataFrame:
+    """identify by joins: distinct texts are priced once, known by two hashes, and rows take their text's costs."""
+    key = F.concat_ws("/", F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text")), F.length("text"))
+    rows = kept.select("doc_id", key.alias("key"), "text")
+    found = written(model.entropies(rows.where("text is not null").dropDuplicates(["key"]).select("key", F.col("text").alias("t"))))
+    weights = rows.groupBy("key").agg(F.count("*").alias("w"))
+    every = written(weights.join(found, "key", "left").select("key", "w", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("ce", F.array(*[F.lit(0.0)] * len(model.languages))).alias("ce")))
+    plain = Joined(model.languages, [], model.unigram, model.floor, model.temperature, model.limits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ce = np.array(batch.column("ce").to_pylist(), float).reshape(batch.num_rows, len(plain.languages))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_told(plain, ce, batch.column("n").to_numpy(), reject)], names=["doc_id", *TOLD])
+
+    return hot_join(rows.select("doc_id", "key"), every, "key", "w").select("doc_id", "n", "ce").mapInArrow(run, schema)
 
 
 def predicted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **kw) -> DataFrame:

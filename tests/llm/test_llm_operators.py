@@ -118,16 +118,18 @@ def test_language_equals_brute_force_kneser_ney(spark):
         assert 0.8 < sum(p[:4]) <= 1.0001  # the floor has the rest
 
 
-def test_pruned_models_still_sum_to_one(spark):
-    """With a bound on n-grams the rare ones leave, discounts stay those of all, and histories keep their mass."""
-    words = [" abba ", " abc ", " baba ", " cab "]
-    grams, counts = language._counts(words, np.array([8, 1, 4, 1]))
-    counted = spark.createDataFrame([("x", g, int(n)) for g, n in zip(grams.tolist(), counts, strict=True)], "l string, g string, n long")
-    m = language.build(counted, most_grams=3)
-    assert len(m.tables[4][0]) < len(language.build(counted).tables[4][0])
-    for history in (" ", " a", " ab", " ba"):
-        p = [2 ** (m.costs([history])[0][0, 0] - m.costs([history + c])[0][0, 0]) for c in "abc "]
-        assert 0.8 < sum(p) <= 1.0001
+def test_beyond_the_arrays_bound_nothing_is_dropped(spark):
+    """With more n-grams than the arrays may hold the tables stay in Spark, and every cost, score and limit is what the arrays give."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(9000, None, "en"), (9001, "", "fr"), (9002, "12 !!", None), (None, "the words of a row without an id", "en"), (9003, "der die das " * 3000, None)]
+    d = d.unionByName(spark.createDataFrame([*odd, odd[4]], d.schema))
+    arrays, joined = language.fit(d), language.fit(d, most_grams=10)
+    assert isinstance(joined, language.Joined) and isinstance(arrays, language.Model)
+    assert arrays.languages == joined.languages and arrays.temperature == joined.temperature and np.allclose(arrays.limits, joined.limits, atol=1e-4)
+    for reject in (False, True):
+        a, b = (sorted(map(tuple, language.identify(d, m, reject=reject).collect()), key=str) for m in (arrays, joined))
+        assert [r[:2] for r in a] == [r[:2] for r in b] and [r[4] for r in a] == [r[4] for r in b]
+        assert np.allclose([r[2:4] for r in a], [r[2:4] for r in b], atol=1e-4)
 
 
 def test_signs_of_numbers_are_no_letters(spark):
