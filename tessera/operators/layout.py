@@ -48,22 +48,44 @@ def font_roles(profiles: DataFrame) -> DataFrame:
     return p.select(*profiles.columns, role.alias("role"))
 
 
-def line_roles(lines: DataFrame, roles: DataFrame, head: float, foot: float) -> DataFrame:
-    """The first role that fits each line: head (outside the page's text band), coord, game_header, heading, moves, text, blank; a header inside a sentence is text again."""
+#: What a picture's label looks like; how far a label is from its picture above and beside it; how far a caption, and its words at most.
+LABEL, LABEL_GAP, LABEL_SIDE, CAPTION_GAP, CAPTION_WORDS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3})?[a-d]?)$", 90.0, 25.0, 14.0, 8
+
+
+def beside_pictures(lines: DataFrame, pictures: DataFrame) -> DataFrame:
+    """page, line_no, _label and _caption: whether a line stands where the label, or a caption, of a picture (page, x0, y0, x1, y1) of its page does: above it within a gap, or within a third of that below, its centre beside the picture no further
+    than a little. Pictures of a page are few; lines without any have no row."""
+    p = pictures.select(F.col("page").alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    centre = (F.col("x0") + F.col("x1")) / 2
+    near = lines.select("page", "line_no", "x0", "y0", "x1", "y1").join(p, F.col("page") == F.col("_p")).where(centre.between(F.col("_x0") - LABEL_SIDE, F.col("_x1") + LABEL_SIDE))
+    above, below = F.col("_y0") - F.col("y1"), F.col("y0") - F.col("_y1")
+    within = lambda gap: above.between(-2.0, gap) | below.between(-2.0, gap / 3)
+    return near.groupBy("page", "line_no").agg(F.bool_or(within(LABEL_GAP)).alias("_label"), F.bool_or(above.between(-2.0, CAPTION_GAP) | below.between(-2.0, CAPTION_GAP)).alias("_caption"))
+
+
+def line_roles(lines: DataFrame, roles: DataFrame, head: float, foot: float, pictures: DataFrame | None = None) -> DataFrame:
+    """The first role that fits each line: head (outside the page's text band), blank, label and caption (of pictures, where these are given), coord, game_header, heading, moves, text; a header inside a sentence is text again. page and line_no tell lines apart."""
     grid = F.round(F.exp(F.round(F.log("size") / F.log(F.lit(1 + SAME_SIZE))) * F.log(F.lit(1 + SAME_SIZE))), 1)
     fonts = roles.select(F.col("font").alias("_f"), F.col("size").alias("_s"), F.col("role").alias("font_role"))
     known = lines.withColumn("_g", grid).join(fonts, (F.col("font") == F.col("_f")) & (F.col("_g") == F.col("_s")), "left").drop("_f", "_s", "_g")
     n = F.size(_words())
+    label = caption = F.lit(False)
+    if pictures is not None:
+        known = known.join(beside_pictures(lines, pictures), ["page", "line_no"], "left").select(*lines.columns, "font_role", "_label", "_caption")
+        label = F.coalesce("_label", F.lit(False)) & F.trim("text").rlike(LABEL)
+        caption = F.coalesce("_caption", F.lit(False)) & (n <= CAPTION_WORDS) & (_count(MOVE_WORD) == 0) & (_count(COORDINATE_WORD) < n)
     role = (
         F.when((F.col("y1") <= head) | (F.col("y0") >= foot), "head")
         .when(F.trim("text") == "", "blank")
+        .when(label, "label")
+        .when(caption, "caption")
         .when(_count(COORDINATE_WORD) == n, "coord")
         .when(F.col("text").rlike(GAME_HEADER) & (n <= 12) & (_count(MOVE_WORD) == 0), "game_header")
         .when(F.col("font_role") == "heading", "heading")
         .when(_count(MOVE_WORD) > 0.5 * n, "moves")
         .otherwise("text")
     )
-    first = known.withColumn("role", role)
+    first = known.withColumn("role", role).drop("_label", "_caption")
     w = Window.partitionBy("page").orderBy("line_no")
     inside = (F.col("role") == "game_header") & F.col("text").rlike("^[a-z]") & (F.lag("role").over(w) == "text")
     return first.withColumn("role", F.when(inside, "text").otherwise(F.col("role")))

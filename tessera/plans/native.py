@@ -392,6 +392,72 @@ def learnt_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.learnt_code(seen, "a", "b", 0.19, 5)
 
 
+_MOVE = layout.MOVE_WORD
+_SHOWN = """SELECT doc_id AS page, k AS line_no, 12 * k AS y0, 12 * k + 10 AS y1, 50 * (k % 5) AS x0, 50 * (k % 5) + 80 AS x1, CASE WHEN (doc_id + 2 * k) % 13 = 0 THEN 'H' ELSE 'B' END AS font,
+  CASE (doc_id + k) % 9 WHEN 0 THEN '1.e4 e5 2.Nf3 Nc6' WHEN 1 THEN 'a b c d' WHEN 2 THEN 'Smith - Jones, London' WHEN 3 THEN ' ' WHEN 4 THEN CAST(k % 200 AS VARCHAR) WHEN 5 THEN 'and so - he thought' ELSE t END AS text
+  FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
+
+
+@query(f"""
+WITH l AS ({_SHOWN}),
+c AS (SELECT *, [w FOR w IN string_split(text, ' ') IF w <> ''] AS w, page % 2 = 0 AND (x0 + x1) / 2.0 BETWEEN 75 AND 225 AS beside FROM l),
+m AS (SELECT *, len(w) AS n, len([x FOR x IN w IF regexp_matches(x, '{_MOVE}')]) AS moves, len([x FOR x IN w IF regexp_matches(x, '{layout.COORDINATE_WORD}')]) AS coords FROM c),
+r AS (SELECT *, CASE WHEN y1 <= 10 OR y0 >= 2400 THEN 'head' WHEN trim(text) = '' THEN 'blank'
+  WHEN beside AND (120 - y1 BETWEEN -2 AND 90 OR y0 - 168 BETWEEN -2 AND 30) AND regexp_matches(trim(text), '{layout.LABEL}') THEN 'label'
+  WHEN beside AND (120 - y1 BETWEEN -2 AND 14 OR y0 - 168 BETWEEN -2 AND 14) AND n <= 8 AND moves = 0 AND coords < n THEN 'caption'
+  WHEN coords = n THEN 'coord' WHEN regexp_matches(text, '{layout.GAME_HEADER}') AND n <= 12 AND moves = 0 THEN 'game_header' WHEN font = 'H' THEN 'heading' WHEN moves > 0.5 * n THEN 'moves' ELSE 'text' END AS role FROM m),
+b AS (SELECT *, lag(role) OVER (PARTITION BY page ORDER BY line_no) AS before FROM r)
+SELECT page, line_no, CASE WHEN role = 'game_header' AND regexp_matches(text, '^[a-z]') AND before = 'text' THEN 'text' ELSE role END AS role FROM b
+""")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of all lines of whole documents, some of them made moves, coordinates, headers, blanks and labels, with a picture on every other page."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
+    page, k = F.col("page"), F.col("line_no")
+    c = (page + k) % 9
+    text = F.when(c == 0, "1.e4 e5 2.Nf3 Nc6").when(c == 1, "a b c d").when(c == 2, "Smith - Jones, London").when(c == 3, " ").when(c == 4, (k % 200).cast("string")).when(c == 5, "and so - he thought").otherwise(F.col("t"))
+    lines = d.select("page", "line_no", (12 * k).alias("y0"), (12 * k + 10).alias("y1"), (50 * (k % 5)).alias("x0"), (50 * (k % 5) + 80).alias("x1"), F.when((page + 2 * k) % 13 == 0, "H").otherwise("B").alias("font"), F.lit(10.0).alias("size"), text.alias("text"))
+    roles = layout.font_profiles(lines).select("font", "size", F.when(F.col("font") == "H", "heading").otherwise("body").alias("role"))
+    pictures = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("page"), F.lit(100).alias("x0"), F.lit(120).alias("y0"), F.lit(200).alias("x1"), F.lit(168).alias("y1"))
+    return layout.line_roles(lines, roles, 10.0, 2400.0, pictures).select("page", "line_no", "role")
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT page_id AS page, page_id * 10 + j AS picture, 100 * j + page_id % 7 AS x0, 100 * j + 60 AS x1, 100 + 150 * (j % 2) AS y0, 160 + 150 * (j % 2) AS y1 FROM pages, range(0, 4) g(j)),
+l AS (SELECT page_id AS page, page_id * 10 + j AS label, 100 * (j % 4) + (page_id * 3 + j) % 50 AS x0, 100 * (j % 4) + (page_id * 3 + j) % 50 + 10 AS x1, 40 + (page_id * 11 + j * 37) % 330 AS y0, 50 + (page_id * 11 + j * 37) % 330 AS y1 FROM pages, range(0, 6) g(j)),
+n AS (SELECT picture, label, CASE WHEN p.y0 - l.y1 BETWEEN -2 AND 90 THEN p.y0 - l.y1 WHEN l.y0 - p.y1 BETWEEN -2 AND 30 THEN 90 + l.y0 - p.y1 END AS d FROM p JOIN l ON p.page = l.page AND (l.x0 + l.x1) / 2.0 BETWEEN p.x0 - 25 AND p.x1 + 25),
+o AS (SELECT picture, label, d, row_number() OVER (ORDER BY d, picture, label) AS k FROM n WHERE d IS NOT NULL),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used_a, []::BIGINT[] AS used_b, NULL::BIGINT AS picture, NULL::BIGINT AS label, NULL::BIGINT AS d
+  UNION ALL SELECT o.k, CASE WHEN list_contains(used_a, o.picture) OR list_contains(used_b, o.label) THEN used_a ELSE list_append(used_a, o.picture) END, CASE WHEN list_contains(used_a, o.picture) OR list_contains(used_b, o.label) THEN used_b ELSE list_append(used_b, o.label) END,
+    CASE WHEN list_contains(used_a, o.picture) OR list_contains(used_b, o.label) THEN NULL ELSE o.picture END, o.label, o.d FROM g JOIN o ON o.k = g.k + 1)
+SELECT picture, label, CAST(d AS DOUBLE) AS distance FROM g WHERE picture IS NOT NULL
+""")
+def picture_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pictures and six labels made for each page: the nearest pairs first, each picture and each label once."""
+    t, page = table(spark, sf_dir, "pages"), F.col("page_id")
+    j = F.col("j")
+    rows = lambda n: t.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("j"))
+    pictures = rows(4).select(page.alias("page"), (page * 10 + j).alias("id"), (100 * j + page % 7).alias("x0"), (100 * j + 60).alias("x1"), (100 + 150 * (j % 2)).alias("y0"), (160 + 150 * (j % 2)).alias("y1"))
+    x, y = 100 * (j % 4) + (page * 3 + j) % 50, 40 + (page * 11 + j * 37) % 330
+    labels = rows(6).select(page.alias("page"), (page * 10 + j).alias("id"), x.alias("x0"), (x + 10).alias("x1"), y.alias("y0"), (y + 10).alias("y1"))
+    return layout.labelled(pictures, labels).select("picture", "label", F.col("distance").cast("double").alias("distance"))
+
+
+@query("""
+WITH e AS (SELECT event_id % 7 AS book, user_id AS line, event_id AS pos, event_id // 60 AS page, event_id % 23 AS ply, event_type FROM events),
+ends AS (SELECT book, line, max(pos) AS pos, max(pos) // 60 AS page, max(pos) % 23 AS ply FROM e WHERE event_type = 'error' AND pos < 9000 GROUP BY book, line),
+c AS (SELECT a.book, a.line, a.pos AS ends, b.line AS from_line, b.pos AS "at", b.ply - a.ply AS gap FROM ends a JOIN e b ON b.event_type = 'click' AND a.book = b.book AND b.page BETWEEN a.page AND a.page + 2 AND b.pos > a.pos AND b.line <> a.line AND b.ply - a.ply BETWEEN 0 AND 4)
+SELECT book, line, arg_min(from_line, "at") AS from_line, min("at") AS "at", arg_min(gap, "at") AS gap FROM c GROUP BY book, line
+""")
+def next_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows a branch's end: the first click of another user after a user's last error before event 9000, no more than four plies and two pages on."""
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select((k % 7).alias("book"), F.col("user_id").alias("line"), k.alias("offset"), F.floor(k / 60).alias("page"), (k % 23).alias("ply"), "event_type")
+    printed = e.where("event_type = 'click'").drop("event_type").withColumn("moves", F.array(F.col("ply").cast("string")))
+    last = e.where("event_type = 'error' and offset < 9000").groupBy("book", "line").agg(F.max("offset").alias("offset"))
+    ends = last.select("book", "line", "offset", F.floor(F.col("offset") / 60).alias("page"), (F.col("offset") % 23).alias("ply"))
+    return reading.suggestions(ends, printed).select("book", "line", "from_line", "at", "gap")
+
+
 # ---- names of drawings
 
 _LETTERS = "KQRBN"
