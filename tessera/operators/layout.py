@@ -223,10 +223,10 @@ def moves_only(text: Column) -> Column:
 
 
 def word_classes(words: DataFrame, roles: DataFrame) -> DataFrame:
-    """All columns and `main`: whether a word stands in the font of moves (or, in a book without one, in the heading's or body's) and not in a note's. The roles of fonts are few and broadcast."""
+    """All columns and `main`: whether a word stands in the font of moves (or, in a book without one, in the heading's or body's) and not in a note's. Roles are joined by font, as Spark sees fit by their size."""
     own = roles.select(F.col("font").alias("_f"), F.col("role").alias("_r"))
     has = F.broadcast(own.agg(F.max((F.col("_r") == "moves").cast("int")).alias("_own")))
-    known = words.join(F.broadcast(own), F.col("font") == F.col("_f"), "left").crossJoin(has)  # one row
+    known = words.join(own, F.col("font") == F.col("_f"), "left").crossJoin(has)  # one row
     return known.withColumn("main", F.when(F.col("_own") == 1, F.coalesce(F.col("_r") == "moves", F.lit(False))).otherwise(F.coalesce(F.col("_r").isin("body", "heading"), F.lit(False)))).drop("_f", "_r", "_own")
 
 

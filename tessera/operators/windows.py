@@ -56,16 +56,20 @@ def run_starts(numbers: Column) -> Column:
 
 
 def renumbered(df: DataFrame, run: str, order: str, number: str, black: str) -> DataFrame:
-    """Tokens of runs numbered anew from the first one's number and side: a ply each."""
-    w = Window.partitionBy(run).orderBy(order)
-    first = lambda c: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ply = 2 * (first(number) - 1) + first(black).cast("int") + F.row_number().over(w) - 1
-    return df.withColumns({number: (F.floor(ply / 2) + 1).cast("int"), black: ply % 2 == 1})
+    """Tokens of runs numbered anew from the first one's number and side: a ply each. Places come from one sort of all runs, so that no run is one task; the rows of a null run are one."""
+    from .paths import placed_within
+
+    numbered_rows = placed_within(df, [run], [order], "_place")
+    firsts = df.groupBy(F.col(run).alias("_run")).agg(F.min_by(F.struct(F.col(number).alias("n"), F.col(black).alias("b")), order).alias("_f"))
+    ply = 2 * (F.col("_f.n") - 1) + F.col("_f.b").cast("int") + F.col("_place") - 1
+    return numbered_rows.join(firsts, F.col(run).eqNullSafe(F.col("_run"))).withColumns({"_ply": ply}).select(*[c for c in df.columns if c not in (number, black)], (F.floor(F.col("_ply") / 2) + 1).cast("int").alias(number), (F.col("_ply") % 2 == 1).alias(black))
 
 
 def review_rank(df: DataFrame, by: list[str], page: str, kind: str, y: str, key: str) -> DataFrame:
-    """Findings of each group in the order in which they are looked at: by page, kind of finding and height."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(page, kind, y, key)))
+    """Findings of each group in the order in which they are looked at: by page, kind of finding and height. One sort of all findings, so that no group is one task."""
+    from .paths import placed_within
+
+    return placed_within(df, by, [page, kind, y, key])
 
 
 def resolve_ambiguous(values: Column) -> Column:
@@ -95,5 +99,5 @@ def path_all(nodes: DataFrame, node: str, parent: str, ok: str, rounds: int = 40
 
 
 def kept_recent(df: DataFrame, by: list[str], at: list[Column], most: int) -> DataFrame:
-    """The most recent rows of each group: eviction of the least recently used."""
+    """The most recent rows of each group: eviction of the least recently used. A limit on a rank, which Spark applies in every task before rows are dealt by group: no group's rows meet, only `most` of each task's."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*at))).where(F.col("_rn") <= most).drop("_rn")
