@@ -14,7 +14,7 @@ smallest hash: equal strings have equal anchors. Strings in a row with equal anc
 First only anchors' hashes are dealt, and those in one document alone are put aside; then
 the fragments of the others. The bytes of fragments that a piece of the corpus holds more than once are dealt
 once, and the others as references, so a passage in any share of the documents comes to a task once a piece. Equal
-fragments are one document of the construction, with the ids of all its copies; it is marked as repeated, and its strings are classes even where no other fragment has them. A fragment that is not
+fragments are one document of the construction, with the ids of all its copies; it is marked as repeated, and its strings are classes even where no other fragment has them (where none may have any of them, the first string stands for all). A fragment that is not
 repeated needs no construction if no other has its anchor, or none of its strings has a hash that another string has. What goes is what the construction finds: without it nothing is removed.
 
 The corpus is first packed into compressed pieces in the shared folder, `LOT` of them a lot, whose names tie the steps together. Anchors are dealt
@@ -44,6 +44,8 @@ from .common import flat, partitions, pieces, release, span_hashes, spans, writt
 
 #: Bytes of a string and of an anchor; strings of a fragment; bytes of a piece of the corpus; text bytes for each bucket of anchors; entries of a file that are read at once.
 LENGTH, ANCHOR, MOST, PIECE, BUCKET, BLOCK = 50, 16, 35, 2_000_000, 2_500_000, 4_000_000
+#: Bytes of a collection that one construction takes, unless a single anchor has more: its files then fit a processor's cache.
+COLLECTION = 150_000
 #: Pieces of a lot (255 at most), buckets of a shelf, lots or shelves that a task takes in turn: tasks grow with the input.
 LOT, SHELF, TURN = 8, 8, 8
 #: No symbol: no UTF-8 text has this byte.
@@ -330,6 +332,18 @@ def _dealt(df: DataFrame, run: Callable, schema: str, by: str, tasks: int) -> Da
     return df.repartition(max(partitions(df.sparkSession), tasks), by).sortWithinPartitions(by).mapInArrow(run, schema)
 
 
+def _turns(rows: np.ndarray, anchor: np.ndarray, size: np.ndarray, most: int = COLLECTION) -> Iterator[np.ndarray]:
+    """Rows in collections of about `most` bytes, no anchor in two of them: equal strings have equal anchors."""
+    order = np.argsort(anchor, kind="stable")
+    rows, anchor, total = rows[order], anchor[order], np.cumsum(size[order])
+    edges = np.concatenate((np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(rows)])) if len(rows) else []
+    begin = filled = 0
+    for end in np.asarray(edges, np.int64).tolist():
+        if total[end - 1] - filled >= most or end == len(rows):
+            yield rows[begin:end]
+            begin, filled = end, total[end - 1]
+
+
 def _settled(own: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, data: np.ndarray, copy_of: np.ndarray, copy_own: np.ndarray, copy_first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a bucket's fragments, whose bytes stand one after the other, and of copies of them (row, document, place): the runs of bytes to remove, as the row (copies behind fragments), the place in its piece and the size.
 
@@ -349,20 +363,26 @@ def _settled(own: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.n
     ends = np.cumsum(n)
     begins = ends - n
     gone, seen = np.zeros(int(ends[-1]), bool), np.zeros(int(ends[-1]), bool)  # strings of distinct fragments: of the smallest documents, of the others
-    # the construction is for fragments that are repeated, and for anchors of several fragments
+    # the construction is for fragments that may share strings with others of their anchor, and for repeated ones: of those that share none
+    # the first string stands for all, as their documents agree in the whole fragment
     _, which, several = np.unique(anchor[rep], return_inverse=True, return_counts=True)
-    some = np.union1d(sieved(data, at[rep], n, np.flatnonzero(several[which] > 1), length), np.flatnonzero(repeated))
-    if len(some):
-        sizes = size[rep[some]]
+    mixed = np.zeros(len(rep), bool)
+    mixed[sieved(data, at[rep], n, np.flatnonzero(several[which] > 1), length)] = True
+    alone = repeated & ~mixed
+    some = np.flatnonzero(mixed | alone)
+    taken = np.where(alone, length, size[rep])
+    for part in _turns(some, anchor[rep[some]], taken[some]):
+        sizes = taken[part]
         places = np.cumsum(sizes) - sizes
-        start, cls = classes(_gather(data, at[rep[some]], sizes), places, sizes, length, repeated=repeated[some])
+        start, cls = classes(_gather(data, at[rep[part]], sizes), places, sizes, length, repeated=repeated[part])
         if len(start):
             doc = np.searchsorted(places, start, "right") - 1
-            ids = low[some[doc]]
+            ids = low[part[doc]]
             least = np.minimum.reduceat(ids, np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))))
-            string = begins[some[doc]] + start - places[doc]
+            string = begins[part[doc]] + start - places[doc]
             gone[string] = ids > least[cls]
             seen[string] = True
+    whole = np.where(alone, seen[begins], np.logical_and.reduceat(seen, begins))
     by = np.argsort(group, kind="stable")
     by = by[lead[by]]
     edge = np.searchsorted(group[by], np.arange(len(rep) + 1))
@@ -372,7 +392,7 @@ def _settled(own: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.n
     run = np.repeat(np.arange(len(a)), each)
     row = by[np.repeat(edge[frag] - np.cumsum(each) + each, each) + np.arange(each.sum())]
     # a document that is not the smallest with its fragment loses what the construction has found of it: all of it
-    rest = np.flatnonzero(~lead & np.logical_and.reduceat(seen, begins)[group])
+    rest = np.flatnonzero(~lead & whole[group])
     start = np.concatenate((first[row] + (a - begins[frag])[run], first[rest]))
     return np.concatenate((row, rest)), start, np.concatenate(((b - a)[run], n[group[rest]])) + length - 1
 
