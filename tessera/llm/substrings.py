@@ -33,6 +33,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,8 @@ def _common(eight: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -
 #: An entry of a collection's file: where the suffix starts, then a byte each for the symbol before it, its common prefix with the entry before, and its length.
 _SYMBOL, _PREFIX, _LEFT = (np.uint64(x) for x in (16, 8, 0))
 _START, _BYTE = np.uint64(24), np.uint64(255)
+#: Which byte of an entry in memory is its symbol.
+_SYMBOL_AT = 2 if np.little_endian else 5
 
 
 def insertion(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +200,7 @@ def insertion(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int =
             high = min(n, low + block)
             own = slice(*np.searchsorted(place, (low, high)))
             old[place[own]] ^= entry[own]
-            part = (old[low:high] >> _SYMBOL).astype(np.uint8)
+            part = old[low:high].view(np.uint8)[_SYMBOL_AT::8].copy()
             order = np.argsort(part, kind="stable")
             ranked = np.empty(high - low, np.int32)
             ranked[order] = np.arange(high - low, dtype=np.int32)
@@ -369,9 +372,9 @@ def _settled(own: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.n
     mixed = np.zeros(len(rep), bool)
     mixed[sieved(data, at[rep], n, np.flatnonzero(several[which] > 1), length)] = True
     alone = repeated & ~mixed
-    some = np.flatnonzero(mixed | alone)
     taken = np.where(alone, length, size[rep])
-    for part in _turns(some, anchor[rep[some]], taken[some]):
+    # collections of either kind by themselves: the second end after `length` rounds
+    for part in chain.from_iterable(_turns(x, anchor[rep[x]], taken[x]) for x in (np.flatnonzero(mixed), np.flatnonzero(alone))):
         sizes = taken[part]
         places = np.cumsum(sizes) - sizes
         start, cls = classes(_gather(data, at[rep[part]], sizes), places, sizes, length, repeated=repeated[part])
