@@ -181,3 +181,28 @@ def test_noise_is_measured(spark):
     r = reading.noise_rates(d).first()
     assert (r.moves, r.failed, r.vanished_of, r.mark_of, r.mark) == (7, 0, 3, 1, 0)
     assert r.file == r.rank == 0
+
+
+def test_rows_of_texts_are_handed_on_in_pieces(monkeypatch):
+    """A task holds the rows of a text and a piece, not those of a whole batch of texts."""
+    import pandas as pd
+    from pyspark.sql.types import IntegerType, StringType, StructType
+    from tessera.operators import reading
+
+    class Frame:
+        schema = StructType().add("k", IntegerType()).add("t", StringType())
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    monkeypatch.setattr(reading, "ROWS", 10, raising=False)
+    seen = []
+    run = reading._each(Frame(), "k", "t", lambda t: seen.append(t) or [(i, t) for i in range(4)], "i int, x string")
+    frames = run(iter([pd.DataFrame({"k": range(50), "t": [str(k) for k in range(50)]}), pd.DataFrame({"k": [], "t": []})]))
+    first = next(frames)
+    assert len(first) == 10 and len(seen) <= 3
+    rows = [tuple(r) for f in [first, *frames] for r in f.itertuples(index=False)]
+    assert rows == [(k, i, str(k)) for k in range(50) for i in range(4)]
