@@ -45,15 +45,26 @@ def folded(lines: list[str], entries: list[dict]) -> list[tuple[str, int, Interv
     move (of, at, until, line, before_of, before): base rows at .. until (excluded) of base line `of` go before a base position, or to the end of a line if that is null; remove (of, at, until); add (line, before_of, before, row): a row of its own.
     An entry whose line or place is no longer there does nothing. What several entries say of one row is what the last of them says."""
     now = {line: [Interval(line, FIRST, LAST)] for line in lines}
+    holders = {line: {line} for line in lines}  # by base line, the lines that may hold rows of it, so that an entry looks at no other
+
+    def held(line: str, intervals: list[Interval]) -> None:
+        for x in intervals:
+            if x.added is None:
+                holders[x.line].add(line)
 
     def taken(of: str, at: int, until: int) -> list[Interval]:
         out = []
-        for line in now:
+        for line in list(holders.get(of, ())):
+            if line not in now:  # split empty, then joined to another
+                holders[of].discard(line)
+                continue
             row = now[line]
             for edge in (at, until):
                 _cut(row, of, edge)
             out += [x for x in row if x.added is None and x.line == of and at <= x.lo < until]
             now[line] = [x for x in row if not (x.added is None and x.line == of and at <= x.lo < until)]
+            if not any(x.added is None and x.line == of for x in now[line]):
+                holders[of].discard(line)
         return sorted(out, key=lambda x: x.lo)
 
     def put(line: str, of: str | None, before: int | None, new: list[Interval]) -> bool:
@@ -63,6 +74,7 @@ def folded(lines: list[str], entries: list[dict]) -> list[tuple[str, int, Interv
         if k is None:
             return False
         now[line][k:k] = new
+        held(line, new)
         return True
 
     for e in entries:
@@ -71,12 +83,18 @@ def folded(lines: list[str], entries: list[dict]) -> list[tuple[str, int, Interv
             if k is not None:
                 now[e["to"]] = now[e["line"]][k:]
                 del now[e["line"]][k:]
+                held(e["to"], now[e["to"]])
         elif e["op"] == "join" and e["line"] in now and e["to"] in now and e["line"] != e["to"]:
-            now[e["to"]] += now.pop(e["line"])
+            gone = now.pop(e["line"])
+            now[e["to"]] += gone
+            held(e["to"], gone)
+            for lines_of in [holders[x.line] for x in gone if x.added is None]:
+                lines_of.discard(e["line"])
         elif e["op"] == "move" and e["line"] in now:
-            before = {line: list(row) for line, row in now.items()}
+            before = {line: list(now[line]) for line in holders.get(e["of"], ()) if line in now}
             if not put(e["line"], e["before_of"], e["before"], taken(e["of"], e["at"], e["until"])):
-                now = before  # its place is among what is moved, or gone
+                now.update(before)  # its place is among what is moved, or gone
+                holders.get(e["of"], set()).update(before)
         elif e["op"] == "remove":
             taken(e["of"], e["at"], e["until"])
         elif e["op"] == "add":

@@ -174,3 +174,26 @@ def test_scalars(spark):
     assert [(x.square, x["first"], x["second"]) for x in r.d] == [("e4", ".", "P"), ("e2", "P", ".")]
     assert (r.c, r.l, r.n, r.s, r.x, r.t, r.e) == ("KQkq", True, False, [8, 5], "\x1dx\t", "The End of the Game", "-0.8")
     assert (r.h.kind, r.h.number, r.h.title, r.k.raw, r.nag, r.cc, r.res) == ("chapter", 4, "Pins", "N:f3", 5, "a b c", "1/2-1/2")
+
+
+def test_an_entry_of_a_script_looks_at_lines_with_its_rows_alone(monkeypatch):
+    """The work of a fold grows with the script and not with the script times the book's lines; lines that are joined, emptied or put back are found."""
+    from tessera.operators import scripts
+
+    calls, cut = [], scripts._cut
+    monkeypatch.setattr(scripts, "_cut", lambda *a: calls.append(1) or cut(*a))
+    lines = [f"l{k:03}" for k in range(200)]
+    entry = {c: None for c in scripts.ENTRY}
+    moves = [entry | {"op": "move", "of": x, "at": 1, "until": 2, "line": x} for x in lines]
+    folded = scripts.folded(lines, moves)
+    assert len(calls) <= 4 * len(lines)
+    assert [(line, x.lo) for line, _, x in folded[:3]] == [("l000", 0), ("l000", 2), ("l000", 1)]
+    odd = [
+        entry | {"op": "split", "line": "a", "of": "a", "at": 3, "to": "n"},
+        entry | {"op": "join", "line": "n", "to": "b"},
+        entry | {"op": "move", "of": "a", "at": 3, "until": 5, "line": "b", "before_of": "a", "before": 4},  # among what is moved: put back
+        entry | {"op": "remove", "of": "a", "at": 4, "until": 5},
+        entry | {"op": "move", "of": "a", "at": 5, "until": 6, "line": "a"},
+    ]
+    got = [(line, x.line, x.lo, x.hi) for line, _, x in scripts.folded(["a", "b"], odd) if x.hi > x.lo]
+    assert got == [("a", "a", 0, 3), ("a", "a", 5, 6), ("b", "b", 0, scripts.LAST), ("b", "a", 3, 4), ("b", "a", 6, scripts.LAST)]
