@@ -63,6 +63,15 @@ def beside_pictures(lines: DataFrame, pictures: DataFrame) -> DataFrame:
     return near.groupBy("page", "line_no").agg(F.bool_or(within(LABEL_GAP)).alias("_label"), F.bool_or(above.between(-2.0, CAPTION_GAP) | below.between(-2.0, CAPTION_GAP)).alias("_caption"))
 
 
+#: Rows of fonts up to which they are broadcast; they are counted first, and more are joined as Spark sees fit.
+FONTS = 20_000
+
+
+def with_fonts(rows: DataFrame, fonts: DataFrame, on: Column) -> DataFrame:
+    """Rows left joined with a table of fonts. A book has few fonts and most of its rows are in one of them, so rows are not dealt out by their font unless the fonts are many. fonts: counted here, so materialised."""
+    return rows.join(F.broadcast(fonts) if fonts.count() <= FONTS else fonts, on, "left")
+
+
 def line_roles(lines: DataFrame, roles: DataFrame, head: float, foot: float, pictures: DataFrame | None = None) -> DataFrame:
     """The first role that fits each line: head (outside the page's text band), blank, label and caption (of pictures, where these are given), coord, game_header, heading, moves, text; a header inside a sentence is text again. page and line_no tell lines apart."""
     grid = F.round(F.exp(F.round(F.log("size") / F.log(F.lit(1 + SAME_SIZE))) * F.log(F.lit(1 + SAME_SIZE))), 1)
@@ -223,10 +232,12 @@ def moves_only(text: Column) -> Column:
 
 
 def word_classes(words: DataFrame, roles: DataFrame) -> DataFrame:
-    """All columns and `main`: whether a word stands in the font of moves (or, in a book without one, in the heading's or body's) and not in a note's. Roles are joined by font, as Spark sees fit by their size."""
-    own = roles.select(F.col("font").alias("_f"), F.col("role").alias("_r"))
+    """All columns and `main`: whether a word stands in the font of moves (or, in a book without one, in the heading's or body's) and not in a note's. Roles are joined by font, broadcast while they are few."""
+    from .materialise import cut
+
+    own = cut(roles.select(F.col("font").alias("_f"), F.col("role").alias("_r")))
     has = F.broadcast(own.agg(F.max((F.col("_r") == "moves").cast("int")).alias("_own")))
-    known = words.join(own, F.col("font") == F.col("_f"), "left").crossJoin(has)  # one row
+    known = with_fonts(words, own, F.col("font") == F.col("_f")).crossJoin(has)  # one row
     return known.withColumn("main", F.when(F.col("_own") == 1, F.coalesce(F.col("_r") == "moves", F.lit(False))).otherwise(F.coalesce(F.col("_r").isin("body", "heading"), F.lit(False)))).drop("_f", "_r", "_own")
 
 

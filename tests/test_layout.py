@@ -61,3 +61,18 @@ def test_fit_and_reached(spark):
     assert layout.reached(n, d).first().diagram == "d"
     assert layout.hidden_removed(n.withColumn("_x", F.lit(1))).columns == ["id", "fen"]
     assert layout.overlapping(spark.createDataFrame([(1, 5), (6, 9), (10, 12)], "a int, b int"), "a", "b", 5, 9).count() == 2
+
+
+def test_words_are_not_dealt_out_by_their_font(spark):
+    """Nearly all words of a book are in one font: a join that deals them out by it puts them in one task."""
+    words = spark.createDataFrame([(1, k, "w", "M" if k % 9 else "B") for k in range(90)], "line int, word_no int, text string, font string")
+    roles = words.select("font").distinct().select("font", F.when(F.col("font") == "M", "moves").otherwise("body").alias("role"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        known = layout.word_classes(words, roles)
+        plan = known._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "hashpartitioning(font" not in plan and "BroadcastHashJoin" in plan
+    assert {(r.font, r.main) for r in known.collect()} == {("M", True), ("B", False)}
