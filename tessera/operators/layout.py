@@ -75,8 +75,10 @@ def with_fonts(rows: DataFrame, fonts: DataFrame, on: Column) -> DataFrame:
 def line_roles(lines: DataFrame, roles: DataFrame, head: float, foot: float, pictures: DataFrame | None = None) -> DataFrame:
     """The first role that fits each line: head (outside the page's text band), blank, label and caption (of pictures, where these are given), coord, game_header, heading, moves, text; a header inside a sentence is text again. page and line_no tell lines apart."""
     grid = F.round(F.exp(F.round(F.log("size") / F.log(F.lit(1 + SAME_SIZE))) * F.log(F.lit(1 + SAME_SIZE))), 1)
-    fonts = roles.select(F.col("font").alias("_f"), F.col("size").alias("_s"), F.col("role").alias("font_role"))
-    known = lines.withColumn("_g", grid).join(fonts, (F.col("font") == F.col("_f")) & (F.col("_g") == F.col("_s")), "left").drop("_f", "_s", "_g")
+    from .materialise import cut
+
+    fonts = cut(roles.select(F.col("font").alias("_f"), F.col("size").alias("_s"), F.col("role").alias("font_role")))
+    known = with_fonts(lines.withColumn("_g", grid), fonts, (F.col("font") == F.col("_f")) & (F.col("_g") == F.col("_s"))).drop("_f", "_s", "_g")
     n = F.size(_words())
     label = caption = F.lit(False)
     if pictures is not None:

@@ -76,3 +76,21 @@ def test_words_are_not_dealt_out_by_their_font(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert "hashpartitioning(font" not in plan and "BroadcastHashJoin" in plan
     assert {(r.font, r.main) for r in known.collect()} == {("M", True), ("B", False)}
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_lines_are_not_dealt_out_by_their_font(spark, monkeypatch, most):
+    """While fonts are few, lines find their role where they are; beyond that Spark joins them, with the same roles."""
+    monkeypatch.setattr(layout, "FONTS", most)
+    lines = spark.createDataFrame([(1, k, 0.0, 100.0 + k, 50.0, 108.0 + k, "some words", "H" if k % 9 == 0 else "B", 10.0) for k in range(30)], "page int, line_no int, x0 double, y0 double, x1 double, y1 double, text string, font string, size double")
+    roles = layout.font_profiles(lines).select("font", "size", F.when(F.col("font") == "H", "heading").otherwise("body").alias("role"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = layout.line_roles(lines, roles, 10.0, 2400.0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.line_no, r.role) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert ("hashpartitioning(font" in plan) == (most == 0)
+    assert got == {(k, "heading" if k % 9 == 0 else "text") for k in range(30)}
