@@ -167,6 +167,41 @@ def test_the_cap_on_old_branches_leaves_room(spark):
     assert lattice.beam(df.limit(0), mv, 2).collect() == []
 
 
+def plain_beam(steps, moves, width, old, age):
+    out = {}
+    for key in {s[0] for s in steps if s[0] is not None}:
+        at = {}
+        for k, pos, state, cost in steps:
+            if k == key and state is not None:
+                at.setdefault(pos, {})[state] = min(cost, at.get(pos, {}).get(state, cost))
+        ways = [(0, [])]
+        for pos in range(1, max(at) + 1):
+            ways = sorted((c + (moves[w[-1], s] if w else 0) + own, [*w, s]) for c, w in ways for s, own in at.get(pos, {}).items() if not w or (w[-1], s) in moves)
+            if len(ways) > width:
+                far = [pos > age and w[: pos - age] != ways[0][1][: pos - age] for _, w in ways]
+                ways = [w for k, w in enumerate(ways) if not far[k] or sum(far[: k + 1]) <= old][:width]
+        out[key] = ways
+    return out
+
+
+@pytest.mark.parametrize("most_states", [64, 1])
+def test_a_long_beam_is_one_fold(spark, most_states):
+    """Moves by array and by join give the same ways as a walk; keys of forty positions take no more jobs than short ones."""
+    rng, states = random.Random(most_states), "abcde"
+    moves = {(x, y): rng.randrange(9) for x in states for y in states if rng.random() < 0.9}
+    steps = [(k, p, s, rng.randrange(9)) for k in range(8) for p in range(1, rng.choice([3, 20, 40]) + 1) for s in rng.sample(states, rng.randrange(2, 6))]
+    steps = [*steps, (3, 2, "z", 0), (90, 1, "a", 1), (90, 3, "a", 1), (91, 1, "z", 4), (92, 0, "a", 1)]  # a gap, states without moves, a position before the first
+    moves_df = spark.createDataFrame([(*p, c) for p, c in moves.items()], "before string, after string, cost int")
+    for old, age in ((1, 2), (0, 0), (None, 3)):
+        spark.sparkContext.setJobGroup(f"beam-{most_states}-{old}", "")
+        got = lattice.beam(spark.createDataFrame(steps, "key int, pos int, state string, cost int"), moves_df, 4, old=old, age=age, most_states=most_states).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"beam-{most_states}-{old}")
+        assert 0 < len(jobs) <= 16
+        ways = plain_beam([s for s in steps if s[1] > 0], moves, 4, 99 if old is None else old, age)
+        assert {(r.key, r.place, r.cost, tuple(r.way)) for r in got} == {(k, n + 1, c, tuple(w)) for k, found in ways.items() for n, (c, w) in enumerate(found)}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def plain_listing(nodes):
     """Ids in the order in which trees of (id, parent, ordinal) are printed."""
     ids = {n for n, _, _ in nodes}
