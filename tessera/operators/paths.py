@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,36 +83,71 @@ def placed_within(df: DataFrame, by: list[str], order: list[str], name: str = "p
 def shortest(edges: DataFrame, pairs: DataFrame, most: int) -> tuple[DataFrame, int]:
     """source, target, steps and way (an array of nodes) for each pair (source, target), and the rows of the largest frontier. edges: a, b, walked both ways.
 
-    Two frontiers, from sources and from targets, grow in turn, the smaller one first, each by a join with the edges; what a pair has seen from a side does not enter that side again, and of ways to one
-    node the least (by nodes in order) is kept. A pair is done when its frontiers meet in a node, so each side goes half of the way: of d neighbours a node and six steps some d**3 nodes a side are seen and not d**6.
+    Two frontiers, from sources and from targets, grow in turn, the smaller one first, each by a join with the edges. A pair is done when its frontiers meet in a node, so each side goes half of the way:
+    of d neighbours a node and six steps some d**3 nodes a side are seen and not d**6. A frontier's row is two numbers, a pair and a node; one aggregate tells what is new (a neighbour of the last level stands in
+    the two levels before or is new), what is met and what is neither. Ways are made at the end and for found pairs alone, from the levels' nodes that lie on a shortest way. Nodes are numbered in their own order, so that the
+    least numbers are the least nodes.
     The way is the least of the shortest ones. A pair further than `most` steps apart, or with a node that no edge has, has null steps and way (0 steps if both are the same node);
     pairs with a null are dropped, as are null ends of edges; repeated pairs and edges count once."""
     both = edges.where("a is not null and b is not null")
-    links = cut(both.select(F.col("a").alias("_x"), F.col("b").alias("_y")).union(both.select("b", "a")).where("_x <> _y").distinct())
-    wanted = cut(pairs.where("source is not null and target is not null").select("source", "target").distinct())
-    key = ["source", "target"]
-    start = lambda end: wanted.select(*key, F.col(end).alias("node"), F.array(end).alias("way"))
-    sides = {"source": cut(start("source")), "target": cut(start("target"))}
-    seen = {end: rows.select(*key, "node") for end, rows in sides.items()}
-    sizes = {end: rows.count() for end, rows in sides.items()}
-    found, largest, gone = None, max(sizes.values()), 0
-    while True:
-        left, right = sides["source"], sides["target"].withColumnRenamed("way", "rest")
-        # the way from the target is kept from its node to the target
-        met = left.join(right, [*key, "node"]).select(*key, F.concat("way", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))).alias("way"))
-        met = cut(met.groupBy(*key).agg(F.min("way").alias("way")).select(*key, F.lit(gone).alias("steps"), "way"))
-        found = met if found is None else found.unionByName(met)
-        if gone == most:
-            break
-        done = met.select(*key)
-        sides = {end: rows.join(done, key, "left_anti") for end, rows in sides.items()}
-        end = min(sizes, key=lambda e: (sizes[e], e))
-        grown = sides[end].join(links, F.col("node") == F.col("_x")).select(*key, F.col("_y").alias("node"), (F.concat("way", F.array("_y")) if end == "source" else F.concat(F.array("_y"), "way")).alias("way"))
-        grown = grown.join(seen[end], [*key, "node"], "left_anti").groupBy(*key, "node").agg(F.min("way").alias("way"))
-        sides[end] = cut(grown)
-        seen[end] = cut(seen[end].join(done, key, "left_anti").unionByName(sides[end].select(*key, "node")))
-        sizes = {e: rows.count() for e, rows in sides.items()}
-        largest, gone = max(largest, *sizes.values()), gone + 1
+    named = cut(both.select(F.col("a").alias("_x"), F.col("b").alias("_y")).union(both.select("b", "a")).where("_x <> _y").distinct())
+    names = cut(placed(named.select("_x").distinct(), ["_x"], "_id"))
+    of = lambda name, number: names.select(F.col("_x").alias(name), F.col("_id").alias(number))
+    links = cut(named.join(of("_x", "_from"), "_x").join(of("_y", "_to"), "_y").select("_from", "_to"))
+    wanted = cut(pairs.where("source is not null and target is not null").select("source", "target").distinct().withColumn("_pair", F.monotonically_increasing_id()))
+    asked = cut(wanted.where("source <> target").join(of("source", "_s"), "source").join(of("target", "_t"), "target").select("_pair", "_s", "_t"))
+    levels = {end: [asked.select("_pair", F.col(number).alias("_node"))] for end, number in (("source", "_s"), ("target", "_t"))}
+    front = {end: rows[0] for end, rows in levels.items()}
+    sizes = dict.fromkeys(levels, asked.count())
+    found, largest = [], max(1, *sizes.values())
+    for gone in range(1, most + 1):
         if not min(sizes.values()):
             break
-    return wanted.join(found, key, "left"), largest
+        end = min(sizes, key=lambda e: (sizes[e], e))
+        other = "target" if end == "source" else "source"
+        told = front[end].join(links, F.col("_node") == F.col("_from")).select("_pair", F.col("_to").alias("_node"), F.lit(1).alias("_is"))
+        for rows, bit in [(front[other], 4), *[(rows, 2) for rows in levels[end][-2:]]]:
+            told = told.unionByName(rows.select("_pair", "_node", F.lit(bit).alias("_is")))
+        told = told.groupBy("_pair", "_node").agg(F.bit_or("_is").alias("_is")).where(F.col("_is").isin(1, 5) if gone < most else F.col("_is") == 5)
+        told = cut(told)
+        levels[end].append(told.select("_pair", "_node"))
+        front[end] = levels[end][-1]
+        met = told.where("_is = 5").select("_pair", "_node", F.lit(len(levels["source"]) - 1).alias("_a"), F.lit(len(levels["target"]) - 1).alias("_b"))
+        done = cut(met.select("_pair").distinct())
+        if (n := done.count()) > 0:
+            found.append(met)
+            front = {e: rows.join(F.broadcast(done) if n <= MOST_DONE else done, "_pair", "left_anti") for e, rows in front.items()}
+        sizes = {e: rows.count() for e, rows in front.items()}
+        largest = max(largest, *sizes.values())
+    ways = wanted.where("source = target").select("_pair", F.lit(0).alias("steps"), F.array("source").alias("way"))
+    if found:
+        ways = ways.unionByName(_ways(reduce(DataFrame.unionByName, found), levels, links, asked, names))
+    return wanted.join(ways, "_pair", "left").select("source", "target", "steps", "way"), largest
+
+
+#: Pairs that are done in a round and go to all tasks; more of them leave the frontiers by a shuffle.
+MOST_DONE = 1_000_000
+
+
+def _ways(met: DataFrame, levels: dict[str, list[DataFrame]], links: DataFrame, asked: DataFrame, names: DataFrame) -> DataFrame:
+    """_pair, steps, way of met pairs (_pair, _node, and the steps _a and _b to the node from source and target): back from where they met, the levels' nodes that lie on a shortest way; then forward, the least way to each."""
+    met = cut(met)
+    pairs = cut(met.select("_pair", (F.col("_a") + F.col("_b")).alias("_d")).distinct())
+    nexts = lambda rows: rows.join(links, F.col("_node") == F.col("_from"))
+    on = []
+    for end, steps in (("source", "_a"), ("target", "_b")):
+        here = None
+        for k in range(len(levels[end]) - 1, -1, -1):
+            starts = met.where(F.col(steps) == k).select("_pair", "_node")
+            back = here and nexts(here).select("_pair", F.col("_to").alias("_node")).distinct().join(levels[end][k], ["_pair", "_node"], "left_semi")
+            here = cut(starts.unionByName(back).distinct() if back else starts)
+            on.append(here.join(pairs, "_pair").select("_pair", "_node", (F.lit(k) if end == "source" else F.col("_d") - k).alias("_k")))
+    on = cut(reduce(DataFrame.unionByName, on).distinct())
+    now, out = asked.join(pairs, "_pair").select("_pair", F.col("_s").alias("_node"), F.array("_s").alias("_way"), "_d"), []
+    for k in range(1, sum(len(rows) - 1 for rows in levels.values()) + 1):
+        grown = nexts(now.where(F.col("_d") >= k)).select("_pair", F.col("_to").alias("_node"), F.concat("_way", F.array("_to")).alias("_way"), "_d")
+        grown = grown.join(on.where(F.col("_k") == k), ["_pair", "_node"], "left_semi")
+        now = cut(grown.groupBy("_pair", "_node").agg(F.min("_way").alias("_way"), F.first("_d").alias("_d")))
+        out.append(now.where(F.col("_d") == k).select("_pair", "_d", "_way"))
+    told = reduce(DataFrame.unionByName, out).select("_pair", "_d", F.posexplode("_way").alias("_k", "_id")).join(names, "_id")
+    return told.groupBy("_pair").agg(F.first("_d").alias("steps"), F.transform(F.array_sort(F.collect_list(F.struct("_k", "_x"))), lambda x: x["_x"]).alias("way"))

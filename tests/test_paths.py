@@ -283,3 +283,19 @@ def test_shortest_ways(spark, seed, most):
     got, largest = paths.shortest(spark.createDataFrame([*edges, edges[0]], "a string, b string"), spark.createDataFrame([*pairs, pairs[0]], "source string, target string"), most)
     got = {(r.source, r.target, r.steps, r.way and tuple(r.way)) for r in got.collect()}
     assert got == set(plain_shortest(edges, pairs, most)) and largest >= 1
+
+
+def test_frontiers_of_shortest_ways_are_numbers(spark, monkeypatch):
+    """What is written by the size of the frontiers has no names and no ways, and the ways are the same."""
+    written, cut = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rng = random.Random(5)
+    edges = [(f"s{rng.randrange(60)}", f"o{rng.randrange(80)}") for _ in range(160)]
+    pairs = [(f"s{k}", f"s{(7 * k + 3) % 60}") for k in range(60)]
+    for most in (4, 6):
+        got, largest = paths.shortest(spark.createDataFrame(edges, "a string, b string"), spark.createDataFrame(pairs, "source string, target string"), most)
+        assert {(r.source, r.target, r.steps, r.way and tuple(r.way)) for r in got.collect()} == set(plain_shortest(edges, pairs, most))
+    assert largest > 2 * len(edges)
+    for df in written:
+        if any(f.dataType.typeName() in ("string", "array") for f in df.schema):
+            assert df.count() <= 2 * len(edges)
