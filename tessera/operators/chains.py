@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .materialise import cut
+from .paths import placed
 
 
 def same(left: DataFrame, right: DataFrame, names: dict[str, str]) -> Column:
@@ -100,30 +101,41 @@ def series_numbers(label: Column) -> Column:
 def main_series(df: DataFrame, by: str, page: list[str], label: str, ties: list[str]) -> DataFrame:
     """All columns and `main`: whether a label belongs to its group's main numbered series, in the order of pages and of the labels on a page.
 
-    The labels that may come next after one are listed: its own numbers with a greater label, up to SERIES_STEP further on, and, with chapters, the starts of the next chapter. Each label that a
+    Places are numbered first, by one sort of all, so that what goes on are numbers and not the columns of the order. The labels that may come next after one are its own numbers with a greater label, up to SERIES_STEP
+    further on, and, with chapters, the starts of the next chapter: they stand in its cell of numbers or in the next one, or in the next chapter's first. Each label that a
     group has among these is looked up at its first place behind, and the nearest of them is the successor; the series is what is reached from the first start.
     Rows that agree in all columns of the order have one place; labels without numbers, null ones too, count as 0 and never belong; an empty table gives an empty result."""
-    order = [*page, "_numbers", "_label", *ties]
-    rows = df.withColumn("_label", F.coalesce(F.col(label), F.lit(""))).withColumn("_numbers", series_numbers(F.col("_label")))
-    at = F.struct(*order)
-    places = cut(rows.select(F.col(by).alias("_by"), at.alias("_at"), "_numbers", "_label").distinct())
-    n, a, b = F.size("_numbers"), F.get("_numbers", F.lit(0)), F.get("_numbers", F.lit(1))
-    kinds = places.select(F.col("_by").alias("_kb"), F.col("_numbers").alias("_kn"), F.col("_label").alias("_kl")).distinct()
-    kinds = kinds.withColumns({"_ks": F.size("_kn"), "_ka": F.get("_kn", F.lit(0)), "_kc": F.coalesce(F.get("_kn", F.lit(1)), F.lit(-1))})
-    steps = F.sequence(F.lit(0), F.lit(SERIES_STEP))
-    alone = F.transform(steps, lambda k: F.struct((a + k).alias("a"), F.lit(-1).cast("long").alias("b")))
-    chapter = F.concat(F.transform(steps, lambda k: F.struct(a.alias("a"), (b + k).alias("b"))), F.array(*[F.struct((a + 1).alias("a"), F.lit(k).cast("long").alias("b")) for k in CHAPTER_STARTS]))
-    wanted = places.select("_by", "_at", "_numbers", "_label", n.alias("_s"), F.explode(F.when(n == 1, alone).otherwise(chapter)).alias("_w"))
-    asks = wanted.join(kinds, wanted["_by"].eqNullSafe(kinds["_kb"]) & (wanted["_s"] == kinds["_ks"]) & (wanted["_w.a"] == kinds["_ka"]) & (wanted["_w.b"] == kinds["_kc"]))
-    asks = asks.where(F.struct("_kn", "_kl") > F.struct("_numbers", "_label")).select(F.col("_by"), F.col("_kl").alias("_key"), F.col("_at"), F.lit(1).alias("_k"))
-    found = places.select("_by", F.col("_label").alias("_key"), "_at", F.lit(0).alias("_k")).unionByName(asks)
-    behind = Window.partitionBy("_by", "_key").orderBy(F.col("_at").desc(), "_k").rowsBetween(Window.unboundedPreceding, -1)
-    looked = found.withColumn("_to", F.last(F.when(F.col("_k") == 0, F.col("_at")), ignorenulls=True).over(behind)).where("_k = 1")
-    links = looked.groupBy("_by", "_at").agg(F.min("_to").alias("_to"))
+    rows = df.withColumn("_label", F.coalesce(F.col(label), F.lit("")))
+    keys = [*page, "_label", *ties]
+    names = {c: f"_key{k}" for k, c in enumerate(keys)}
+    places = cut(rows.select(F.col(by).alias("_by"), *[F.col(c).alias(n) for c, n in names.items()]).distinct())
+    told = names["_label"]
+    order = ["_by", *[names[c] for c in page], "_numbers", told, *[names[c] for c in ties]]
+    places = cut(placed(places.withColumn("_numbers", series_numbers(F.col(told))), order, "_at"))
     is_start = F.lit(False)
     for start in SERIES_STARTS:
         is_start = is_start | (F.col("_numbers") == F.array(*[F.lit(x).cast("long") for x in start]))
-    starts = places.where(is_start).groupBy("_by").agg(F.min("_at").alias("_at"))
-    main = reached_from(starts, links, "_by", "_at", "_to").select(F.col("_by").alias("_mb"), F.col("_at").alias("_ma"))
-    own = rows.withColumn("_at", at)
-    return own.join(main, own[by].eqNullSafe(main["_mb"]) & (own["_at"] == main["_ma"]), "left").select(*df.columns, F.col("_ma").isNotNull().alias("main"))
+    starts = cut(places.where(is_start).groupBy(F.col("_by").alias("_sb")).agg(F.min("_at").alias("_start")))
+    n, a, b = F.size("_numbers"), F.get("_numbers", F.lit(0)), F.coalesce(F.get("_numbers", F.lit(1)), F.lit(-1))
+    width = SERIES_STEP + 1
+    cell = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    whole = lambda x: F.floor(x / F.lit(width))
+    rest = F.when(n > 2, F.slice("_numbers", 3, F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<long>"))
+    behind_start = places.join(starts, same(places, starts, {"_by": "_sb"}) & (F.col("_at") >= F.col("_start")))  # all that a series can reach
+    at = behind_start.select("_by", "_at", F.col(told).alias("_label"), n.alias("_s"), a.alias("_a"), b.alias("_b"), rest.alias("_rest"), F.when(n == 1, cell(whole(a), F.lit(-1))).otherwise(cell(a, whole(b))).alias("_c"))
+    kinds = at.groupBy("_by", "_label").agg(*[F.first(c).alias(c) for c in ("_s", "_a", "_b", "_rest", "_c")]).select(*[F.col(c).alias(f"_k{c}") for c in ("_by", "_label", "_s", "_a", "_b", "_rest", "_c")])
+    x, y = F.col("_c.x"), F.col("_c.y")
+    last = -(-(max(CHAPTER_STARTS) + 1) // width)
+    cells = F.when(F.col("_s") == 1, F.array(cell(x, y), cell(x + 1, y))).otherwise(F.array(cell(x, y), cell(x, y + 1), *[cell(x + 1, F.lit(k)) for k in range(last)]))
+    wanted = at.select("_by", "_at", "_label", "_s", "_a", "_b", "_rest", F.explode(cells).alias("_w"))
+    further = lambda c: F.col(f"_k{c}") - F.col(c)
+    near = F.when(F.col("_s") == 1, further("_a").between(0, SERIES_STEP)).otherwise(((further("_a") == 0) & further("_b").between(0, SERIES_STEP)) | ((further("_a") == 1) & F.col("_k_b").isin(*CHAPTER_STARTS)))
+    asks = wanted.join(kinds, wanted["_by"].eqNullSafe(kinds["_k_by"]) & (wanted["_s"] == kinds["_k_s"]) & (wanted["_w.x"] == kinds["_k_c.x"]) & (wanted["_w.y"] == kinds["_k_c.y"]))
+    asks = asks.where(near & (F.struct("_k_a", "_k_b", "_k_rest", "_k_label") > F.struct("_a", "_b", "_rest", "_label"))).select("_by", F.col("_k_label").alias("_key"), "_at", F.lit(1).alias("_k"))
+    found = at.select("_by", F.col("_label").alias("_key"), "_at", F.lit(0).alias("_k")).unionByName(asks)
+    behind = Window.partitionBy("_by", "_key").orderBy(F.col("_at").desc(), "_k").rowsBetween(Window.unboundedPreceding, -1)
+    looked = found.withColumn("_to", F.last(F.when(F.col("_k") == 0, F.col("_at")), ignorenulls=True).over(behind)).where("_k = 1")
+    links = looked.groupBy("_at").agg(F.min("_to").alias("_to")).withColumn("_all", F.lit(0))
+    main = reached_from(starts.select(F.lit(0).alias("_all"), F.col("_start").alias("_at")), links, "_all", "_at", "_to").select(F.col("_at").alias("_ma"))
+    main = places.join(main, F.col("_at") == F.col("_ma")).select("_by", *names.values(), "_ma")
+    return rows.join(main, same(rows, main, {by: "_by", **names}), "left").select(*df.columns, F.col("_ma").isNotNull().alias("main"))

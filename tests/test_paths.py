@@ -79,6 +79,19 @@ def test_main_series(spark, seed):
     assert got == plain_series(rows) and len(got) > 5
 
 
+def test_links_of_a_series_are_numbers(spark, monkeypatch):
+    """What a series' links and jumps are written as has no columns of the order, and none of a group without a start; steps go over cells of numbers and from chapter to chapter."""
+    written, cut = [], chains.cut
+    monkeypatch.setattr(chains, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rng = random.Random(7)
+    rows = [(f"g{k % 2}", k // 9, f"{1 + k // 60}.{(k % 60) // 2 + rng.randrange(14)}", k) for k in range(240)] + [("g2", k // 5, str(k + rng.randrange(15)), 1000 + k) for k in range(60)]
+    rows += [("g0", 0, "1.1", 2000), ("g1", 0, "1", 2001), ("g2", 0, "1", 2002)] + [("no", k, str(k + 2), 3000 + k) for k in range(300)]
+    got = {tuple(r)[:4] for r in chains.main_series(spark.createDataFrame(rows, "g string, page int, label string, id int"), "g", ["page"], "label", ["id"]).collect() if r.main}
+    assert got == plain_series(rows) and len(got) > 12
+    links = [df for df in written if "_t" in df.columns]
+    assert links and all(dict(df.dtypes)["_n"] == "bigint" for df in links) and max(df.count() for df in links) < 300
+
+
 def plain_tokens(text):
     out = [(m.start(), m.group()) for m in re.finditer(r"[0-9]+|[()\[\]{}]", text or "")]
     return [(at, raw) for at, raw in out if len(raw) <= 3]
