@@ -9,7 +9,6 @@ import json
 import random
 from collections.abc import Iterator
 from dataclasses import asdict
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,17 +24,29 @@ TOKEN = "kind string, raw string, start int, end int, number int, black boolean"
 
 #: Rows that a task of `_each` holds before it hands them on; a text's own rows stay together until they are made.
 ROWS = 4096
+#: Characters of texts whose rows a task of `_each` holds: rows may be as long as their texts.
+CHARS = 1 << 20
 
 
 def _each(df: DataFrame, key: str, text: str, make, schema: str) -> DataFrame:
-    """Rows made of each text, with its key; handed on in pieces of ROWS, so that a task holds a batch of texts and the rows of one text, however many rows the batch gives."""
+    """Rows made of each text, with its key; handed on in pieces of ROWS, or of what CHARS of texts give, so that a task holds a batch of texts and the rows of one text, however many or long rows the batch gives."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [key, *[c.strip().split(" ")[0] for c in _columns(schema)]]
         for pdf in frames:
-            rows = ((k, *r) for k, t in zip(pdf[key], pdf[text], strict=True) for r in make(t or ""))
-            while piece := list(islice(rows, ROWS)):
+            piece, chars = [], 0
+            for k, t in zip(pdf[key], pdf[text], strict=True):
+                for r in make(t or ""):
+                    piece.append((k, *r))
+                    if len(piece) == ROWS:
+                        yield pd.DataFrame(piece, columns=names).astype(object)
+                        piece, chars = [], 0
+                chars += len(t or "")
+                if piece and chars >= CHARS:
+                    yield pd.DataFrame(piece, columns=names).astype(object)
+                    piece, chars = [], 0
+            if piece:
                 yield pd.DataFrame(piece, columns=names).astype(object)
 
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, {schema}")

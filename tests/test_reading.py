@@ -206,3 +206,27 @@ def test_rows_of_texts_are_handed_on_in_pieces(monkeypatch):
     assert len(first) == 10 and len(seen) <= 3
     rows = [tuple(r) for f in [first, *frames] for r in f.itertuples(index=False)]
     assert rows == [(k, i, str(k)) for k in range(50) for i in range(4)]
+
+
+def test_long_rows_of_texts_are_handed_on_by_their_texts(monkeypatch):
+    """Few rows that are as long as their texts are handed on before a batch is through."""
+    import pandas as pd
+    from pyspark.sql.types import IntegerType, StringType, StructType
+    from tessera.operators import reading
+
+    class Frame:
+        schema = StructType().add("k", IntegerType()).add("t", StringType())
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    monkeypatch.setattr(reading, "CHARS", 100, raising=False)
+    seen = []
+    run = reading._each(Frame(), "k", "t", lambda t: seen.append(t) or ([(0, t)] if t else []), "i int, x string")
+    frames = run(iter([pd.DataFrame({"k": range(20), "t": ["x" * 40 if k % 4 else None for k in range(20)]}), pd.DataFrame({"k": [], "t": []})]))
+    first = next(frames)
+    assert len(first) == 3 and len(seen) == 4
+    assert [r.k for f in [first, *frames] for r in f.itertuples(index=False)] == [k for k in range(20) if k % 4]
