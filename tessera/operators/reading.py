@@ -7,12 +7,12 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import board, notation, repair, tree
@@ -74,25 +74,50 @@ def runs(df: DataFrame, key: str, text: str, exact: bool = False) -> DataFrame:
     )
 
 
-def decode(df: DataFrame, start: str, moves: str, model: NoiseModel | None = None) -> DataFrame:
-    """All columns and `decoded`, an array of what each printed move reads as. Equal (position, moves) pairs are decoded once: distinct pairs are read and joined back."""
-    shared = df.sparkSession.sparkContext.broadcast(model or NoiseModel())
+#: Tasks of `decode` for each shuffle partition: runs are dear and some dearer than others, so that no core waits long for the last.
+DEALT = 4
+
+
+def _book(by: Sequence[str]) -> Column:
+    """The name of a row's book: the values that tell the books, as text."""
+    return F.to_json(F.struct(*by)) if by else F.lit("")
+
+
+def decode(df: DataFrame, start: str, moves: str, model: NoiseModel | dict[str, NoiseModel] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """All columns and `decoded`, an array of what each printed move reads as. Equal (position, moves) pairs of a book are decoded once: distinct pairs are read and joined back. by: what tells the books, if each has a model of its own; a book without one is read with an empty model."""
+    shared = df.sparkSession.sparkContext.broadcast(model if isinstance(model, dict) else {"": model or NoiseModel()})
     row = "ply int, raw string, san string, uci string, status string, cost double, alternatives array<string>, symbol string, printed string, fen string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Decoder(shared.value)
+        own: dict[str, Decoder] = {}
+        names = ["_s", "_m", "_b", "decoded"]
         for pdf in frames:
-            yield pd.DataFrame({"_s": pdf["_s"], "_m": pdf["_m"], "decoded": [own.run(s, list(m)) for s, m in zip(pdf["_s"], pdf["_m"], strict=True)]})
+            piece, held = [], 0
+            for s, m, b in zip(pdf["_s"], pdf["_m"], pdf["_b"], strict=True):
+                if b not in own:
+                    own[b] = Decoder(shared.value.get(b))
+                piece.append((s, m, b, own[b].run(s, list(m))))
+                held += len(m)
+                if held >= ROWS:
+                    yield pd.DataFrame(piece, columns=names)
+                    piece, held = [], 0
+            if piece:
+                yield pd.DataFrame(piece, columns=names)
 
-    asked = df.select(F.col(start).alias("_s"), F.col(moves).alias("_m")).distinct()
-    asked = asked.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_m")  # dear by row: spread over all tasks, however few rows
-    read = asked.mapInPandas(run, f"_s string, _m array<string>, decoded array<struct<{row.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace(' array', ':array')}>>")
-    return df.join(read, (df[start] == read["_s"]) & (df[moves] == read["_m"]), "left").drop("_s", "_m")
+    asked = df.select(F.col(start).alias("_s"), F.col(moves).alias("_m"), _book(by).alias("_b")).distinct()
+    asked = asked.repartition(DEALT * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_m", "_b")  # dear by row: spread over all tasks, however few rows
+    read = asked.mapInPandas(run, f"_s string, _m array<string>, _b string, decoded array<struct<{row.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace(' array', ':array')}>>")
+    return df.join(read, (df[start] == read["_s"]) & (df[moves] == read["_m"]) & (_book([df[c] for c in by]) == read["_b"]), "left").drop("_s", "_m", "_b")
 
 
 def learn(decoded: DataFrame) -> NoiseModel:
     """What symbols and printed squares stood for, in moves read without doubt: all of it, summed first, so that the driver gets a row for each distinct symbol (a few characters) and what it stood for, however many moves show it."""
-    d = decoded.select(F.explode("decoded").alias("d")).select("d.*").where("san is not null and cost <= 2.5 and san not like 'O%'")
+    return learn_each(decoded, ()).get("", NoiseModel())
+
+
+def learn_each(decoded: DataFrame, by: Sequence[str]) -> dict[str, NoiseModel]:
+    """The model of each book, all learnt by one job."""
+    d = decoded.select(_book(by).alias("_b"), F.explode("decoded").alias("d")).select("_b", "d.*").where("san is not null and cost <= 2.5 and san not like 'O%'")
     to = lambda k: F.regexp_extract("san", "([a-h])([1-8])(?:=[QRBN])?[+#]?$", k)
     fact = lambda kind, char, value, when: F.when(when, F.struct(F.lit(kind).alias("kind"), char.alias("char"), value.alias("value")))
     piece = F.when(F.substring("san", 1, 1).isin(*"KQRBN"), F.substring("san", 1, 1)).otherwise("P")
@@ -100,20 +125,20 @@ def learn(decoded: DataFrame) -> NoiseModel:
     every = F.array(
         fact("file", at(1), to(1), at(1) != "-"), fact("rank", at(2), to(2), at(2) != "-"), fact("symbol", F.col("symbol"), piece, ok), fact("mark", F.col("symbol"), F.when(F.col("san").contains("x"), "x").otherwise("-"), ok & (F.col("symbol") != "") & (at(3) == "-"))
     )
-    facts = d.select(F.explode(F.filter(every, lambda x: x.isNotNull())).alias("f")).select("f.*")
-    model = NoiseModel()
-    for r in facts.groupBy("kind", "char", "value").count().collect():
-        model.count(r["kind"], r["char"], r["value"], r["count"])
-    return model
+    facts = d.select("_b", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("f")).select("_b", "f.*")
+    models: dict[str, NoiseModel] = {}
+    for r in facts.groupBy("_b", "kind", "char", "value").count().collect():
+        models.setdefault(r["_b"], NoiseModel()).count(r["kind"], r["char"], r["value"], r["count"])
+    return models
 
 
-def read_passes(df: DataFrame, start: str, moves: str, passes: int = 3) -> DataFrame:
-    """Decode, learn from what was read, decode again."""
-    model = NoiseModel()
+def read_passes(df: DataFrame, start: str, moves: str, passes: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """Decode, learn from what was read, decode again; all books (told by `by`, each with a model of its own) in the same jobs."""
+    models: dict[str, NoiseModel] = {}
     for k in range(passes):
-        out = decode(df, start, moves, model)
+        out = decode(df, start, moves, models, by)
         if k + 1 < passes:
-            model = learn(out)
+            models = learn_each(out, by)
     return out
 
 

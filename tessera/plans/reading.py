@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +40,14 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def noise_decode_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Games of 30 to 80 plies, each printed in two notations at one of three levels of noise, read in two passes: places read rightly. Each level and notation is a book with a noise model of its own."""
-    keys, out = _games(spark, sf_dir), None
+    keys, books = _games(spark, sf_dir), []
     for k, level in enumerate(notation_values.LEVELS):
-        for junk in (False, True):
-            games = cut(reading.printed_games(keys.where(F.pmod("game", F.lit(len(notation_values.LEVELS))) == k), "game", level, junk).withColumns({"level": F.lit(level), "junk": F.lit(junk)}))
-            read = reading.read_passes(cut(reading.main_runs(games, "game", "text")), "start", "moves", passes=2)
-            rate = reading.accuracy(read, games, "game", ["level", "junk"])
-            out = rate if out is None else out.unionByName(rate)
-    return out
+        mine = keys.where(F.pmod("game", F.lit(len(notation_values.LEVELS))) == k)
+        books += [reading.printed_games(mine, "game", level, junk).withColumns({"level": F.lit(level), "junk": F.lit(junk)}) for junk in (False, True)]
+    games = cut(reduce(DataFrame.unionByName, books).withColumn("print", F.concat_ws(" ", "level", "junk", "game")))
+    runs = reading.main_runs(games, "print", "text").join(games.select("print", "level", "junk"), "print")
+    read = reading.read_passes(cut(runs), "start", "moves", passes=2, by=["level", "junk"])
+    return reading.accuracy(read.drop("level", "junk"), games, "print", ["level", "junk"])
 
 
 @query()

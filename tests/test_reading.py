@@ -230,3 +230,49 @@ def test_long_rows_of_texts_are_handed_on_by_their_texts(monkeypatch):
     first = next(frames)
     assert len(first) == 3 and len(seen) == 4
     assert [r.k for f in [first, *frames] for r in f.itertuples(index=False)] == [k for k in range(20) if k % 4]
+
+
+def test_books_are_read_in_the_same_jobs(spark, monkeypatch):
+    """Books with a model each are read and learnt together, a job a pass, with the rows that each gives alone; an unnamed book counts as one."""
+    books = {"a": (3, True), "b": (4, False), None: (5, True)}
+    games = [(name, k, board.START, [t.raw for r in notation.runs(notation.tokenize(notation.printed(board.random_game(rng, 12), "high", rng, junk))) for t in r.tokens]) for name, (seed, junk) in books.items() for k in range(3) for rng in [random.Random(seed * 10 + k)]]
+    schema = "book string, game int, start string, moves array<string>"
+    want = {}
+    for name in books:
+        alone = spark.createDataFrame([g for g in games if g[0] == name], schema)
+        want |= {(r.book, r.game): r.decoded for r in reading.read_passes(alone, "start", "moves", passes=2).collect()}
+    decode, calls = reading.decode, []
+    monkeypatch.setattr(reading, "decode", lambda *a: calls.append(a) or decode(*a))
+    read = reading.read_passes(spark.createDataFrame(games, schema), "start", "moves", passes=2, by=["book"])
+    assert read.columns == ["book", "game", "start", "moves", "decoded"]
+    assert {(r.book, r.game): r.decoded for r in read.collect()} == want
+    assert len(calls) == 2 and len(want) == 9
+
+
+def test_a_run_is_priced_once_by_symbol_and_piece(monkeypatch):
+    """What a symbol costs for a piece doesn't depend on the position: a run asks the model once for it, however many positions and moves it is tried on."""
+    rng = random.Random(7)
+    raws = [t.raw for r in notation.runs(notation.tokenize(notation.printed(board.random_game(rng, 30), "medium", rng, True))) for t in r.tokens]
+    plain, asked = NoiseModel.cost, []
+    monkeypatch.setattr(NoiseModel, "cost", lambda self, symbol, piece: asked.append((symbol, piece)) or plain(self, symbol, piece))
+    d = Decoder()
+    first = d.run(board.START, raws)
+    assert len(asked) == len(set(asked))
+    d.model.learn(first)  # prices are the model's as it is when a run begins
+    assert d.run(board.START, raws) == Decoder(d.model).run(board.START, raws)
+
+
+def test_moves_that_keep_the_king_safe():
+    """Pins, checks and pawns taken in passing: as by playing each move."""
+    fens = ["4k3/8/8/KPp4r/8/8/8/8 w - c6 0 1", "4r2k/8/8/8/8/8/4N3/4K3 w - - 0 1", "4r2k/8/8/8/7b/8/3P1R2/4K3 w - - 0 1", "7k/8/8/3q4/8/8/3R4/3K3r w - - 0 1", "8/8/8/8/8/8/8/R7 w - - 0 1", "r3k2r/8/8/8/8/8/4Q3/R3K2R b KQkq - 0 1"]
+    positions = [board.read_fen(f) for f in fens]
+    for seed in range(10):
+        p, rng = board.read_fen(board.START), random.Random(seed)
+        for _ in range(60):
+            moves = board.legal(p)
+            if not moves:
+                break
+            p = board.play(p, rng.choice(moves))
+            positions.append(p)
+    for p in positions:
+        assert list(board.kept(p, board.pseudo(p))) == [m for m in board.pseudo(p) if board.safe(p, m)] == list(board.legal(p))
