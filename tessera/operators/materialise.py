@@ -20,3 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def handed_on(df: DataFrame) -> DataFrame:
+    """cut() for what a loop hands on from round to round, without the plan's estimate of its size.
+
+    A join is estimated at the product of its sides and a checkpoint keeps the estimate, so where rounds join their own results its digits multiply with each round, up to all of the driver's memory. Rows that come in as an RDD have a fixed one instead;
+    how large they are, adaptive execution sees."""
+    spark = df.sparkSession
+    return cut(DataFrame(spark._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), spark))
