@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .materialise import cut
+from .materialise import cut, handed_on
 from .paths import placed
 
 
@@ -31,9 +31,9 @@ def reached_from(starts: DataFrame, links: DataFrame, group: str, node: str, to:
         if jumps.isEmpty():
             return found
         more = found.join(jumps, found[group].eqNullSafe(jumps["_g"]) & (found[node] == jumps["_n"])).select(group, F.col("_t").alias(node))
-        found = cut(found.unionByName(more).distinct())
+        found = handed_on(found.unionByName(more).distinct())
         on = jumps.select(F.col("_g").alias("_h"), F.col("_n").alias("_m"), F.col("_t").alias("_u"))
-        jumps = cut(jumps.join(on, jumps["_g"].eqNullSafe(on["_h"]) & (jumps["_t"] == on["_m"])).select("_g", "_n", F.col("_u").alias("_t")))
+        jumps = handed_on(jumps.join(on, jumps["_g"].eqNullSafe(on["_h"]) & (jumps["_t"] == on["_m"])).select("_g", "_n", F.col("_u").alias("_t")))
     raise RuntimeError("the links have a cycle")
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .materialise import cut, shared_folder
+from .materialise import cut, handed_on, shared_folder
 
 
 def listed(nodes: DataFrame, node: str, parent: str, ordinal: str, rounds: int = 64) -> DataFrame:
@@ -37,7 +37,7 @@ def listed(nodes: DataFrame, node: str, parent: str, ordinal: str, rounds: int =
             break
         up = now.select(F.col("_c").alias("_c2"), F.col("_a").alias("_a2"), F.col("_r").alias("_r2"), F.col("_e").alias("_e2"))
         going = now.where("_a is not null").join(up, F.col("_a") == F.col("_c2")).select("_c", F.col("_a2").alias("_a"), F.col("_r2").alias("_r"), F.concat("_e2", "_e").alias("_e"))
-        now = cut(now.where("_a is null").unionByName(going))
+        now = handed_on(now.where("_a is null").unionByName(going))
     else:
         raise RuntimeError("the variations have a cycle")
     placed = chains.join(now, F.col("_h") == F.col("_c")).select("_n", F.col("_r").alias("root"), F.concat("_e", F.array(F.col("_i"), F.lit(0).cast("long"))).alias("key"))
@@ -53,7 +53,7 @@ def _doubled(links: DataFrame, rounds: int) -> DataFrame:
             return now.drop("_to")
         up = now.select(F.col("_n").alias("_m"), F.col("_to").alias("_on"), F.col("_h").alias("_g"), F.col("_i").alias("_j"))
         going = now.where("_to is not null").join(up, F.col("_to") == F.col("_m")).select("_n", F.col("_on").alias("_to"), F.col("_g").alias("_h"), (F.col("_i") + F.col("_j")).alias("_i"))
-        now = cut(now.where("_to is null").unionByName(going))
+        now = handed_on(now.where("_to is null").unionByName(going))
     raise RuntimeError("the pointers have a cycle")
 
 

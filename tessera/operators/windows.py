@@ -86,13 +86,13 @@ def resolve_ambiguous(values: Column) -> Column:
 
 def path_all(nodes: DataFrame, node: str, parent: str, ok: str, rounds: int = 40) -> DataFrame:
     """Whether a node and all its ancestors are ok. Ancestors double each round (pointer jumping), so a path of n nodes takes log2(n) joins."""
-    from .materialise import cut
+    from .materialise import handed_on
 
     now = nodes.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.col(ok).alias("good"))
     for _ in range(rounds):
         up = now.select(F.col("n").alias("_n"), F.col("up").alias("_up"), F.col("good").alias("_good"))
         joined = now.join(up, now.up == up._n, "left")
-        now = cut(joined.select("n", F.col("_up").alias("up"), (F.col("good") & F.coalesce("_good", F.lit(True))).alias("good")))
+        now = handed_on(joined.select("n", F.col("_up").alias("up"), (F.col("good") & F.coalesce("_good", F.lit(True))).alias("good")))
         if now.where("up is not null").isEmpty():
             return now.select(F.col("n").alias(node), F.col("good").alias("path_ok"))
     raise RuntimeError("a path is longer than the rounds allow, or has a cycle")

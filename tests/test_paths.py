@@ -8,7 +8,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
-from tessera.operators import chains, lattice, paths, runs
+from tessera.operators import chains, lattice, paths, runs, windows
 
 
 def plain_bands(rows, gap):
@@ -312,3 +312,17 @@ def test_frontiers_of_shortest_ways_are_numbers(spark, monkeypatch):
     for df in written:
         if any(f.dataType.typeName() in ("string", "array") for f in df.schema):
             assert df.count() <= 2 * len(edges)
+
+
+def test_estimates_of_doubled_pointers_stay_small(spark):
+    """Pointers that double join their own rounds; the plan's estimate of their size does not double its digits each time."""
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    links = spark.range(100).select(F.lit(1).alias("g"), F.col("id").alias("n"), F.when(F.col("id") < 99, F.col("id") + 1).alias("t"))
+    reached = chains.reached_from(links.where("n = 0").select("g", "n"), links, "g", "n", "t")
+    assert bits(reached) <= 1024 and reached.count() == 100
+    ok = windows.path_all(links.select("n", (F.col("n") - 1).alias("up"), F.lit(True).alias("ok")), "n", "up", "ok")
+    assert bits(ok) <= 1024 and ok.where("path_ok").count() == 100
+    # each variation leaves the one before it
+    nodes = spark.range(1, 60).select(F.explode(F.array(F.struct(F.col("id"), (F.col("id") - 1).alias("parent"), F.lit(1).alias("k")), F.struct((F.col("id") + 1000).alias("id"), (F.col("id") - 1).alias("parent"), F.lit(0).alias("k")))).alias("r")).select("r.*")
+    listed = paths.listed(nodes, "id", "parent", "k")
+    assert bits(listed) <= 1024 and listed.agg(F.count("*"), F.max("depth")).first() == (118, 58)
